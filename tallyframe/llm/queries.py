@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import common, line_dedup, mixing, quality, sharding
+from tallyframe.llm import line_dedup, mixing, packing, quality, sharding
 from tallyframe.llm.common import documents, utf8
 
 
@@ -32,6 +32,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(sums, F.col("members").eqNullSafe(F.col("m"))).select(F.col("key").alias("doc_id"), "size", "source_size", target.alias("target"), "taken")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(documents(spark, sf_dir).select("doc_id", "text"))
+    out = packing.pack(pieces.select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return out.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
 
@@ -42,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op4_mixing, op5_packing, op10_quality_rules)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

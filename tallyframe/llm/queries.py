@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import line_dedup, mixing, near_dedup, packing, quality, sharding
+from tallyframe.llm import line_dedup, media, mixing, near_dedup, packing, quality, sharding
 from tallyframe.llm.common import documents, utf8
 
 
@@ -42,6 +42,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.octet_length(utf8(F.col("text"))).cast("long").alias("n_bytes"), media.padded(F.col("text")).alias("payload"))
+    out = media.read(media.store(docs).drop("payload"))
+    back = F.col("__payload")
+    tail = F.substring(back, -64, 64)
+    return out.select("doc_id", "n_bytes", F.octet_length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("__feature").alias("feature"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
 
@@ -52,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op10_quality_rules)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -78,7 +78,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, pipeline)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,28 +32,56 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
 
 
-def word_hashes(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __wh, the 64-bit hashes of the words of a text in order."""
-    return docs.withColumn("__wh", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body uses it and wherever the optimizer moves
+    the expression."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _pair(i: Column, n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.get("__wh", i), F.get("__wh", i + 1)), F.lit(n_buckets))
+def hashes_of(text: Column) -> Column:
+    """The 64-bit hashes of the words of a text in order."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _starts(width: int) -> Column:
+def _pair(hashes: Column, i: Column, n_buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), F.lit(n_buckets))
+
+
+def _starts(hashes: Column, width: int) -> Column:
     """0 up to the last place where so many words begin; none in shorter texts."""
-    n = F.size("__wh")
+    n = F.size(hashes)
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
+def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
+    """How many words lie in windows of width words that are found twice or more (long)."""
+    windows = F.transform(_starts(hashes, width), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+
+    def covered(places: Column) -> Column:
+        # each place covers width words, less those that the place before it covers
+        fresh = F.transform(places, lambda i, k: F.when(k == 0, F.lit(width)).otherwise(F.least(F.lit(width), i - F.get(places, F.greatest(k - 1, F.lit(0))))))
+        return F.aggregate(fresh, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def places(order: Column) -> Column:
+        # windows in order of hash and place; a window repeats if a neighbour has the same hash
+        before = lambda x, k: (k > 0) & (F.get(order, F.greatest(k - 1, F.lit(0)))["h"] == x["h"])
+        after = lambda x, k: F.coalesce(F.get(order, k + 1)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(order, lambda x, k: after(x, k) | before(x, k)), lambda x: x["i"]))
+
+    def of(w: Column) -> Column:
+        order = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(order, lambda o: let(places(o), covered))).otherwise(F.lit(0).cast("long"))
+
+    return let(windows, of)
+
+
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
     """log(trusted / raw) of each bucket. Counts cover all of docs; they are summed within tasks before the shuffle.
     Without trusted documents or words every ratio is 0."""
     ids = trusted_ids.select(F.col(key).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_trusted)
     flagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("__id"), "left")
-    hashes = word_hashes(flagged, "text").select(F.col("__id").isNotNull().cast("long").alias("good"), "__wh")
-    grams = hashes.select("good", F.explode(F.concat(F.transform("__wh", lambda h: F.pmod(h, F.lit(n_buckets))), F.transform(_starts(2), lambda i: _pair(i, n_buckets)))).alias("bucket"))
+    buckets = let(hashes_of(F.col("text")), lambda wh: F.concat(F.transform(wh, lambda h: F.pmod(h, F.lit(n_buckets))), F.transform(_starts(wh, 2), lambda i: _pair(wh, i, n_buckets))))
+    grams = flagged.select(F.col("__id").isNotNull().cast("long").alias("good"), F.explode(buckets).alias("bucket"))
     counts = {r.bucket: (r.raw, r.good) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()}
     raw, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not good:
@@ -73,32 +102,28 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != "")
     zero = F.lit(0.0)
-    base = (
-        word_hashes(docs, text)
-        .withColumn("__n_words", F.size("__wh").cast("long"))
-        .withColumn("__windows", F.transform(_starts(WINDOW), lambda i: F.xxhash64(*[F.get("__wh", i + k) for k in range(WINDOW)])))
-        .withColumn("__lines", lines)
-        .withColumn("__sum", F.aggregate("__wh", zero, lambda a, h: a + F.get(table, F.pmod(h, F.lit(n_buckets)).cast("int"))) + F.aggregate(_starts(2), zero, lambda a, i: a + F.get(table, _pair(i, n_buckets).cast("int"))))
-    )
-    # windows in order of hash and place; a window repeats if a neighbour has the same hash
-    order = F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    base = base.withColumn("__order", order)
-    same = lambda x, k: (F.get("__order", k + 1)["h"] == x["h"]) | ((k > 0) & (F.get("__order", F.greatest(k - 1, F.lit(0)))["h"] == x["h"]))
-    base = base.withColumn("__places", F.sort_array(F.transform(F.filter("__order", lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: x["i"])))
-    # each place covers WINDOW words, less those that the place before it covers
-    fresh = lambda i, k: F.when(k == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), i - F.get("__places", F.greatest(k - 1, F.lit(0)))))
-    repeats = F.aggregate(F.transform("__places", fresh), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = base.withColumn("__n_repeat_words", F.coalesce(repeats, F.lit(0).cast("long")))
-    failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
-    score = F.col("__sum") / F.when(F.col("__n_words") > 0, 2 * F.col("__n_words") - 1)
-    return out.select(
+
+    def verdict(wh: Column) -> Column:
+        n = F.size(wh).cast("long")
+        words = F.aggregate(wh, zero, lambda a, h: a + F.get(table, F.pmod(h, F.lit(n_buckets)).cast("int")))
+        pairs = F.aggregate(_starts(wh, 2), zero, lambda a, i: a + F.get(table, _pair(wh, i, n_buckets).cast("int")))
+        score = (words + pairs) / F.when(n > 0, 2 * n - 1)
+        return let(
+            F.struct(n.alias("n_words"), repeated_words(wh).alias("n_repeat_words"), score.alias("score")),
+            lambda v: F.struct(v["n_words"].alias("n_words"), v["n_repeat_words"].alias("n_repeat_words"), v["score"].alias("score"), ((v["n_words"] < 10) | (100 * v["n_repeat_words"] > 20 * v["n_words"])).alias("failed")),
+        )
+
+    v = let(hashes_of(F.col(text)), verdict)
+    dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    fits = F.coalesce(F.col("__v.score") >= threshold - slack / F.sqrt("__v.n_words"), F.lit(True))
+    return docs.withColumn("__v", v).select(
         *docs.columns,
-        "__n_words",
+        F.col("__v.n_words").alias("__n_words"),
         F.char_length(F.translate(t, WHITE, "")).cast("long").alias("__word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
-        "__n_repeat_words",
-        failed.alias("__base_failed"),
-        score.alias("__score"),
-        (~failed & F.coalesce(score >= threshold - slack / F.sqrt("__n_words"), F.lit(True))).alias("__kept"),
+        dup_lines.alias("__n_dup_lines"),
+        F.col("__v.n_repeat_words").alias("__n_repeat_words"),
+        F.col("__v.failed").alias("__base_failed"),
+        F.col("__v.score").alias("__score"),
+        (~F.col("__v.failed") & fits).alias("__kept"),
     )

@@ -2,10 +2,11 @@
 
 Texts with the same set of shingles are one node from the start. Each node's set goes once through one hash; its
 least value in each of N_BINS ranges is the signature, and empty ranges copy a filled one found by a fixed probing
-sequence. Bands of the signature are buckets. In a bucket every member is a candidate with the bucket's least id
-only, so candidates grow with the members. Candidates are confirmed on full sets. Where a bucket still holds more
-than one component after that, its members are compared in tiles by their signatures, and the likely pairs are
-confirmed too, so that no link is lost because the centre of a star was unlike both of its ends.
+sequence. Bands of the signature are buckets. In a bucket every member is a candidate with the bucket's centre only,
+the member with the most neighbours, so candidates grow with the members. Candidates are confirmed on full sets.
+Where a bucket still holds more than one component after that, its members are compared in tiles of bounded size,
+by signatures and then by full sets, and a tile gives the links that join components (fewer than its members); so no
+link is lost because the centre of a star was unlike both of its ends.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ N_BINS, ROWS = 128, 4
 SEED = 7
 #: Pairs in a tile are confirmed if so many of the 128 signature bytes agree; at similarity 0.75 a pair has 96 on average.
 LIKELY = 70
-TILE = 256
+#: Members and shingles of one side of a tile at most (a single longer set is a side of its own).
+TILE, TILE_SHINGLES = 256, 1_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -180,47 +182,103 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def likely_pairs(members: DataFrame, likely: int = LIKELY, tile: int = TILE, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose signatures agree in likely bytes and whose sizes
-    allow the similarity. members: bucket, rep, n_shingles, root, center, n (members of the bucket), signature.
-    A bucket of many members is split into blocks; each pair of blocks is one tile, compared in numpy."""
+def tiled(members: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """The rows of members, once for each tile they take part in. members: bucket, rep, n_shingles, root, ...
+
+    Only buckets with several roots get tiles. The members of a bucket's largest root are compared with its other
+    members (kind 0), and those among themselves (kind 1); both sides are split into blocks of bounded rows and
+    shingles, and each pair of blocks is one tile."""
+    per_root = members.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    stats = per_root.groupBy("bucket").agg(
+        F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")
+    ).where("c > top.c")
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / tile), F.ceil(s / tile_shingles)).cast("int")
+    stats = stats.select("bucket", F.col("top.root").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("n_top"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("n_rest"))
+    rows = members.join(materialize(stats, "near-open"), "bucket").withColumn("is_top", F.col("root") == F.col("top"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
+    at = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.xxhash64("bucket", F.lit(kind), x, y).alias("tile"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    ours = F.transform(upto("n_rest"), lambda o: at(0, F.col("block"), o))
+    others = F.concat(F.transform(upto("n_top"), lambda o: at(0, o, F.col("block"))), F.transform(upto("n_rest"), lambda o: at(1, F.least(F.col("block"), o), F.greatest(F.col("block"), o))))
+    rows = rows.withColumn("block", block).withColumn("__at", F.explode(F.when(F.col("is_top"), ours).otherwise(others)))
+    return rows.select(*members.columns, "is_top", "__at.kind", "__at.tile")
+
+
+class Forest:
+    """Union-find over 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def tile_links(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[str, str]]:
+    """Confirmed links of one tile that join what wasn't joined, at most one less than its rows. A pair is looked at
+    in the first bucket it shares only; pairs whose signatures agree in likely bytes are confirmed on full sets, the
+    most similar first."""
+    sig = np.frombuffer(b"".join(g["signature"]), dtype=np.uint8).reshape(len(g), -1)
+    bands_ = np.array(g["bands"].tolist(), dtype=np.int64)
+    n, rep, center, top, kind, bucket = (g[c].to_numpy() for c in ("n_shingles", "rep", "is_center", "is_top", "kind", "bucket"))
+    codes = pd.factorize(g["root"])[0]
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(g) - 1):
+        if center[i]:
+            continue
+        ok = (codes[i + 1 :] != codes[i]) & ~center[i + 1 :] & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        if kind[i] == 0:
+            ok &= top[i + 1 :] != top[i]
+        k = np.flatnonzero(ok) + i + 1
+        agree = (sig[k] == sig[i]).sum(axis=1)
+        k, agree = k[agree >= likely], agree[agree >= likely]
+        first = (bands_[k] == bands_[i]).argmax(axis=1)
+        here = bands_[i][first] == bucket[i]
+        found += [(-int(a), i, int(x)) for a, x in zip(agree[here], k[here])]
+    if not found:
+        return []
+    forest, first_of = Forest(len(g)), {}
+    for i, c in enumerate(codes.tolist()):
+        forest.join(first_of.setdefault(c, i), i)
+    sets, out = g["shingles"].to_numpy(), []
+    for _, i, j in sorted(found):
+        if forest.root(i) != forest.root(j):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (n[i] + n[j] - common):
+                forest.join(i, j)
+                out.append((rep[i], rep[j]))
+    return out
+
+
+def missing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> DataFrame:
+    """Links (a, b) between different roots that the stars didn't show. members: bucket, rep, n_shingles, center, root."""
     rep_type = members.schema["rep"].dataType
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    tiled = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    tiled = tiled.select(at.alias("tile"), F.col("rep").cast("string").alias("rep"), "n_shingles", F.col("root").cast("string").alias("root"), (F.col("rep") == F.col("center")).alias("is_center"), "signature")
-    tiled = tiled.repartition("tile").sortWithinPartitions("tile")
-
-    def compare(g: pd.DataFrame) -> list[tuple[str, str]]:
-        sig = np.frombuffer(b"".join(g["signature"]), dtype=np.uint8).reshape(len(g), -1)
-        n, root, rep, center = g["n_shingles"].to_numpy(), pd.factorize(g["root"])[0], g["rep"].to_numpy(), g["is_center"].to_numpy()
-        out = []
-        for i in range(len(g) - 1):
-            j = slice(i + 1, None)
-            ok = (root[j] != root[i]) & ~center[j] & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-            if center[i] or not ok.any():
-                continue
-            k = np.flatnonzero(ok) + i + 1
-            k = k[(sig[k] == sig[i]).sum(axis=1) >= likely]
-            out += [(rep[i], rep[x]) for x in k]
-        return out
+    rows = tiled(members).join(nodes.select("rep", "signature", "bands"), "rep").join(sets.withColumnRenamed("key", "rep"), "rep")
+    rows = rows.select("tile", "kind", "bucket", F.col("rep").cast("string").alias("rep"), "n_shingles", F.col("root").cast("string").alias("root"), (F.col("rep") == F.col("center")).alias("is_center"), "is_top", "signature", "bands", "shingles")
+    rows = rows.repartition("tile").sortWithinPartitions("tile")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             t = batch["tile"].to_numpy()
-            ends = np.flatnonzero(t[1:] != t[:-1]) + 1
-            starts = np.concatenate([[0], ends])
+            starts = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1]) if len(t) else np.zeros(1, dtype=int)
             held = batch.iloc[starts[-1] :]
-            found = [p for a, b in zip(starts, ends) if b - a > 1 for p in compare(batch.iloc[a:b])]
+            found = [p for a, b in zip(starts, starts[1:]) if b - a > 1 for p in tile_links(batch.iloc[a:b], percent, likely)]
             yield pd.DataFrame(found, columns=["a", "b"]).astype(str)
         if held is not None and len(held) > 1:
-            yield pd.DataFrame(compare(held), columns=["a", "b"]).astype(str)
+            yield pd.DataFrame(tile_links(held, percent, likely), columns=["a", "b"]).astype(str)
 
-    found = tiled.mapInPandas(rows, "a string, b string").select(F.col("a").cast(rep_type).alias("a"), F.col("b").cast(rep_type).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.mapInPandas(links, "a string, b string")
+    return found.select(F.col("a").cast(rep_type).alias("a"), F.col("b").cast(rep_type).alias("b"))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -235,8 +293,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     with_set = signed.where("n_shingles > 0 and key is not null")
     nodes = materialize(with_set.groupBy("set_hash").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
     placed = nodes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n")).where("center <> last").drop("last")
-    members = materialize(placed.join(shared, "bucket"), "near-members")
+    shared = placed.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
+    members = materialize(placed.join(materialize(shared, "near-shared"), "bucket"), "near-members")
+    # the centre of a bucket is the member with the most neighbours in all its buckets: an original among its copies
+    scores = members.groupBy("rep").agg(F.sum("n").alias("score"))
+    centers = members.join(scores, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("center"))
+    members = materialize(members.join(materialize(centers, "near-centers"), "bucket"), "near-members")
     wanted = members.select(F.col("rep").alias("wanted")).distinct()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     # of repeated rows with one id, any whose text has the node's set will do: sets are taken once for each node
@@ -245,10 +307,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(confirm(stars, sets, percent), "near-links")
     labels = components(links)
-    rooted = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", "center", "n", F.coalesce("root", "rep").alias("root"))
-    open_buckets = rooted.where("n > 2").groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    rest = rooted.join(open_buckets, "bucket").join(nodes.select("rep", "signature"), "rep")
-    more = materialize(confirm(likely_pairs(rest, percent=percent), sets, percent), "near-links")
+    rooted = materialize(members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", "center", F.coalesce("root", "rep").alias("root")), "near-rooted")
+    more = materialize(missing_links(rooted, nodes, sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     roots = nodes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("root", "rep").alias("root"))

@@ -173,7 +173,7 @@ def numbers_and_dates(text: Column, most: int = 24) -> Column:
         r"\b[0-9]+(?:\.[0-9]+)?\s*%",
     ]
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
-    return F.slice(distinct_in_order(F.transform(found, F.trim)), 1, most)
+    return F.slice(distinct_in_order(F.transform(found, lambda x: F.trim(x))), 1, most)
 
 
 def capital_phrases(text: Column, most: int = 16) -> Column:

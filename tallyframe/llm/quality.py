@@ -20,6 +20,7 @@ N_BUCKETS = 1 << 14
 #: At most so many trusted documents are used (the least hashes of their ids).
 MAX_TRUSTED = 20_000
 SMOOTHING = 1.0
+SHRINK = 16.0
 #: A document stays if its score is at least THRESHOLD - SLACK / sqrt(words): means over few words scatter more.
 THRESHOLD = -0.08
 SLACK = 0.3
@@ -75,9 +76,12 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     return let(windows, of)
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING) -> list[float]:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING, shrink: float = SHRINK) -> list[float]:
     """log(trusted / raw) of each bucket. Counts cover all of docs; they are summed within tasks before the shuffle.
-    Without trusted documents or words every ratio is 0."""
+
+    The raw multinomial has smoothing added to each bucket. The trusted one is drawn towards the raw one by shrink
+    grams in each bucket: what trusted text was too short to show says little. Without trusted documents or words
+    every ratio is 0."""
     ids = trusted_ids.select(F.col(key).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_trusted)
     flagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("__id"), "left")
     buckets = let(hashes_of(F.col("text")), lambda wh: F.concat(F.transform(wh, lambda h: F.pmod(h, F.lit(n_buckets))), F.transform(_starts(wh, 2), lambda i: _pair(wh, i, n_buckets))))
@@ -86,8 +90,8 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", tex
     raw, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not good:
         return [0.0] * n_buckets
-    share = lambda n, total: (n + smoothing) / (total + smoothing * n_buckets)
-    return [math.log(share(counts.get(b, (0, 0))[1], good) / share(counts.get(b, (0, 0))[0], raw)) for b in range(n_buckets)]
+    own = [(counts.get(b, (0, 0))[0] + smoothing) / (raw + smoothing * n_buckets) for b in range(n_buckets)]
+    return [math.log((counts.get(b, (0, 0))[1] + shrink) / (good * own[b] + shrink)) for b in range(n_buckets)]
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = N_BUCKETS, max_trusted: int = MAX_TRUSTED, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tallyframe.plans import queries as own
+from tallyframe.plans import queries_research  # noqa: F401  (adds its queries to own.QUERIES)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

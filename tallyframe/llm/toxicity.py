@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import utf8
+from tallyframe.llm.common import materialize, utf8
 from tallyframe.session import ship
 
 #: At most so many labelled rows are used to fit (the least hashes of their ids).
@@ -98,7 +98,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
     prior = (y.sum() + 1) / (len(y) + 2)
     weight = np.where(y == 1, 0.5 / max(prior, 1e-9), 0.5 / max(1 - prior, 1e-9))  # both classes weigh the same
     m = Machine(float(np.log(prior / (1 - prior))), np.empty(0, dtype=np.int64), np.empty(0), np.empty((0, factors)))
-    if not len(rows) or y.min() == y.max():
+    if not len(rows) or y.min() == y.max() or not any(map(len, rows)):
         return m
     flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids, at = np.unique(flat, return_inverse=True)
@@ -137,21 +137,38 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, factor
     return m
 
 
+def telling_terms(rows: DataFrame, min_g: float = MIN_G, most: int = MAX_TERMS) -> DataFrame:
+    """term: the terms that at least MIN_ROWS of the rows hold and whose G statistic against the label is at least min_g,
+    of these the most telling, at most so many. rows: label, terms (distinct). Counts are summed within tasks first."""
+    n = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n_pos"))  # one row
+    held = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("held"), F.sum("label").alias("pos"))
+    t = held.where(F.col("held") >= MIN_ROWS).join(F.broadcast(n))
+    neg, rest, n_neg = F.col("held") - F.col("pos"), F.col("n") - F.col("held"), F.col("n") - F.col("n_pos")
+    cell = lambda x, row, column: F.when(x > 0, 2 * x * F.log(x * F.col("n") / (row * column))).otherwise(0.0)
+    g = cell(F.col("pos"), F.col("held"), F.col("n_pos")) + cell(neg, F.col("held"), n_neg) + cell(F.col("n_pos") - F.col("pos"), rest, F.col("n_pos")) + cell(n_neg - neg, rest, n_neg)
+    return t.select("term", g.alias("g")).where(F.col("g") >= min_g).orderBy(F.desc(F.round("g", 6)), "term").limit(most).select("term")
+
+
 def sample_terms(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of at most so many labelled rows whose texts are in docs. Rows without id or label are
-    left out. The sample is bounded by most, so it may come to the driver."""
+    """Telling term hashes and labels of at most so many labelled rows whose texts are in docs. Rows without id or label
+    are left out. Terms are counted and chosen on the executors; at most MAX_TERMS for each of the bounded sample's rows
+    come to the driver."""
     ship(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label is not null")
     chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(F.col(key).alias("id"), utf8(F.col(text)).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("__id"))
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def hashed(s: pd.Series) -> pd.Series:
         seen: dict[str, tuple[int, ...]] = {}
-        return s.map(lambda b: np.array(sorted(terms(b.decode("utf-8", "replace"), seen)), dtype="<i4").tobytes())
-
-    found = rows.select("id", F.col("__label").alias("label"), hashed("body").alias("terms")).toPandas().sort_values("id", kind="stable")
-    return [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in found["terms"]], found["label"].to_numpy(dtype=float)
+        return s.map(lambda b: np.array(sorted(terms(b.decode("utf-8", "replace"), seen)), dtype=np.int32))
+
+    held = materialize(rows.select("id", F.col("__label").alias("label"), hashed("body").alias("terms")), "toxic-sample")
+    held = held.withColumn("row", F.xxhash64("id", "terms"))
+    use = F.broadcast(materialize(telling_terms(held), "toxic-terms"))
+    told = held.select("row", F.explode(F.array_distinct("terms")).alias("term")).join(use, "term").groupBy("row").agg(F.sort_array(F.collect_set("term")).alias("told"))
+    found = held.select("id", "label", "row").join(told, "row", "left").select("id", "label", "told").toPandas().sort_values("id", kind="stable")
+    return [np.array(x, dtype=np.int64) if x is not None else np.empty(0, dtype=np.int64) for x in found["told"]], found["label"].to_numpy(dtype=float)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:

@@ -7,7 +7,8 @@ equal anchors. Runs of windows with one anchor are contexts. Anchors found only
 contexts are all the same has only repeated windows. What is left, one copy of each distinct context, goes into
 shards of bounded size. Each shard sorts its suffixes by Larsson-Sadakane refinement and takes common prefixes by
 Kasai's rule; neighbours that agree in LENGTH bytes are repeats. An anchor with too many contexts for one shard is
-dealt over several; their distinct windows are merged by binary search in sorted runs of digests.
+dealt over several. Each of them gives a sorted run of the digests of its distinct windows, cut by digest into buckets
+of bounded size, and the runs of a bucket are merged by binary search.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ GRAM = 100
 SHARD_BYTES = 1 << 20
 #: An anchor with more bytes of contexts than this is dealt over several shards.
 HOT_BYTES = 1 << 19
+#: Bytes of contexts whose windows are merged in one bucket (about 12 times as many bytes of digests and places).
+BUCKET_BYTES = 1 << 22
 RUN = 2048
 BLOCK = 1 << 20
 
@@ -235,6 +238,7 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     each = placed.select("key", "text_hash", F.explode(F.arrays_zip("anchor", "digest", "first", "last", "twice")).alias("c")).select("key", "text_hash", "c.*")
     known = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.max("twice").alias("twice"))
     known = known.where("n > 1 or twice = 1").select("anchor", ((F.col("least") != F.col("most")) | (F.col("n") == 1)).alias("several"))
+    known = materialize(known, "suffix-known")  # read anew, so that a join on a hot anchor can be split
     found = materialize(each.drop("twice").join(known, "anchor"), "suffix-found")
     whole = found.where("not several").select("key", "text_hash", "first", (F.col("last") + length).alias("end"))
     several = found.where("several")
@@ -245,8 +249,9 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n_shards = max(1, math.ceil(total / shard_bytes))
     salted = distinct.join(hot, "anchor", "left").withColumn("is_hot", F.col("all_bytes").isNotNull())
     salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("all_bytes") / hot_bytes))).otherwise(0)
+    salted = salted.withColumn("n_buckets", F.when(F.col("is_hot"), F.ceil(F.col("all_bytes") / BUCKET_BYTES)).otherwise(0).cast("int"))
     salted = salted.withColumn("shard", F.pmod(F.xxhash64("anchor", salt), F.lit(n_shards)).cast("int"))
-    per_doc = salted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "size", "shard", "is_hot")).alias("cs"))
+    per_doc = salted.groupBy("key", "text_hash").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "size", "shard", "n_buckets")).alias("cs"))
     # of repeated rows any will do: contexts of a place are the same
     texts = rows.join(per_doc.withColumnRenamed("key", "k").withColumnRenamed("text_hash", "h"), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")))
     cut = texts.select("body", F.explode("cs").alias("c")).select("c.*", F.substring("body", F.col("c.first").cast("int") + 1, F.col("c.size").cast("int")).alias("bytes"))
@@ -255,32 +260,43 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         g = g.drop_duplicates(["anchor", "digest"]).sort_values(["anchor", "digest"])
         parts, counts = list(g["bytes"]), g["n"].to_numpy()
         flags, one_part, one_offset = repeated_windows(parts, counts, length)
-        anchor, digest, is_hot = g["anchor"].to_numpy(), g["digest"].to_numpy(), g["is_hot"].to_numpy()
-        out = [(anchor[i], digest[i], lo, hi, None, False) for i, f in enumerate(flags) for lo, hi in _ranges(f)]
-        mine = is_hot[one_part]
-        for i, o in zip(one_part[mine].tolist(), one_offset[mine].tolist()):
-            out.append((anchor[i], digest[i], o, o + 1, xxhash.xxh3_128_digest(parts[i][o : o + length]), bool(flags[i][o])))
-        return pd.DataFrame(out, columns=["anchor", "digest", "lo", "hi", "window", "known"])
-
-    sorted_ = materialize(cut.groupBy("shard").applyInPandas(sort_shard, "anchor long, digest long, lo long, hi long, window binary, known boolean"), "suffix-ranges")
-    ranges = sorted_.where("window is null").select("anchor", "digest", "lo", "hi")
-    # windows of anchors that were dealt over shards: one of each class and shard, merged in runs by digest
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = list(batches)
-        if not runs:
-            return
-        g = pd.concat(runs, ignore_index=True)
-        window = np.array([w.hex() for w in g["window"]])
+        anchor, digest, buckets = g["anchor"].to_numpy(), g["digest"].to_numpy(), g["n_buckets"].to_numpy()
+        out = [(anchor[i], digest[i], *map(list, zip(*found)), -1, None) for i, f in enumerate(flags) if (found := _ranges(f))]
+        mine = buckets[one_part] > 0
+        part, offset = one_part[mine], one_offset[mine]
+        window = np.array([xxhash.xxh3_64_intdigest(parts[i][o : o + length]) for i, o in zip(part.tolist(), offset.tolist())], dtype=np.uint64)
+        bucket = (window % np.maximum(buckets[part], 1).astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((window, bucket, anchor[part]))
+        part, offset, window, bucket = part[order], offset[order], window[order], bucket[order]
+        edges = np.flatnonzero((np.diff(anchor[part]) != 0) | (np.diff(bucket) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, len(part)]):
+            if a < b:
+                seen = np.fromiter((flags[i][o] for i, o in zip(part[a:b], offset[a:b])), dtype=bool, count=b - a)
+                run = np.array([window[a:b].view(np.int64), digest[part[a:b]], offset[a:b], seen.astype(np.int64)], dtype="<i8")
+                out.append((anchor[part[a]], 0, None, None, bucket[a], run.tobytes()))  # no nulls among 64-bit numbers: they would become floats
+        return pd.DataFrame(out, columns=["anchor", "digest", "lo", "hi", "bucket", "run"])
+
+    sorted_ = materialize(cut.groupBy("shard").applyInPandas(sort_shard, "anchor long, digest long, lo array<long>, hi array<long>, bucket long, run binary"), "suffix-ranges")
+    ranges = sorted_.where("run is null").select("anchor", "digest", "lo", "hi")
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        """Windows that several shards of an anchor hold, as ranges of their contexts."""
+        window, digest, offset, seen = np.concatenate([np.frombuffer(r, dtype="<i8").reshape(4, -1) for r in g["run"]], axis=1)
         run = np.sort(window)
-        same = np.searchsorted(run, window, side="right") - np.searchsorted(run, window, side="left")
-        hit = (same > 1) & ~g["known"].to_numpy(dtype=bool)
-        yield g.loc[hit, ["anchor", "digest", "lo", "hi"]]
-
-    dealt = sorted_.where("window is not null").repartition(F.col("window"))
-    ranges = ranges.union(dealt.mapInPandas(merge, "anchor long, digest long, lo long, hi long"))
-    part = several.join(ranges, ["anchor", "digest"]).select("key", "text_hash", (F.col("first") + F.col("lo")).alias("first"), (F.col("first") + F.col("hi") - 1 + length).alias("end"))
-    spans = whole.union(part).groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+        hit = (np.searchsorted(run, window, side="right") - np.searchsorted(run, window, side="left") > 1) & (seen == 0)
+        out = pd.DataFrame({"digest": digest[hit], "lo": offset[hit]}).sort_values(["digest", "lo"])
+        fresh = (out["digest"] != out["digest"].shift()) | (out["lo"] != out["lo"].shift() + 1)
+        spans = out.groupby(fresh.cumsum()).agg(digest=("digest", "first"), lo=("lo", "first"), hi=("lo", "last"))
+        each = spans.assign(hi=spans["hi"] + 1).groupby("digest", as_index=False).agg(lo=("lo", list), hi=("hi", list))
+        return each.assign(anchor=g["anchor"].iloc[0]).astype({"lo": object, "hi": object})[["anchor", "digest", "lo", "hi"]]
+
+    dealt = sorted_.where("run is not null").groupBy("anchor", "bucket").applyInPandas(merge, "anchor long, digest long, lo array<long>, hi array<long>")
+    ranges = materialize(ranges.union(dealt), "suffix-ranges")
+    span = lambda first, end: F.struct(first.alias("first"), end.alias("end"))
+    moved = F.transform(F.arrays_zip("lo", "hi"), lambda x: span(F.col("first") + x["lo"], F.col("first") + x["hi"] - 1 + length))
+    part = several.join(ranges, ["anchor", "digest"]).select("key", "text_hash", moved.alias("spans"))
+    all_spans = whole.select("key", "text_hash", F.array(span(F.col("first"), F.col("end"))).alias("spans")).union(part)
+    spans = all_spans.groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

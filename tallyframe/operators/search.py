@@ -132,3 +132,35 @@ def mentions(blob: Column, ticker: str, company: str) -> Column:
 
 def any_of(terms: list[str]) -> str:
     return " OR ".join(f'"{t}"' if " " in t else t for t in terms)
+
+
+def broker_score(title: Column, snippet: Column, url: Column, ticker: str, company: str, n_signals: Column, known_type: Column, at: Column, as_of: Column) -> Column:
+    """Relevance of a research note: fixed points for names, signals, kind, age and form."""
+    blob = F.lower(F.concat_ws(" ", title, snippet))
+    return rules.additive(
+        [
+            (F.upper(title).rlike(rf"\b{ticker}\b"), 40), (blob.contains(ticker.lower()), 22), (blob.contains(company.lower()), 28), (F.lit(True), 6.0 * n_signals), (known_type, 14),
+            (F.lower(url).rlike(r"/research/?$"), -25), (F.lit(True), periods.age_points(at, as_of, [(30, 18), (90, 12), (365, 6)])), (F.length(snippet) > 80, 8), (F.length(title) < 12, -6),
+        ]
+    )
+
+
+def finder_score(title: Column, text: Column, url: Column, ticker: str, company: str) -> Column:
+    """Relevance of a found page; high from 70, medium from 45."""
+    t, b, u = F.lower(title), F.lower(text), F.lower(url)
+    return rules.additive(
+        [
+            (t.contains(ticker.lower()), 35), (~t.contains(ticker.lower()) & b.contains(ticker.lower()), 16), (t.contains(company.lower()), 32), (~t.contains(company.lower()) & b.contains(company.lower()), 18),
+            (b.rlike("research|analyst|report|rating"), 14), (u.rlike("/(research|reports|insights)/"), 16), (u.rlike("^https?://[^/]+/?$"), -18), (u.rlike("login|signin"), -30),
+        ],
+        0.0,
+    )
+
+
+def merge_hits(hits: DataFrame, extra: DataFrame, key: str) -> DataFrame:
+    """Hits of both sides by key: the longer snippet stays (the first side's on ties), queries are joined."""
+    a = hits.select(key, F.col("snippet").alias("s1"), F.col("query").alias("q1"))
+    b = extra.select(key, F.col("snippet").alias("s2"), F.col("query").alias("q2"))
+    both = a.join(b, key, "full")
+    size = lambda c: F.coalesce(F.length(c), F.lit(-1))
+    return both.select(key, F.when(size("s2") > size("s1"), F.col("s2")).otherwise(F.col("s1")).alias("snippet"), F.concat_ws(" | ", "q1", "q2").alias("query"))

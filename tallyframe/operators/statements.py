@@ -258,3 +258,29 @@ def display_from(cells: DataFrame, floor: int) -> DataFrame:
 def statement_table(cells: DataFrame, labels: list[str]) -> DataFrame:
     """One row per stmt and row_id, one column per period label, in the order given."""
     return cells.groupBy("stmt", "row_id").pivot("period", labels).agg(F.first("value"))
+
+
+def reconcile_final(cells: DataFrame, facts: DataFrame, concept_map: DataFrame, files: DataFrame) -> DataFrame:
+    """Fills empty cells from raw facts: of a cell's concepts the alphabetically first that has a value, and of its facts
+    the newest file's. facts: stmt, concept, period, file, value; concept_map: stmt, concept, row_id."""
+    valued = facts.where("value is not null").join(files.select("file", "recency"), "file").join(concept_map.select("stmt", "concept", "row_id"), ["stmt", "concept"])
+    newest = valued.groupBy(*CELL).agg(F.max_by("value", F.struct(_descending(F.col("concept")), "recency", "file")).alias("found"))
+    out = cells.select(*CELL, "value").join(newest, CELL, "full")
+    return out.select(*CELL, F.coalesce("value", "found").alias("value"), (F.col("value").isNull() & F.col("found").isNotNull()).alias("filled"))
+
+
+def _descending(name: Column) -> Column:
+    """A key that orders names of ASCII characters the other way round: the least name has the greatest key."""
+    return F.concat(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: -F.ascii(c)), F.array(F.lit(0)))
+
+
+def number_repeats(rows: DataFrame, keys: list[str], label: str, pos: str, suffix: str) -> DataFrame:
+    """Labels that repeat within keys get ' · ' and the suffix column's value from the second on."""
+    nth = F.row_number().over(Window.partitionBy(*keys, label).orderBy(pos))
+    return rows.withColumn("__n", nth).withColumn(label, F.when(F.col("__n") > 1, F.concat_ws(" · ", label, suffix)).otherwise(F.col(label))).drop("__n")
+
+
+def drop_short_columns(columns: DataFrame, sheet: str, days: str, least: int = 28, enough: int = 3) -> DataFrame:
+    """Columns of at least so many days, in sheets that have enough of those; other sheets keep all."""
+    long = columns.groupBy(sheet).agg(F.count_if(F.col(days) >= least).alias("__long"))
+    return columns.join(long, sheet).where((F.col("__long") < enough) | (F.col(days) >= least)).drop("__long")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions import keep
-from tallyframe.operators import entities, research
+from tallyframe.functions import keep, rules
+from tallyframe.operators import entities, research, search
+from tallyframe.operators import statements as st
 from tallyframe.operators import application as app
 from tallyframe.plans.queries import query, r2, table
 from tallyframe.sources import filings as src
@@ -254,3 +255,62 @@ def str_03_daily_batch(spark, sf_dir):
     return e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
 
 
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'revenue' WHEN 1 THEN 'cash' WHEN 2 THEN 'cfo' ELSE 'unmapped__some_thing' END AS line, CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 25 WHEN 2 THEN 10 ELSE 9000 END::INT AS sort_order FROM part""")
+def fn_c08_standard_lines(spark, sf_dir):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_size") % 4 + 1).cast("int"))
+    line = rules.standard_line(pick("us:Revenues", "CashAndCashEquivalentsAtCarryingValue", "us-gaap:NetCashProvidedByUsedInOperatingActivities", "x:Some Thing"), pick("is", "bs", "cf", "is"))
+    return table(spark, sf_dir, "part").select("p_partkey", line["line"].alias("line"), line["sort_order"].alias("sort_order"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'is' WHEN 1 THEN 'bs' WHEN 2 THEN 'cf' END AS kind, CASE WHEN p_size % 4 = 1 THEN -p_retailprice ELSE p_retailprice END AS shown FROM part")
+def flt_06_fn_m05_roles(spark, sf_dir):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_size") % 4 + 1).cast("int"))
+    role = pick("http://x/role/CONSOLIDATEDSTATEMENTSOFOPERATIONS", "http://x/role/BalanceSheets", "role/Statements of Cash Flows", "role/IncomeStatementDetails")
+    return table(spark, sf_dir, "part").select("p_partkey", rules.statement_role(role).alias("kind"), rules.display_sign(F.col("p_retailprice"), pick("label", "negatedLabel", "total", None)).alias("shown"))
+
+
+@query("""WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS (SELECT p_brand AS row_id, p_size AS period, min(p_type) AS t FROM part GROUP BY ALL),
+v AS (SELECT k.row_id, k.period, max(p_retailprice) AS value FROM k JOIN part ON p_brand = k.row_id AND p_size = k.period AND p_type = k.t AND p_partkey = (SELECT max(p_partkey) FROM part q WHERE q.p_brand = k.row_id AND q.p_size = k.period AND q.p_type = k.t) GROUP BY ALL)
+SELECT row_id, period, value FROM v""".replace("WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS", "WITH k AS"))
+def cov_06_reconcile_final(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    facts = p.select(F.lit("s").alias("stmt"), F.concat_ws("|", "p_brand", "p_type").alias("concept"), F.col("p_size").alias("period"), F.col("p_partkey").alias("file"), F.col("p_retailprice").alias("value"))
+    files = p.select(F.col("p_partkey").alias("file"), F.col("p_partkey").alias("recency"))
+    entries = p.select(F.lit("s").alias("stmt"), F.concat_ws("|", "p_brand", "p_type").alias("concept"), F.col("p_brand").alias("row_id")).distinct()
+    cells = p.limit(0).select(F.lit("s").alias("stmt"), F.col("p_brand").alias("row_id"), F.col("p_size").alias("period"), F.col("p_retailprice").alias("value"))
+    return st.reconcile_final(cells, facts, entries, files).select("row_id", "period", "value")
+
+
+@query("SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) > 1 THEN p_type || ' · ' || p_size::VARCHAR ELSE p_type END AS label FROM part")
+def win_16_number_repeats(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("label", F.col("p_type")).withColumn("s", F.col("p_size").cast("string"))
+    return st.number_repeats(p, ["p_brand"], "label", "p_partkey", "s").select("p_partkey", "label")
+
+
+@query("WITH l AS (SELECT p_brand, count(*) FILTER (p_size >= 28) AS n FROM part GROUP BY 1) SELECT p_partkey FROM part JOIN l USING (p_brand) WHERE n < 3 OR p_size >= 28")
+def flt_05_short_columns(spark, sf_dir):
+    return st.drop_short_columns(table(spark, sf_dir, "part"), "p_brand", "p_size").select("p_partkey")
+
+
+@query("""SELECT event_id, (CASE WHEN event_type = 'click' THEN 40 + 22 ELSE 0 END + 6 * (user_id % 3) + CASE WHEN user_id % 2 = 0 THEN 14 ELSE 0 END - CASE WHEN user_id % 5 = 0 THEN 25 ELSE 0 END
++ CASE WHEN a < 30 THEN 18 WHEN a < 90 THEN 12 WHEN a < 365 THEN 6 ELSE 0 END)::DOUBLE AS score FROM (SELECT *, (epoch(TIMESTAMP '2024-02-15') - epoch_us(ts) / 1e6) / 86400 AS a FROM events)""")
+def fn_r02_broker(spark, sf_dir):
+    u = F.col("user_id")
+    s = search.broker_score(F.concat(F.lit("a note on "), "event_type"), F.lit("short"), F.when(u % 5 == 0, "http://b.com/research/").otherwise("http://b.com/n"), "CLICK", "Zzyzx", u % 3, u % 2 == 0, F.col("ts"), F.lit("2024-02-15"))
+    return table(spark, sf_dir, "events").select("event_id", s.alias("score"))
+
+
+@query("""SELECT p_partkey, greatest(0, CASE WHEN p_name LIKE '%red%' THEN 35 ELSE 0 END + CASE WHEN p_name LIKE '%widget%' THEN 32 ELSE 0 END + CASE WHEN p_size > 25 THEN 16 ELSE 0 END)::DOUBLE AS score FROM part""")
+def fn_r07_finder(spark, sf_dir):
+    url = F.when(F.col("p_size") > 25, "http://a.com/research/x").otherwise("http://a.com/x")
+    return table(spark, sf_dir, "part").select("p_partkey", search.finder_score(F.col("p_name"), F.lit("nothing"), url, "RED", "Widget").alias("score"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_name AS s FROM customer), b AS (SELECT s_suppkey * 3 AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '+' || s_name ELSE 's' END AS s FROM supplier)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN coalesce(length(b.s), -1) > coalesce(length(a.s), -1) THEN b.s ELSE a.s END AS snippet, concat_ws(' | ', CASE WHEN a.k IS NOT NULL THEN 'c' END, CASE WHEN b.k IS NOT NULL THEN 's' END) AS query FROM a FULL JOIN b ON a.k = b.k""")
+def dedup_08_merge_hits(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("snippet"), F.lit("c").alias("query"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws("+", "s_name", "s_name")).otherwise("s").alias("snippet"), F.lit("s").alias("query"))
+    return search.merge_hits(a, b, "k")

@@ -41,3 +41,9 @@ def corpus_bundle(chunks: DataFrame, path: str, key: str) -> None:
     stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
     manifest = stored.agg(F.count("*").alias("n_chunks"), F.countDistinct(key).alias("n_docs"), F.sum(F.xxhash64(F.col(key)).cast("decimal(38,0)")).cast("string").alias("ids"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def limited(df: DataFrame, order: list[str], most: int) -> tuple[DataFrame, bool]:
+    """The first rows by order, at most so many, and whether there are more."""
+    first = df.orderBy(*order).limit(most + 1)
+    return df.orderBy(*order).limit(most), first.count() > most

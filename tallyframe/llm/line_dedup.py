@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER, UPPER, WHITE
+from tallyframe.llm.common import LOWER, UPPER, WHITE, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -46,19 +46,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         ).alias("h"),
     )
     frequent = per_doc.groupBy("h.h1", "h.h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    frequent = materialize(frequent, "line-frequent")  # read anew, so that the join on a very common line can be split
     dropped = (
         keyed.join(frequent, ["h1", "h2"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("id", "text_hash")
-        .agg(F.collect_set("pos").alias("gone"))
+        .groupBy(F.col("id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+        .agg(F.collect_set("pos").alias("__gone"))
     )
-    joined = lines.join(dropped, F.col(key).eqNullSafe(dropped["id"]) & (F.col("__text_hash") == F.col("text_hash")), "left")
+    joined = lines.join(dropped, F.col(key).eqNullSafe(F.col("__gone_id")) & (F.col("__text_hash") == F.col("__gone_hash")), "left")
     n = F.size("__lines")
     none = F.array().cast("array<int>")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", none))
-    kept = F.when(F.col("gone").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i)))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("__gone", none))
+    kept = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i)))
     return joined.select(
         *[F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in docs.columns],
         n.cast("long").alias("__n_lines"),
-        F.size(F.coalesce("gone", none)).cast("long").alias("__n_dropped"),
+        F.size(F.coalesce("__gone", none)).cast("long").alias("__n_dropped"),
     )

@@ -84,7 +84,7 @@ def insert_after(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 def bucket_values(mapped: DataFrame, masters: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """One value per (stmt, row_id, period, file), by the first rule that applies:
 
-    one concept: the first value by pos. Several: the value of the row's master concept; else the first value that the
+    one concept: the first value by pos (ties: the least). Several: the value of the row's master concept; else the first value that the
     others sum to (a subtotal, within tolerance); else the sum. masters: stmt, row_id, master_concept.
     Nulls don't count as values but their concepts do. Returns value, n_concepts and method."""
     sums = mapped.groupBy(*BUCKET).agg(F.countDistinct("concept").alias("n_concepts"), F.sum("value").alias("total"), F.count("value").alias("n"))
@@ -95,7 +95,7 @@ def bucket_values(mapped: DataFrame, masters: DataFrame | None = None, tolerance
     else:
         joined = joined.withColumn("master_concept", F.lit(None).cast("string"))
     subtotal = (F.col("n") > 1) & (F.abs(2 * F.col("value") - F.col("total")) <= tolerance)
-    first = lambda when: F.min_by(F.when(when, F.col("value")), F.when(when, F.col("pos")))
+    first = lambda when: F.min_by(F.when(when, F.col("value")), F.when(when, F.struct("pos", "value")))
     out = joined.groupBy(*BUCKET, "n_concepts", "total").agg(
         first(F.lit(True)).alias("first_value"), first(F.col("concept") == F.col("master_concept")).alias("master_value"), first(subtotal).alias("subtotal_value")
     )
@@ -138,7 +138,7 @@ def net_interest(mapped: DataFrame, keys: list[str]) -> DataFrame:
     leg = interest_leg(F.col("concept"))
     rows = mapped.where(F.col("value").isNotNull() & leg.isNotNull()).withColumn("leg", leg)
     part = lambda name: F.sum(F.when(F.col("leg") == name, F.col("value")))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("only"), F.min_by(F.when(F.col("leg") == "net", F.col("value")), F.when(F.col("leg") == "net", F.col("pos"))).alias("net"), part("expense").alias("expense"), part("income").alias("income"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("only"), F.min_by(F.when(F.col("leg") == "net", F.col("value")), F.when(F.col("leg") == "net", F.struct("pos", "value"))).alias("net"), part("expense").alias("expense"), part("income").alias("income"))
     zero = F.lit(0.0)
     value = F.coalesce("net", F.when(F.col("n") == 1, F.col("only")), F.coalesce("expense", zero) - F.coalesce("income", zero))
     return out.select(*keys, value.alias("value"), F.when(F.col("net").isNull() & (F.col("n") > 1), "interest_net").otherwise("reported").alias("method"))

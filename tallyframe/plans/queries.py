@@ -294,7 +294,7 @@ def cov_07_prune_mapped(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'income' WHEN l_returnflag = 'A' THEN 'expense' ELSE 'net' END AS leg, l_quantity AS value, l_linenumber * 1000000 + l_partkey AS pos FROM lineitem),
-g AS (SELECT l_orderkey, count(*) AS n, sum(value) AS single, arg_min(value, pos) FILTER (leg = 'net') AS net, sum(value) FILTER (leg = 'expense') AS e, sum(value) FILTER (leg = 'income') AS i FROM l GROUP BY 1)
+g AS (SELECT l_orderkey, count(*) AS n, sum(value) AS single, arg_min(value, pos * 100 + value) FILTER (leg = 'net') AS net, sum(value) FILTER (leg = 'expense') AS e, sum(value) FILTER (leg = 'income') AS i FROM l GROUP BY 1)
 SELECT l_orderkey, round(coalesce(net, CASE WHEN n = 1 THEN single END, coalesce(e, 0) - coalesce(i, 0)), 2) AS value, CASE WHEN net IS NULL AND n > 1 THEN 'interest_net' ELSE 'reported' END AS method FROM g""")
 def agg_03_net_interest(spark, sf_dir):
     concept = F.when(F.col("l_returnflag") == "R", "us:InvestmentIncomeInterest").when(F.col("l_returnflag") == "A", "us:InterestExpenseDebt").otherwise("us:InterestIncomeExpenseNet")

@@ -217,3 +217,35 @@ def hash31(text: Column) -> Column:
 
 def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws(":", F.least(a, b), F.greatest(a, b))
+
+
+def json_in_text(text: Column, schema: str) -> Column:
+    """The first JSON object in a text that may be fenced or surrounded by words; null if there is none."""
+    bare = F.regexp_replace(text, r"(?s)```(?:json)?", "")
+    return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema)
+
+
+def quarter_label_of(label: Column) -> Column:
+    """Qn yyyy from labels such as 2020Q1, Q1-2020, 1Q 2020 or 2020-03-31; the label itself where none fits."""
+    q, y = F.regexp_extract(label, r"(?i)(?:Q([1-4]))", 1), F.regexp_extract(label, r"((?:19|20)\d\d)", 1)
+    lead = F.regexp_extract(label, r"(?i)^([1-4])Q", 1)
+    day = F.try_to_date(F.regexp_extract(label, r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    n = F.when(lead != "", lead).when(q != "", q)
+    return F.when(n.isNotNull() & (y != ""), F.concat(F.lit("Q"), n, F.lit(" "), y)).when(day.isNotNull(), F.concat(F.lit("Q"), F.quarter(day).cast("string"), F.lit(" "), F.year(day).cast("string"))).otherwise(label)
+
+
+def any_of_query(terms: Column) -> Column:
+    """A query of alternatives: terms with blanks in quotes, joined by OR."""
+    return F.array_join(F.transform(terms, lambda t: F.when(t.contains(" "), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)), " OR ")
+
+
+def markdown_sections(text: Column) -> Column:
+    """Titles of the second-level headings of a Markdown text, in order."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^## +\S")), lambda x: F.trim(F.regexp_replace(x, r"^## +", "")))
+
+
+def bracket_pairs(text: Column) -> Column:
+    """(name, place) pairs from a run such as 'Name (Place) Name (Place)'."""
+    names = F.regexp_extract_all(text, F.lit(r"([^()]+)\(([^()]+)\)"), F.lit(1))
+    places = F.regexp_extract_all(text, F.lit(r"([^()]+)\(([^()]+)\)"), F.lit(2))
+    return F.transform(F.arrays_zip(names.alias("n"), places.alias("p")), lambda x: F.struct(F.trim(F.regexp_replace(x["n"], "^[,; ]+", "")).alias("name"), F.trim(x["p"]).alias("place")))

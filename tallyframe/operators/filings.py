@@ -162,3 +162,23 @@ def columnar_rows(wide: DataFrame, arrays: list[str], key: str) -> DataFrame:
     """Rows from parallel arrays: key, pos and one column per array."""
     out = wide.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "r"))
     return out.select(key, "pos", *[f"r.{a}" for a in arrays])
+
+
+# fixed values: patterns of amounts, rates and maturities in agreements
+AMOUNT, RATE, MATURITY = r"\$\s?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s+(?:million|billion))?", r"[0-9]+(?:\.[0-9]+)?\s?%", r"(?i)due\s+((?:19|20)[0-9]{2})"
+
+
+def instrument_terms(text: Column) -> Column:
+    """Struct of the first amount, rate and maturity year in a text (null where there is none)."""
+    first = lambda p, g: F.when(F.regexp_extract(text, p, g) != "", F.regexp_extract(text, p, g))
+    return F.struct(first(AMOUNT, 0).alias("amount"), first(RATE, 0).alias("rate"), first(MATURITY, 1).alias("maturity"))
+
+
+def period_scores(facts: DataFrame, keys: list[str], dims: str) -> DataFrame:
+    """Score of each period: 3 for a fact without dimensions, 1 for another."""
+    return facts.groupBy(*keys).agg(F.sum(F.when(F.col(dims) == 0, 3).otherwise(1)).alias("score"))
+
+
+def latest_annual_report(filings_: DataFrame, owner: str, form: str, filed: str, tie: str) -> DataFrame:
+    """The last annual report of each owner; amendments don't count."""
+    return keep.keep_last(filings_.where(F.upper(F.trim(form)).isin("10-K", "20-F", "40-F", "10-KT")), [owner], [filed, tie])

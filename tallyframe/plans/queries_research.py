@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions import keep, rules
-from tallyframe.operators import entities, research, search
+from tallyframe.functions import keep, rules, text as tx
+from tallyframe.operators import entities, filings, research, search
 from tallyframe.operators import statements as st
 from tallyframe.operators import application as app
 from tallyframe.plans.queries import query, r2, table
@@ -314,3 +314,65 @@ def dedup_08_merge_hits(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("snippet"), F.lit("c").alias("query"))
     b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws("+", "s_name", "s_name")).otherwise("s").alias("snippet"), F.lit("s").alias("query"))
     return search.merge_hits(a, b, "k")
+
+
+@query("""SELECT o_orderkey, 'Q' || quarter(o_orderdate)::VARCHAR || ' ' || year(o_orderdate)::VARCHAR AS label FROM orders""")
+def fn_d05_quarter_labels(spark, sf_dir):
+    y, q, k = F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string"), F.col("o_orderkey") % 4
+    label = F.when(k == 0, F.concat(y, F.lit("Q"), q)).when(k == 1, F.concat(q, F.lit("Q "), y)).when(k == 2, F.concat(F.lit("q"), q, F.lit("-"), y)).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.quarter_label_of(label).alias("label"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def fn_j03_json_in_text(spark, sf_dir):
+    text = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nthat is all"))
+    return table(spark, sf_dir, "events").select("event_id", tx.json_in_text(text, "k int")["k"].alias("k"))
+
+
+@query("""SELECT p_partkey, '"' || p_name || '" OR ' || p_type AS q FROM part""".replace("p_type AS q", "CASE WHEN contains(p_type, ' ') THEN '\"' || p_type || '\"' ELSE p_type END AS q"))
+def fn_s21_queries(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tx.any_of_query(F.array("p_name", "p_type")).alias("q"))
+
+
+@query("SELECT c_custkey, c_name AS n1, c_mktsegment AS p1, 'B' AS n2, 'NY' AS p2 FROM customer")
+def fn_s26_bracket_pairs(spark, sf_dir):
+    pairs = tx.bracket_pairs(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit("), B (NY)")))
+    at = lambda i, f: F.get(pairs, F.lit(i))[f]
+    return table(spark, sf_dir, "customer").select("c_custkey", at(0, "name").alias("n1"), at(0, "place").alias("p1"), at(1, "name").alias("n2"), at(1, "place").alias("p2"))
+
+
+@query("SELECT c_custkey, 2 AS n, c_mktsegment AS first FROM customer")
+def fn_s27_markdown_sections(spark, sf_dir):
+    s = tx.markdown_sections(F.concat(F.lit("# t\n## "), "c_mktsegment", F.lit("\ntext\n### x\n## End")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.size(s).alias("n"), F.get(s, F.lit(0)).alias("first"))
+
+
+@query("""SELECT p_partkey, '$' || p_size::VARCHAR || ' million' AS amount, '5.25%' AS rate, CASE WHEN p_size % 2 = 0 THEN '2030' END AS maturity FROM part""")
+def fn_s25_instrument_terms(spark, sf_dir):
+    text = F.concat(F.lit("Notes of $"), F.col("p_size").cast("string"), F.lit(" million at 5.25% "), F.when(F.col("p_size") % 2 == 0, "due 2030").otherwise("open"))
+    return table(spark, sf_dir, "part").withColumn("t", filings.instrument_terms(text)).select("p_partkey", "t.amount", "t.rate", "t.maturity")
+
+
+@query("SELECT l_orderkey, l_returnflag, sum(CASE WHEN l_linenumber = 1 THEN 3 ELSE 1 END)::BIGINT AS score FROM lineitem GROUP BY ALL")
+def agg_11_period_scores(spark, sf_dir):
+    return filings.period_scores(table(spark, sf_dir, "lineitem").withColumn("d", F.col("l_linenumber") - 1), ["l_orderkey", "l_returnflag"], "d")
+
+
+@query("""SELECT o_custkey, arg_max(o_orderkey, strftime(o_orderdate, '%Y%m%d') || lpad(o_orderkey::VARCHAR, 12, '0')) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def flt_22_latest_annual_report(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "10-k ").otherwise("10-K/A").alias("form"))
+    return filings.latest_annual_report(o, "o_custkey", "form", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, lower(o_orderpriority), o_orderkey) <= 2)")
+def topk_08_ranking_modes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return app.retain_newest(o, "o_custkey", [F.desc("o_totalprice"), F.lower("o_orderpriority"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("""WITH v AS (SELECT l_orderkey, sum(l_quantity) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
+SELECT l_orderkey, n - a - r AS gap, abs(n - a - r) <= greatest(1, 0.02 * abs(n)) AS passed FROM v WHERE n IS NOT NULL AND a IS NOT NULL AND r IS NOT NULL""")
+def val_04_06_relative_tolerance(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("role")).agg(F.sum("l_quantity").alias("value"))
+    total = v.where("role = 'N'").select("l_orderkey", F.greatest(F.lit(1.0), 0.02 * F.abs("value")).alias("tolerance"))
+    return st.check_equation(v, ["l_orderkey"], "role", "N", ["A", "R"]).join(total, "l_orderkey").select("l_orderkey", "gap", (F.abs("gap") <= F.col("tolerance")).alias("passed"))

@@ -90,8 +90,10 @@ def rank_chunks(chunks: DataFrame, query: DataFrame, key: str, words: str, boost
     1 + 12 / sqrt(80 + words) and the boost. query: term, qf (the terms of one query). Chunks without query terms
     score 0. Only query terms are exploded to rows, so hot words of the corpus aren't shuffled."""
     valued = chunks.withColumn("__n", F.size(words)).where("__n > 0")
-    idf = inverse_frequencies(valued, key, words).join(F.broadcast(query), "term")  # a query has few terms
+    n = valued.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"))  # one row
     tf = valued.select(key, F.explode(words).alias("term")).join(F.broadcast(query.select("term")), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).join(F.broadcast(query), "term")  # a query has few terms
+    idf = df.select("term", "qf", F.greatest(F.lit(0.2), F.log(1 + (F.col("n_chunks") + 1) / (F.col("df") + 1))).alias("idf"))
     score = tf.join(F.broadcast(idf), "term").groupBy(key).agg(F.sum(F.log1p("tf") * F.col("idf") * F.log1p("qf")).alias("__s"))
     out = valued.join(score, key, "left")
     value = F.coalesce("__s", F.lit(0.0)) * (1 + 12 / F.sqrt(80 + F.col("__n")))

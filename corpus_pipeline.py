@@ -6,8 +6,9 @@ folder and reads it again as the next stage's docs. All stages but the last retu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyframe.llm import line_dedup, mixing, near_dedup, packing, quality
 from tallyframe.llm.common import documents, materialize
@@ -25,13 +26,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A name for each row, ordered by id (rows without one last), then by hashes of the text and the other columns.
+    Only rows that are equal in all columns share one; without its last 16 characters it names the id and the text."""
+    hex16 = lambda c: F.lpad(F.hex(c), 16, "0")
+    own = F.col("doc_id").cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        shifted = F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")
+        own = F.lpad(shifted.cast("string"), 20, "0")  # signed numbers in the order of their digits
+    rest = F.to_json(F.struct(F.lit(0).alias("0"), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    named = F.coalesce(F.concat(F.lit("0"), own), F.lit("1"))
+    return F.concat(named, F.lit("\0"), hex16(F.xxhash64("text")), hex16(F.xxhash64(F.lit(1), "text")), hex16(F.xxhash64(rest)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id. Of rows that repeat an id one stays, and of rows
-    without an id one of each text."""
-    named = docs.where("doc_id is not null")
-    kept = near_dedup.near_groups(named).where("kept").select(F.col("key").alias("__kept")).distinct()
-    one = named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """One row of each group of near copies stays, the first by row_key: that of the least id, rows without an id last.
+    Texts are compared one by one, whatever ids they have. Of texts without words one of each id and text stays."""
+    rows = docs.withColumn("__row", row_key(docs))
+    kept = near_dedup.near_groups(rows, "__row").where("kept").groupBy(F.expr("left(key, length(key) - 16)")).agg(F.min("key").alias("__kept"))
+    kept = materialize(kept.select("__kept"), "near-kept")
+    one = rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"])
+    return one.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

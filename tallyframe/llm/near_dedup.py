@@ -111,7 +111,8 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, set_hash (128 bits), bands, signature (the low byte of each minimum); no bands for empty sets."""
+    """key, text_hash, n_shingles, set_hash (128 bits), bands, signature (the low byte of each minimum); no bands for
+    empty sets."""
     import xxhash
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,6 +126,7 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "key": part["key"].array,
+                        "text_hash": part["text_hash"].array,
                         "n_shingles": [len(s) for s in sets],
                         "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                         "bands": [of[i][0] if i in of else [] for i in range(len(sets))],
@@ -132,8 +134,8 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
                     }
                 )
 
-    given = docs.select(F.col(key).cast("string").alias("key"), utf8(F.col(text)).alias("body"))
-    out = given.mapInPandas(rows, "key string, n_shingles long, set_hash binary, bands array<long>, signature binary")
+    given = docs.select(F.col(key).cast("string").alias("key"), utf8(F.col(text)).alias("body"), F.xxhash64(utf8(F.col(text))).alias("text_hash"))
+    out = given.mapInPandas(rows, "key string, text_hash long, n_shingles long, set_hash binary, bands array<long>, signature binary")
     return out.withColumn("key", F.col("key").cast(docs.schema[key].dataType))
 
 
@@ -285,13 +287,15 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """key, n_shingles, component_id (the least id reachable by links) and kept (key = component_id), for each row.
 
     Null and empty texts and texts of white space have no shingles: they are linked with nothing and kept. Rows
-    without an id are linked with nothing, have a null component_id and are kept. Rows that repeat an id share its
-    fate if their texts are alike. Empty tables give no rows; other columns are not read.
+    without an id are linked with nothing, have a null component_id and are kept. A node is a set of shingles, named
+    by a 64-bit hash of it, so texts that share an id are linked each by its own words. Empty tables give no rows;
+    other columns are not read.
     """
     ship(docs.sparkSession)
     signed = materialize(sign(docs, key, text), "near-signatures")
     with_set = signed.where("n_shingles > 0 and key is not null")
-    nodes = materialize(with_set.groupBy("set_hash").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
+    nodes = with_set.groupBy("set_hash").agg(F.min(F.struct("key", "text_hash")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = materialize(nodes.select(F.xxhash64("set_hash").alias("rep"), "set_hash", F.col("of.key").alias("least"), F.col("of.text_hash").alias("text_hash"), "n_shingles", "bands", "signature"), "near-nodes")
     placed = nodes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
     members = materialize(placed.join(materialize(shared, "near-shared"), "bucket"), "near-members")
@@ -299,10 +303,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     scores = members.groupBy("rep").agg(F.sum("n").alias("score"))
     centers = members.join(scores, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("center"))
     members = materialize(members.join(materialize(centers, "near-centers"), "bucket"), "near-members")
-    wanted = members.select(F.col("rep").alias("wanted")).distinct()
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    # of repeated rows with one id, any whose text has the node's set will do: sets are taken once for each node
-    sets = shingle_sets(texts.join(wanted, F.col("key") == F.col("wanted"), "left_semi"), "key", "text")
+    wanted = nodes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least").alias("wanted"), F.col("text_hash").alias("wanted_hash"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(utf8(F.col(text))).alias("text_hash"))
+    # the text of a node's least id; of rows that repeat both any will do
+    of_node = texts.join(wanted, (F.col("key") == F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
+    sets = shingle_sets(of_node, "rep", "text")
     sets = materialize(sets.where(F.size("shingles") > 0).dropDuplicates(["key"]), "near-sets")
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(confirm(stars, sets, percent), "near-links")
@@ -311,7 +316,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     more = materialize(missing_links(rooted, nodes, sets, percent), "near-links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    roots = nodes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("of"), F.coalesce("root", "rep").alias("root"))
+    ids = nodes.select(F.col("rep").alias("node"), "least")
+    least = materialize(labels.join(ids, "node").groupBy("root").agg(F.min("least").alias("component")), "near-least")
+    named = labels.join(least, "root").select(F.col("node").alias("rep"), "component")
+    roots = nodes.join(named, "rep", "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "least").alias("root"))
     out = signed.join(roots, (F.col("set_hash") == F.col("of")) & F.col("key").isNotNull(), "left")
     component = F.coalesce("root", "key")
     return out.select("key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

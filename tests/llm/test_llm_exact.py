@@ -157,6 +157,16 @@ def test_rows_without_ids(spark):
     assert out == [(-1, -1, True), (1, 1, True), (2, 1, False), (2, 1, False)]
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text of a repeated id is linked by its own words: 4 and 6 are near one text of 5, 7 near another."""
+    rng = random.Random(6)
+    a, b, c = (sentences(rng, 60).split() for _ in range(3))
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), (6, near(a, "x")), (4, near(a, "y")), (7, near(b, "z"))]
+    out = sorted((r.key, r.component_id, r.kept) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(4, 4, True), (5, 4, False), (5, 5, True), (5, 5, True), (6, 4, False), (7, 5, False)]
+
+
 # --- mixing ---
 
 def test_targets():

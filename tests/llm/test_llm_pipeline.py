@@ -74,3 +74,23 @@ def brute_lines_of(texts: dict[int, str]) -> dict[int, str]:
     ids = sorted(texts)
     out = brute_lines([texts[i] for i in ids])
     return {i: out[n][2] for n, i in enumerate(ids)}
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """A repeated id loses copies only, and near copies without ids go too; the rows' order doesn't matter."""
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join(f"word{rng.randrange(60)}" for _ in range(80)) for _ in range(5))
+    near = lambda t, x: f"{t} {x}"
+    rows = [(5, a, "s0"), (5, a, "s1"), (5, b, "s0"), (5, near(b, "x"), "s0"), (-7, near(a, "y"), "s1"), (10, c, "s0"), (None, c, "s0"), (None, d, "s0"), (None, near(d, "z"), "s0"), (None, near(d, "z"), "s0"), (5, e, None), (5, "", "s0"), (5, "", "s0"), (6, "", "s0"), (None, None, "s0")]
+    seen = set()
+    for _ in range(2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        out = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        seen.add(frozenset(out))
+        assert len(out) == len(set(out))
+    (out,) = seen
+    assert {x for x in out if not x[1]} == {(5, "", "s0"), (6, "", "s0"), (None, None, "s0")}
+    full = {x for x in out if x[1]}
+    assert {(-7, near(a, "y"), "s1"), (10, c, "s0"), (5, e, None)} <= full and len(full) == 5
+    assert len(full & {(5, b, "s0"), (5, near(b, "x"), "s0")}) == 1 and len(full & {(None, d, "s0"), (None, near(d, "z"), "s0")}) == 1

@@ -114,11 +114,11 @@ def merge_fieldwise(old: DataFrame, new: DataFrame, key: str, scalars: list[str]
 
 def recommend_sources(profile: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """Sources for each profile: those of one of its states or of none. profile: key, states; sources: source, state,
-    priority. Joins by state; sources without a state are few and broadcast."""
-    each = profile.select(key, F.explode(F.array_distinct("states")).alias("state"))
-    own = each.join(sources.where("state is not null"), "state").select(key, "source", "priority")
-    general = profile.select(key).join(F.broadcast(sources.where("state is null").select("source", "priority").limit(1000)))
-    return own.union(general).groupBy(key, "source").agg(F.min("priority").alias("priority"))
+    priority. One null-safe equi-join: each profile's states and a null, which meets the sources without a state."""
+    states = F.array_union(F.coalesce("states", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    each = profile.select(key, F.explode(states).alias("__state"))
+    own = each.join(sources, F.col("__state").eqNullSafe(F.col("state")))
+    return own.groupBy(key, "source").agg(F.min("priority").alias("priority"))
 
 
 def pivot_series(records: DataFrame, label: str, metrics: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import keep, periods, text as tx
 from tallyframe.operators import application as app
-from tallyframe.operators import corpus, entities, filings, search
+from tallyframe.operators import corpus, entities, filings, research, search
 
 
 def one(spark, column, **values):
@@ -106,3 +106,11 @@ def test_universe(spark):
     m = spark.createDataFrame([("a", 50.0, ["y"]), ("b", 50.0, ["y"]), ("c", 5.0, ["z"])], "k string, score double, categories array<string>")
     out = {r.k: (r.score, r.action) for r in entities.merge_universe(u, m, "k").collect()}
     assert out == {"a": (10.0, "skipped"), "b": (50.0, "updated"), "c": (5.0, "created")}
+
+
+def test_all_sources_without_a_state_are_recommended(spark):
+    sources = [(i, None, 1) for i in range(1200)] + [(1200, "x", 2), (1201, "y", 3), (1202, "x", 4)]
+    profiles = [(1, ["x", "x"]), (2, ["y", None]), (3, []), (4, None)]
+    df = spark.createDataFrame(profiles, "k int, states array<string>"), spark.createDataFrame(sources, "source int, state string, priority int")
+    got = {(r.k, r.source, r.priority) for r in research.recommend_sources(*df, "k").collect()}
+    assert got == {(k, s, p) for k, states in profiles for s, state, p in sources if state is None or state in (states or [])}

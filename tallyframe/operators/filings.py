@@ -104,11 +104,14 @@ def carry_heading(lines: DataFrame, doc: str, pos: str, heading: str) -> DataFra
 
 
 def reconcile_footnotes(notes: DataFrame, instruments: DataFrame) -> DataFrame:
-    """The best instrument for each note: common words over the smaller set, and 0.25 and 0.2 more for the amount and
-    the maturity, at most 1; under 0.25 no match, under 0.45 weak.
-
-    notes: note, description, amount, maturity; instruments: pos, name, principal, due. Only pairs with a common word,
-    amount or maturity can reach 0.2, so candidates come from joins on those, not from all pairs."""
+    """The best instrument of all for each note: common words over the smaller set, and 0.25 and 0.2 more for the
+    amount (the principal's first four digits, or fewer if it has fewer, in the note's) and the maturity (the due date's
+    first four characters), at most 1; under 0.25 no match, under 0.45 weak. Of equals the first instrument.
+
+    notes: note, description, amount, maturity; instruments: pos, name, principal, due. Pairs with a common word come
+    from a join on words. A pair without one scores 0.45, 0.25 or 0.2 by amount and maturity, so of all instruments
+    with one amount, one maturity or one of both only the first can win: those firsts are joined to the parts of the
+    notes' amounts and maturities. Where that first has common words too, the join on words gives its higher score."""
     words = lambda c: F.array_distinct(F.filter(F.split(tx.match_title(F.coalesce(c, F.lit(""))), " "), lambda w: F.length(w) > 3))
     digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
     n = notes.select("note", words(F.col("description")).alias("nw"), digits(F.col("amount")).alias("na"), F.coalesce("maturity", F.lit("")).alias("nm"))
@@ -116,8 +119,15 @@ def reconcile_footnotes(notes: DataFrame, instruments: DataFrame) -> DataFrame:
     by_word = n.select("note", F.explode("nw").alias("w")).join(i.select("pos", F.explode("iw").alias("w")), "w").groupBy("note", "pos").agg(F.count("*").alias("common"))
     out = by_word.join(n, "note").join(i, "pos")
     score = F.col("common") / F.least(F.size("nw"), F.size("iw"))
-    score = score + F.when((F.length("ia") == 4) & F.col("na").contains(F.col("ia")), 0.25).otherwise(0.0) + F.when((F.length("im") == 4) & F.col("nm").contains(F.col("im")), 0.2).otherwise(0.0)
-    scored = out.withColumn("score", F.least(F.lit(1.0), score))
+    score = score + F.when((F.col("ia") != "") & F.col("na").contains(F.col("ia")), 0.25).otherwise(0.0) + F.when((F.col("im") != "") & F.col("nm").contains(F.col("im")), 0.2).otherwise(0.0)
+    scored = out.select("note", "pos", "name", F.least(F.lit(1.0), score).alias("score"))
+    # every part of one to four characters
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda at: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring(c, at, k)))))
+    amounts, maturities = (n.select("note", "nm", F.explode(parts(F.col("na"))).alias("ia")), n.select("note", F.explode(parts(F.col("nm"))).alias("im")))
+    both = amounts.select("note", "ia", F.explode(parts(F.col("nm"))).alias("im"))
+    for wanted, on, points in ((both, ["ia", "im"], 0.45), (amounts, ["ia"], 0.25), (maturities, ["im"], 0.2)):
+        first = i.where(" and ".join(f"{c} <> ''" for c in on)).groupBy(*on).agg(F.min(F.struct("pos", "name")).alias("f"))
+        scored = scored.unionByName(wanted.join(first, on).select("note", "f.pos", "f.name", F.lit(points).cast("double").alias("score")))
     best = scored.groupBy("note").agg(F.max_by(F.struct("pos", "name", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("b"))
     joined = n.select("note").join(best, "note", "left").select("note", "b.pos", "b.name", F.coalesce("b.score", F.lit(0.0)).alias("score"))
     status = F.when(F.col("score") < 0.25, "none").when(F.col("score") < 0.45, "weak").otherwise("match")

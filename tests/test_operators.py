@@ -114,3 +114,26 @@ def test_all_sources_without_a_state_are_recommended(spark):
     df = spark.createDataFrame(profiles, "k int, states array<string>"), spark.createDataFrame(sources, "source int, state string, priority int")
     got = {(r.k, r.source, r.priority) for r in research.recommend_sources(*df, "k").collect()}
     assert got == {(k, s, p) for k, states in profiles for s, state, p in sources if state is None or state in (states or [])}
+
+
+def test_footnotes_against_all_pairs(spark):
+    """Amounts and maturities count without a common word, and principals of fewer than four digits too."""
+    names, amounts, dates = ["Senior notes", "Term loan", "zzzz", "", None], ["500", "1,250", "7", "12505000", None], ["2030-06-01", "2027", "", None]
+    notes = [(i * 10 + j, names[i % 5], amounts[j % 5], dates[(i + j) % 4]) for i in range(5) for j in range(5)]
+    inst = [(0, "Revolver", "500", "2031"), (1, "Debenture", "1250", "2030"), (2, "Senior bond", "99", "2027"), (3, "Facility", "50007", None), (4, "Debenture", "500", "2030"), (5, "Term loan", None, "2030-06"), (6, "None of these", "n/a", "")]
+    words = lambda t: {w for w in (t or "").lower().split() if len(w) > 3}
+    digits = lambda t: "".join(c for c in t or "" if c.isdigit())
+    want = {}
+    for k, d, a, m in notes:
+        best = (0.0, 0)
+        for pos, name, p, due in inst:
+            x, y, ia, im = words(d), words(name), digits(p)[:4], (due or "")[:4]
+            s = len(x & y) / min(len(x), len(y)) if x and y else 0.0
+            s = min(1.0, s + (0.25 if ia and ia in digits(a) else 0) + (0.2 if im and im in (m or "") else 0))
+            best = max(best, (s, -pos)) if s else best
+        want[k] = (-best[1] if best[0] >= 0.25 else None, round(best[0], 9), "none" if best[0] < 0.25 else "weak" if best[0] < 0.45 else "match")
+    n = spark.createDataFrame(notes, "note int, description string, amount string, maturity string")
+    i = spark.createDataFrame(inst, "pos int, name string, principal string, due string")
+    got = {r.note: (r.pos, round(r.score, 9), r.status) for r in filings.reconcile_footnotes(n, i).collect()}
+    assert got == want
+    assert {"match", "weak", "none"} == {x[2] for x in want.values()}

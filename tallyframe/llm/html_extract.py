@@ -3,7 +3,8 @@
 The standard library's parser streams events; block elements end lines. Each line has a ratio of its characters to
 its tags; ratios are smoothed with a Gaussian, and a threshold between their two clusters says which lines are
 content. Content lines vote for regions (the elements around them); from the chosen region every line stays, short
-ones too. Lines inside elements that can't be main text (menus, forms, notices ...) have no vote and never stay.
+ones too. Lines inside elements that can't be main text (menus, forms, notices ...) have no vote and never stay. A
+class or id that says so removes its element only if that isn't a wrapper of the page's content.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SIGMA, RADIUS = 1.0, 3
 SHARE = 0.8
 #: A second article on a page is main text if it has at least this share of the largest one's content.
 SECOND = 0.5
+#: Lines beside the region with most content stay if more than this share of their characters is like content.
+BESIDE = 0.75
 #: A form with a line of so many characters and most of the content is a wrapper of the page.
 WRAPPED = 80
 
@@ -37,6 +40,9 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist respond "
     "replies disqus share sharing social related recommended widget toolbar skip".split()
 )
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = ("h1", "h2", "h3")
+RIGHTS = re.compile(r"©|(?i:\bcopyright\b|all rights reserved)")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -48,6 +54,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, str]] = [("", 0, "")]  # tag, region, why it is left out
         self.parent = [-1]
         self.kind = [""]
+        self.marked: set[int] = set()  # regions whose class or id says that they aren't main text
         self.text: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int]] = []
@@ -86,6 +93,9 @@ class _Lines(HTMLParser):
             self.parent.append(region)
             self.kind.append(tag)
             region = len(self.parent) - 1
+            if out == "mark":
+                self.marked.add(region)
+                out = ""
         self.stack.append((tag, region, why or out))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -97,7 +107,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                if tag not in INLINE or self.stack[i][2] != self.stack[i - 1][2]:
+                if tag not in INLINE or self.stack[i][1:] != self.stack[i - 1][1:]:
                     self.end_line()
                 elif any(t not in INLINE for t, _, _ in self.stack[i + 1 :]):
                     return  # an inline element doesn't close the blocks inside it
@@ -134,6 +144,8 @@ class _Lines(HTMLParser):
         if tag in ("article", "main"):
             return "mark" if {"comment", "comments"} & {*_SPLIT.split((attrs.get("class") or "").lower())} else ""
         named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        if tag in TEXT:  # a heading or paragraph is named by its topic: all words of a name must be marks
+            return "mark" if any(MARKS.issuperset(w) for x in named.lower().split() if (w := [y for y in _SPLIT.split(x) if y])) else ""
         return "mark" if named != " " and not MARKS.isdisjoint(_SPLIT.split(named.lower())) else ""
 
 
@@ -156,28 +168,51 @@ def threshold(x: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
+def _scored(lines: list[tuple[str, int, int]], parent: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The votes of each line, and of each region the votes, the characters and the longest line."""
+    chars = np.array([len(t) for t, _, _ in lines], dtype=float)
+    ratio = smooth(chars / np.maximum(1, [n for _, n, _ in lines]))
+    content = chars * (ratio >= threshold(ratio))
+    regions = np.array([r for _, _, r in lines])
+    votes, size, longest = np.zeros(len(parent)), np.zeros(len(parent)), np.zeros(len(parent))
+    np.add.at(votes, regions, content)
+    np.add.at(size, regions, chars)
+    np.maximum.at(longest, regions, chars)
+    for r in range(len(parent) - 1, 0, -1):
+        votes[parent[r]] += votes[r]
+        size[parent[r]] += size[r]
+        longest[parent[r]] = max(longest[parent[r]], longest[r])
+    return content, votes, size, longest
+
+
+def _unmarked(p: _Lines) -> list[tuple[str, int, int]]:
+    """The lines outside marked regions, with the tags of those left out before them. A marked region stays if it has
+    most of the page's content and a long line, or an article or main with most of it."""
+    if not p.marked or not p.lines:
+        return p.lines
+    _, votes, _, longest = _scored(p.lines, p.parent)
+    big = votes >= SHARE * votes[0]
+    inside = {a for r, k in enumerate(p.kind) if k in ("article", "main") and big[r] and r not in p.marked for a in _above(p.parent, r)}
+    gone = {r for r in p.marked if not (r in inside or (big[r] and longest[r] >= WRAPPED))}
+    out, tags = [], 0
+    for text, n, r in p.lines:
+        tags += n
+        if r not in gone and not any(a in gone for a in _above(p.parent, r)):
+            out.append((text, tags, r))
+            tags = 0
+    return out
+
+
 def main_text(html: str | None) -> str:
     p = _Lines()
     p.feed(html or "")
     p.close()
     p.end_line()
-    if not p.lines:
+    lines = _unmarked(p)
+    if not lines:
         return ""
-    chars = np.array([len(t) for t, _, _ in p.lines], dtype=float)
-    ratio = smooth(chars / np.maximum(1, [n for _, n, _ in p.lines]))
-    content = chars * (ratio >= threshold(ratio))
-    regions = np.array([r for _, _, r in p.lines])
-    votes, size = np.zeros(len(p.parent)), np.zeros(len(p.parent))
-    np.add.at(votes, regions, content)
-    np.add.at(size, regions, chars)
-    for r in range(len(p.parent) - 1, 0, -1):
-        votes[p.parent[r]] += votes[r]
-        size[p.parent[r]] += size[r]
+    content, votes, size, longest = _scored(lines, p.parent)
     # a form is left out, unless it is a wrapper of the whole page
-    longest = np.zeros(len(p.parent))
-    np.maximum.at(longest, regions, chars)
-    for r in range(len(p.parent) - 1, 0, -1):
-        longest[p.parent[r]] = max(longest[p.parent[r]], longest[r])
     forms = {r for r, k in enumerate(p.kind) if k == "form" and not (votes[r] >= SHARE * votes[0] and longest[r] >= WRAPPED)}
     free = lambda r: r not in forms and not any(a in forms for a in _above(p.parent, r))
     named = [r for r, k in enumerate(p.kind) if free(r) and k in ("article", "main") and size[r]]
@@ -189,13 +224,30 @@ def main_text(html: str | None) -> str:
     else:
         # the innermost region with most of what is content
         chosen, whole = {0}, votes[0]
+        good, total = np.zeros(len(p.parent)), np.zeros(len(p.parent))
+        least = min(len(t) / max(1, n) for (t, n, _), c in zip(lines, content) if c)
+        for (t, n, r), c in zip(lines, content):
+            if free(r):
+                good[r] += len(t) if (c or len(t) / max(1, n) >= least or p.kind[r] in HEADINGS) and not RIGHTS.search(t) else 0
+                total[r] += len(t)
+        for r in range(len(p.parent) - 1, 0, -1):
+            good[p.parent[r]] += good[r]
+            total[p.parent[r]] += total[r]
         while True:
             children = [r for r, a in enumerate(p.parent) if a in chosen and votes[r] >= SHARE * whole]
             if not children or p.kind[children[0]] not in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center", "form"):
                 break
+            here, child = min(chosen), children[0]
+            # lines beside the child stay if most of their characters are like content or headings
+            if good[here] - good[child] > BESIDE * (total[here] - total[child]):
+                break
             chosen = {children[0]}
-    keep = [free(r) and (r in chosen or any(a in chosen for a in _above(p.parent, r))) for r in range(len(p.parent))]
-    return "\n".join(t for t, _, r in p.lines if keep[r])
+    keep = [free(r) and _within(p.parent, r, chosen) for r in range(len(p.parent))]
+    return "\n".join(t for t, _, r in lines if keep[r])
+
+
+def _within(parent: list[int], r: int, chosen: set[int]) -> bool:
+    return r in chosen or any(a in chosen for a in _above(parent, r))
 
 
 def _above(parent: list[int], r: int) -> Iterator[int]:

@@ -18,6 +18,22 @@ PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>"
 <section id="comments"><p>A reader says a very long thing that is not part of the article at all, on and on and on.</p></section><footer>Imprint</footer></body></html>"""
 
 
+def test_main_text_in_wrappers_and_beside_the_largest_block():
+    long = [f"Sentence {i} of the text is long enough to be taken for content, with many more words in it." for i in range(10)]
+    body, menu = "".join(f"<p>{x}</p>" for x in long), "<ul class='menu'><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>"
+    text = "\n".join(long)
+    for page in (
+        f"<body><div class='layout has-sidebar'>{menu}<article>{body}</article><div class='sidebar'><p>{long[0]}</p></div></div></body>",
+        f"<body><div id='page' class='menu-open'>{menu}<div>{body}</div></div></body>",
+        f"<body><div>{menu}</div><div class='related'><p>{long[0]}</p></div><article>{body}</article></body>",
+    ):
+        assert html_extract.main_text(page) == text
+    named = f"<article>{body}<h2 id='related-work'>Related work</h2><p class='share-price'>The share price rose.</p><p class='share'>Share this</p></article>"
+    assert html_extract.main_text(named) == f"{text}\nRelated work\nThe share price rose."
+    split = f"<body>{menu}<div><h1>The title</h1><div class='intro'>{long[0]}</div><div class='text'>{body}</div></div></body>"
+    assert html_extract.main_text(split) == f"The title\n{long[0]}\n{text}"
+
+
 def test_main_text():
     assert html_extract.main_text(PAGE) == "The title\nFirst & bold paragraph that is long enough to be content for sure, with many words.\nOne item\nTwo item\nSecond paragraph, also of some length, ends the article."
 

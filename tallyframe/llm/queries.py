@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
-from tallyframe.llm.common import documents, utf8
+from tallyframe.llm.common import documents, materialize, utf8
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +56,16 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.dedup_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    """Passages are measured in bytes for what is removed; n_repeated_words counts the words in passages of more than
+    50 words that start elsewhere too, which can be shorter in bytes or differ in white space."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    words = materialize(suffix_dedup.repeated_words(docs), "suffix-repeated").toDF("k", "h", "words")
+    out = suffix_dedup.dedup_passages(docs)
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
-    return out.select(F.col("key").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = out.select("key", "text_hash", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    both = out.join(words, F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
+    n_words = F.coalesce("words", F.lit(0).cast("long"))
+    return both.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", n_words.alias("n_repeated_words"), (n_words > 0).cast("int").alias("repeats_passage"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

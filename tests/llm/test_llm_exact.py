@@ -329,6 +329,29 @@ def test_passages(spark, monkeypatch, shard, hot, bucket):
     assert suffix_dedup.dedup_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_in_words(spark):
+    """Copies differ in white space only; a passage of one word less than asked for doesn't count."""
+    rng = random.Random(18)
+    vocabulary = [f"w{i}" for i in range(500)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common = [words(n) for n in (11, 12, 15, 30)]
+    texts = [[], ["one"], common[0], ["x"] * 40]
+    for _ in range(60):
+        t = words(rng.randrange(30))
+        for _ in range(rng.randrange(3)):
+            t = t + rng.choice(common) + words(rng.randrange(10))
+        texts.append(t)
+    df = docs(spark, [None] + [rng.choice([" ", "\n", "  "]).join(t) for t in texts])
+    got = {r.key - 1: r.n_repeated_words for r in suffix_dedup.repeated_words(df, words=12, gram=4).collect()}
+    count = Counter(tuple(t[i : i + 12]) for t in texts for i in range(len(t) - 11))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = {j for i in range(len(t) - 11) if count[tuple(t[i : i + 12])] > 1 for j in range(i, i + 12)}
+        if gone:
+            want[k] = len(gone)
+    assert got == want
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(10)
     for data in (b"", b"a", b"aaaaaaaaaaaaaaaaaaaa", b"\0\0\0\0\0\0\0\0\0\0\0", b"banana" * 5, bytes(rng.choice(b"ab\0") for _ in range(300))):
@@ -341,6 +364,14 @@ def test_suffix_array_and_prefixes():
             a, b = data[want[k - 1] :], data[want[k] :]
             n = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
             assert lcp[k] == n
+    for values in ([], [7], [0, 0, 0], [1, 1 << 31, 1, 1 << 31, 0], [rng.randrange(3) << 20 for _ in range(200)]):
+        x = np.array(values, dtype="<u4")
+        sa, rank = suffix_dedup.suffix_array(x)
+        assert sa.tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+        lcp = suffix_dedup.common_prefixes(x, sa, rank).tolist()
+        for k in range(1, len(values)):
+            a, b = values[sa[k - 1] :], values[sa[k] :]
+            assert lcp[k] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
 
 
 # --- quality ---

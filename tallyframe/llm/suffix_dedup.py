@@ -84,41 +84,63 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchored_twice(hashes: np.ndarray, least: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, span: int) -> np.ndarray:
-    """For each run of windows whether its anchor starts at two places or more inside it, so that it may repeat itself."""
+def anchored_twice(hashes: np.ndarray, least: np.ndarray, anchors: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, span: int) -> np.ndarray:
+    """For each run of windows whether its anchor starts at two places or more inside it, so that it may repeat itself.
+    least: the anchor of each window, 0 for those that don't count."""
     around = np.concatenate([np.zeros(span, dtype=np.uint64), least, np.zeros(span, dtype=np.uint64)])
-    places = np.flatnonzero(~sliding_min(~around, span + 1) == hashes)  # the anchors of some window
-    values, counts = np.unique(hashes[places], return_counts=True)
-    out = np.zeros(len(firsts), dtype=bool)
-    for v in values[counts > 1]:
-        own = places[hashes[places] == v]
-        runs = np.flatnonzero(least[firsts] == v)
-        out[runs] = np.searchsorted(own, lasts[runs] + span, side="right") - np.searchsorted(own, firsts[runs]) > 1
-    return out
+    places = np.flatnonzero(~sliding_min(~around, span + 1)[: len(hashes)] == hashes)  # the anchors of some window
+    values, code = np.unique(hashes[places], return_inverse=True)
+    at = np.sort(code * len(hashes) + places)
+    own = np.searchsorted(values, anchors) * len(hashes)
+    return np.searchsorted(at, own + lasts + span, side="right") - np.searchsorted(at, own + firsts) > 1
 
 
-def contexts(body: bytes, length: int = LENGTH, gram: int = GRAM, width: int = 1) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one anchor: anchor, digest of the bytes of the run's windows, first and last start
-    (in units), and 1 if the anchor is found twice in the run."""
+def contexts_of(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM, width: int = 1) -> tuple[np.ndarray, ...]:
+    """Runs of window starts with one anchor, for several texts at once: the number of the text (ascending), anchor,
+    digest of the bytes of the run's windows, first and last start (in units), and 1 if the anchor is found twice."""
     import xxhash
 
-    found: list[list[np.ndarray]] = [[], [], [], [], []]
-    view, whole = memoryview(body), units(body, width)
-    for at in range(0, len(whole) - length + 1, BLOCK):
-        b = whole[at : at + BLOCK + length - 1]
+    found: list[list[np.ndarray]] = [[], [], [], [], [], []]
+
+    def runs(group: list[tuple[int, int, np.ndarray]]) -> None:
+        b = np.concatenate([x for _, _, x in group])
+        sizes = np.array([len(x) for _, _, x in group])
+        base, n = np.cumsum(sizes) - sizes, sizes - length + 1
+        piece = np.repeat(np.arange(len(group)), n)
+        at = np.arange(n.sum()) + np.repeat(base - (np.cumsum(n) - n), n)  # the windows that lie in one text
         hashes = gram_hashes(b, gram)
-        least = sliding_min(hashes, length - gram + 1)
-        cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
-        starts = np.concatenate([[0], cuts])
-        if len(starts) * RUN < len(least) or np.diff(starts, append=len(least)).max() > RUN:
-            starts = np.concatenate([np.arange(s, e, RUN) for s, e in zip(starts, [*cuts, len(least)])])
-        lasts = np.append(starts[1:], len(least)) - 1
-        found[0].append(least[starts].view(np.int64))
-        found[1].append(np.array([xxhash.xxh3_64_intdigest(view[(at + s) * width : (at + e + length) * width]) for s, e in zip(starts.tolist(), lasts.tolist())], dtype=np.uint64).view(np.int64))
-        found[2].append(starts + at)
-        found[3].append(lasts + at)
-        found[4].append(anchored_twice(hashes, least, starts, lasts, length - gram))
-    return tuple(np.concatenate(x).astype(np.int64) if x else np.empty(0, dtype=np.int64) for x in found)
+        every = sliding_min(hashes, length - gram + 1)
+        least = np.zeros(len(every), dtype=np.uint64)
+        least[at] = every[at]
+        own = every[at]
+        starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (piece[1:] != piece[:-1])]))
+        ends = np.append(starts[1:], len(at))
+        if (ends - starts).max() > RUN:
+            cuts = [np.arange(s, e, RUN) for s, e in zip(starts.tolist(), ends.tolist())]
+            starts = np.concatenate(cuts)
+            ends = np.append(starts[1:], len(at))
+        first, last, view = at[starts], at[ends - 1], memoryview(b).cast("B")
+        digest = np.array([xxhash.xxh3_64_intdigest(view[s * width : (e + length) * width]) for s, e in zip(first.tolist(), last.tolist())], dtype=np.uint64)
+        of = piece[starts]
+        text, offset = (np.array([g[i] for g in group])[of] for i in (0, 1))
+        twice = anchored_twice(hashes, least, own[starts], first, last, length - gram)
+        shift = offset - base[of]
+        for kept, x in zip(found, (text, own[starts].view(np.int64), digest.view(np.int64), first + shift, last + shift, twice)):
+            kept.append(x.astype(np.int64))
+
+    group: list[tuple[int, int, np.ndarray]] = []
+    held = 0
+    for i, body in enumerate(bodies):
+        whole = units(body, width)
+        for at in range(0, len(whole) - length + 1, BLOCK):
+            group.append((i, at, whole[at : at + BLOCK + length - 1]))
+            held += len(group[-1][2])
+            if held > BLOCK:
+                runs(group)
+                group, held = [], 0
+    if group:
+        runs(group)
+    return tuple(np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in found)
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
@@ -243,8 +265,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, widt
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                found = [contexts(b, length, gram, width) for b in part["body"]]
-                yield pd.DataFrame({"key": part["key"].array, "text_hash": part["text_hash"].array, **{c: [f[i] for f in found] for i, c in enumerate(("anchor", "digest", "first", "last", "twice"))}})
+                text, *found = contexts_of(list(part["body"]), length, gram, width)
+                cuts = np.searchsorted(text, np.arange(1, len(part)))
+                names = ("anchor", "digest", "first", "last", "twice")
+                yield pd.DataFrame({"key": part["key"].array, "text_hash": part["text_hash"].array, **{c: np.split(f, cuts) for c, f in zip(names, found)}})
 
     long_enough = rows.where(F.octet_length("body") >= length * width).withColumn("key", F.col("key").cast("string"))
     placed = long_enough.mapInPandas(anchors, "key string, text_hash long, anchor array<long>, digest array<long>, first array<long>, last array<long>, twice array<long>")

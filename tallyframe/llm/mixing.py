@@ -9,6 +9,7 @@ per hash range pass through the driver.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,10 @@ from tallyframe.llm.common import materialize
 
 MAX_REPEATS = 3
 SEED = 20_240_501
-N_RANGES = 4096
+#: Rows per range of the seeded order, about; ranges are hash prefixes of 12 to 24 bits.
+RANGE_ROWS = 100_000
+#: The flow is solved on the driver and its plan is broadcast: more membership patterns than this are an error.
+MAX_PATTERNS = 10_000
 FILL_ROUNDS = 4
 
 
@@ -112,15 +116,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     empty array is the null source alone). Returns key, size, members, pattern_target (what the flow takes of the
     document's pattern), taken (a multiple of size, at most most times it) and quotas (map from source, null as
     the key of its own column null_quota). An empty table gives no rows; documents of size 0 take 0. Repeated rows
-    are rows of their own; if one cut would fall between equal rows, their order doesn't matter to the sums.
+    are rows of their own, each taken at most most times; equal rows are interchangeable, so which of them is repeated
+    once more is left open. Other columns are not read. More than MAX_PATTERNS patterns raise ValueError.
     """
     spark = docs.sparkSession
     alone = F.array(F.lit(None).cast("string"))
     pattern = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(members), F.lit(0)) < 1, alone).otherwise(F.col(members))))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), pattern.alias("members"))
-    rows = rows.withColumn("rank", F.xxhash64(F.lit(seed), "key", "size"))
-    rows = materialize(rows.withColumn("range", F.shiftrightunsigned("rank", 52).cast("int")), "mix-rows")
-    found = {tuple(r.members): r.s for r in rows.groupBy("members").agg(F.sum("size").alias("s")).collect()}
+    # row: names a row once it is written; only equal rows are told apart by it
+    rows = materialize(rows.withColumn("rank", F.xxhash64(F.lit(seed), "key", "size")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    sums = rows.groupBy("members").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    if len(sums) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = {tuple(r.members): r.s for r in sums}
+    bits = min(24, max(12, math.ceil(math.log2(max(1, sum(r.n for r in sums)) / RANGE_ROWS))))
+    rows = rows.withColumn("range", F.shiftrightunsigned("rank", 64 - bits).cast("int"))
     sources: dict = {}
     for p, s in found.items():
         for x in p:
@@ -144,25 +154,41 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     bounds = spark.createDataFrame([(p, given, whole, rest, *cut.get(tuple(p), (0, 0))) for p, given, whole, rest in plan], bound_type)
     rows = rows.join(F.broadcast(bounds), rows["members"].eqNullSafe(bounds["m"])).drop("m")
     inside = rows.where(F.col("range") == F.col("cut"))
-    upto = F.sum("size").over(Window.partitionBy("members").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = inside.withColumn("extra", (F.col("below") + upto <= F.col("rest")).cast("int"))
+    # in the range of the cut, equal rows are one class with a count, however many they are
+    classes = inside.groupBy("members", "rank", "key", "size").agg(F.count("*").alias("n"), F.first("below").alias("below"), F.first("rest").alias("rest"))
+    before = F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("members").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1))
+    room = F.col("rest") - F.col("below") - F.coalesce(before, F.lit(0))
+    fit = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.floor(room / F.col("size")))).otherwise(0)
+    classes = classes.select(*[F.col(c).alias(f"c_{c}") for c in ("members", "rank", "key", "size", "n")], F.least("n", fit).cast("long").alias("fit"))
+    own = (F.col("members").eqNullSafe(F.col("c_members"))) & (F.col("rank") == F.col("c_rank")) & F.col("key").eqNullSafe(F.col("c_key")) & (F.col("size") == F.col("c_size"))
+    classes = materialize(classes, "mix-classes")  # read anew, so that the rows of a class of very many can be split
+    inside = inside.join(classes, own).withColumn("part", F.shiftright("row", 33))
+    # where a class is cut, its rows are counted by the part of the table that they lie in, then inside one part
+    split = inside.where("fit > 0 and fit < c_n")
+    parts = split.groupBy("members", "rank", "key", "size", "part").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("members", "rank", "key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = materialize(parts.select(*[F.col(c).alias(f"p_{c}") for c in ("members", "rank", "key", "size", "part")], F.coalesce(earlier, F.lit(0)).alias("earlier")), "mix-parts")
+    mine = (F.col("members").eqNullSafe(F.col("p_members"))) & (F.col("rank") == F.col("p_rank")) & F.col("key").eqNullSafe(F.col("p_key")) & (F.col("size") == F.col("p_size")) & (F.col("part") == F.col("p_part"))
+    nth = F.col("earlier") + F.row_number().over(Window.partitionBy("members", "rank", "key", "size", "part").orderBy("row"))
+    split = split.join(parts, mine).withColumn("extra", (nth <= F.col("fit")).cast("int"))
+    even = inside.where("fit = 0 or fit = c_n").withColumn("extra", (F.col("fit") > 0).cast("int"))
     outside = rows.where(F.col("range") != F.col("cut")).withColumn("extra", (F.col("range") < F.col("cut")).cast("int"))
-    chosen = materialize(outside.unionByName(inside.select(outside.columns)), "mix-chosen")
-    # in each round, each pattern takes in or gives back the one document that brings it nearest to its rest
+    chosen = materialize(outside.unionByName(even.select(outside.columns)).unionByName(split.select(outside.columns)), "mix-chosen")
+    # in each round, each pattern takes in or gives back the one row that brings it nearest to its rest
     step = F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size"))
     swapped: list[tuple] = []
+    gap = F.max("rest") - F.sum(F.col("size") * F.col("extra"))
+    gaps = {tuple(r.members): r.gap for r in chosen.groupBy("members").agg(gap.alias("gap")).collect()}
     for _ in range(FILL_ROUNDS):
-        gap = F.max("rest") - F.sum(F.col("size") * F.col("extra"))
-        gaps = {tuple(r.members): r.gap - sum(x for m, _, x in swapped if m == tuple(r.members)) for r in chosen.groupBy("members").agg(gap.alias("gap")).collect()}
-        need = spark.createDataFrame([(list(m), g) for m, g in gaps.items()], T.StructType.fromDDL("m array<string>, gap long"))
+        need = spark.createDataFrame([(list(m), g - sum(x for p, _, x in swapped if p == m)) for m, g in gaps.items()], T.StructType.fromDDL("m array<string>, gap long"))
         done = [k for _, k, _ in swapped]
-        fits = chosen.join(F.broadcast(need), chosen["members"].eqNullSafe(need["m"])).where((F.abs(F.col("gap") - step) < F.abs("gap")) & F.col("key").isNotNull())
-        fits = fits.where(~F.col("key").isin(done)) if done else fits
-        best = fits.groupBy("members").agg(F.min_by(F.struct("key", step.alias("step")), F.struct(F.abs(F.col("gap") - step), "rank")).alias("best")).collect()
+        fits = chosen.join(F.broadcast(need), chosen["members"].eqNullSafe(need["m"])).where(F.abs(F.col("gap") - step) < F.abs("gap"))
+        fits = fits.where(~F.col("row").isin(done)) if done else fits
+        best = fits.groupBy("members").agg(F.min_by(F.struct("row", step.alias("step")), F.struct(F.abs(F.col("gap") - step), "rank", "key", "row")).alias("best")).collect()
         if not best:
             break
-        swapped += [(tuple(r.members), r.best.key, r.best.step) for r in best]
-    extra = F.when(F.col("key").isin([k for _, k, _ in swapped]), 1 - F.col("extra")).otherwise(F.col("extra")) if swapped else F.col("extra")
+        swapped += [(tuple(r.members), r.best.row, r.best.step) for r in best]
+    extra = F.when(F.col("row").isin([k for _, k, _ in swapped]), 1 - F.col("extra")).otherwise(F.col("extra")) if swapped else F.col("extra")
     named = {s: float(q) for s, q in quota.items() if s is not None}
     quotas = F.create_map(*[x for s, q in named.items() for x in (F.lit(s), F.lit(q))]) if named else F.create_map().cast("map<string,double>")
     return chosen.select(

@@ -36,6 +36,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one operator, in the shared folder. A table is dropped once its successors are
+    written, so disk holds what is still read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def write(self, df: DataFrame, step: str) -> DataFrame:
+        """Writes df as the table of a step and reads it again; the step's table before it is dropped after that."""
+        path, old = new_path(self.spark, f"{self.name}-{step}"), self.paths.get(step)
+        df.write.parquet(path)
+        self.paths[step] = path
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *steps: str) -> None:
+        for step in steps:
+            if step in self.paths:
+                self._delete(self.paths.pop(step))
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -3,22 +3,24 @@
 Texts with the same set of shingles are one node from the start. Each node's set goes once through one hash; its
 least value in each of N_BINS ranges is the signature, and empty ranges copy a filled one found by a fixed probing
 sequence. Bands of the signature are buckets. In a bucket every member is a candidate with the bucket's centre only,
-the member with the most neighbours, so candidates grow with the members. Candidates are confirmed on full sets.
-Where a bucket still holds more than one component after that, its members are compared in tiles of bounded size,
-by signatures and then by full sets, and a tile gives the links that join components (fewer than its members); so no
-link is lost because the centre of a star was unlike both of its ends.
+the member with the most neighbours, so candidates grow with the members. Candidates whose signatures agree enough
+are confirmed on full sets. A bucket that holds several components after that gets further centres, one a round, each
+compared with the members of other components. What is open still is compared in tiles of bounded size: first by
+signatures alone, which names the few members with a likely partner, then those on full sets, and a tile gives the
+links that join components (fewer than its members). So no link is lost because the centres were unlike both of its
+ends; the signatures compared in tiles grow with the square of a bucket's members only where a bucket stays open.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, utf8
+from tallyframe.llm.common import Scratch, materialize, utf8
 from tallyframe.session import ship
 
 WORDS = 5
@@ -28,6 +30,8 @@ N_BINS, ROWS = 128, 4
 SEED = 7
 #: Pairs in a tile are confirmed if so many of the 128 signature bytes agree; at similarity 0.75 a pair has 96 on average.
 LIKELY = 70
+#: Centres that an open bucket gets after its first one, before what is left open is compared in tiles.
+ROUNDS = 2
 #: Members and shingles of one side of a tile at most (a single longer set is a side of its own).
 TILE, TILE_SHINGLES = 256, 1_000_000
 
@@ -159,32 +163,33 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(sized & (100 * common >= percent * (n - common))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: Scratch | None = None) -> DataFrame:
     """node and root (the least node reachable) for every node of the edges (a, b).
 
     Each round every node points to its least neighbour if that is less, pointers are followed to their ends by
     doubling, and edges are rewritten between ends; so the number of linked nodes at least halves each round."""
     edges = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    edges, labels = materialize(edges, "cc-edges"), None
+    made = made or Scratch(edges.sparkSession, "cc")
+    edges, labels = made.write(edges, "edges"), None
     while not edges.isEmpty():
-        roots = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root")), "cc-roots")
+        roots = made.write(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root")), "roots")
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            jumped = materialize(roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "cc-roots")
+            jumped = made.write(roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
             roots = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
-            labels = roots
+            labels = made.write(roots, "labels")
         else:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = materialize(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
+            labels = made.write(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
         ends = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"}
-        edges = materialize(edges.join(ends["a"], "a").join(ends["b"], "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "cc-edges")
+        edges = made.write(edges.join(ends["a"], "a").join(ends["b"], "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def tiled(members: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+def tiled(members: DataFrame, written: Callable[[DataFrame, str], DataFrame] = materialize, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """The rows of members, once for each tile they take part in. members: bucket, rep, n_shingles, root, ...
 
     Only buckets with several roots get tiles. The members of a bucket's largest root are compared with its other
@@ -196,7 +201,7 @@ def tiled(members: DataFrame, tile: int = TILE, tile_shingles: int = TILE_SHINGL
     ).where("c > top.c")
     blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / tile), F.ceil(s / tile_shingles)).cast("int")
     stats = stats.select("bucket", F.col("top.root").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("n_top"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("n_rest"))
-    rows = members.join(materialize(stats, "near-open"), "bucket").withColumn("is_top", F.col("root") == F.col("top"))
+    rows = members.join(written(stats, "tiles"), "bucket").withColumn("is_top", F.col("root") == F.col("top"))
     block = F.pmod(F.xxhash64("rep"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int")
     at = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), F.xxhash64("bucket", F.lit(kind), x, y).alias("tile"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -224,63 +229,73 @@ class Forest:
         return i != j
 
 
-def tile_links(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[str, str]]:
-    """Confirmed links of one tile that join what wasn't joined, at most one less than its rows. A pair is looked at
-    in the first bucket it shares only; pairs whose signatures agree in likely bytes are confirmed on full sets, the
-    most similar first."""
+def tile_pairs(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int, int, int]]:
+    """(-agreement, i, j) of the rows of one tile with different roots whose sizes allow a link and whose signatures
+    agree in likely bytes."""
     sig = np.frombuffer(b"".join(g["signature"]), dtype=np.uint8).reshape(len(g), -1)
-    bands_ = np.array(g["bands"].tolist(), dtype=np.int64)
-    n, rep, center, top, kind, bucket = (g[c].to_numpy() for c in ("n_shingles", "rep", "is_center", "is_top", "kind", "bucket"))
-    codes = pd.factorize(g["root"])[0]
+    n, top, kind, codes = g["n_shingles"].to_numpy(), g["is_top"].to_numpy(), g["kind"].to_numpy(), pd.factorize(g["root"])[0]
     found: list[tuple[int, int, int]] = []
     for i in range(len(g) - 1):
-        if center[i]:
-            continue
-        ok = (codes[i + 1 :] != codes[i]) & ~center[i + 1 :] & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        ok = (codes[i + 1 :] != codes[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
         if kind[i] == 0:
             ok &= top[i + 1 :] != top[i]
         k = np.flatnonzero(ok) + i + 1
         agree = (sig[k] == sig[i]).sum(axis=1)
-        k, agree = k[agree >= likely], agree[agree >= likely]
-        first = (bands_[k] == bands_[i]).argmax(axis=1)
-        here = bands_[i][first] == bucket[i]
-        found += [(-int(a), i, int(x)) for a, x in zip(agree[here], k[here])]
-    if not found:
-        return []
+        found += [(-int(a), i, int(x)) for a, x in zip(agree[agree >= likely], k[agree >= likely])]
+    return found
+
+
+def tile_members(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int]]:
+    """The rows of one tile that take part in a likely pair."""
+    rep = g["rep"].to_numpy()
+    return [(int(x),) for x in np.unique([rep[k] for _, i, j in tile_pairs(g, percent, likely) for k in (i, j)]).astype(np.int64)]
+
+
+def tile_links(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int, int]]:
+    """Confirmed links of one tile that join what wasn't joined, at most one less than its rows: likely pairs are
+    confirmed on full sets, the most similar first."""
     forest, first_of = Forest(len(g)), {}
-    for i, c in enumerate(codes.tolist()):
+    for i, c in enumerate(pd.factorize(g["root"])[0].tolist()):
         forest.join(first_of.setdefault(c, i), i)
-    sets, out = g["shingles"].to_numpy(), []
-    for _, i, j in sorted(found):
+    n, rep, sets, out = g["n_shingles"].to_numpy(), g["rep"].to_numpy(), g["shingles"].to_numpy(), []
+    for _, i, j in sorted(tile_pairs(g, percent, likely)):
         if forest.root(i) != forest.root(j):
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * common >= percent * (n[i] + n[j] - common):
                 forest.join(i, j)
-                out.append((rep[i], rep[j]))
+                out.append((int(rep[i]), int(rep[j])))
     return out
 
 
-def missing_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> DataFrame:
-    """Links (a, b) between different roots that the stars didn't show. members: bucket, rep, n_shingles, center, root."""
-    rep_type = members.schema["rep"].dataType
-    rows = tiled(members).join(nodes.select("rep", "signature", "bands"), "rep").join(sets.withColumnRenamed("key", "rep"), "rep")
-    rows = rows.select("tile", "kind", "bucket", F.col("rep").cast("string").alias("rep"), "n_shingles", F.col("root").cast("string").alias("root"), (F.col("rep") == F.col("center")).alias("is_center"), "is_top", "signature", "bands", "shingles")
-    rows = rows.repartition("tile").sortWithinPartitions("tile")
+def by_tile(rows: DataFrame, of: Callable[[pd.DataFrame], list[tuple]], columns: list[str]) -> DataFrame:
+    """What of() gives for each tile; tiles are bounded, and a partition's tiles pass one after the other."""
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
             t = batch["tile"].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1]) if len(t) else np.zeros(1, dtype=int)
             held = batch.iloc[starts[-1] :]
-            found = [p for a, b in zip(starts, starts[1:]) if b - a > 1 for p in tile_links(batch.iloc[a:b], percent, likely)]
-            yield pd.DataFrame(found, columns=["a", "b"]).astype(str)
+            found = [p for a, b in zip(starts, starts[1:]) if b - a > 1 for p in of(batch.iloc[a:b])]
+            yield pd.DataFrame(found, columns=columns, dtype="int64")
         if held is not None and len(held) > 1:
-            yield pd.DataFrame(tile_links(held, percent, likely), columns=["a", "b"]).astype(str)
+            yield pd.DataFrame(of(held), columns=columns, dtype="int64")
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInPandas(each, ", ".join(f"{c} long" for c in columns))
+
 
-    found = rows.mapInPandas(links, "a string, b string")
-    return found.select(F.col("a").cast(rep_type).alias("a"), F.col("b").cast(rep_type).alias("b"))
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose signatures agree in likely bytes."""
+
+    @F.pandas_udf("int")
+    def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
+        return pd.Series((x == y).sum(axis=1), dtype="int32")
+
+    left, right = (nodes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("signature").alias(f"g{c}")) for c in "ab")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(left, "a").join(right, "b").where(sized).where(agreeing("ga", "gb") >= likely).select("a", "b")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -289,37 +304,82 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     Null and empty texts and texts of white space have no shingles: they are linked with nothing and kept. Rows
     without an id are linked with nothing, have a null component_id and are kept. A node is a set of shingles, named
     by a 64-bit hash of it, so texts that share an id are linked each by its own words. Empty tables give no rows;
-    other columns are not read.
+    other columns are not read, whatever their names.
     """
     ship(docs.sparkSession)
-    signed = materialize(sign(docs, key, text), "near-signatures")
+    made = Scratch(docs.sparkSession, "near")
+    signed = made.write(sign(docs, key, text), "signatures")
     with_set = signed.where("n_shingles > 0 and key is not null")
     nodes = with_set.groupBy("set_hash").agg(F.min(F.struct("key", "text_hash")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = materialize(nodes.select(F.xxhash64("set_hash").alias("rep"), "set_hash", F.col("of.key").alias("least"), F.col("of.text_hash").alias("text_hash"), "n_shingles", "bands", "signature"), "near-nodes")
+    nodes = made.write(nodes.select(F.xxhash64("set_hash").alias("rep"), "set_hash", F.col("of.key").alias("least"), F.col("of.text_hash").alias("text_hash"), "n_shingles", "bands", "signature"), "nodes")
     placed = nodes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
-    members = materialize(placed.join(materialize(shared, "near-shared"), "bucket"), "near-members")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = made.write(placed.join(made.write(shared, "shared"), "bucket"), "members")
+    made.drop("shared")
     # the centre of a bucket is the member with the most neighbours in all its buckets: an original among its copies
-    scores = members.groupBy("rep").agg(F.sum("n").alias("score"))
-    centers = members.join(scores, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("center"))
-    members = materialize(members.join(materialize(centers, "near-centers"), "bucket"), "near-members")
-    wanted = nodes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least").alias("wanted"), F.col("text_hash").alias("wanted_hash"))
+    scores = made.write(members.groupBy("rep").agg(F.sum("n").alias("score")), "scores")
+    scored = made.write(members.join(scores, "rep").select("bucket", "rep", "n_shingles", "score"), "scored")
+    made.drop("members", "scores")
+    centers = made.write(scored.groupBy("bucket").agg(F.max_by("rep", F.struct("score", "rep")).alias("center")), "centers")
+    stars = scored.join(centers, "bucket").where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = made.write(likely_pairs(stars, nodes, percent), "pairs")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(utf8(F.col(text))).alias("text_hash"))
-    # the text of a node's least id; of rows that repeat both any will do
-    of_node = texts.join(wanted, (F.col("key") == F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
-    sets = shingle_sets(of_node, "rep", "text")
-    sets = materialize(sets.where(F.size("shingles") > 0).dropDuplicates(["key"]), "near-sets")
-    stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirm(stars, sets, percent), "near-links")
-    labels = components(links)
-    rooted = materialize(members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", "center", F.coalesce("root", "rep").alias("root")), "near-rooted")
-    more = materialize(missing_links(rooted, nodes, sets, percent), "near-links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+
+    def sets_of(reps: DataFrame, step: str) -> DataFrame:
+        """The shingles of nodes, from the text of a node's least id; of rows that repeat both any will do."""
+        wanted = nodes.join(reps.distinct(), "rep", "left_semi").select("rep", F.col("least").alias("wanted"), F.col("text_hash").alias("wanted_hash"))
+        wanted = made.write(wanted, "wanted")
+        of_node = texts.join(wanted, (F.col("key") == F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
+        return made.write(shingle_sets(of_node, "rep", "text").where(F.size("shingles") > 0).dropDuplicates(["key"]), step)
+
+    sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), "sets")
+    links = made.write(confirm(pairs, sets, percent), "links")
+    labels = components(links, made)
+    used = centers.select("bucket", "center")
+    for k in range(ROUNDS):  # buckets with several components get another centre each round
+        opened = open_members(scored, labels)
+        if opened.isEmpty():
+            break
+        opened = made.write(opened, f"open-{k}")
+        made.drop(f"open-{k - 1}")
+        roots = opened.join(used, (opened["bucket"] == used["bucket"]) & (opened["rep"] == used["center"]), "left_semi").select("bucket", "root")
+        fresh = opened.join(roots.distinct(), ["bucket", "root"], "left_anti")
+        per_root = fresh.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.max_by("rep", F.struct("score", "rep")).alias("top"))
+        new = made.write(per_root.groupBy("bucket").agg(F.max_by(F.struct("top", "root"), F.struct("c", "top")).alias("best")).select("bucket", F.col("best.top").alias("center"), F.col("best.root").alias("center_root")), f"new-{k}")
+        stars = opened.join(new, "bucket").where("root <> center_root").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+        pairs = made.write(likely_pairs(stars, nodes, percent), "pairs")
+        used = used.union(new.select("bucket", "center"))
+        if not pairs.isEmpty():
+            more = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), f"sets-{k}")
+            links = links.union(made.write(confirm(pairs, more, percent), f"links-{k}"))
+            made.drop(f"sets-{k}")
+            labels = components(links, made)
+    made.drop("sets", "pairs")
+    # what is open still: pairs of blocks of bounded size, first by signatures alone
+    opened = open_members(scored, labels)
+    if not opened.isEmpty():
+        opened = made.write(opened.select("bucket", "rep", "n_shingles", "root"), "open")
+        rows = tiled(opened, made.write).join(nodes.select("rep", "signature"), "rep")
+        told = made.write(by_tile(rows, lambda g: tile_members(g, percent), ["rep"]).distinct(), "told")
+        if not told.isEmpty():
+            sets = sets_of(told, "sets").withColumnRenamed("key", "rep")
+            rows = tiled(opened.join(told, "rep", "left_semi"), made.write).join(nodes.select("rep", "signature"), "rep").join(sets, "rep")
+            links = links.union(made.write(by_tile(rows, lambda g: tile_links(g, percent), ["a", "b"]), "links-open"))
+            labels = components(links, made)
+    made.drop("sets", "open", "told", "tiles", "scored", "wanted", "centers")
     ids = nodes.select(F.col("rep").alias("node"), "least")
-    least = materialize(labels.join(ids, "node").groupBy("root").agg(F.min("least").alias("component")), "near-least")
+    least = made.write(labels.join(ids, "node").groupBy("root").agg(F.min("least").alias("component")), "least")
     named = labels.join(least, "root").select(F.col("node").alias("rep"), "component")
-    roots = nodes.join(named, "rep", "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "least").alias("root"))
+    # written, so that the join on a text with very many copies can be split
+    roots = made.write(nodes.join(named, "rep", "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "least").alias("root")), "roots")
+    made.drop("nodes", "labels", "least", *[x for x in made.paths if x.startswith(("links", "open", "new"))])
     out = signed.join(roots, (F.col("set_hash") == F.col("of")) & F.col("key").isNotNull(), "left")
     component = F.coalesce("root", "key")
     return out.select("key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def open_members(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets with several roots, with their roots."""
+    rooted = scored.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", "score", F.coalesce("root", "rep").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    return rooted.join(several, "bucket", "left_semi")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -123,8 +124,15 @@ def test_near_duplicates(spark):
     assert near_dedup.near_groups(docs(spark, [])).count() == 0
 
 
-def test_links_that_no_star_shows(spark):
-    """Chains around a base: many members alike with their neighbours only. Small tiles, so that all kinds are used."""
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_links_that_no_star_shows(spark, monkeypatch, rounds):
+    """Chains around a base: many members alike with their neighbours only, all in one bucket, which its centre leaves
+    open. Small tiles of 4 members, so that all kinds are used, with and without further centres before."""
+    seen = []
+    whole = near_dedup.tiled
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "bands", lambda signature: np.zeros((len(signature), 1), dtype=np.int64))
+    monkeypatch.setattr(near_dedup, "tiled", lambda members, written: seen.append(members.count()) or whole(members, written, tile=4, tile_shingles=200))
     rng = random.Random(5)
     base, texts = sentences(rng, 60).split(), []
     for k in range(30):
@@ -135,10 +143,9 @@ def test_links_that_no_star_shows(spark):
             w[i] = f"v{i}"
         texts.append(" ".join(w))
     rng.shuffle(texts)
-    old = near_dedup.TILE
     want = brute_near(texts)
     got = {r.key: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(docs(spark, texts)).collect()}
-    assert got == want and old == near_dedup.TILE
+    assert got == want and max(seen) > 8
 
 
 def test_tiles_cover_every_pair_of_roots(spark):
@@ -199,6 +206,24 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """Equal rows and rows without an id are rows of their own: none exceeds 3 times its size, sums come near, and a
+    class of equal rows is cut where its pattern is full."""
+    rows = [(1, 3, "a")] * 50 + [(2, 7, "a")] * 3 + [(None, 4, "b")] * 40 + [(i, i, "c") for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, src string").withColumn("members", F.array("src")).withColumn("row", F.lit(1))
+    sizes = Counter()
+    for _, n, s in rows:
+        sizes[s] += n
+    want, out = mixing.targets(sizes, (3, 1, 2)), mixing.mix(df, (3, 1, 2)).collect()
+    taken = Counter()
+    for r in out:
+        assert r.taken % r["size"] == 0 and 0 <= r.taken <= 3 * r["size"]
+        taken[r.members[0]] += r.taken
+    assert len(out) == len(rows) and all(abs(taken[s] - want[s]) <= 4 for s in want)
+    parts = Counter((r.key, r["size"], r.taken) for r in mixing.mix(df.repartition(7), (3, 1, 2)).collect())
+    assert parts == Counter((r.key, r["size"], r.taken) for r in out)
+
+
 # --- packing ---
 
 def test_cut():
@@ -273,10 +298,24 @@ def test_png_round_trip(kind):
     assert media.decode_png(media.encode_png(payload, filters=kind)).tobytes() == payload
 
 
-def test_png_mixed_filters_and_faults():
+def test_png_mixed_filters_and_faults(monkeypatch):
+    rng = random.Random(19)
     payload = random.Random(9).randbytes(64 * 12)
     png = media.encode_png(payload, filters=np.array([0, 1, 2, 3, 4, 2, 2, 1, 4, 3, 0, 2]))
     assert media.decode_png(png).tobytes() == payload
+    monkeypatch.setattr(media, "TALL", 5)
+    assert media.decode_png(png).tobytes() == payload
+    monkeypatch.setattr(media, "TOGETHER", 3000)
+    payloads = [bytes(rng.choice(b"abc \0\xff") for _ in range(64 * rng.randrange(1, 9))) for _ in range(40)]
+    images = [media.encode_png(p) for p in payloads]
+    kinds = np.concatenate([media.filtered_rows(m)[:, 0] for m in images])
+    assert set(kinds.tolist()) == {0, 1, 2, 3, 4}  # chosen row by row
+    back = media.decode_pngs([b"no image", *images])
+    assert isinstance(back[0], ValueError) and [p.tobytes() for p in back[1:]] == payloads
+    bomb = struct.pack(">IIBBBBB", 64, 1, 8, 0, 0, 0, 0)
+    huge = media.SIGNATURE + media._chunk(b"IHDR", bomb) + media._chunk(b"IDAT", zlib.compress(bytes(10_000_000))) + media._chunk(b"IEND", b"")
+    with pytest.raises(ValueError):
+        media.decode_png(huge)
     for bad in (png[:-3], png[:50] + bytes([png[50] ^ 1]) + png[51:], b"GIF" + png[3:], b""):
         with pytest.raises(ValueError):
             media.decode_png(bad)

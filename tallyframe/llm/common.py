@@ -62,6 +62,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that df has as columns (in any case), for columns used in between."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def other_columns(df: DataFrame, *made: str) -> list[str]:
+    """The columns of df but those that an operator makes anew."""
+    return [c for c in df.columns if c.lower() not in made]
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import utf8
+from tallyframe.llm.common import free_names, other_columns, utf8
 from tallyframe.session import ship
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -215,7 +215,8 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media", width:
 
 def read(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds __payload (the bytes of the image), __feature (its cosine hash) and __error. What is no whole PNG gives
-    null for the first two and its fault as __error; a null image gives nulls. df must not have these three columns."""
+    null for the first two and its fault as __error; a null image gives nulls. Columns of df with
+    these three names are replaced."""
     ship(df.sparkSession)
 
     @F.pandas_udf("payload binary, feature string, error string")
@@ -227,7 +228,5 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
                 rows[i] = (None, None, str(px)) if isinstance(px, ValueError) else (px.tobytes(), cosine_hash(px), None)
             yield pd.DataFrame(rows, columns=["payload", "feature", "error"])
 
-    held = "__read"
-    while held in df.columns:  # a column of df may have this name
-        held += "_"
-    return df.withColumn(held, decode(F.col(media))).select(*df.columns, F.col(f"{held}.payload").alias("__payload"), F.col(f"{held}.feature").alias("__feature"), F.col(f"{held}.error").alias("__error"))
+    (held,) = free_names(df, "__read")
+    return df.withColumn(held, decode(F.col(media))).select(*other_columns(df, "__payload", "__feature", "__error"), F.col(f"{held}.payload").alias("__payload"), F.col(f"{held}.feature").alias("__feature"), F.col(f"{held}.error").alias("__error"))

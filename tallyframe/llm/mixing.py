@@ -109,7 +109,7 @@ def route(patterns: dict[tuple, int], quota: dict, most: int = MAX_REPEATS) -> d
     return {p: sum(flow[tiers + i * most : tiers + (i + 1) * most]) for i, p in enumerate(names)}
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_id", size: str = "size", members: str = "members", most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_id", size: str = "size", members: str = "members", most: int = MAX_REPEATS, seed: int = SEED, row: str | None = None) -> DataFrame:
     """How many tokens of each document the mix takes.
 
     docs: key, size (tokens, long) and members (array of sources; a null inside is a source of its own, a null or
@@ -117,14 +117,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     document's pattern), taken (a multiple of size, at most most times it) and quotas (map from source, null as
     the key of its own column null_quota). An empty table gives no rows; documents of size 0 take 0. Repeated rows
     are rows of their own, each taken at most most times; equal rows are interchangeable, so which of them is repeated
-    once more is left open. Other columns are not read. More than MAX_PATTERNS patterns raise ValueError.
+    once more is left open. row: a column that names each row (unique longs of a written table), returned as row, for
+    callers that go back to their rows. Other columns are not read. More than MAX_PATTERNS patterns raise ValueError.
     """
     spark = docs.sparkSession
     alone = F.array(F.lit(None).cast("string"))
     pattern = F.array_sort(F.array_distinct(F.when(F.coalesce(F.size(members), F.lit(0)) < 1, alone).otherwise(F.col(members))))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), pattern.alias("members"))
-    # row: names a row once it is written; only equal rows are told apart by it
-    rows = materialize(rows.withColumn("rank", F.xxhash64(F.lit(seed), "key", "size")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    # a row's name is fixed once it is written; only equal rows are told apart by it
+    named = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), pattern.alias("members"), named.alias("row"))
+    rows = materialize(rows.withColumn("rank", F.xxhash64(F.lit(seed), "key", "size")), "mix-rows")
     sums = rows.groupBy("members").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -162,8 +164,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     classes = classes.select(*[F.col(c).alias(f"c_{c}") for c in ("members", "rank", "key", "size", "n")], F.least("n", fit).cast("long").alias("fit"))
     own = (F.col("members").eqNullSafe(F.col("c_members"))) & (F.col("rank") == F.col("c_rank")) & F.col("key").eqNullSafe(F.col("c_key")) & (F.col("size") == F.col("c_size"))
     classes = materialize(classes, "mix-classes")  # read anew, so that the rows of a class of very many can be split
-    inside = inside.join(classes, own).withColumn("part", F.shiftright("row", 33))
-    # where a class is cut, its rows are counted by the part of the table that they lie in, then inside one part
+    inside = inside.join(classes, own).withColumn("part", F.shiftright("row", 20))
+    # where a class is cut, its rows are counted by the leading bits of their names, then inside one such part
     split = inside.where("fit > 0 and fit < c_n")
     parts = split.groupBy("members", "rank", "key", "size", "part").agg(F.count("*").alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("members", "rank", "key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -192,6 +194,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), key: str = "doc_i
     named = {s: float(q) for s, q in quota.items() if s is not None}
     quotas = F.create_map(*[x for s, q in named.items() for x in (F.lit(s), F.lit(q))]) if named else F.create_map().cast("map<string,double>")
     return chosen.select(
+        *([] if row is None else ["row"]),
         "key",
         "size",
         "members",

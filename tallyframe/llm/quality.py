@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import WHITE
+from tallyframe.llm.common import WHITE, free_names, other_columns
 
 N_BUCKETS = 1 << 14
 #: At most so many trusted documents are used (the least hashes of their ids).
@@ -26,6 +26,8 @@ THRESHOLD = -0.08
 SLACK = 0.3
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: The columns that quality() adds.
+MADE = ("__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", "__score", "__kept")
 
 
 def words_of(text: Column) -> Column:
@@ -99,7 +101,9 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
     __base_failed, __score and __kept.
 
     Null and empty texts have no words: all counts are 0, they fail the base rules and their score is null. Rows that
-    repeat an id are scored each by its own text. trusted_ids: a table with key; ids not in docs don't matter.
+    repeat an id are scored each by its own text, rows without an id too. Very long texts are read whole. An empty
+    table gives no rows. Columns of docs named like those added are replaced, all others stay, whatever their names.
+    trusted_ids: a table with key; ids not in docs don't matter.
     """
     ratios = log_ratios(docs, trusted_ids, key, text, n_buckets, max_trusted, smoothing)
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to a constant, of a fixed size
@@ -119,15 +123,17 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
 
     v = let(hashes_of(F.col(text)), verdict)
     dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    fits = F.coalesce(F.col("__v.score") >= threshold - slack / F.sqrt("__v.n_words"), F.lit(True))
-    return docs.withColumn("__v", v).select(
-        *docs.columns,
-        F.col("__v.n_words").alias("__n_words"),
+    (held,) = free_names(docs, "__v")
+    got = lambda name: F.col(f"{held}.{name}")
+    fits = F.coalesce(got("score") >= threshold - slack / F.sqrt(got("n_words")), F.lit(True))
+    return docs.withColumn(held, v).select(
+        *other_columns(docs, *MADE),
+        got("n_words").alias("__n_words"),
         F.char_length(F.translate(t, WHITE, "")).cast("long").alias("__word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
         dup_lines.alias("__n_dup_lines"),
-        F.col("__v.n_repeat_words").alias("__n_repeat_words"),
-        F.col("__v.failed").alias("__base_failed"),
-        F.col("__v.score").alias("__score"),
-        (~F.col("__v.failed") & fits).alias("__kept"),
+        got("n_repeat_words").alias("__n_repeat_words"),
+        got("failed").alias("__base_failed"),
+        got("score").alias("__score"),
+        (~got("failed") & fits).alias("__kept"),
     )

@@ -85,6 +85,24 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_columns_with_names_used_in_between(spark):
+    """Extra columns named like those used in between, or like those added, harm nothing."""
+    texts = ["one two three four five six seven eight nine ten eleven", None, "", "x " * 50_000]
+    names = ["__v", "__lines", "__text_hash", "__gone", "__gone_id", "__kept", "__n_lines", "__salt", "__rank", "__at", "__read", "__error"]
+    df = docs(spark, texts)
+    for name in names:
+        df = df.withColumn(name, F.lit("clash"))
+    trusted = spark.createDataFrame([(0,)], "doc_id long")
+    for out, made in ((quality.quality(df, trusted), quality.MADE), (line_dedup.dedup_lines(df), ("__n_lines", "__n_dropped"))):
+        assert sorted(out.columns) == sorted({*df.columns, *made})
+        assert all(r["__salt"] == "clash" and r["__v"] == "clash" for r in out.collect())
+    pieces = packing.tokenize(df).withColumn("__salt", F.lit("clash")).withColumn("__at", F.lit("clash")).withColumn("offset", F.lit("clash"))
+    out = packing.pack(pieces).collect()
+    assert len({r.key for r in out}) == 4 and all(r["__at"] == "clash" and isinstance(r.offset, int) for r in out)
+    images = media.read(media.store(df.withColumn("payload", media.padded(F.col("text")))))
+    assert images.columns.count("__error") == 1 and {r["__read"] for r in images.collect()} == {"clash"}
+
+
 # --- near duplicates ---
 
 def brute_near(texts):

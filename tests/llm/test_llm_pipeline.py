@@ -94,3 +94,16 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     full = {x for x in out if x[1]}
     assert {(-7, near(a, "y"), "s1"), (10, c, "s0"), (5, e, None)} <= full and len(full) == 5
     assert len(full & {(5, b, "s0"), (5, near(b, "x"), "s0")}) == 1 and len(full & {(None, d, "s0"), (None, near(d, "z"), "s0")}) == 1
+
+
+def test_mixture_of_repeated_rows(spark):
+    """Equal rows, rows of one id and rows without an id stay each as often as the mix takes them; extra columns with
+    names used in between stay."""
+    rows = [(1, "a b c", "s0", "k")] * 2 + [(1, "d e f g", "s0", "k"), (None, "h i", "s1", "k"), (None, "h i", "s1", "k"), (2, "", "s1", "k"), (3, None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string")
+    out = Counter(tuple(r) for r in corpus_pipeline.mixture(spark, df, "").collect())
+    n = Counter(rows)
+    assert set(out) <= {r for r in rows if r[1]} and all(out[r] <= 3 * n[r] for r in out)
+    want = mixing.targets({"s0": 10, "s1": 4, None: 0}, (1, 2, 3))
+    for s in ("s0", "s1"):
+        assert abs(sum(k * len(r[1].split()) for r, k in out.items() if r[2] == s) - want[s]) <= 2

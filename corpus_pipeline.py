@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tallyframe.llm import line_dedup, mixing, near_dedup, packing, quality
-from tallyframe.llm.common import documents, materialize
+from tallyframe.llm.common import documents, free_names, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
+    """Documents that the quality rules reject go, those without words (null and empty texts) among them; the others stay
+    as they are, repeated rows each."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     return quality.quality(docs, trusted).where("__kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common lines go from all texts but one; every document stays, with n_chars of what is left."""
+    """Common lines go from all texts but one; every row stays, with n_chars of what is left. A null text becomes empty."""
     out = line_dedup.dedup_lines(docs).drop("__n_lines", "__n_dropped")
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
@@ -42,24 +43,28 @@ def row_key(docs: DataFrame) -> Column:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, the first by row_key: that of the least id, rows without an id last.
     Texts are compared one by one, whatever ids they have. Of texts without words one of each id and text stays."""
-    rows = docs.withColumn("__row", row_key(docs))
-    kept = near_dedup.near_groups(rows, "__row").where("kept").groupBy(F.expr("left(key, length(key) - 16)")).agg(F.min("key").alias("__kept"))
-    kept = materialize(kept.select("__kept"), "near-kept")
-    one = rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"])
+    row, kept_row = free_names(docs, "__row", "__kept_row")
+    rows = docs.withColumn(row, row_key(docs))
+    kept = near_dedup.near_groups(rows, row).where("kept").groupBy(F.expr("left(key, length(key) - 16)")).agg(F.min("key").alias(kept_row))
+    kept = materialize(kept.select(kept_row), "near-kept")
+    one = rows.join(kept, F.col(row) == F.col(kept_row), "left_semi").dropDuplicates([row])
     return one.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix takes it, at most three times; documents that it doesn't take go."""
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce("text", F.lit("")), 256))))
-    sized = keyed.select("__key", F.size(quality.words_of(F.col("text"))).cast("long").alias("size"), F.array("source").alias("members"))
-    taken = mixing.mix(sized, key="__key").where("taken > 0").select(F.col("key").alias("__taken_key"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    joined = keyed.join(taken, F.col("__key") == F.col("__taken_key"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """Each row stays as often as the mix takes it, at most three times; rows that it doesn't take go, those without
+    words among them. Rows are chosen by row_key, so reruns agree; equal rows are rows of their own."""
+    key, name, taken_row, times, copy = free_names(docs, "__key", "__name", "__taken_row", "__times", "__copy")
+    named = materialize(docs.withColumn(key, row_key(docs)).withColumn(name, F.monotonically_increasing_id()), "mix-named")
+    sized = named.select(key, name, F.size(quality.words_of(F.col("text"))).cast("long").alias("size"), F.array("source").alias("members"))
+    taken = mixing.mix(sized, key=key, row=name).where("taken > 0").select(F.col("row").alias(taken_row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    joined = named.join(taken, F.col(name) == F.col(taken_row))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens in sequences of at most 2048: one row per piece."""
+    """Every row's tokens in sequences of at most 2048: one row per piece. Null and empty texts are one piece of one id;
+    the pieces of repeated rows are pieces of their own."""
     pieces = packing.tokenize(docs)
     out = packing.pack(pieces.select("key", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return out.select(F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

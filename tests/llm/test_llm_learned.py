@@ -38,6 +38,58 @@ def test_main_text():
     assert html_extract.main_text(PAGE) == "The title\nFirst & bold paragraph that is long enough to be content for sure, with many words.\nOne item\nTwo item\nSecond paragraph, also of some length, ends the article."
 
 
+def made_page(rng, article: bool, named: bool) -> tuple[str, str]:
+    """A page and its main text. Without article the text is in a div among other divs; without names nothing but the
+    shape of the blocks says which."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    links = lambda n: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n))
+    name = lambda x: f" class='{x}'" if named else ""
+    blocks, text = [], []
+    for k in range(rng.randrange(3, 9)):
+        t = prose(rng.randrange(25, 60))
+        text.append(t)
+        blocks.append(f"<p>{t.replace(' ', chr(10), 1)}</p>")
+        if k == 1:
+            items = [prose(6), prose(8)]
+            text += items
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+    title = prose(6)
+    body = f"<h1>{title}</h1>" + "".join(blocks)
+    main = f"<article>{body}</article>" if article else f"<div>{body}</div>"
+    for _ in range(rng.randrange(3)):
+        main = f"<div>{main}</div>"
+    menu, foot = f"<div{name('menu')}><ul>{links(6)}</ul></div>", f"<div{name('footer')}><ul>{links(8)}</ul></div>"
+    side = f"<div{name('sidebar')}><b>{word()}</b><ul>{links(5)}</ul></div>"
+    return f"<html><body><div>{menu}{main}{side}{foot}</div></body></html>", "\n".join([title, *text])
+
+
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize("named", [True, False])
+def test_main_text_of_made_pages(article, named):
+    rng = random.Random(7)
+    for _ in range(60):
+        page, text = made_page(rng, article, named)
+        assert html_extract.main_text(page) == text
+
+
+def test_the_threshold_decides(monkeypatch):
+    """Without names, nothing but the ratios tells the text from the menus: with every line as content they stay."""
+    rng = random.Random(8)
+    pages = [made_page(rng, False, False) for _ in range(20)]
+    assert all(html_extract.main_text(page) == text for page, text in pages)
+    monkeypatch.setattr(html_extract, "threshold", lambda x: -1.0)
+    assert all(html_extract.main_text(page) != text for page, text in pages)
+
+
+def test_two_articles_and_ties():
+    """Of several articles those with half the votes of the largest stay, equal ones both, in page order."""
+    a, b, c = (f"Article {x} has a paragraph that is long enough to be content, with many more words in it." for x in "abc")
+    page = f"<main><article><p>{a}</p></article><article><p>{b}</p></article><article><p>Short.</p></article></main>"
+    assert html_extract.main_text(page) == f"{a}\n{b}"
+    assert html_extract.main_text(f"<body><article><p>{c}</p></article><footer><p>{a} {b}</p></footer></body>") == c
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>"), (4, "plain text only"), (5, "<div>" * 3000 + "deep text here" + "</div>" * 3000), (6, PAGE)], "page_id long, html string").withColumn("text", F.lit("clash"))
     out = {r.page_id: r.text for r in html_extract.extract(pages).collect()}

@@ -24,7 +24,7 @@ SHRINK = 16.0
 #: A document stays if its score is at least THRESHOLD - SLACK / sqrt(words): means over few words scatter more.
 THRESHOLD = -0.08
 SLACK = 0.3
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 #: The columns that quality() adds.
 MADE = ("__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed", "__score", "__kept")
@@ -46,8 +46,9 @@ def hashes_of(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _pair(hashes: Column, i: Column, n_buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), F.lit(n_buckets))
+def pairs_of(hashes: Column) -> Column:
+    """The hashes of the pairs of words in a row."""
+    return F.transform(_starts(hashes, 2), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)))
 
 
 def _starts(hashes: Column, width: int) -> Column:
@@ -56,9 +57,11 @@ def _starts(hashes: Column, width: int) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """How many words lie in windows of width words that are found twice or more (long)."""
-    windows = F.transform(_starts(hashes, width), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+def repeated_words(hashes: Column, pairs: Column, width: int = WINDOW) -> Column:
+    """How many words lie in windows of width words that are found twice or more (long). A window is hashed by its
+    pairs, and its last word if width is odd."""
+    parts = lambda i: [F.get(pairs, i + k) for k in range(0, width - 1, 2)] + ([F.get(hashes, i + width - 1)] if width % 2 else [])
+    windows = F.transform(_starts(hashes, width), lambda i: F.xxhash64(*parts(i)))
 
     def covered(places: Column) -> Column:
         # each place covers width words, less those that the place before it covers
@@ -72,7 +75,7 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
         return F.sort_array(F.transform(F.filter(order, lambda x, k: after(x, k) | before(x, k)), lambda x: x["i"]))
 
     def of(w: Column) -> Column:
-        order = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        order = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) < F.size(w), let(order, lambda o: let(places(o), covered))).otherwise(F.lit(0).cast("long"))
 
     return let(windows, of)
@@ -86,9 +89,9 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", tex
     every ratio is 0."""
     ids = trusted_ids.select(F.col(key).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_trusted)
     flagged = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("__id"), "left")
-    buckets = let(hashes_of(F.col("text")), lambda wh: F.concat(F.transform(wh, lambda h: F.pmod(h, F.lit(n_buckets))), F.transform(_starts(wh, 2), lambda i: _pair(wh, i, n_buckets))))
-    grams = flagged.select(F.col("__id").isNotNull().cast("long").alias("good"), F.explode(buckets).alias("bucket"))
-    counts = {r.bucket: (r.raw, r.good) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()}
+    hashes = let(hashes_of(F.col("text")), lambda wh: F.concat(wh, pairs_of(wh)))
+    grams = flagged.select(F.col("__id").isNotNull().cast("long").alias("good"), F.explode(hashes).alias("gram"))
+    counts = {r.bucket: (r.raw, r.good) for r in grams.groupBy(F.pmod("gram", F.lit(n_buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()}
     raw, good = (sum(c[i] for c in counts.values()) for i in (0, 1))
     if not good:
         return [0.0] * n_buckets
@@ -112,12 +115,14 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
     zero = F.lit(0.0)
 
     def verdict(wh: Column) -> Column:
+        return let(pairs_of(wh), lambda pairs: counted(wh, pairs))
+
+    def counted(wh: Column, pairs: Column) -> Column:
         n = F.size(wh).cast("long")
-        words = F.aggregate(wh, zero, lambda a, h: a + F.get(table, F.pmod(h, F.lit(n_buckets)).cast("int")))
-        pairs = F.aggregate(_starts(wh, 2), zero, lambda a, i: a + F.get(table, _pair(wh, i, n_buckets).cast("int")))
-        score = (words + pairs) / F.when(n > 0, 2 * n - 1)
+        ratios_of = lambda grams: F.aggregate(grams, zero, lambda a, h: a + F.get(table, F.pmod(h, F.lit(n_buckets)).cast("int")))
+        score = (ratios_of(wh) + ratios_of(pairs)) / F.when(n > 0, 2 * n - 1)
         return let(
-            F.struct(n.alias("n_words"), repeated_words(wh).alias("n_repeat_words"), score.alias("score")),
+            F.struct(n.alias("n_words"), repeated_words(wh, pairs).alias("n_repeat_words"), score.alias("score")),
             lambda v: F.struct(v["n_words"].alias("n_words"), v["n_repeat_words"].alias("n_repeat_words"), v["score"].alias("score"), ((v["n_words"] < 10) | (100 * v["n_repeat_words"] > 20 * v["n_words"])).alias("failed")),
         )
 
@@ -129,8 +134,8 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, key: str = "doc_id", text:
     return docs.withColumn(held, v).select(
         *other_columns(docs, *MADE),
         got("n_words").alias("__n_words"),
-        F.char_length(F.translate(t, WHITE, "")).cast("long").alias("__word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
+        F.char_length(F.regexp_replace(t, "[ \\t-\\r]+", "")).cast("long").alias("__word_chars"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("__n_symbols"),
         dup_lines.alias("__n_dup_lines"),
         got("n_repeat_words").alias("__n_repeat_words"),
         got("failed").alias("__base_failed"),

@@ -308,6 +308,43 @@ def test_tokens_round_trip(spark):
         assert all(len(p) == 2048 for p in by[i][1:])
 
 
+def test_five_pieces_in_a_sequence():
+    """Groups of copies give few lengths: only fillings of five pieces reach the bound, which best fit misses."""
+    counts = {500: 40, 400: 120, 348: 40}
+    assert sum(n for _, n in packing.best_fit(counts)) > 40 == sum(n for _, n in packing.complete_bins(counts))
+
+
+def test_bins_against_every_partition():
+    rng = random.Random(12)
+
+    def least(pieces, rooms):
+        """The fewest bins for pieces, by trying every open bin and a new one for each."""
+        if not pieces:
+            return len(rooms)
+        n, *rest = pieces
+        tried = {r: least(rest, sorted([*rooms[:i], r - n, *rooms[i + 1 :]])) for i, r in enumerate(rooms) if r >= n}
+        return min([least(rest, sorted([*rooms, 20 - n])), *tried.values()])
+
+    for _ in range(40):
+        pieces = sorted((rng.randrange(3, 15) for _ in range(rng.randrange(1, 8))), reverse=True)
+        plan = packing.complete_bins(Counter(pieces), 20)
+        assert Counter(x for f, n in plan for x in f * n) == Counter(pieces) and all(sum(f) <= 20 for f, _ in plan)
+        assert sum(n for _, n in plan) == least(pieces, [])
+
+
+def test_both_libraries_give_the_same_ids():
+    """Every text of the smallest table, and texts with unusual characters."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    encode, own = packing.encoder(path), Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    for t in [*texts, "<|endoftext|> x", "日本語 текст", "a" * 5000, "\u2028\x00 \n\n  tabs\t\t", "🙂 e\u0301"]:
+        assert encode(t or "").tolist() == own.encode(t or "", add_special_tokens=False).ids
+
+
 # --- media ---
 
 @pytest.mark.parametrize("kind", range(5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import rules, text as tx
+from tallyframe.functions import classes, rules, text as tx
 
 
 def drop_repeated_lines(docs: DataFrame, key: str, text: str, min_len: int = 40, min_count: int = 6) -> DataFrame:
@@ -157,4 +157,4 @@ def allocate(parts: DataFrame, weight: str, total: int, least: int = 120) -> Dat
 
 
 def classify_source(name: Column) -> Column:
-    return rules.first_rule(name, rules.SOURCE_FILES, "other")
+    return classes.source_file(name)

@@ -9,40 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import keep, rules, text as tx
 
-# fixed values: classes of debt documents, the first that fits
-DEBT_DOCUMENTS = [
-    (r"(?i)\bsubsidiaries\s+of\s+the\s+registrant\b", "exhibit_21"),
-    (r"(?i)\bcredit\s+agreement\b|\bloan\s+agreement\b|\brevolving\b.*\bcredit\b", "credit_agreement"),
-    (r"(?i)\bindenture\b|\bsenior\s+(secured\s+)?notes\b", "indenture"),
-    (r"(?i)\bguarantee\b|\b(security|pledge)\s+agreement\b|\bcollateral\b", "security_or_guarantee"),
-]
-# fixed values: environmental topics, the first that fits
-TOPICS = [
-    (r"\bCERCLA\b|\bSuperfund\b", "superfund_cercla"),
-    (r"\bRCRA\b|(?i)hazardous (waste|substances)", "rcra_hazwaste"),
-    (r"\bPFAS\b|(?i)per- and polyfluoroalkyl", "pfas"),
-    (r"(?i)\basbestos\b", "asbestos"),
-    (r"(?i)groundwater|contamination|remediation|environmental liabilit", "environmental_liability"),
-    (r"(?i)asset retirement obligation|\baro\b", "aro"),
-    (r"(?i)clean air act|\bcaa\b|air permit|title v", "permitting"),
-    (r"(?i)clean water act|\bcwa\b|npdes|wastewater|effluent|landfill|leachate", "water_waste"),
-    (r"(?i)scope [123]|ghg|greenhouse gas|climate risk", "emissions_climate"),
-    (r"(?i)spill|release to the environment|unpermitted discharge", "spill_release"),
-]
-
-
-def document_class(head: Column, form: Column) -> Column:
-    found = rules.first_rule(F.substring(head, 1, 12_000), DEBT_DOCUMENTS, None)
-    return F.coalesce(found, F.when(F.upper(F.trim(form)).isin("10-K", "10-Q", "20-F", "6-K"), "periodic_filing"), F.lit("other"))
-
-
-def topic(text: Column) -> Column:
-    return rules.first_rule(F.substring(text, 1, 800), TOPICS, "other")
-
-
 def name_rank(title: Column, query: str) -> Column:
     """How well a name fits a query, both in normal form: 100 equal, 85 at the start, up to 70 inside, up to 72 the other
     way round for names of 8 characters or more, 55 if every word of the query occurs, else 0."""
+    # fixed values: the points
     q = " ".join("".join(c if c.isalnum() and c.isascii() else " " for c in query.lower()).split())
     t = tx.one_space(F.regexp_replace(F.lower(title), "[^a-z0-9 ]", " "))
     at, back = F.instr(t, q) - 1, F.instr(F.lit(q), t) - 1

@@ -401,11 +401,6 @@ def agg_30_upper_median(spark, sf_dir):
     return each.select("p_type", found["m"].alias("m"))
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)econ') THEN 'a' WHEN regexp_matches(p_type, '(?i)promo|std|standard') THEN 'b' ELSE 'other' END AS label FROM part""")
-def fn_c_first_rule(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", rules.first_rule(F.col("p_type"), [("(?i)econ", "a"), ("(?i)promo|std|standard", "b")], "other").alias("label"))
-
-
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'debt_document' WHEN p_size % 4 = 1 THEN 'sec_filing' WHEN p_size % 4 = 2 THEN 'model_spreadsheet' ELSE 'other' END AS kind,
 CASE p_size % 4 WHEN 0 THEN 100 WHEN 1 THEN 95 WHEN 2 THEN 88 ELSE 50 END::DOUBLE AS priority FROM part""")
 def fn_c05_topk_12_sources(spark, sf_dir):

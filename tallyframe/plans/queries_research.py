@@ -39,18 +39,6 @@ def fn_r08_relevance(spark, sf_dir):
     return c.select("c_custkey", "c_nationkey", entities.relevance(points, F.lit(False), F.col("c_custkey") % 2 == 0, F.lit(False)).alias("score"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'credit_agreement' WHEN o_orderstatus = 'O' THEN 'periodic_filing' ELSE 'other' END AS kind FROM orders""")
-def fn_c03_document_class(spark, sf_dir):
-    head = F.when(F.col("o_orderstatus") == "F", "this Credit  Agreement dated").otherwise("nothing here")
-    return table(spark, sf_dir, "orders").select("o_orderkey", research.document_class(head, F.when(F.col("o_orderstatus") == "O", "10-k").otherwise("S-1")).alias("kind"))
-
-
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'pfas' WHEN 1 THEN 'asbestos' WHEN 2 THEN 'spill_release' ELSE 'other' END AS topic FROM part")
-def fn_c07_topics(spark, sf_dir):
-    t = F.element_at(F.array(*map(F.lit, ("PFAS in water", "some Asbestos here", "an oil spill", "nothing"))), (F.col("p_size") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", research.topic(t).alias("topic"))
-
-
 @query("""WITH a AS (SELECT s_nationkey AS k, 0 AS source_rank, s_suppkey AS pos FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey FROM customer), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_rank, pos) = 1)
 SELECT k, source_rank, pos FROM f ORDER BY source_rank, pos LIMIT 20""")
 def agg_41_candidates(spark, sf_dir):

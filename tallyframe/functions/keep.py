@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ColumnLike = str | Column
@@ -46,6 +46,22 @@ def upper_median(values: Column) -> Column:
     return F.get(v, F.floor(F.size(v) / 2).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: Sequence[str], value: ColumnLike) -> DataFrame:
+    """keys and median: element floor(n / 2) of each key's ascending values, null for none. Values are
+    counted first, so equal values of a hot key are summed before they meet."""
+    counts = df.where(_col(value).isNotNull()).groupBy(*keys, _col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("__n").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(w))
+    found = placed.where(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min("__v").alias("median"))
+    return df.select(*keys).distinct().join(found, list(keys), "left")
+
+
+def rounded_mean(value: ColumnLike, digits: int = 1) -> Column:
+    """The mean of the values that are there, rounded half up; null for none."""
+    return js_round(F.avg(_col(value)) * 10**digits) / 10**digits
+
+
 def js_round(x: Column) -> Column:
     """Half goes up, towards plus infinity."""
     return F.floor(x + 0.5)

@@ -14,6 +14,12 @@ SUFFIXES = r"(INCORPORATED|INC|CORPORATION|CORP|COMPANY|CO|L ?L ?C|LLC|L ?P|LP|L
 # fixed values: irregular plurals of statement labels
 PLURALS = {"liabilities": "liability", "activities": "activity", "securities": "security", "subsidiaries": "subsidiary", "categories": "category", "inventories": "inventory", "taxes": "tax", "losses": "loss"}
 STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "have", "has", "not", "but", "its", "our", "their", "than", "then", "will", "your", "which", "when", "where", "what", "you")
+# fixed values: words that don't count when chunks are ranked
+RANK_STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "hers", "him", "his", "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of",
+    "on", "or", "our", "ours", "she", "so", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "too", "us", "was", "we", "were", "what", "when",
+    "where", "which", "who", "why", "will", "with", "you", "your",
+)
 
 
 def chain(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -135,11 +141,49 @@ def street_address(address: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Text of marked-up text by replacement alone: scripts and styles go, tags become blanks, five entities are read."""
+    """Text of marked-up text by replacement alone: scripts and styles go, tags become blanks, the five basic entities
+    and the blank are read; all on one line."""
     s = chain(html, [(r"(?is)<script.*?>.*?</script>", " "), (r"(?is)<style.*?>.*?</style>", " "), (r"<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&amp;", "&")])
     return one_space(s)
 
 
+def html_to_lines(html: Column) -> Column:
+    """Like html_to_text(), but ends of blocks, rows and lines end a line; empty lines go."""
+    ends = F.regexp_replace(html, r"(?i)<(br|hr)\s*/?>|</(p|div|li|tr|table|h[1-6]|section|article|ul|ol|blockquote)\s*>", "\n")
+    s = chain(ends, [(r"(?is)<script.*?>.*?</script>", " "), (r"(?is)<style.*?>.*?</style>", " "), (r"<[^>]+>", " "), ("(?i)&nbsp;|&#160;", " "), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;|&apos;", "'"), ("(?i)&amp;", "&")])
+    lines = F.transform(F.split(s, "\n"), lambda x: one_space(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def upper_union(a: Column, b: Column) -> Column:
+    """The distinct values of two arrays in capitals, first occurrences in order."""
+    both = F.concat(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+    return F.array_distinct(F.transform(both, F.upper))
+
+
+# fixed values: letters with marks and their plain forms
+MARKED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžŸ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzY"
+
+
+def plain_letters(text: Column) -> Column:
+    """Latin letters without their marks: combining marks go, precomposed letters of the common alphabets are replaced."""
+    return F.translate(F.regexp_replace(text, r"[\u0300-\u036f]", ""), MARKED, PLAIN)
+
+
+def iso_time(text: Column) -> Column:
+    """A timestamp from ISO text, from compact yyyyMMddTHHmmss, or from epoch seconds in digits; null for anything else."""
+    t = F.trim(text)
+    compact = F.when(t.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd'T'HHmmss")))
+    epoch = F.when(t.rlike(r"^\d{9,10}$"), F.timestamp_seconds(t.try_cast("long")))
+    return F.coalesce(compact, epoch, F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), t.try_cast("timestamp")))
+
+
+def rectangular(grid: Column) -> Column:
+    """Rows of a grid filled with empty cells up to the longest."""
+    width = F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0))
+    return F.transform(grid, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+
+
 def normal_space(text: Column) -> Column:
     """Line ends as \\n, no blanks before them, at most one empty line in a row."""
     return F.trim(chain(text, [(r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]), F.lit(" \t\n\x0b\x0c"))
@@ -188,7 +232,7 @@ def capital_phrases(text: Column, most: int = 16) -> Column:
 def tokens(text: Column) -> Column:
     """Words for ranking: lower case, without URLs, of two characters or more, without stop words; repeats stay."""
     s = chain(F.lower(F.coalesce(text, F.lit(""))), [(r"https?://\S+", " "), (r"[^a-z0-9$%.\-+/\s]", " ")])
-    return F.filter(F.split(one_space(s), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP))
+    return F.filter(F.split(one_space(s), " "), lambda w: (F.length(w) >= 2) & ~w.isin(*RANK_STOP))
 
 
 def links(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import classes, rules, text as tx
+from tallyframe.functions import classes, text as tx
+from tallyframe.session import ship
 
 
 def drop_repeated_lines(docs: DataFrame, key: str, text: str, min_len: int = 40, min_count: int = 6) -> DataFrame:
@@ -85,19 +90,51 @@ def inverse_frequencies(chunks: DataFrame, key: str, words: str) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", idf.alias("idf"))  # one row
 
 
-def rank_chunks(chunks: DataFrame, query: DataFrame, key: str, words: str, boost: Column | None = None) -> DataFrame:
-    """Scores every chunk that has words: the sum over query terms of ln(1 + tf) idf ln(1 + qf), times
-    1 + 12 / sqrt(80 + words) and the boost. query: term, qf (the terms of one query). Chunks without query terms
-    score 0. Only query terms are exploded to rows, so hot words of the corpus aren't shuffled."""
-    valued = chunks.withColumn("__n", F.size(words)).where("__n > 0")
-    n = valued.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_chunks"))  # one row
-    tf = valued.select(key, F.explode(words).alias("term")).join(F.broadcast(query.select("term")), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).join(F.broadcast(query), "term")  # a query has few terms
-    idf = df.select("term", "qf", F.greatest(F.lit(0.2), F.log(1 + (F.col("n_chunks") + 1) / (F.col("df") + 1))).alias("idf"))
-    score = tf.join(F.broadcast(idf), "term").groupBy(key).agg(F.sum(F.log1p("tf") * F.col("idf") * F.log1p("qf")).alias("__s"))
-    out = valued.join(score, key, "left")
-    value = F.coalesce("__s", F.lit(0.0)) * (1 + 12 / F.sqrt(80 + F.col("__n")))
-    return out.withColumn("score", value * boost if boost is not None else value).drop("__n", "__s")
+#: Queries and their distinct terms that are ranked in one pass over the chunks; more queries take more passes.
+QUERY_BLOCK, QUERY_TERMS = 200, 20_000
+
+
+def rank_chunks(chunks: DataFrame, queries: DataFrame, key: str, words: str, query: str = "query", terms: str = "terms", section: str | None = None, boost: str | None = None) -> DataFrame:
+    """query, key and score for every query and every chunk that has words: the sum over the query's terms of
+    ln(1 + tf) idf ln(1 + qf), and a quarter of the idf for each word of the chunk's section label that is a term, times
+    1 + 12 / sqrt(80 + words) and the boost. Chunks without a term of the query score 0.
+
+    queries: query and terms (an array with repeats), a stated set. Terms of a block of queries go to the tasks with
+    the plan, so each row keeps its own matching words only and nothing else of the corpus is shuffled; counts per
+    term come from the same shuffle as the counts per chunk."""
+    asked = [(r[0], list(r[1] or [])) for r in queries.select(query, terms).orderBy(query).collect()]  # a stated query set
+    blocks: list[list] = [[]]
+    for q in asked:
+        if len(blocks[-1]) == QUERY_BLOCK or sum(len(t) for _, t in blocks[-1]) + len(q[1]) > QUERY_TERMS and blocks[-1]:
+            blocks.append([])
+        blocks[-1].append(q)
+    out = None
+    for block in blocks:
+        part = _rank_block(chunks, block, key, words, query, queries.schema[query].dataType.simpleString(), section, boost)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _rank_block(chunks: DataFrame, block: list, key: str, words: str, query: str, query_type: str, section: str | None, boost: str | None) -> DataFrame:
+    spark = chunks.sparkSession
+    wanted = F.array(*[F.lit(t) for t in sorted({t for _, ts in block for t in ts})]).cast("array<string>")
+    held = lambda c: F.filter(c, lambda w: F.array_contains(wanted, w))
+    label = held(F.coalesce(F.col(section), F.array().cast("array<string>"))) if section else F.array().cast("array<string>")
+    base = chunks.where(F.size(words) > 0).select(F.col(key).alias("k"), F.size(words).alias("n"), (F.col(boost) if boost else F.lit(1.0)).alias("b"), held(F.col(words)).alias("body"), label.alias("label"))
+    none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("in_body"), F.lit(0).alias("in_label")))  # one row for the chunk itself
+    entry = lambda body, other: lambda w: F.struct(w.alias("term"), F.lit(body).alias("in_body"), F.lit(other).alias("in_label"))
+    each = base.select("k", "n", "b", F.explode(F.concat(none, F.transform("body", entry(1, 0)), F.transform("label", entry(0, 1)))).alias("e"))
+    tf = each.groupBy("k", "n", "b", "e.term").agg(F.sum("e.in_body").alias("tf"), F.sum("e.in_label").alias("labels"))
+    df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) | (F.col("term") == "")).alias("df"))
+    n = df.where("term = ''").select(F.greatest(F.col("df"), F.lit(1)).alias("n_chunks"))  # one row
+    weights = spark.createDataFrame([(q, t, ts.count(t)) for q, ts in block for t in sorted(set(ts))] or [], f"{query} {query_type}, term string, qf int")
+    idf = F.when(F.col("df") > 0, F.greatest(F.lit(0.2), F.log(1 + (F.col("n_chunks") + 1) / (F.col("df") + 1)))).otherwise(0.2)
+    valued = df.where("term <> ''").join(F.broadcast(n)).select("term", idf.alias("idf")).join(F.broadcast(weights), "term")  # terms of one block
+    points = tf.join(F.broadcast(valued), "term").groupBy(query, "k").agg(F.sum(F.log1p("tf") * F.col("idf") * F.log1p("qf") + 0.25 * F.col("labels") * F.col("idf")).alias("s"))
+    ids = F.array(*[F.lit(q) for q, _ in block]).cast(f"array<{query_type}>")
+    whole = tf.where("term = ''").select("k", "n", "b", F.explode(ids).alias(query))
+    score = F.coalesce("s", F.lit(0.0)) * (1 + 12 / F.sqrt(80 + F.col("n"))) * F.col("b")
+    return whole.join(points, [query, "k"], "left").select(query, F.col("k").alias(key), score.alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -110,12 +147,49 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def cosine_top_k(vectors: DataFrame, query: list[float], k: int, key: str, vector: str) -> DataFrame:
-    """The k nearest vectors to one query by cosine (k at least 1): partial top-k per task, then one merge."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    norm = lambda v: F.sqrt(dot(v, v))
-    cosine = dot(F.col(vector), q) / (F.greatest(norm(F.col(vector)), F.lit(1e-300)) * F.greatest(norm(q), F.lit(1e-300)))
-    return vectors.select(key, cosine.alias("cosine")).orderBy(F.desc("cosine"), key).limit(max(1, k))
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str, embedding: str, block: int = 512) -> DataFrame:
+    """query, key and cosine of the k vectors most like each query (ties: least key). A zero vector has cosine 0.
+
+    queries: key and embedding, a stated set, taken in blocks that go to the tasks as one matrix. Each Arrow batch gives
+    at most k rows per query, those are cut to k per query and salt, and then to k per query."""
+    ship(vectors.sparkSession)
+    key_type = vectors.schema[key].dataType.simpleString()
+    ids = [r[0] for r in queries.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]  # a stated query set
+    out = None
+    for at in range(0, max(1, len(ids)), block):
+        rows = queries.where(F.col(key).isin(ids[at : at + block])).select(key, embedding).dropDuplicates([key]).orderBy(key).collect() if ids else []
+        part = _top_k_block(vectors, [(r[0], r[1]) for r in rows], k, key, embedding, key_type)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _top_k_block(vectors: DataFrame, block: list, k: int, key: str, embedding: str, key_type: str) -> DataFrame:
+    names = np.array([q for q, _ in block])
+    q = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1)
+
+    def units(m: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm == 0, 1, norm)
+
+    q = units(q)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not len(q):
+                continue
+            keys = batch["k"].to_numpy()
+            cosine = q @ units(np.stack(batch["v"].to_numpy()).astype(np.float64)).T
+            order = np.lexsort((np.broadcast_to(keys, cosine.shape), -cosine.round(12)), axis=1)[:, :k]
+            yield pd.DataFrame({"query": np.repeat(names, order.shape[1]), key: keys[order].ravel(), "cosine": np.take_along_axis(cosine, order, axis=1).ravel()})
+
+    rows = vectors.where(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("v"))
+    found = rows.mapInPandas(nearest, f"query {key_type}, {key} {key_type}, cosine double")
+    order = [F.desc(F.round("cosine", 12)), F.col(key)]
+    for by in (["query", "salt"], ["query"]):
+        cut = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64))) if "salt" in by else found
+        found = cut.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= k).select("query", key, "cosine")
+    return found
+
 
 
 def cap_per_group(ranked: DataFrame, group: str, score: str, key: str, most: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,14 +144,15 @@ def annual_column(columns: DataFrame, keys: list[str]) -> DataFrame:
     return columns.groupBy(*keys).agg(F.max_by("idx", F.struct(points, -F.col("idx"))).alias("idx"))
 
 
-def tree_rows(arcs: DataFrame, roots: DataFrame, max_depth: int = 32) -> DataFrame:
+def tree_rows(arcs: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes of presentation trees with depth and sort path, children by order. arcs: role, parent, child, ord;
-    roots: role, node. One join per level, until a level is empty; a node is shown once per depth, cycles end there."""
+    roots: role, node. One join per level, until a level is empty; a node is shown once per depth, and not again below
+    itself, so cycles end."""
     level = roots.select("role", "node", F.lit(0).alias("depth"), F.array(F.struct(F.lit(0.0).alias("ord"), F.col("node").alias("node"))).alias("path"))
     found = [level]
     edges = arcs.select("role", F.col("parent").alias("node"), "child", F.col("ord").cast("double").alias("ord"))
-    for depth in range(1, max_depth + 1):
-        step = level.join(edges, ["role", "node"]).select("role", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array(F.struct("ord", F.col("child").alias("node")))).alias("path"))
+    for depth in itertools.count(1):
+        step = level.join(edges, ["role", "node"]).where(~F.exists("path", lambda p: p["node"] == F.col("child"))).select("role", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array(F.struct("ord", F.col("child").alias("node")))).alias("path"))
         level = keep.keep_first(step, ["role", "node", "depth"], ["path"])
         if level.isEmpty():
             break

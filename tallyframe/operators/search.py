@@ -2,45 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import keep, periods, rules, text as tx
-from tallyframe.session import ship
-
-
-def greedy_clusters(hits: DataFrame, group: str, key: str, head_sets: str, at: str, order: list[Column], threshold: float, hours: float, salts: int = 1) -> DataFrame:
-    """Adds cluster: the key of the head of the first cluster whose head has a similarity (Jaccard of the word sets) of
-    at least threshold and lies within so many hours; else the row heads a cluster of its own.
-
-    Heads are compared in order, so clusters aren't transitive. Rows stream through a task sorted by group and order,
-    and only the heads of the last hours are held, so a hot group needs no more memory than its open heads. at: a
-    timestamp by which order runs ascending."""
-    ship(hits.sparkSession)
-    rows = hits.select(F.col(group).cast("string").alias("g"), F.col(key).cast("string").alias("k"), F.col(head_sets).alias("s"), F.col(at).cast("timestamp").cast("double").alias("t"), F.struct(*order).alias("o"))
-    rows = rows.repartition("g").sortWithinPartitions("g", "o").select("g", "k", "s", "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, heads = None, []
-        for batch in batches:
-            out = []
-            for g, k, s, t in zip(batch["g"], batch["k"], batch["s"], batch["t"]):
-                if g != current:
-                    current, heads = g, []
-                words = frozenset(s if s is not None else ())
-                heads = [h for h in heads if t - h[1] <= hours * 3600]
-                found = next((h[0] for h in heads if words and len(words & h[2]) >= threshold * len(words | h[2])), None)
-                if found is None:
-                    heads.append((k, t, words))
-                out.append((k, found or k))
-            yield pd.DataFrame(out, columns=["k", "cluster"])
-
-    found = rows.mapInPandas(run, "k string, cluster string")
-    key_type = hits.schema[key].dataType
-    return found.select(F.col("k").cast(key_type).alias(key), F.col("cluster").cast(key_type).alias("cluster"))
+from tallyframe.session import Scratch
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """a and b for all pairs of sets (id, words) whose Jaccard similarity is at least threshold, both ways.
+
+    Two such sets share one of their rarest words, so pairs come from a join on those alone (as many as the threshold
+    leaves open), never on the common ones."""
+    each = sets.select("id", F.explode("words").alias("word"))
+    ranked = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("r"))
+    first = F.size("r") - F.ceil(threshold * F.size("r")) + 1
+    rare = ranked.select("id", F.size("r").alias("size"), F.explode(F.slice("r", 1, first.cast("int"))).alias("x")).select("id", "size", "x.word")
+    a, b = (rare.select("word", F.col("id").alias(c), F.col("size").alias(f"s{c}")) for c in "ab")
+    sized = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb")
+    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    left, right = (sets.select(F.col("id").alias(c), F.col("words").alias(f"w{c}")) for c in "ab")
+    found = pairs.join(left, "a").join(right, "b").where(tx.jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
+    return found.union(found.select("b", "a"))
+
+
+def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, order: list[Column], threshold: float = 0.82, hours: float = 2.0) -> DataFrame:
+    """key and cluster: rows are taken in order; each joins the first head that is a duplicate of it, or becomes a head.
+    Duplicates have one URL in normal form, or word sets (of their titles) with a Jaccard similarity of at least
+    threshold and times within so many hours. Rows without URL, words or time are duplicates of none by these.
+
+    Exact, without comparing all rows: rows of one URL are duplicates of each other, and so are rows of one word set
+    within one span of hours; such a group has at most one head, so a row is compared with the heads of its groups and
+    of the groups of similar sets nearby. In each round a row joins the first head if no open row of those groups comes
+    before that head, and becomes a head if it is the first open one; hot groups are decided in two rounds."""
+    made = Scratch(hits.sparkSession, "clusters")
+    span = hours * 3600
+    link = F.coalesce(tx.match_url(F.col(url)), F.when(F.trim(url) != "", F.lower(F.trim(url))))
+    t = F.col(at).cast("timestamp").cast("double")
+    full = (F.size(words) > 0) & t.isNotNull()
+    sorted_words = F.array_sort(F.array_distinct(words))
+    rows = hits.select(F.col(key).alias("k"), F.struct(*order, F.col(key).alias("__key")).alias("o"), t.alias("t"), link.alias("u"), F.when(full, F.xxhash64(F.array_join(sorted_words, " "))).alias("w"), F.when(full, F.floor(t / span)).alias("b"), sorted_words.alias("words"))
+    rows = made.write(rows, "rows")
+    sets = made.write(rows.where("w is not null").groupBy(F.col("w").alias("id")).agg(F.first("words").alias("words")), "sets")
+    alike = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).union(similar_sets(sets, threshold))
+    groups = rows.where("w is not null").select("w", "b").distinct()
+    near = groups.join(alike.select(F.col("a").alias("w"), F.col("b").alias("nw")), "w").withColumn("nb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    near = made.write(near.join(groups.select(F.col("w").alias("nw"), F.col("b").alias("nb")), ["nw", "nb"]), "near")
+    key_type = rows.schema["k"].dataType.simpleString()
+    state = made.write(rows.drop("words").withColumn("head", F.lit(None).cast(key_type)), "state")
+    while True:
+        is_open, is_head = F.col("head").isNull(), F.col("head") == F.col("k")
+        facts = [F.min(F.when(is_head, F.struct("o", "k", "t"))).alias("h"), F.min(F.when(is_open, F.col("o"))).alias("first")]
+        by_url = state.where("u is not null").groupBy("u").agg(*facts)
+        by_words = state.where("w is not null").groupBy(F.col("w").alias("nw"), F.col("b").alias("nb")).agg(*facts)
+        open_rows = state.where("head is null").select("k", "o", "t", "u", "w", "b")
+        seen = open_rows.join(by_url, "u").select("k", "o", "h", "first")
+        around = open_rows.join(near, ["w", "b"]).join(by_words, ["nw", "nb"])
+        seen = seen.union(around.select("k", "o", F.when(F.abs(F.col("t") - F.col("h.t")) <= span, F.col("h")).alias("h"), "first")).union(open_rows.select("k", "o", F.lit(None).cast(seen.schema["h"].dataType).alias("h"), F.col("o").alias("first")))
+        best = seen.groupBy("k").agg(F.first("o").alias("own"), F.min(F.when(F.col("h.o") < F.col("o"), F.col("h"))).alias("h"), F.min("first").alias("first"))
+        decided = F.when(F.col("h.o") < F.col("first"), F.col("h.k")).when(F.col("h").isNull() & (F.col("first") == F.col("own")), F.col("k"))
+        new = made.write(best.select(F.col("k").alias("dk"), decided.alias("dhead")).where("dhead is not null"), "decided")
+        state = made.write(state.join(new, F.col("k") == F.col("dk"), "left").withColumn("head", F.coalesce("head", "dhead")).drop("dk", "dhead"), "state")
+        if state.where("head is null").isEmpty():
+            break
+    made.drop("rows", "sets", "near", "decided")
+    return state.select(F.col("k").alias(key), F.col("head").alias("cluster"))
 
 
 def merge_clusters(hits: DataFrame, cluster: str, order: list[str]) -> DataFrame:

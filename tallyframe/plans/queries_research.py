@@ -223,18 +223,17 @@ def src_18_html_tables(spark, sf_dir):
     return src.html_tables(pages.withColumn("html", html), "page_id", "html").withColumn("cells", F.to_json("cells"))
 
 
-@query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey::VARCHAR AS a, o_orderstatus AS b FROM orders WHERE o_custkey % 50 = 1""")
+@query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey::VARCHAR AS a, o_orderstatus AS b FROM orders""")
 def src_19_markdown_tables(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
     row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderstatus", F.lit(" |"))
-    docs = o.groupBy("o_custkey").agg(F.array_join(F.concat(F.array(F.lit("text"), F.lit("|---|---|")), F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"])), "\n").alias("t"))
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.concat(F.array(F.lit("text"), F.lit("|---|---|")), F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"])), "\n").alias("t"))
     out = src.markdown_tables(docs, "o_custkey", "t")
     return out.select("o_custkey", (F.col("line") - 1).cast("long").alias("line"), F.get("cells", F.lit(0)).alias("a"), F.get("cells", F.lit(1)).alias("b"))
 
 
-@query("SELECT doc_id, substr(text, 1, 280) AS head FROM documents WHERE length(text) BETWEEN 1 AND 100000 AND text NOT LIKE '%' || chr(10) || '%'")
-def fn_s14_heads(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text").between(1, 100000) & ~F.col("text").contains("\n")).select("doc_id", F.substring("text", 1, 280).alias("head"))
+@query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))) AS h FROM documents""")
+def fn_s14_normal_space(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normal_space(F.col("text")), 256).alias("h"))
 
 
 @query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' GROUP BY ALL")

@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,8 +21,18 @@ from tallyframe.functions import periods, rules
 from tallyframe.session import ship
 
 GRID = "source_file string, sheet string, row_pos int, cells array<string>, error string"
-# fixed values: words of tab names by statement, the first that fits
-TABS = [(r"income|operations|earnings|profit", "income_statement"), (r"balance|financial position|condition", "balance_sheet"), (r"cash", "cash_flow")]
+# fixed values: tab names of statements, and phrases in tab names, the first that fits
+TAB_NAMES = {"income statement": "income_statement", "balance sheet": "balance_sheet", "cash flow": "cash_flow", "cash flow statement": "cash_flow", "cash flows": "cash_flow"}
+TAB_PHRASES = [
+    ("statement of operations", "income_statement"),
+    ("statements of operations", "income_statement"),
+    ("statements of income", "income_statement"),
+    ("consolidated income", "income_statement"),
+    ("statement of cash flows", "cash_flow"),
+    ("statements of cash flows", "cash_flow"),
+    ("consolidated balance sheet", "balance_sheet"),
+    ("financial position", "balance_sheet"),
+]
 
 
 def is_annual_report(name: Column) -> Column:
@@ -29,8 +40,13 @@ def is_annual_report(name: Column) -> Column:
 
 
 def statement_of(tab: Column) -> Column:
-    """income_statement, balance_sheet, cash_flow or null, by the tab's name."""
-    return rules.first_rule(F.lower(tab), TABS, None)
+    """income_statement, balance_sheet, cash_flow or null: by the tab's whole name, else by a phrase in it. Letters,
+    digits and blanks count, in any case."""
+    name = F.trim(F.regexp_replace(F.lower(tab), r"[^a-z0-9\s]", ""))
+    exact = None
+    for text, statement in TAB_NAMES.items():
+        exact = F.when(name == text, statement) if exact is None else exact.when(name == text, statement)
+    return F.coalesce(exact, rules.first_rule(name, TAB_PHRASES, None))
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
@@ -71,7 +87,7 @@ def read_grids(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                name = path.rsplit("/", 1)[-1]
+                name = unquote(path.rsplit("/", 1)[-1])  # paths come as URLs
                 try:
                     out = [(name, s, r, c, None) for s, r, c in sheet_rows(content)]
                 except Exception as e:  # a bad file is a row of its own, the others are read

@@ -1,6 +1,7 @@
 """Small cases of the corpus, search, entity, filing and application operators."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,12 +45,28 @@ def test_periods(spark):
     assert [r[0] for r in spark.sql("SELECT explode(array(-1.5, 1.5, 2.4)) AS x").select(keep.js_round(F.col("x").cast("double"))).collect()] == [-1, 2, 2]
 
 
-def test_greedy_clusters_compare_with_heads_only(spark):
-    at = dt.datetime(2024, 1, 1)
-    rows = [("g", 1, ["a", "b", "c", "d"], at), ("g", 2, ["a", "b", "c", "e"], at), ("g", 3, ["b", "c", "e", "f"], at), ("g", 4, ["a", "b", "c", "d"], at + dt.timedelta(days=9))]
-    df = spark.createDataFrame(rows, "g string, k long, s array<string>, at timestamp")
-    out = {r.k: r.cluster for r in search.greedy_clusters(df, "g", "k", "s", "at", [F.col("at"), F.col("k")], 0.6, 48).collect()}
-    assert out == {1: 1, 2: 1, 3: 3, 4: 4}
+def test_greedy_clusters_against_brute_force(spark):
+    """Heads in order of priority, newest first; duplicates by URL at any time, by title within two hours."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "rises", "falls", "today", "again"]
+    rows = []
+    for i in range(160):
+        title = " ".join(rng.sample(words, rng.randrange(4, 7)))
+        url = rng.choice([None, "", f"https://a.com/{rng.randrange(60)}", f"HTTPS://A.com/{rng.randrange(60)}/?utm_source=x", f"https://b.com/{i}"])
+        rows.append((i, rng.choice([title, "the same title of all"]), url, rng.choice([None, 1_700_000_000 + rng.randrange(40_000)]), rng.randrange(3)))
+    df = spark.createDataFrame(rows, "id long, title string, url string, t long, priority int").withColumn("at", F.timestamp_seconds("t"))
+    df = df.withColumn("words", tx.word_set(F.col("title")))
+    got = {r.id: r.cluster for r in search.greedy_clusters(df, "id", "url", "words", "at", [F.col("priority"), -F.coalesce("t", F.lit(0))]).collect()}
+    link = lambda u: u.lower().split("?")[0].rstrip("/") if u else None
+    heads, want = [], {}
+    for i, title, url, t, p in sorted(rows, key=lambda r: (r[4], -(r[3] or 0), r[0])):
+        w = set(title.split())
+        dup = next((h for h in heads if (link(url) and link(url) == link(h[2])) or (t and h[3] and abs(t - h[3]) <= 7200 and len(w & set(h[1].split())) >= 0.82 * len(w | set(h[1].split())))), None)
+        if dup is None:
+            heads.append((i, title, url, t, p))
+        want[i] = dup[0] if dup else i
+    assert got == want
+    assert search.greedy_clusters(df.limit(0), "id", "url", "words", "at", [F.col("priority")]).count() == 0
 
 
 def test_pairwise_mean(spark):
@@ -97,7 +114,7 @@ def test_filings(spark):
     inst = spark.createDataFrame([(0, "Term loan", "100", "2027"), (1, "Senior unsecured notes", "1250", "2030")], "pos int, name string, principal string, due string")
     out = {r.note: (r.pos, r.status) for r in filings.reconcile_footnotes(notes, inst).collect()}
     assert out == {"n": (1, "match"), "m": (None, "none")}
-    tree = filings.tree_rows(spark.createDataFrame([("r", "a", "b", 2.0), ("r", "a", "c", 1.0), ("r", "c", "a", 1.0)], "role string, parent string, child string, ord double"), spark.createDataFrame([("r", "a")], "role string, node string"), 3)
+    tree = filings.tree_rows(spark.createDataFrame([("r", "a", "b", 2.0), ("r", "a", "c", 1.0), ("r", "c", "a", 1.0)], "role string, parent string, child string, ord double"), spark.createDataFrame([("r", "a")], "role string, node string"))
     assert [r.node for r in tree.where("depth < 2").orderBy("path").collect()] == ["a", "c", "b"]
 
 

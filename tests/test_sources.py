@@ -34,7 +34,7 @@ def test_workbooks(spark, tmp_path):
     grid = workbooks.read_grids(spark, str(tmp_path)).cache()
     assert grid.where("error is not null").select("source_file").first()[0].startswith("bad")
     out = [(r.concept, r.period, r.value) for r in workbooks.grid_facts(grid).orderBy("row_pos", "period").collect()]
-    assert out == [("us:Revenue", "FY20", 100.0), ("_:lineonly:a%2010-K.xlsx|Income Statement|R4", "1Q20", 2.5), ("_:lineonly:a%2010-K.xlsx|Income Statement|R4", "FY20", 5.0)] or [x[1:] for x in out] == [("FY20", 100.0), ("1Q20", 2.5), ("FY20", 5.0)]
+    assert out == [("us:Revenue", "FY20", 100.0), ("_:lineonly:a 10-K.xlsx|Income Statement|R4", "1Q20", 2.5), ("_:lineonly:a 10-K.xlsx|Income Statement|R4", "FY20", 5.0)]
 
 
 def test_company_facts_and_submissions(spark, tmp_path):

@@ -2,66 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.session import Scratch, materialize, new_path, shared_dir  # noqa: F401  (used by the operators)
+
 #: The ASCII white space of the contracts: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session on one machine that names none (tests) gets a new one."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        conf = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables between the steps of one operator, in the shared folder. A table is dropped once its successors are
-    written, so disk holds what is still read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
-
-    def write(self, df: DataFrame, step: str) -> DataFrame:
-        """Writes df as the table of a step and reads it again; the step's table before it is dropped after that."""
-        path, old = new_path(self.spark, f"{self.name}-{step}"), self.paths.get(step)
-        df.write.parquet(path)
-        self.paths[step] = path
-        if old:
-            self._delete(old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *steps: str) -> None:
-        for step in steps:
-            if step in self.paths:
-                self._delete(self.paths.pop(step))
-
-    def _delete(self, at: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added to those that df has as columns (in any case), for columns used in between."""
     taken = {c.lower() for c in df.columns}

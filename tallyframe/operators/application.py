@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.keep import keep_last
+from tallyframe.functions.keep import keep_last, rounded_mean
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -104,3 +104,25 @@ def merge_preferences(server: DataFrame, legacy: DataFrame, owner: str, prefs: s
     empty = F.create_map().cast("map<string,string>")
     s, old = F.coalesce("s", empty), F.coalesce("l", empty)
     return both.select(owner, F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(s, k)), s).alias(prefs))
+
+
+def summary(rows: DataFrame, keys: list[str], counts: dict[str, Column], distinct: dict[str, Column], means: dict[str, Column], digits: int = 1) -> DataFrame:
+    """Per key how many rows meet each condition, how many distinct values each column has, and rounded means of the
+    values that are there (null for none)."""
+    parts = [F.count_if(c).alias(n) for n, c in counts.items()] + [F.countDistinct(c).alias(n) for n, c in distinct.items()] + [rounded_mean(c, digits).alias(n) for n, c in means.items()]
+    return rows.groupBy(*keys).agg(*parts)
+
+
+def inbox(conversations: DataFrame, lobby: Column, updated: str, key: str, take: int = 100) -> DataFrame:
+    """A member's conversations: lobbies first, then the last updated, at most so many."""
+    return conversations.withColumn("is_lobby", F.coalesce(lobby, F.lit(False))).orderBy(F.desc("is_lobby"), F.desc(updated), key).limit(take)
+
+
+def visible(rows: DataFrame, to: str, viewer: Column, at: str, joined: Column) -> DataFrame:
+    """Rows that are for everyone or for the viewer, from the time the viewer joined on."""
+    return rows.where((F.col(to).isNull() | (F.col(to) == viewer)) & (F.col(at) >= joined))
+
+
+def replace_all(rows: DataFrame, new: DataFrame, owner: str) -> DataFrame:
+    """rows with all of the owners in new replaced by new's; owners without new rows keep theirs."""
+    return rows.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)

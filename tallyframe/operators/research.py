@@ -129,3 +129,69 @@ def grid_lookup(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     label, value. Joined by period; a period's wanted labels are few."""
     hit = wanted.select("want", "period", F.lower("label").alias("w")).join(cells.select("pos", "period", F.lower("label").alias("l"), "value"), "period").where(F.col("l").contains(F.col("w")))
     return hit.groupBy("want", "period").agg(F.min_by("value", "pos").alias("value"))
+
+
+def facet_counts(pages: DataFrame, entity: str, count: str, pos: str) -> DataFrame:
+    """Counts by entity over the pages of a search; spellings that differ in case or blanks are one, the first stays."""
+    folded = F.lower(tx.one_space(F.col(entity)))
+    return pages.where(folded != "").groupBy(folded.alias("__e")).agg(F.min_by(F.trim(entity), pos).alias(entity), F.sum(count).alias(count)).drop("__e")
+
+
+def table_scores(tables: DataFrame, part: str, text: Column, keywords: list[tuple[str, float]], cap: float) -> DataFrame:
+    """Per part of a document: best (the highest score of its tables) and total (the sum of their scores, each at most cap)."""
+    scored = tables.select(part, heading_score(keywords, text, float("inf")).alias("__s"))
+    return scored.groupBy(part).agg(F.max("__s").alias("best"), F.sum(F.least(F.lit(cap), "__s")).alias("total"))
+
+
+def rank_facilities(facilities: DataFrame, score: Column, name: str, take: int = 80) -> DataFrame:
+    """The facilities of the highest scores, then by name, at most so many."""
+    return facilities.withColumn("score", score).orderBy(F.desc("score"), name).limit(take)
+
+
+def rank_files(files: DataFrame, name: str, score: Column, least: float = 50) -> DataFrame:
+    """Files with at least so many points and their rank: by points, then by name. Each filing has few."""
+    return files.withColumn("score", score).where(F.col("score") >= least)
+
+
+def first_valid(candidates_: DataFrame, key: str, order: list[str], valid: Column) -> DataFrame:
+    """The first candidate of each key that is valid: newer filings before older ones, better names before worse."""
+    return keep.keep_first(candidates_.where(valid), [key], order)
+
+
+def year_range(rows: DataFrame, year: Column, first: int, last: int) -> DataFrame:
+    """Rows of the years, by year; rows without one go."""
+    return rows.withColumn("__y", year).where(F.col("__y").between(first, last)).drop("__y")
+
+
+def name_sets(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """The distinct names of both sides in normal form, and on which side each is."""
+    a, b = (df.select(tx.entity_name(F.col(name)).alias("norm")).where("norm <> ''").distinct().withColumn(side, F.lit(True)) for df, side in ((left, "in_left"), (right, "in_right")))
+    return a.join(b, "norm", "full").select("norm", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"))
+
+
+def merge_names(base: DataFrame, extra: DataFrame, name: str, pos: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Names of base, then of extra, once whatever their case and without those excluded: name and source (0 or 1)."""
+    folded = lambda c: F.lower(F.trim(c))
+    both = base.select(name, pos, F.lit(0).alias("source")).unionByName(extra.select(name, pos, F.lit(1).alias("source"))).where(F.trim(name) != "")
+    keyed = both.withColumn("__k", folded(F.col(name)))
+    if excluded is not None:
+        keyed = keyed.join(excluded.select(folded(F.col(name)).alias("__k")), "__k", "left_anti")
+    return keep.keep_first(keyed, ["__k"], ["source", pos]).select(F.trim(name).alias(name), "source")
+
+
+def statement_grid(facts: DataFrame) -> DataFrame:
+    """line, fy, value and sort_order: the first value of each standard line and year, in the facts' order. facts: pos,
+    statement, concept, fy, value. Concepts without a rule have lines of their own, last."""
+    line = rules.standard_line(F.col("concept"), F.col("statement"))
+    rows = facts.where("value is not null").select("pos", "statement", "fy", "value", line["line"].alias("line"), line["sort_order"].alias("sort_order"))
+    return rows.groupBy("statement", "line", "fy").agg(F.min_by("value", "pos").alias("value"), F.min("sort_order").alias("sort_order"))
+
+
+def merge_ordered(facts: DataFrame, keys: list[str], filed: str, pos: str) -> DataFrame:
+    """One fact per key: of the last filing, and in it the first."""
+    return keep.keep_first(facts, keys, [-F.col(filed), F.col(pos)])
+
+
+def latest_periods(periods_: DataFrame, keys: list[str], filed: str, end: str) -> DataFrame:
+    """One row per period key, the last filed, newest end first."""
+    return keep.keep_last(periods_, keys, [filed]).orderBy(F.desc(end), *keys)

@@ -26,10 +26,11 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return found.union(found.select("b", "a"))
 
 
-def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, order: list[Column], threshold: float = 0.82, hours: float = 2.0) -> DataFrame:
+def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, order: list[Column], threshold: float = 0.82, hours: float = 2.0, group: str | None = None) -> DataFrame:
     """key and cluster: rows are taken in order; each joins the first head that is a duplicate of it, or becomes a head.
     Duplicates have one URL in normal form, or word sets (of their titles) with a Jaccard similarity of at least
-    threshold and times within so many hours. Rows without URL, words or time are duplicates of none by these.
+    threshold and times within so many hours. Rows without URL, words or time are duplicates of none by these. With a
+    group (such as a broker) only rows of one group can be duplicates.
 
     Exact, without comparing all rows: rows of one URL are duplicates of each other, and so are rows of one word set
     within one span of hours; such a group has at most one head, so a row is compared with the heads of its groups and
@@ -41,15 +42,21 @@ def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, or
     t = F.col(at).cast("timestamp").cast("double")
     full = (F.size(words) > 0) & t.isNotNull()
     sorted_words = F.array_sort(F.array_distinct(words))
-    rows = hits.select(F.col(key).alias("k"), F.struct(*order, F.col(key).alias("__key")).alias("o"), t.alias("t"), link.alias("u"), F.when(full, F.xxhash64(F.array_join(sorted_words, " "))).alias("w"), F.when(full, F.floor(t / span)).alias("b"), sorted_words.alias("words"))
+    if group is not None:
+        link = F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(" "), link)
+    own = F.col(group).cast("string") if group is not None else F.lit(None).cast("string")
+    rows = hits.select(F.col(key).alias("k"), F.struct(*order, F.col(key).alias("__key")).alias("o"), t.alias("t"), link.alias("u"), F.when(full, F.xxhash64(F.array_join(sorted_words, " "), own)).alias("w"), F.when(full, F.floor(t / span)).alias("b"), sorted_words.alias("words"), own.alias("g"))
     rows = made.write(rows, "rows")
-    sets = made.write(rows.where("w is not null").groupBy(F.col("w").alias("id")).agg(F.first("words").alias("words")), "sets")
-    alike = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).union(similar_sets(sets, threshold))
+    sets = made.write(rows.where("w is not null").groupBy(F.col("w").alias("id")).agg(F.first("words").alias("words"), F.first("g").alias("g")), "sets")
+    alike = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).union(similar_sets(sets.select("id", "words"), threshold))
+    if group is not None:
+        of = lambda c: sets.select(F.col("id").alias(c), F.col("g").alias(f"g{c}"))
+        alike = alike.join(of("a"), "a").join(of("b"), "b").where(F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b")
     groups = rows.where("w is not null").select("w", "b").distinct()
     near = groups.join(alike.select(F.col("a").alias("w"), F.col("b").alias("nw")), "w").withColumn("nb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
     near = made.write(near.join(groups.select(F.col("w").alias("nw"), F.col("b").alias("nb")), ["nw", "nb"]), "near")
     key_type = rows.schema["k"].dataType.simpleString()
-    state = made.write(rows.drop("words").withColumn("head", F.lit(None).cast(key_type)), "state")
+    state = made.write(rows.drop("words", "g").withColumn("head", F.lit(None).cast(key_type)), "state")
     while True:
         is_open, is_head = F.col("head").isNull(), F.col("head") == F.col("k")
         facts = [F.min(F.when(is_head, F.struct("o", "k", "t"))).alias("h"), F.min(F.when(is_open, F.col("o"))).alias("first")]
@@ -190,3 +197,28 @@ def merge_hits(hits: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     both = a.join(b, key, "full")
     size = lambda c: F.coalesce(F.length(c), F.lit(-1))
     return both.select(key, F.when(size("s2") > size("s1"), F.col("s2")).otherwise(F.col("s1")).alias("snippet"), F.concat_ws(" | ", "q1", "q2").alias("query"))
+
+
+def expand_queries(rows: DataFrame, query: str, scopes: list[str]) -> DataFrame:
+    """Each query once for each scope of a short fixed list, the scope added as a site."""
+    return rows.withColumn("scope", F.explode(F.array(*[F.lit(x) for x in scopes]))).withColumn("scoped", F.concat(query, F.lit(" site:"), "scope"))
+
+
+def rank_hits(hits: DataFrame, mode: str, score: str, at: str, name: str, key: str, take: int) -> DataFrame:
+    """The first hits by a mode: relevance (score, then newest), recent (newest, then score) or name (name, then
+    newest); ties by key, hits without time last."""
+    newest, best = F.desc_nulls_last(at), F.desc(score)
+    order = {"relevance": [best, newest], "recent": [newest, best], "name": [F.asc(F.lower(name)), newest]}[mode]
+    return hits.orderBy(*order, key).limit(take)
+
+
+def merge_sources(stored: DataFrame, live: DataFrame, key: str, arrays: list[str]) -> DataFrame:
+    """Rows of both sides by key: arrays unite, other fields are the stored side's where it has them; source says stored,
+    live or merged."""
+    rest = [c for c in stored.columns if c != key and c not in arrays]
+    a = stored.select(key, *[F.col(c).alias(f"a_{c}") for c in (*rest, *arrays)], F.lit(True).alias("in_a"))
+    b = live.select(key, *[F.col(c).alias(f"b_{c}") for c in (*rest, *arrays)], F.lit(True).alias("in_b"))
+    none = F.array().cast("array<string>")
+    source = F.when(F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), "merged").when(F.col("in_a").isNotNull(), "stored").otherwise("live")
+    both = a.join(b, key, "full")
+    return both.select(key, *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in rest], *[F.array_sort(F.array_union(F.coalesce(f"a_{c}", none), F.coalesce(f"b_{c}", none))).alias(c) for c in arrays], source.alias("source"))

@@ -396,6 +396,448 @@ def agg_30_upper_median(spark, sf_dir):
     return keep.upper_medians(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice").withColumnRenamed("median", "m")
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'debt_document' WHEN p_size % 4 = 1 THEN 'sec_filing' WHEN p_size % 4 = 2 THEN 'model_spreadsheet' ELSE 'other' END AS kind,
+CASE p_size % 4 WHEN 0 THEN 100 WHEN 1 THEN 95 WHEN 2 THEN 88 ELSE 50 END::DOUBLE AS priority FROM part""")
+def fn_c05_topk_12_sources(spark, sf_dir):
+    m = F.col("p_size") % 4
+    name = F.when(m == 0, "x/Credit Agreement 1.pdf").when(m == 1, "10-K 2020.htm").when(m == 2, "lbo.xlsx").otherwise("zzz.bin")
+    kind = corpus.classify_source(name)
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), rules.lookup(kind, {k: float(v) for k, v in rules.SOURCE_PRIORITY.items()}, 50.0).alias("priority"))
+
+
+@query("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def fn_j01_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "event_type").where("k is not null")
+
+
+# --- corpus -------------------------------------------------------------------------------------------------------
+
+_WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, w, unnest(range(0, (CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE 1 + ceil((len(w) - 200) / 160.0) END)::BIGINT)) AS i FROM w)
+SELECT doc_id, i::INT AS chunk_index, len(w[i * 160 + 1 : i * 160 + 200])::INT AS n_words, sha256(array_to_string(w[i * 160 + 1 : i * 160 + 200], ' ')) AS chunk_hash FROM c""")
+def win_13_word_chunks(spark, sf_dir):
+    out = corpus.word_chunks(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    return out.select("doc_id", "chunk_index", "n_words", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, (CASE WHEN length(text) <= 1000 THEN 1 ELSE 1 + ceil((length(text) - 1000) / 850.0) END)::BIGINT)) AS i FROM documents WHERE length(text) > 0)
+SELECT doc_id, i::INT AS chunk_index, (i * 850)::INT AS char_start, sha256(substr(text, i * 850 + 1, 1000)) AS chunk_hash FROM c""")
+def win_14_char_chunks(spark, sf_dir):
+    out = corpus.char_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "chunk_index", "char_start", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+c AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l), m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS nth FROM c)
+SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (length(k) >= 40 AND n >= 2 AND nth > 1)), '')) AS kept, count(*) FILTER (length(k) >= 40 AND n >= 2 AND nth > 1)::INT AS n_dropped FROM m GROUP BY 1""")
+def agg_18_repeated_lines(spark, sf_dir):
+    out = corpus.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 40, 2)
+    return out.select("doc_id", F.sha2("text", 256).alias("kept"), "n_dropped")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\n\\v\\f]*\\n'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12))), lambda p: p <> '')) AS p FROM documents),
+n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id) AS pos FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(p) ORDER BY pos) AS nth FROM n)
+SELECT documents.doc_id, coalesce(k, 0) AS n_paragraphs FROM documents LEFT JOIN (SELECT doc_id, count(*) AS k FROM f WHERE nth = 1 GROUP BY 1) USING (doc_id)""")
+def dedup_10_paragraphs(spark, sf_dir):
+    kept = corpus.dedupe_paragraphs(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(kept == "", 0).otherwise(F.size(tx.paragraphs(kept))).cast("long").alias("n_paragraphs"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) AS pos FROM documents),
+c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM w WHERE word NOT IN ('the','and','for','with','that','this','from','are','was','were','have','has','not','but','its','our','their','than','then','will','your','which','when','where','what','you') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, word) AS nth FROM c) SELECT doc_id, string_agg(word, ' ' ORDER BY nth) AS tags FROM r WHERE nth <= 12 GROUP BY 1""")
+def agg_19_frequent_words(spark, sf_dir):
+    return corpus.frequent_words(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.array_join("tags", " ").alias("tags"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.RANK_STOP)
+_TOKENS = "list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'https?://[^ \\t\\n\\r\\f\\v]+', ' ', 'g'), '[^a-z0-9$%.\\-+/ \\t\\n\\r\\f\\v]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND w NOT IN (" + _STOP + "))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), v AS (SELECT * FROM t WHERE len(w) > 0), n AS (SELECT count(*) AS n FROM v), d AS (SELECT unnest(list_distinct(w)) AS term FROM v)
+SELECT term, count(*) AS df, round(greatest(0.2, ln(1 + (any_value(n) + 1) / (count(*) + 1))), 9) AS idf FROM d, n GROUP BY 1""")
+def agg_17_idf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w")).where("size(w) > 0")
+    return corpus.inverse_frequencies(docs, "doc_id", "w").withColumn("idf", F.round("idf", 9))
+
+
+_LABEL = _TOKENS.replace("coalesce(text, '')", "coalesce(source, '')")
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, n_chars, {_TOKENS} AS w, {_LABEL} AS label FROM documents), v AS (SELECT * FROM t WHERE len(w) > 0), n AS (SELECT count(*) AS n FROM v), items AS (SELECT * FROM benchmark WHERE item_id % 100 = 0),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(list_concat({_TOKENS}, ['src1', 'src2'])) AS term FROM items) GROUP BY ALL), x AS (SELECT doc_id, unnest(w) AS term FROM v), tf AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), idf AS (SELECT term, CASE WHEN df IS NULL THEN 0.2 ELSE greatest(0.2, ln(1 + (n + 1) / (df + 1))) END AS idf FROM (SELECT DISTINCT term FROM q) LEFT JOIN df USING (term), n),
+s AS (SELECT item_id, doc_id, sum(ln(1 + tf) * idf * ln(1 + qf)) AS s FROM tf JOIN q USING (term) JOIN idf USING (term) GROUP BY ALL), l AS (SELECT doc_id, unnest(label) AS term FROM v),
+b AS (SELECT item_id, doc_id, sum(0.25 * idf) AS b FROM l JOIN q USING (term) JOIN idf USING (term) GROUP BY ALL)
+SELECT item_id, doc_id, round((coalesce(s, 0) + coalesce(b, 0)) * (1 + 12 / sqrt(80 + len(w))) * CASE WHEN n_chars > 2000 THEN 1.18 ELSE 1 END, 6) AS score FROM items CROSS JOIN v LEFT JOIN s USING (item_id, doc_id) LEFT JOIN b USING (item_id, doc_id)""")
+def topk_05_rank_chunks(spark, sf_dir):
+    """Every hundredth benchmark item against all documents; the source is the section label, long texts are boosted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"), tx.tokens(F.col("source")).alias("label"), F.when(F.col("n_chars") > 2000, 1.18).otherwise(1.0).alias("boost"))
+    items = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.concat(tx.tokens(F.col("text")), F.array(F.lit("src1"), F.lit("src2"))).alias("terms"))
+    return corpus.rank_chunks(docs, items, "doc_id", "w", "item_id", "terms", "label", "boost").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query, vec_id, coalesce(list_cosine_similarity(embedding::DOUBLE[], q), 0) AS c FROM embeddings, q)
+SELECT query, vec_id, round(c, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) <= 10""")
+def topk_02_cosine(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return corpus.cosine_top_k(v, v.where("vec_id % 100 = 0"), 10, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6))
+
+
+@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS d, 1.0 AS unit FROM embeddings")
+def fn_m01_unit_vectors(spark, sf_dir):
+    e = F.col("embedding")
+    u = corpus.unit(e)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(corpus.dot(e, e), 4).alias("d"), F.round(corpus.dot(u, u), 6).alias("unit"))
+
+
+@query("""WITH r AS (SELECT *, sum(n_chars + 120) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM documents)
+SELECT doc_id, used FROM r WHERE used <= 240000 OR nth = 1""")
+def topk_03_pack_budget(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return corpus.pack_budget(docs, "n_chars", "doc_id", "n_chars", 240000).select("doc_id", "used")
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS g FROM documents), r AS (SELECT *, sum(n_chars + 120) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM c WHERE g <= 3)
+SELECT doc_id, used FROM r WHERE used <= 240000 OR nth = 1""")
+def topk_04_win_18_capped_pack(spark, sf_dir):
+    docs = corpus.cap_per_group(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "n_chars", "doc_id", 3)
+    return corpus.pack_budget(docs, "n_chars", "doc_id", "n_chars", 240000).select("doc_id", "used")
+
+
+@query("""WITH b AS (SELECT conv_id, turn, least(length(text), 300) AS c, coalesce(sum(least(length(text), 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)
+SELECT conv_id, turn, least(c, 700 - before)::INT AS take FROM b WHERE (least(c, 700 - before) = c AND c > 0) OR least(c, 700 - before) >= 40""")
+def topk_06_14_pack_parts(spark, sf_dir):
+    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
+    return corpus.pack_parts(parts, ["conv_id"], ["turn"], "len", 300, 700, 40).select("conv_id", "turn", F.col("take").cast("int").alias("take"))
+
+
+@query("SELECT conv_id, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT conv_id, sha256(coalesce(text, '')) AS h FROM conversations) GROUP BY 1")
+def agg_37_fingerprint(spark, sf_dir):
+    return corpus.fingerprint(table(spark, sf_dir, "conversations"), ["conv_id"], "text")
+
+
+@query("WITH s AS (SELECT source, count(*) AS w FROM documents GROUP BY 1) SELECT source, greatest(120, floor(4000 * w / (SELECT sum(w) FROM s) + 0.5))::INT AS words FROM s")
+def agg_33_allocate(spark, sf_dir):
+    parts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("w"))
+    return corpus.allocate(parts, "w", 4000).select("source", "words")
+
+
+@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b')))::INT AS n_dates FROM documents WHERE text IS NOT NULL""")
+def fn_s17_dates(spark, sf_dir):
+    found = tx.numbers_and_dates(F.col("text"), 1_000_000)
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.filter(found, lambda x: x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))).alias("n_dates"))
+
+
+@query()
+def fn_s16_s18_win_15_enrich(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    windows = corpus.keyword_windows(docs, "doc_id", "text", r"(?i)license|secret|the").groupBy("doc_id").agg(F.count("*").alias("n_windows"))
+    facts_ = docs.select("doc_id", tx.summary(F.col("text")).alias("summary"), F.array_join(tx.capital_phrases(F.col("text")), "; ").alias("phrases"), F.size(tx.links(F.col("text"))).alias("n_links"))
+    return facts_.join(windows, "doc_id", "left")
+
+
+@query()
+def fn_s13_html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+
+
+# --- search -------------------------------------------------------------------------------------------------------
+
+def hits(spark, sf_dir) -> DataFrame:
+    """Events as articles: the title from type and hour, the provider from the user."""
+    e = table(spark, sf_dir, "events")
+    title = F.concat_ws(" ", F.col("event_type"), F.lit("report"), F.get_json_object("props", "$.k"), F.lit("of"), F.date_format("ts", "yyyy MM dd"))
+    return e.select(F.col("event_id").alias("id"), title.alias("title"), F.concat(F.lit("https://n"), (F.col("user_id") % 7).cast("string"), F.lit(".example.com/"), F.lower(F.col("event_type")), F.lit("?id="), F.get_json_object("props", "$.k")).alias("url"),
+                    F.concat("event_type", F.lit(" "), F.col("props")).alias("summary"), F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("provider"), F.col("value").alias("score"), F.col("ts").alias("at"), (F.col("user_id") % 5).cast("int").alias("priority"), "event_type")
+
+
+@query()
+def dedup_01_greedy_clusters(spark, sf_dir):
+    rows = hits(spark, sf_dir).withColumn("words", tx.word_set(F.col("title")))
+    return search.greedy_clusters(rows, "id", "url", "words", "at", [F.col("priority"), -F.unix_micros(F.col("at").cast("timestamp"))])
+
+
+@query()
+def dedup_02_merge_clusters(spark, sf_dir):
+    rows = hits(spark, sf_dir)
+    clusters = search.greedy_clusters(rows.withColumn("words", tx.word_set(F.col("title"))), "id", "url", "words", "at", [F.col("priority"), -F.unix_micros(F.col("at").cast("timestamp"))])
+    return search.merge_clusters(rows.join(clusters, "id"), "cluster", ["priority", "at", "id"])
+
+
+@query("""WITH h AS (SELECT event_id AS id, user_id, event_type, value, ts FROM events), a AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, id) = 1)
+SELECT user_id, event_type, id, value FROM a QUALIFY row_number() OVER (PARTITION BY event_type, floor(value * 10) ORDER BY value DESC, id) = 1""")
+def dedup_04_two_pass_best(spark, sf_dir):
+    h = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("u"), F.floor(F.col("value") * 10).alias("b"))
+    return search.two_pass_best(h, "u", ["event_type", "b"], [-F.col("value"), F.col("id")]).select("user_id", "event_type", "id", "value")
+
+
+@query("""SELECT user_id, arg_max(event_id, value * 1e9 - event_id) AS event_id, max(value) AS value, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*) AS n_hits FROM events GROUP BY 1""")
+def dedup_05_keyed_merge(spark, sf_dir):
+    h = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.array("event_type").alias("types"))
+    return search.keyed_merge(h, "user_id", "value", ["types"], "event_id").select("user_id", "event_id", "value", F.array_join("types", ",").alias("types"), "n_hits")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL")
+def dedup_06_keep_first(spark, sf_dir):
+    return keep.keep_first(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderdate, lower(o_orderstatus || ' ' || o_custkey::VARCHAR) AS t FROM orders)
+SELECT o_orderkey, t FROM k QUALIFY row_number() OVER (PARTITION BY t ORDER BY substr(o_orderpriority, 1, 1)::INT, o_orderdate DESC, o_orderkey DESC) = 1""")
+def dedup_09_headlines(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", F.col("o_custkey").cast("string")).alias("title"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rank"), "o_orderdate")
+    return search.headline_dedupe(o, "title", "rank", "o_orderdate", "o_orderkey").select("o_orderkey", tx.match_title(F.col("title")).alias("t"))
+
+
+_AGE = "CASE WHEN a < 2 THEN 22 WHEN a < 7 THEN 16 WHEN a < 30 THEN 10 WHEN a < 180 THEN 4 ELSE 0 END"
+
+
+@query(f"""WITH h AS (SELECT event_id AS id, event_type, user_id, (epoch(TIMESTAMP '2024-02-01') - epoch_us(ts) / 1e6) / 86400 AS a FROM events)
+SELECT id, (CASE WHEN event_type = 'click' THEN 35 + 18 ELSE 0 END + {_AGE} + 7 + greatest(0, 6 - least(6, user_id % 5)))::DOUBLE AS score FROM h ORDER BY score DESC, a, id LIMIT 100""")
+def topk_07_fn_r01_news(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    title = F.concat(F.lit("about "), "event_type", F.lit(" in the news"))
+    score = search.news_score(title, F.lit("short"), F.array(F.upper("event_type")), F.lit(1), F.col("ts"), "CLICK", "Zzyzx Works", F.lit("2024-02-01"), (F.col("user_id") % 5).cast("int"))
+    return e.select(F.col("event_id").alias("id"), score.alias("score"), "ts").orderBy(F.desc("score"), F.desc("ts"), "id").limit(100).select("id", "score")
+
+
+@query("""SELECT event_id, round(least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END, 3) AS raw,
+CASE WHEN floor((least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END) * 10 + 0.5) / 10 >= 72 THEN 'high'
+ WHEN floor((least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END) * 10 + 0.5) / 10 >= 48 THEN 'medium' ELSE 'low' END AS bucket FROM events""".replace(", round(least", ", round(least", 1))
+def fn_r04_posts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    hit, none = F.col("event_type") == "click", F.lit(False)
+    s = search.post_score(F.col("value"), F.col("user_id").cast("double"), hit, none, F.lit(1))
+    raw = F.least(F.lit(22.0), 4 * F.log1p(F.greatest("value", F.lit(0.0)))) + F.least(F.lit(18.0), 3 * F.log1p(F.col("user_id").cast("double"))) + F.when(hit, 38).otherwise(0)
+    return e.select("event_id", F.round(raw, 3).alias("raw"), search.bucket(s, 72, 48).alias("bucket"))
+
+
+@query("SELECT event_id, round(value + 2 * (user_id % 3) + 1.5 * (user_id % 4) + 2.5 * (user_id % 5) + 0.0005 * event_id, 4) AS e FROM events")
+def fn_r05_engagement(spark, sf_dir):
+    u = F.col("user_id")
+    return table(spark, sf_dir, "events").select("event_id", F.round(search.engagement(F.col("value"), u % 3, u % 4, u % 5, F.col("event_id")), 4).alias("e"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' AND p_name LIKE '%red%' THEN 'mixed' WHEN p_name LIKE '%widget%' THEN 'company' WHEN p_name LIKE '%red%' THEN 'ticker' ELSE 'none' END AS how FROM part")
+def flt_12_mentions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", search.mentions(F.col("p_name"), "red", "Widget").alias("how"))
+
+
+# --- entities and registries -----------------------------------------------------------------------------------------
+
+@query("""SELECT c_nationkey, bool_or(c_acctbal > 9000) AS rich, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, arg_min(c_name, c_custkey) AS name, max(c_acctbal) AS score, count(DISTINCT c_custkey % 3) AS n_layers FROM customer GROUP BY 1""")
+def agg_25_merge_layers(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_acctbal") > 9000).alias("rich"), F.col("c_mktsegment").alias("segments"), F.col("c_acctbal").alias("score"), (F.col("c_custkey") % 3).alias("layer"), "c_custkey", "c_name")
+    firsts = rows.groupBy("c_nationkey").agg(F.min_by("c_name", "c_custkey").alias("name"))
+    out = entities.merge_layers(rows, "c_nationkey", "layer", ["rich"], ["segments"], [], "score")
+    return out.join(firsts, "c_nationkey").select("c_nationkey", "rich", F.array_join("segments", ",").alias("segments"), "name", "score", "n_layers")
+
+
+@query("""SELECT o_custkey, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) FILTER (o_orderpriority LIKE '1%') AS borrower, max(CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END) FILTER (o_orderpriority LIKE '2%') AS guarantor,
+arg_max(o_orderpriority, length(o_orderpriority)::VARCHAR || lpad('', 0) || o_orderpriority) AS display_name, count(DISTINCT o_orderkey) AS n_docs FROM orders GROUP BY 1""".replace("length(o_orderpriority)::VARCHAR || lpad('', 0) || o_orderpriority", "lpad(length(o_orderpriority)::VARCHAR, 4, '0') || o_orderpriority"))
+def agg_26_role_matrix(spark, sf_dir):
+    role = F.when(F.col("o_orderpriority").like("1%"), "borrower").when(F.col("o_orderpriority").like("2%"), "guarantor")
+    state = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "unclear").otherwise("no")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", role.alias("role"), state.alias("state"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("doc"))
+    return entities.role_matrix(rows, "o_custkey", "role", "state", "name", "doc", ["borrower", "guarantor"])
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders), s AS (SELECT o_custkey, least(100, sum(CASE left(o_orderpriority, 1) WHEN '1' THEN 40 WHEN '2' THEN 35 WHEN '3' THEN 20 ELSE 0 END)) AS score FROM d GROUP BY 1)
+SELECT o_custkey, score::DOUBLE AS score, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' WHEN score >= 20 THEN 'low' ELSE 'minimal' END AS tier FROM s""")
+def agg_27_role_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).alias("role"))
+    return entities.role_score(rows, "o_custkey", "role", {"1": 40.0, "2": 35.0, "3": 20.0})
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def join_15_missing_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("n", F.concat(F.lit("Unit "), F.col("c_custkey").cast("string"), F.lit(" L.L.C.")))
+    s = table(spark, sf_dir, "supplier").withColumn("n", F.concat(F.lit("UNIT "), F.col("s_suppkey").cast("string"), F.lit(", l.l.c.")))
+    return entities.missing_from(c, s, "n", "n").select("c_custkey")
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS listed FROM customer")
+def join_15_flag_members(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("n", F.concat(F.lit("Unit "), F.col("c_custkey").cast("string")))
+    s = table(spark, sf_dir, "supplier").withColumn("n", F.concat(F.lit("UNIT  "), F.col("s_suppkey").cast("string")))
+    return entities.flag_members(c, s, "n", "n", "listed").select("c_custkey", "listed")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)")
+def join_16_same_root(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("n", F.concat(F.lit("Unit "), F.col("c_custkey").cast("string"), F.lit(" Holdings LLC")))
+    s = table(spark, sf_dir, "supplier").withColumn("n", F.concat(F.lit("Unit "), F.col("s_suppkey").cast("string"), F.lit(" Corp.")))
+    return entities.same_root(c, s, "n", "n").select("c_custkey")
+
+
+@query("SELECT name, state, registry, lower(name || '|' || state || '|' || registry) AS task_key FROM (SELECT DISTINCT trim(s_name) AS name FROM supplier), (SELECT unnest(['DE', 'NY', 'TX']) AS state), (SELECT unnest(['sos', 'ucc']) AS registry)")
+def join_17_search_tasks(spark, sf_dir):
+    return entities.search_tasks(table(spark, sf_dir, "supplier"), "s_name", ["DE", "NY", "TX"], ["sos", "ucc"])
+
+
+@query("SELECT s_suppkey, upper(regexp_replace(s_name, '#', ' ')) || ' CORP' AS v1, upper(regexp_replace(s_name, '#', ' ')) AS v2 FROM supplier")
+def fn_s22_name_variants(spark, sf_dir):
+    v = entities.name_variants(F.concat("s_name", F.lit(" Corp.")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(v, F.lit(0)).alias("v1"), F.get(v, F.lit(1)).alias("v2"))
+
+
+@query("""SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(s_name, c_name) AS name, CASE WHEN c_custkey IS NOT NULL AND s_suppkey IS NOT NULL THEN 'merged' WHEN c_custkey IS NOT NULL THEN 'a' ELSE 'b' END AS source
+FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 7""".replace("coalesce(c_custkey, s_suppkey) AS id", "coalesce(c_custkey, s_suppkey * 7) AS id"))
+def join_13_registries(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).alias("id"), F.col("s_name").alias("name"))
+    return environment.merge_registries(a, b, "id", ["name"])
+
+
+@query("""WITH u AS (SELECT o_custkey AS k, max(o_totalprice) AS score, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS c, bool_or(o_orderpriority LIKE '1%') AS cf FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
+m AS (SELECT o_custkey AS k, max(o_totalprice) + 1 AS score FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)
+SELECT coalesce(u.k, m.k) AS k, CASE WHEN m.k IS NULL THEN 'kept' WHEN u.k IS NULL THEN 'created' WHEN cf THEN 'skipped' ELSE 'updated' END AS action, round(CASE WHEN m.k IS NULL OR cf THEN u.score ELSE greatest(u.score, m.score) END, 2) AS score FROM u FULL JOIN m ON u.k = m.k""".replace("OR cf THEN u.score", "OR coalesce(cf, false) THEN u.score"))
+def join_27_merge_universe(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    u = o.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("score"), F.collect_set("o_orderstatus").alias("categories"), F.max(F.col("o_orderpriority").like("1%")).alias("confirmed"))
+    m = o.where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg((F.max("o_totalprice") + 1).alias("score"), F.collect_set("o_orderpriority").alias("categories"))
+    return entities.merge_universe(u, m, "k").select("k", "action", r2(F.col("score")).alias("score"))
+
+
+@query("""SELECT c_custkey, 'negative_balance' AS rule, 'high' AS severity FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'no_segment', 'low' FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def agg_38_issues(spark, sf_dir):
+    return entities.issues(table(spark, sf_dir, "customer"), "c_custkey", [("negative_balance", "high", F.col("c_acctbal") < 0), ("no_segment", "low", F.col("c_mktsegment") == "BUILDING")])
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def agg_23_histogram(spark, sf_dir):
+    return environment.histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("""WITH s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, max(value) AS score, list_sort(list_distinct(list(event_type))) AS ids FROM events GROUP BY ALL), l AS (SELECT *, lag(score) OVER w AS ps, lag(ids) OVER w AS pi FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day))
+SELECT user_id, day, round(score - ps, 2) AS change, coalesce(array_to_string(list_sort(list_filter(ids, lambda x: NOT list_contains(pi, x))), ','), '') AS new_ids, abs(score - ps) >= 12 OR len(list_filter(ids, lambda x: NOT list_contains(pi, x))) > 0 AS alert FROM l WHERE pi IS NOT NULL""")
+def win_17_snapshot_changes(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.max("value").alias("score"), F.sort_array(F.collect_set("event_type")).alias("ids"))
+    out = environment.snapshot_changes(s, "user_id", "day", "score", "ids")
+    return out.select("user_id", "day", r2(F.col("change")).alias("change"), F.array_join("new_ids", ",").alias("new_ids"), "alert")
+
+
+@query("SELECT event_type, arg_max(event_id, value * 1e9 - event_id) AS event_id, max(value) AS value FROM events GROUP BY 1 ORDER BY value DESC, event_type LIMIT 12")
+def topk_11_hotspots(spark, sf_dir):
+    return environment.hotspots(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
+
+
+@query("SELECT c_custkey, floor(0.1 * (100 - 60) + 0.2 * least(100, greatest(0, c_acctbal / 100)) + 0.18 * 50 + 0.17 * least(100, c_nationkey * 5) + 0 + 0.13 * 10 + 0.5)::BIGINT AS score FROM customer")
+def agg_35_overall_score(spark, sf_dir):
+    parts = {"compliance": F.col("c_acctbal") / 100, "enforcement": F.lit(50.0), "emissions": F.col("c_nationkey") * 5.0, "waste": F.lit(0.0), "disclosure": F.lit(10.0), "trend": F.lit(-5.0)}
+    return table(spark, sf_dir, "customer").select("c_custkey", environment.overall_score(parts, F.lit(60.0)).alias("score"))
+
+
+# --- filings ------------------------------------------------------------------------------------------------------
+
+@query("SELECT l_partkey, l_suppkey, arg_max(l_extendedprice, strftime(l_shipdate, '%Y%m%d') || l_returnflag || lpad((l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0')) AS value FROM lineitem GROUP BY ALL")
+def agg_09_latest_filed(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", F.col("l_extendedprice").alias("value"))
+    return filings.latest_filed(cells, ["l_partkey", "l_suppkey"], "l_shipdate", "l_returnflag", "value").drop("l_shipdate")
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END * 100 + l_linenumber % 3 AS r FROM lineitem), b AS (SELECT l_orderkey, min(r) AS r FROM f GROUP BY 1),
+s AS (SELECT l_orderkey, list_sort(list_distinct(list(v))) AS vs FROM f JOIN b USING (l_orderkey, r) GROUP BY 1) SELECT l_orderkey, vs[(len(vs) // 2 + 1)::INT] AS value, len(vs)::INT AS n_values FROM s""")
+def agg_10_resolve_duplicates(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("NetIncomeLoss").alias("concept"), F.col("l_quantity").alias("value"), F.when(F.col("l_linestatus") == "O", "USD").otherwise("EUR").alias("unit"), (F.col("l_linenumber") % 3).alias("dims"))
+    return filings.resolve_duplicates(f, ["l_orderkey"], "concept", "value", "unit", "dims").drop("concept")
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_returnflag AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), w AS (SELECT l_orderkey, max(v) FILTER (c = 'N') AS n, max(v) FILTER (c = 'A') AS a, max(v) FILTER (c = 'R') AS r FROM v GROUP BY 1)
+SELECT l_orderkey, 'N' AS parent, n AS pv, a - r AS total, abs(n - (a - r)) <= greatest(20, 0.002 * abs(n)) AS passed FROM w WHERE n IS NOT NULL AND a IS NOT NULL AND r IS NOT NULL""")
+def join_09_val_05_rollups(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("concept")).agg(F.sum("l_quantity").alias("value"))
+    arcs = spark.createDataFrame([("N", "A", 1.0), ("N", "R", -1.0)], "parent string, child string, weight double")
+    return filings.rollups(arcs, v, ["l_orderkey"], 20.0)
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_type, CASE WHEN s_acctbal > 5000 THEN s_name END AS unit FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""")
+def join_07_facts_by_context(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("context_ref"), F.col("l_suppkey").alias("unit_ref"))
+    ctx = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("context_ref"), "p_type", F.lit(0).alias("dim_count"))
+    units = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("unit_ref"), F.col("s_name").alias("unit"))
+    return filings.facts_by_context(li, ctx, units).select("l_orderkey", "l_linenumber", "p_type", "unit")
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN sum((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS amendment_no,
+first_value(CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM orders""")
+def win_08_amendments(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderstatus") == "F").alias("amends"))
+    return filings.amendment_chain(o, "o_custkey", "o_orderdate", "amends", "o_orderkey").select("o_orderkey", "o_custkey", F.col("amendment_no").cast("long").alias("amendment_no"), "base")
+
+
+_RUNS = """h AS (SELECT user_id, event_id, (value)::INT % 30 AS num FROM (SELECT user_id, event_id, floor(value) AS value FROM events)), l AS (SELECT *, lag(num) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM h),
+r AS (SELECT *, sum(coalesce((p - num >= 5 OR (p >= 10 AND num <= 5))::INT, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM l)"""
+
+
+def headings(spark, sf_dir):
+    h = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") % 30).cast("int").alias("num"))
+    return filings.heading_runs(h, "user_id", "event_id", "num")
+
+
+@query(f"WITH {_RUNS} SELECT user_id, event_id, num, run FROM r")
+def win_09_heading_runs(spark, sf_dir):
+    return headings(spark, sf_dir)
+
+
+@query(f"""WITH {_RUNS}, g AS (SELECT *, event_id - lag(event_id) OVER w AS gap, (num > lag(num) OVER w)::INT AS up FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY event_id))
+SELECT user_id, run, count(*) AS n, coalesce(sum(up), 0)::BIGINT AS n_up, list_sort(list(gap) FILTER (gap IS NOT NULL))[(count(gap) // 2 + 1)::INT] AS median_gap FROM g GROUP BY ALL""")
+def win_10_run_scores(spark, sf_dir):
+    return filings.run_scores(headings(spark, sf_dir), "user_id", "event_id", "num")
+
+
+@query("SELECT conv_id, turn, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), 1000) AS segment_end FROM conversations")
+def win_11_segments(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(1000).cast("long").alias("ends"))
+    return filings.segments(c, "conv_id", "turn", "ends").drop("ends")
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
+def win_12_carry_heading(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("h"))
+    return filings.carry_heading(c, "conv_id", "turn", "h").select("conv_id", "turn", "section")
+
+
+@query()
+def join_10_reconcile_footnotes(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    notes = part.where("p_size >= 48").select(F.col("p_partkey").alias("note"), F.concat("p_name", F.lit(" "), "p_type").alias("description"), F.col("p_retailprice").cast("string").alias("amount"), F.lit("2030-01-01").alias("maturity"))
+    inst = part.select(F.col("p_partkey").alias("pos"), F.concat("p_brand", F.lit(" "), "p_name", F.lit(" "), "p_type").alias("name"), F.col("p_retailprice").cast("string").alias("principal"), F.lit("2030").alias("due"))
+    return filings.reconcile_footnotes(notes, inst)
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, (epoch(o_orderdate) / 86400)::BIGINT % 400 AS d FROM orders) SELECT o_custkey, arg_max(o_orderkey, CASE WHEN d BETWEEN 350 AND 380 THEN 3 WHEN d BETWEEN 300 AND 349 THEN 2 WHEN d BETWEEN 85 AND 100 THEN 1 ELSE 0 END * 1e9 - o_orderkey) AS idx FROM c GROUP BY 1""")
+def agg_14_annual_column(spark, sf_dir):
+    days = F.floor(F.unix_timestamp("o_orderdate") / 86400) % 400
+    return filings.annual_column(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("idx"), days.alias("days")), ["o_custkey"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey // 10 AS parent, o_orderkey AS child FROM orders WHERE o_orderkey <> o_orderkey // 10), r AS (SELECT DISTINCT parent AS node FROM e WHERE parent NOT IN (SELECT child FROM e)),
+t AS (SELECT node, 0 AS depth FROM r UNION ALL SELECT child, depth + 1 FROM t JOIN e ON e.parent = t.node) SELECT node, depth FROM t""")
+def fn_g01_tree(spark, sf_dir):
+    """All orders as trees: an order hangs below the one whose key is its own without the last digit."""
+    o = table(spark, sf_dir, "orders")
+    arcs = o.select(F.lit("r").alias("role"), F.floor(F.col("o_orderkey") / 10).alias("parent"), F.col("o_orderkey").alias("child"), F.col("o_orderkey").alias("ord")).where("parent <> child")
+    roots = arcs.select("role", F.col("parent").alias("node")).distinct().join(arcs.select(F.col("child").alias("node")), "node", "left_anti").select("role", "node")
+    return filings.tree_rows(arcs, roots).select("node", "depth")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate::DATE >= DATE '2002-01-01' - INTERVAL 3 YEAR")
+def flt_07_forms(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("form", F.col("o_orderpriority")).withColumn("filed", F.to_date("o_orderdate"))
+    return filings.filter_forms(o, ["1-URGENT", "2-HIGH"], "filed", "2002-01-01", 3).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, l_partkey AS part FROM lineitem")
+def fn_a02_columnar_rows(spark, sf_dir):
+    each = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    wide = each.select("l_orderkey", F.col("x.l_partkey").alias("part"), F.col("x.l_linenumber").alias("line"))
+    return filings.columnar_rows(wide, ["part", "line"], "l_orderkey").select("l_orderkey", F.col("pos").cast("long").alias("pos"), "part")
+
+
 # --- application --------------------------------------------------------------------------------------------------
 
 @query("""WITH b AS (SELECT user_id, event_type, value, event_id, 0 AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, value + 1, event_id, 1 FROM events WHERE event_id % 3 = 0)
@@ -429,14 +871,6 @@ def snk_13_quota(spark, sf_dir):
     return app.within_quota(used, delta, 5000)
 
 
-@query("""WITH m AS (SELECT DISTINCT conv_id AS conv, role AS usr FROM conversations) SELECT conv, usr AS "user", count(*) FILTER (turn > 1 AND role <> usr) AS unread FROM m JOIN conversations ON conv = conv_id GROUP BY ALL""")
-def agg_21_unread(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    members = c.select(F.col("conv_id").alias("conv"), F.col("role").alias("user")).distinct().withColumn("joined_at", F.lit(0).cast("long")).withColumn("last_read_at", F.lit(1).cast("long"))
-    messages = c.select(F.col("conv_id").alias("conv"), F.col("role").alias("sender"), F.col("turn").alias("at"), F.lit(None).cast("string").alias("visible_to"))
-    return app.unread_counts(members, messages)
-
-
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY 1")
 def join_21_latest_per_group(spark, sf_dir):
     return app.latest_per_group(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])
@@ -469,11 +903,6 @@ def agg_24_zero_filled(spark, sf_dir):
     return app.counts_with_zeros(table(spark, sf_dir, "events"), "event_type", ["click", "purchase", "refund", "none"])
 
 
-@query("SELECT event_type, count(*) FILTER (value >= 50) AS high, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean FROM events GROUP BY 1")
-def agg_22_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") >= 50).alias("high"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
-
-
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation")
 def dedup_12_union(spark, sf_dir):
     parts = [table(spark, sf_dir, t).select(F.col(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]

@@ -107,22 +107,6 @@ def join_23_grid_lookup(spark, sf_dir):
     return research.grid_lookup(cells, p.where("p_size > 45").select(F.col("p_partkey").alias("want"), F.col("p_brand").alias("period"), F.col("p_type").alias("label")))
 
 
-@query("""SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'a' WHEN o_totalprice > 300000 THEN 'b' ELSE 'c' END AS bucket FROM orders""".replace("o_custkey, o_orderkey, CASE", "o_orderkey, CASE"))
-def agg_29_buckets(spark, sf_dir):
-    kind = F.when(F.col("o_orderstatus") == "F", "a").when(F.col("o_totalprice") > 300000, "b").otherwise("c")
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("bucket"))
-
-
-@query("SELECT event_type, user_id % 10 AS facet, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC LIMIT 1000")
-def agg_28_facets(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 10).alias("facet")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT o_custkey, floor(avg(o_totalprice) * 10 + 0.5) / 10 AS mean FROM orders GROUP BY 1")
-def agg_31_mean(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg((keep.js_round(F.avg("o_totalprice") * 10) / 10).alias("mean"))
-
-
 @query("""WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, list_sort(list_distinct(list(o_orderpriority))) AS t FROM orders GROUP BY ALL), l AS (SELECT *, lag(t) OVER (PARTITION BY o_custkey ORDER BY y) AS b FROM y)
 SELECT o_custkey, y::INT AS y, array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(b, x))), ',') AS added FROM l WHERE b IS NOT NULL""")
 def agg_34_topic_changes(spark, sf_dir):
@@ -151,25 +135,6 @@ def dedup_20_urls(spark, sf_dir):
     return keep.keep_first(p, ["u"], ["page_id"])
 
 
-@query("""SELECT r_name, sum(CASE WHEN s_acctbal > 5000 THEN 10 ELSE 0 END + least(20, s_suppkey % 30))::DOUBLE AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
-def agg_32_capped_scores(spark, sf_dir):
-    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    score = research.heading_score([("x", 10.0)], F.when(F.col("s_acctbal") > 5000, "x").otherwise("y"), 52.0) + F.least(F.lit(20), F.col("s_suppkey") % 30)
-    return rows.groupBy("r_name").agg(F.sum(score).cast("double").alias("score"))
-
-
-@query("SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, lower(c_mktsegment), c_custkey LIMIT 80")
-def topk_10_facilities(spark, sf_dir):
-    return table(spark, sf_dir, "customer").orderBy(F.desc("c_nationkey"), F.lower("c_mktsegment"), "c_custkey").limit(80).select("c_custkey", "c_nationkey")
-
-
-@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN p_name LIKE '%widget%' THEN 60 ELSE 0 END + CASE WHEN p_size > 25 THEN 20 ELSE 0 END AS score FROM part) SELECT p_partkey, score::DOUBLE AS score FROM s WHERE score >= 50""")
-def topk_16_exhibits(spark, sf_dir):
-    score = research.heading_score([("widget", 60.0), ("#big", 20.0)], F.concat("p_name", F.when(F.col("p_size") > 25, "#big").otherwise("")), 100.0)
-    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).where("score >= 50")
-
-
 @query("""WITH s AS (SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS best FROM orders GROUP BY 1) SELECT o_custkey, best FROM s""")
 def agg_12_best_candidate(spark, sf_dir):
     return keep.keep_last(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("best"), "o_totalprice"), ["o_custkey"], ["o_totalprice"]).drop("o_totalprice")
@@ -182,38 +147,11 @@ def agg_16_last_years(spark, sf_dir):
     return app.retain_newest(newest, "o_custkey", [F.desc("fy")], 3)
 
 
-@query("""SELECT l_returnflag AS row_id, year(l_shipdate)::INT AS fy, arg_min(l_extendedprice, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey) AS value, min(l_linenumber) AS sort_order, max(length(l_linestatus || l_returnflag)) AS n FROM lineitem GROUP BY ALL""".replace("l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey", "l_orderkey * 1000000000 + l_linenumber * 10000000 + l_partkey"))
-def agg_15_statement_grid(spark, sf_dir):
-    pos = F.col("l_orderkey") * 1000000000 + F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("row_id"), F.year("l_shipdate").alias("fy")).agg(F.min_by("l_extendedprice", pos).alias("value"), F.min("l_linenumber").alias("sort_order"), F.max(F.length(F.concat("l_linestatus", "l_returnflag"))).alias("n"))
-
-
-@query("""SELECT d.doc_id, b.w FROM (SELECT doc_id, source FROM documents) d JOIN (SELECT source, count(*) AS w FROM documents GROUP BY 1) b USING (source)""")
-def join_22_chunk_source(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return d.join(d.groupBy("source").agg(F.count("*").alias("w")), "source").select("doc_id", "w")
-
-
 @query("SELECT DISTINCT c_custkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 400000")
 def flt_18_join_18_semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def join_31_anti(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
-
-
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z]{2,12}'))::INT AS n FROM documents WHERE regexp_matches(text, '(?i)license')")
-def flt_09_flt_17_keywords(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)license")).select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Z]{2,12}"), F.lit(0))).alias("n"))
-
-
-@query("SELECT turn, role, count(*) AS n, count(DISTINCT conv_id) AS convs FROM conversations GROUP BY ALL")
-def topk_13_inbox_counts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("turn", "role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("convs"))
-
-
 @query()
 def src_18_html_tables(spark, sf_dir):
     """The pages' lists as one-row tables beside their own tables."""
@@ -236,12 +174,6 @@ def fn_s14_normal_space(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normal_space(F.col("text")), 256).alias("h"))
 
 
-@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' GROUP BY ALL")
-def str_03_daily_batch(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.col("ts").between("2024-01-10", "2024-01-12"))
-    return e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
-
-
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'revenue' WHEN 1 THEN 'cash' WHEN 2 THEN 'cfo' ELSE 'unmapped__some_thing' END AS line, CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 25 WHEN 2 THEN 10 ELSE 9000 END::INT AS sort_order FROM part""")
@@ -351,12 +283,6 @@ def flt_22_latest_annual_report(spark, sf_dir):
     return filings.latest_annual_report(o, "o_custkey", "form", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, lower(o_orderpriority), o_orderkey) <= 2)")
-def topk_08_ranking_modes(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return app.retain_newest(o, "o_custkey", [F.desc("o_totalprice"), F.lower("o_orderpriority"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
-
-
 @query("""WITH v AS (SELECT l_orderkey, sum(l_quantity) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
 SELECT l_orderkey, n - a - r AS gap, abs(n - a - r) <= greatest(1, 0.02 * abs(n)) AS passed FROM v WHERE n IS NOT NULL AND a IS NOT NULL AND r IS NOT NULL""")
 def val_04_06_relative_tolerance(spark, sf_dir):

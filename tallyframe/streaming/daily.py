@@ -35,3 +35,11 @@ def upsert_batches(events: DataFrame, path: str, checkpoint: str, keys: list[str
         upsert(last, new, [*keys, "day"], seq).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_batch(articles: DataFrame, owner: str, key: str, at: str, end: str, hours: int = 24) -> DataFrame:
+    """The articles of the last so many hours before end, one per owner, day and key (the newest): what a daily run
+    merges into its tables."""
+    stop = F.to_timestamp(F.lit(end))
+    fresh = articles.where((F.col(at) <= stop) & (F.col(at) >= stop - F.make_interval(hours=F.lit(hours))))
+    return keep_last(fresh.withColumn("day", periods.ny_date_key(F.col(at))), [owner, "day", key], [at])

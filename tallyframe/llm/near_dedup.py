@@ -31,7 +31,7 @@ SEED = 7
 #: Pairs in a tile are confirmed if so many of the 128 signature bytes agree; at similarity 0.75 a pair has 96 on average.
 LIKELY = 70
 #: Centres that an open bucket gets after its first one, before what is left open is compared in tiles.
-ROUNDS = 2
+ROUNDS = 1
 #: Members and shingles of one side of a tile at most (a single longer set is a side of its own).
 TILE, TILE_SHINGLES = 256, 1_000_000
 
@@ -245,10 +245,14 @@ def tile_pairs(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) ->
     return found
 
 
-def tile_members(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int]]:
-    """The rows of one tile that take part in a likely pair."""
-    rep = g["rep"].to_numpy()
-    return [(int(x),) for x in np.unique([rep[k] for _, i, j in tile_pairs(g, percent, likely) for k in (i, j)]).astype(np.int64)]
+def tile_members(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int, int]]:
+    """bucket and rep of the rows of one tile that take part in a likely pair; a pair counts in the first bucket that it
+    shares only."""
+    rep, bucket, bands_ = g["rep"].to_numpy(), int(g["bucket"].iloc[0]), np.array(g["bands"].tolist(), dtype=np.int64)
+    pairs = np.array([(i, j) for _, i, j in tile_pairs(g, percent, likely)], dtype=np.int64).reshape(-1, 2)
+    same = bands_[pairs[:, 0]] == bands_[pairs[:, 1]]
+    first = bands_[pairs[:, 0], same.argmax(axis=1)] if len(pairs) else np.empty(0, dtype=np.int64)
+    return [(bucket, int(x)) for x in np.unique(rep[pairs[first == bucket]])]
 
 
 def tile_links(g: pd.DataFrame, percent: int = PERCENT, likely: int = LIKELY) -> list[tuple[int, int]]:
@@ -359,11 +363,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     opened = open_members(scored, labels)
     if not opened.isEmpty():
         opened = made.write(opened.select("bucket", "rep", "n_shingles", "root"), "open")
-        rows = tiled(opened, made.write).join(nodes.select("rep", "signature"), "rep")
-        told = made.write(by_tile(rows, lambda g: tile_members(g, percent), ["rep"]).distinct(), "told")
+        rows = tiled(opened, made.write).join(nodes.select("rep", "signature", "bands"), "rep")
+        told = made.write(by_tile(rows, lambda g: tile_members(g, percent), ["bucket", "rep"]).distinct(), "told")
         if not told.isEmpty():
-            sets = sets_of(told, "sets").withColumnRenamed("key", "rep")
-            rows = tiled(opened.join(told, "rep", "left_semi"), made.write).join(nodes.select("rep", "signature"), "rep").join(sets, "rep")
+            sets = sets_of(told.select("rep"), "sets").withColumnRenamed("key", "rep")
+            rows = tiled(opened.join(told, ["bucket", "rep"], "left_semi"), made.write).join(nodes.select("rep", "signature"), "rep").join(sets, "rep")
             links = links.union(made.write(by_tile(rows, lambda g: tile_links(g, percent), ["a", "b"]), "links-open"))
             labels = components(links, made)
     made.drop("sets", "open", "told", "tiles", "scored", "wanted", "centers")

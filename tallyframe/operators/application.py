@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.keep import keep_last, rounded_mean
+from tallyframe.session import ship
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -77,19 +80,27 @@ def search_users(users: DataFrame, term: str, fields: list[str], order: list[str
 
 def next_fit(rows: DataFrame, owner: str, order: str, size: str, most: int) -> DataFrame:
     """Rows of each owner in order, filled into parts of at most so many bytes; a larger row is a part alone. Returns
-    owner, order and part. An owner's files are few enough for one array; parts depend on every cut before."""
-    each = rows.groupBy(owner).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("all"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["part"] >= 0) & (a["used"] + x[size] <= most)
-        part = F.when(fresh, a["part"]).otherwise(a["part"] + 1)
-        used = F.when(fresh, a["used"] + x[size]).otherwise(x[size])
-        return F.struct(part.alias("part"), used.alias("used"), F.concat(a["out"], F.array(F.struct(x[order].alias(order), part.alias("part")))).alias("out"))
-
-    order_type = rows.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<{order}:{order_type},part:int>>").alias("out"))
-    out = each.select(owner, F.explode(F.aggregate("all", start, step)["out"]).alias("x"))
-    return out.select(owner, f"x.{order}", "x.part")
+    owner, order and part. Every cut depends on those before, so an owner's rows pass one after the other through one
+    task, which holds nothing but the open part."""
+    ship(rows.sparkSession)
+    types = {c: rows.schema[c].dataType.simpleString() for c in (owner, order)}
+    given = rows.select(F.col(owner).cast("string").alias("w"), F.col(order).cast("string").alias("k"), F.col(size).cast("long").alias("s"), F.col(order).alias("o"))
+    dealt = given.repartition("w").sortWithinPartitions("w", "o").select("w", "k", "s")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, part, used = object(), -1, 0
+        for batch in batches:
+            parts = []
+            for w, s in zip(batch["w"], batch["s"]):
+                if w != now:
+                    now, part, used = w, -1, most + 1
+                fits = part >= 0 and used + s <= most
+                part, used = (part, used + s) if fits else (part + 1, s)
+                parts.append(part)
+            yield pd.DataFrame({"w": batch["w"], "k": batch["k"], "part": parts})
+
+    found = dealt.mapInPandas(fill, "w string, k string, part int")
+    return found.select(F.col("w").cast(types[owner]).alias(owner), F.col("k").cast(types[order]).alias(order), "part")
 
 
 def counts_with_zeros(rows: DataFrame, key: str, domain: list) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions import classes, keep, scores
 from tallyframe.functions import text as tx
 from tallyframe.operators import application as app
-from tallyframe.operators import research, search
-from tallyframe.plans.queries import query, table
+from tallyframe.operators import coverage, research, search
+from tallyframe.plans.queries import FACTS, facts, files, hits, query, table
 from tallyframe.plans.queries_cases import cases
 from tallyframe.streaming import daily
 
@@ -169,8 +169,6 @@ def dedup_07_merge_sources(spark, sf_dir):
 @query()
 def dedup_03_broker_clusters(spark, sf_dir):
     """Notes of one broker within two days of each other; each broker's clusters are its own."""
-    from tallyframe.plans.queries import hits
-
     rows = hits(spark, sf_dir).withColumn("words", tx.word_set(F.col("title"))).withColumn("no_url", F.lit(None).cast("string"))
     return search.greedy_clusters(rows, "id", "no_url", "words", "at", [-F.col("score"), F.col("id")], 0.82, 48.0, "provider")
 
@@ -202,3 +200,31 @@ cases(
     lambda t: F.array_join(tx.numbers_and_dates(t), ";"),
 )
 cases("fn_s05_s06_similar_titles", [(("A big deal", "a BIG deal!", 10), True), (("A big deal", "a big deal today now", 10), False), (("A big deal", "a big deal", 8000), False)], lambda a, b, s: (tx.jaccard(tx.word_set(a), tx.word_set(b)) >= 0.82) & (s <= 7200))
+
+
+def _covered(spark, sf_dir):
+    """Concepts AF and NO are mapped, NF has facts but no entry, RF comes from the unresolved queue, XX is a line
+    without facts, AO and RO have facts but no line, ZZ is a queue entry that no sheet has; some mapped cells are missing."""
+    all_facts = facts(spark, sf_dir).select("stmt", "concept", "period", "file", "value")
+    own = all_facts.where("concept <> 'RF'")
+    stmt = "income_statement"
+    rows = spark.createDataFrame([(stmt, "A", 0), (stmt, "N", 1)], "stmt string, row_id string, display_order int")
+    entries = spark.createDataFrame([(stmt, "AF", "A"), (stmt, "NO", "N")], "stmt string, concept string, row_id string")
+    lines = spark.createDataFrame([(stmt, "b.xlsx", i, c) for i, c in enumerate(("AF", "NF", "NO", "RF", "XX"))], "stmt string, file string, pos int, concept string")
+    kept = own.where("concept = 'AF' and period not like '1Q%'").join(files(spark, sf_dir), "file").groupBy("stmt", F.lit("A").alias("row_id"), "period").agg(F.max_by("value", "recency").alias("value"))
+    rest = all_facts.where("concept = 'RF'")
+    zz = spark.createDataFrame([(stmt, "ZZ", "1Q20", "1-URGENT", 7.0), (stmt, "", "1Q20", "1-URGENT", 1.0), (stmt, "YY", "no period", "1-URGENT", 1.0), (stmt, "YY", "1Q20", "1-URGENT", None)], "stmt string, concept string, period string, file string, value double")
+    return coverage.cover(rows, entries, kept, own, rest.unionByName(zz), lines, files(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS.strip()}, m AS (SELECT * FROM (VALUES ('AF', 'A'), ('NO', 'N'), ('NF', 'NF'), ('RF', 'RF'), ('AO', 'AO'), ('RO', 'RO')) AS t(concept, target)),
+c AS (SELECT target AS row_id, period, arg_max(value, recency) AS value FROM facts JOIN m USING (concept) JOIN files USING (file) GROUP BY ALL)
+SELECT row_id, period, value, CASE WHEN row_id = 'A' AND period NOT LIKE '1Q%' THEN 'consolidated' WHEN row_id IN ('A', 'N') THEN 'repaired' WHEN row_id <> 'RF' THEN 'explicit_workbook_line' ELSE 'coverage_integrated' END AS how FROM c
+UNION ALL SELECT 'ZZ', '1Q20', 7.0, 'coverage_integrated'""")
+def cov_08_passes(spark, sf_dir):
+    return _covered(spark, sf_dir)[0].cells.select("row_id", "period", "value", "how")
+
+
+@query("""SELECT row_id, display_order FROM (VALUES ('ZZ', 0), ('AO', 1), ('RO', 2), ('A', 3), ('NF', 4), ('N', 5), ('RF', 6), ('XX', 7)) AS t(row_id, display_order)""")
+def cov_03_04_rows(spark, sf_dir):
+    return _covered(spark, sf_dir)[0].rows.select("row_id", "display_order")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import periods
 from tallyframe.functions.keep import keep_last
 from tallyframe.operators.application import upsert
+from tallyframe.session import materialize
 
 
 def fresh_events(events: DataFrame, key: str, at: str, late: str = "24 hours") -> DataFrame:
@@ -25,14 +26,19 @@ def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour"
 
 
 def upsert_batches(events: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str, at: str):
-    """Starts a query that merges each micro-batch into day tables under path/batch=<id>: version n + 1 is version n
-    with the batch's rows. A batch that runs again after a failure writes the same version again."""
+    """Starts a query that merges each micro-batch into a table by day under path. Only the days that a batch has rows
+    of are read and rewritten. A batch that runs again after a failure gives the same rows again."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = keep_last(batch.withColumn("day", periods.ny_date_key(F.col(at))), [*keys, "day"], [seq])
-        spark = batch.sparkSession
-        last = spark.read.parquet(f"{path}/batch={n - 1}") if n else new.limit(0)
-        upsert(last, new, [*keys, "day"], seq).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        new = materialize(keep_last(batch.withColumn("day", periods.ny_date_key(F.col(at))), [*keys, "day"], [seq]), "daily-new")
+        touched = [r.day for r in new.select("day").distinct().collect()]  # a batch has few days
+        if not touched:
+            return
+        jvm = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        there = jvm.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(jvm)
+        old = batch.sparkSession.read.schema(new.schema).parquet(path).where(F.col("day").isin(touched)) if there else new.limit(0)
+        merged = materialize(upsert(old.select(new.columns), new, [*keys, "day"], seq), "daily-merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import keep, text as tx
+from tallyframe.functions import classes, keep, text as tx
 
 
 def latest_filed(cells: DataFrame, keys: list[str], filed: str, frame: str, value: str) -> DataFrame:
@@ -195,3 +195,69 @@ def period_scores(facts: DataFrame, keys: list[str], dims: str) -> DataFrame:
 def latest_annual_report(filings_: DataFrame, owner: str, form: str, filed: str, tie: str) -> DataFrame:
     """The last annual report of each owner; amendments don't count."""
     return keep.keep_last(filings_.where(F.upper(F.trim(form)).isin("10-K", "20-F", "40-F", "10-KT")), [owner], [filed, tie])
+
+
+def lookup_tickers(asked: DataFrame, directory: DataFrame, ticker: str) -> DataFrame:
+    """asked with cik (ten digits): that of the first spelling in the directory (ticker, cik); digits of 6 to 10 places
+    are a cik themselves; null where nothing fits."""
+    tries = asked.select(ticker, F.posexplode(classes.ticker_spellings(F.col(ticker))).alias("nth", "t")).distinct()
+    listed = keep.keep_first(directory.select(F.upper("ticker").alias("t"), F.col("cik").cast("string").alias("c")), ["t"], ["c"])
+    hit = tries.join(listed, "t").groupBy(ticker).agg(F.min_by("c", "nth").alias("c"))
+    own = F.when(F.trim(ticker).rlike(r"^\d{6,10}$"), F.trim(ticker))
+    return asked.join(hit, ticker, "left").withColumn("cik", F.lpad(F.coalesce(own, "c"), 10, "0")).drop("c")
+
+
+def viewer_concepts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, pos, concept and label of the rows of a viewer page, in order, each concept once. A reference such as
+    defref_us-gaap_Revenues names us-gaap:Revenues."""
+    pattern = F.lit(r"(?is)Show\.showAR\(\s*this,\s*'defref_([^']+)'[^>]*>(.*?)</a>")
+    names, labels = F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(2))
+    rows = pages.select(key, F.posexplode(F.arrays_zip(names.alias("n"), labels.alias("l"))).alias("pos", "r"))
+    concept = F.regexp_replace(F.col("r.n"), "^([^_]+)_", "$1:")
+    label = tx.html_to_text(F.col("r.l"))
+    return keep.keep_first(rows.select(key, "pos", concept.alias("concept"), F.when(label == "", concept).otherwise(label).alias("label")), [key, "concept"], ["pos"])
+
+
+def drop_stray_headings(headings: DataFrame, doc: str, pos: str, number: str) -> DataFrame:
+    """Headings without those numbered 9 or more whose next one is 8 or less and more than 3 below: they are citations."""
+    after = F.lead(number).over(Window.partitionBy(doc).orderBy(pos))
+    return headings.withColumn("__next", after).where(~F.coalesce((F.col(number) >= 9) & (F.col("__next") <= 8) & (F.col("__next") < F.col(number) - 3), F.lit(False))).drop("__next")
+
+
+# fixed values: concepts that structural checks compare, first ones first
+CHECKED = {
+    "assets": [r":Assets$"],
+    "funding": [r"LiabilitiesAndStockholdersEquity$"],
+    "net_income": [r":NetIncomeLoss$", r":ProfitLoss$", r"NetIncomeLossAvailableToCommonStockholdersBasic"],
+    "pretax": [r"IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest$", r"IncomeLossFromContinuingOperationsBeforeIncomeTaxes$"],
+    "tax": [r":IncomeTaxExpenseBenefit$"],
+    "operating": [r"NetCashProvidedByUsedInOperatingActivities"],
+    "investing": [r"NetCashProvidedByUsedInInvestingActivities"],
+    "financing": [r"NetCashProvidedByUsedInFinancingActivities"],
+    "cash_change": [r"CashCashEquivalentsPeriodIncreaseDecrease$", r"CashCashEquivalentsPeriodIncreaseDecreaseIncludingExchangeRateEffect$", r"CashAndCashEquivalentsPeriodIncreaseDecrease"],
+}
+
+
+def structural_checks(facts: DataFrame, keys: list[str], tolerance: float, cash_tolerance: float) -> DataFrame:
+    """keys, name, gap and passed of three checks, where all their values are there: assets = liabilities and equity;
+    pretax income plus or minus tax = net income; the three cash flows = change of cash. facts: keys, pos, concept, value."""
+    picks = []
+    for name, patterns in CHECKED.items():
+        rank = F.lit(None).cast("int")
+        for i, p in reversed(list(enumerate(patterns))):
+            rank = F.when(F.col("concept").rlike(f"(?i){p}"), i).otherwise(rank)
+        picks.append(F.min_by(F.when(rank.isNotNull(), F.col("value")), F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("pos")))).alias(name))
+    v = facts.where("value is not null").groupBy(*keys).agg(*picks)
+    c = F.col
+    income = F.least(F.abs(c("pretax") + c("tax") - c("net_income")), F.abs(c("pretax") - c("tax") - c("net_income")))
+    cash = F.abs(c("operating") + c("investing") + c("financing") - c("cash_change"))
+    checks = [("assets", F.abs(c("assets") - c("funding")), tolerance), ("net_income", F.when((c("pretax") + c("tax") + c("net_income")).isNotNull(), income), tolerance), ("cash", cash, cash_tolerance)]
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), gap.alias("gap"), (gap <= most).alias("passed")) for n, gap, most in checks])
+    return v.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*").where("gap is not null")
+
+
+def flatten_workbook(rows: DataFrame) -> DataFrame:
+    """Facts from rows with a map of values by period: kind, concept, line, period, value and filename. Rows without a
+    concept, and values that are missing or no numbers, go."""
+    each = rows.where(F.coalesce("concept", F.lit("")) != "").select("filename", "kind", "concept", "line", F.explode("values_by_period").alias("period", "value"))
+    return each.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import classes, keep, scores
 from tallyframe.functions import text as tx
 from tallyframe.operators import application as app
-from tallyframe.operators import coverage, research, search
+from tallyframe.operators import coverage, filings, research, search
 from tallyframe.plans.queries import FACTS, facts, files, hits, query, table
 from tallyframe.plans.queries_cases import cases
 from tallyframe.streaming import daily
@@ -228,3 +228,68 @@ def cov_08_passes(spark, sf_dir):
 @query("""SELECT row_id, display_order FROM (VALUES ('ZZ', 0), ('AO', 1), ('RO', 2), ('A', 3), ('NF', 4), ('N', 5), ('RF', 6), ('XX', 7)) AS t(row_id, display_order)""")
 def cov_03_04_rows(spark, sf_dir):
     return _covered(spark, sf_dir)[0].rows.select("row_id", "display_order")
+
+
+cases("fn_s11_generic_agents", [(("C T Corporation System",), True), (("CSC",), True), (("The Corporation Trust  Company",), True), (("Harvard Business Services",), True), (("Acme Agents",), True), (("John Doe",), False), ((None,), False)], lambda n: classes.generic_agent(n, [r"\bACME\b"]))
+cases("fn_s23_states", [(("1 MAIN ST, DOVER, DE 19901",), "DE"), (("1 MAIN ST DE 19901-1234",), ""), (("DOVER DE",), "")], classes.state_of)
+cases("fn_j02_states", [(('[{"state": "ny"}, {"x": 1}, {"state": "Tx"}]',), "NY,TX"), (("[]",), ""), (('{"state": "ny"}',), "NY"), (("none",), "")], lambda j: F.array_join(classes.states_in(j), ","))
+cases("src_11_spellings", [(("brk.b",), "BRK.B,BRK-B"), (("BRK B",), "BRK B,BRKB,BRK-B"), ((" t ",), "T"), (("",), "")], lambda t: F.array_join(classes.ticker_spellings(t), ","))
+cases(
+    "fn_s20_company_names",
+    [
+        (("Buy $GE now",), "ticker 0.3"), (("NYSE: GE and General Electric",), "mixed 0.9"), (("general electric",), "company 0.75"), (("about gecorp",), "alias 0.52"), (("image",), "none 0.0"), (("GE, GECORP",), "mixed 0.9"),
+    ],
+    lambda t: F.concat_ws(" ", classes.names_company(t, "GE", "General Electric", ["GE", "gecorp"])["kind"], F.round(classes.names_company(t, "GE", "General Electric", ["GE", "gecorp"])["confidence"], 2).cast("string")),
+)
+cases(
+    "flt_19_contents_tables",
+    [
+        (("item 1,a|item 2,b|item 3,c|item 4,d|item 5,e",), True), (("table of contents,x|a,b|c,d|e,f",), True), (("Part I,x|item 1,item 2|item 3,item 4|y,z|q,w",), True), (("Assets,1|Cash,2|Debt,3|Equity,4|Other,5",), False), (("item 1,a|item 2,b",), False),
+    ],
+    lambda g: classes.contents_table(F.transform(F.split(g, "[|]"), lambda r: F.split(r, ","))),
+)
+
+
+@query("""WITH d AS (SELECT 'C' || c_custkey::VARCHAR || '-A' AS ticker, c_custkey AS cik FROM customer), a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '00' || (1000000 + o_orderkey)::VARCHAR ELSE lower('C' || o_custkey::VARCHAR || CASE WHEN o_orderkey % 2 = 0 THEN '.A' ELSE ' A' END) END AS asked, o_custkey FROM orders)
+SELECT o_orderkey, lpad(CASE WHEN o_orderkey % 5 = 0 THEN asked ELSE d.cik::VARCHAR END, 10, '0') AS cik FROM a LEFT JOIN d ON o_custkey = d.cik""")
+def src_11_tickers(spark, sf_dir):
+    directory = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("-A")).alias("ticker"), F.col("c_custkey").alias("cik"))
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 == 0, F.concat(F.lit("00"), (k + 1000000).cast("string"))).otherwise(F.lower(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, ".A").otherwise(" A"))))
+    return filings.lookup_tickers(table(spark, sf_dir, "orders").select("o_orderkey", name.alias("asked")), directory, "asked").select("o_orderkey", "cik")
+
+
+@query("""SELECT c_custkey, concept, label FROM customer, (VALUES ('us-gaap:Revenues', 'Net revenue & other'), ('acme:Other', 'acme:Other')) AS t(concept, label)""")
+def src_16_viewer_rows(spark, sf_dir):
+    row = lambda n, label: f"<a onclick=\"Show.showAR( this, 'defref_{n}', window )\">{label}</a>"
+    page = F.lit(row("us-gaap_Revenues", "Net <b>revenue</b> &amp; other") + row("acme_Other", " ") + row("us-gaap_Revenues", "again"))
+    return filings.viewer_concepts(table(spark, sf_dir, "customer").withColumn("html", page), "c_custkey", "html").select("c_custkey", "concept", "label")
+
+
+@query("WITH n AS (SELECT o_custkey, o_orderkey, o_orderkey % 16 AS n, lead(o_orderkey % 16) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nn FROM orders) SELECT o_custkey, o_orderkey FROM n WHERE NOT coalesce(n >= 9 AND nn <= 8 AND nn < n - 3, false)")
+def flt_23_stray_headings(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("number", F.col("o_orderkey") % 16)
+    return filings.drop_stray_headings(o, "o_custkey", "o_orderkey", "number").select("o_custkey", "o_orderkey")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 1000.0 + c_acctbal AS a, c_custkey % 4 AS m FROM customer)
+SELECT k, 'assets' AS name, round(CASE WHEN m = 1 THEN 50 ELSE 0 END, 4)::DOUBLE AS gap, m <> 1 AS passed FROM c UNION ALL SELECT k, 'net_income', CASE WHEN m = 2 THEN 3 ELSE 0 END, m <> 2 FROM c WHERE m <> 3 UNION ALL SELECT k, 'cash', CASE WHEN m = 0 THEN 7 ELSE 0 END, true FROM c""")
+def val_04_structure(spark, sf_dir):
+    """Balance, income and cash checks of a statement for each customer: some gaps, some lines missing, some second names."""
+    m, a = F.col("c_custkey") % 4, F.col("c_acctbal") + 1000
+    names = [
+        ("us:Assets", a), ("us:LiabilitiesAndStockholdersEquity", a + F.when(m == 1, 50).otherwise(0)), ("us:ProfitLoss", F.lit(70.0)), ("us:IncomeLossFromContinuingOperationsBeforeIncomeTaxes", F.lit(100.0)),
+        ("us:IncomeTaxExpenseBenefit", F.when(m == 3, None).when(m == 2, 27.0).when(m == 1, -30.0).otherwise(30.0)), ("us:NetCashProvidedByUsedInOperatingActivities", F.lit(10.0)), ("us:NetCashProvidedByUsedInInvestingActivities", F.lit(-4.0)),
+        ("us:NetCashProvidedByUsedInFinancingActivities", F.lit(1.0)), ("us:CashAndCashEquivalentsPeriodIncreaseDecrease", F.when(m == 0, 14.0).otherwise(7.0)),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(n).alias("concept"), v.cast("double").alias("value")) for i, (n, v) in enumerate(names)])
+    facts_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(rows).alias("x")).select("k", "x.*")
+    return filings.structural_checks(facts_, ["k"], 1.0, 10.0).withColumn("gap", F.round("gap", 4))
+
+
+@query("SELECT p_partkey, p AS period, CASE p WHEN 'FY20' THEN p_retailprice ELSE p_size END AS value FROM part, (SELECT unnest(['FY20', '1Q20']) AS p) WHERE p_size % 5 <> 0 AND NOT (p = '1Q20' AND p_size % 2 = 0)")
+def fn_p03_flatten(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    values = F.create_map(F.lit("FY20"), F.col("p_retailprice"), F.lit("1Q20"), F.when(F.col("p_size") % 2 == 0, F.when(F.col("p_size") % 4 == 0, float("nan"))).otherwise(F.col("p_size").cast("double")))
+    rows = p.select("p_partkey", F.col("p_partkey").cast("string").alias("filename"), F.lit("is").alias("kind"), F.when(F.col("p_size") % 5 != 0, F.col("p_name")).alias("concept"), F.col("p_name").alias("line"), values.alias("values_by_period"))
+    return filings.flatten_workbook(rows).select(F.col("filename").cast("long").alias("p_partkey"), "period", "value")

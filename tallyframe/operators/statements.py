@@ -87,22 +87,21 @@ def bucket_values(mapped: DataFrame, masters: DataFrame | None = None, tolerance
     one concept: the first value by pos (ties: the least). Several: the value of the row's master concept; else the first value that the
     others sum to (a subtotal, within tolerance); else the sum. masters: stmt, row_id, master_concept.
     Nulls don't count as values but their concepts do. Returns value, n_concepts and method."""
-    sums = mapped.groupBy(*BUCKET).agg(F.countDistinct("concept").alias("n_concepts"), F.sum("value").alias("total"), F.count("value").alias("n"))
-    valued = mapped.where("value is not null")
-    joined = valued.join(sums, BUCKET)
+    grouped = mapped.groupBy(*BUCKET).agg(F.collect_list(F.struct("pos", "value", "concept")).alias("all"))  # a cell has few facts
     if masters is not None:
-        joined = joined.join(masters, ["stmt", "row_id"], "left")
+        grouped = grouped.join(masters, ["stmt", "row_id"], "left")
     else:
-        joined = joined.withColumn("master_concept", F.lit(None).cast("string"))
-    subtotal = (F.col("n") > 1) & (F.abs(2 * F.col("value") - F.col("total")) <= tolerance)
-    first = lambda when: F.min_by(F.when(when, F.col("value")), F.when(when, F.struct("pos", "value")))
-    out = joined.groupBy(*BUCKET, "n_concepts", "total").agg(
-        first(F.lit(True)).alias("first_value"), first(F.col("concept") == F.col("master_concept")).alias("master_value"), first(subtotal).alias("subtotal_value")
-    )
+        grouped = grouped.withColumn("master_concept", F.lit(None).cast("string"))
+    concepts = F.array_distinct(F.filter(F.transform("all", lambda x: x["concept"]), lambda c: c.isNotNull()))
+    g = grouped.select(*BUCKET, "master_concept", F.size(concepts).cast("long").alias("n_concepts"), F.sort_array(F.filter("all", lambda x: x["value"].isNotNull())).alias("vals")).where(F.size("vals") > 0)
+    g = g.withColumn("total", F.aggregate("vals", F.lit(0.0), lambda a, x: a + x["value"].cast("double")))
+    first = lambda condition: F.get(F.filter("vals", condition), F.lit(0))["value"]
+    master = first(lambda x: x["concept"] == F.col("master_concept"))
+    subtotal = first(lambda x: (F.size("vals") > 1) & (F.abs(2 * x["value"] - F.col("total")) <= tolerance))
     single = F.col("n_concepts") == 1
-    value = F.when(single, F.col("first_value")).otherwise(F.coalesce("master_value", "subtotal_value", "total"))
-    method = F.when(single | F.coalesce("master_value", "subtotal_value").isNotNull(), "reported").otherwise("summed_within_file")
-    return out.select(*BUCKET, value.alias("value"), "n_concepts", method.alias("method"))
+    value = F.when(single, F.get("vals", F.lit(0))["value"]).otherwise(F.coalesce(master, subtotal, F.col("total")))
+    method = F.when(single | F.coalesce(master, subtotal).isNotNull(), "reported").otherwise("summed_within_file")
+    return g.select(*BUCKET, value.alias("value"), "n_concepts", method.alias("method"))
 
 
 def newest_value(buckets: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,20 @@ RANK_STOP = (
 )
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first_by(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first value of each key, in the order of the array; by one sort, so long arrays cost little more than they
+    are long."""
+    tagged = F.sort_array(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    fresh = lambda t: F.filter(t, lambda x, j: (j == 0) | ~F.get(t, F.greatest(j - 1, F.lit(0)))["k"].eqNullSafe(x["k"]))
+    kept = once(tagged, lambda t: F.sort_array(F.transform(fresh(t), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))))
+    return F.transform(kept, lambda x: x["v"])
+
+
 def chain(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, by in rules:
         text = F.regexp_replace(text, pattern, by)
@@ -224,9 +240,7 @@ def capital_phrases(text: Column, most: int = 16) -> Column:
     """Candidates for names: phrases of capitalised words, then words in capitals; the first of each spelling."""
     phrases = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*STOP))
     found = F.concat(phrases, F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,12}\b"), F.lit(0)))
-    lower = F.transform(found, F.lower)
-    first = F.filter(found, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
-    return F.slice(first, 1, most)
+    return F.slice(first_by(found, F.lower), 1, most)
 
 
 def tokens(text: Column) -> Column:

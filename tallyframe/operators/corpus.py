@@ -33,8 +33,7 @@ def drop_repeated_lines(docs: DataFrame, key: str, text: str, min_len: int = 40,
 
 def dedupe_paragraphs(text: Column) -> Column:
     """The paragraphs of a text, of equal ones (in lower case) the first, joined by empty lines."""
-    parts = tx.paragraphs(text)
-    return F.array_join(F.filter(parts, lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1), "\n\n")
+    return F.array_join(tx.first_by(tx.paragraphs(text), F.lower), "\n\n")
 
 
 def word_chunks(docs: DataFrame, key: str, text: str, size: int = 200, overlap: int = 40) -> DataFrame:

@@ -76,8 +76,7 @@ def merge_fieldwise(old: DataFrame, new: DataFrame, key: str, scalars: list[str]
 
     def united(c: str) -> Column:
         every = F.concat(F.coalesce(f"o_{c}", none), F.coalesce(f"n_{c}", none))
-        lower = F.transform(every, lambda x: F.lower(F.trim(x)))
-        return F.filter(every, lambda x, i: F.array_position(lower, F.lower(F.trim(x))) == i + 1)
+        return tx.first_by(every, lambda x: F.lower(F.trim(x)))
 
     return both.select(key, *[F.coalesce(blank(F.col(f"o_{c}")), F.col(f"n_{c}")).alias(c) for c in scalars], *[united(c).alias(c) for c in arrays])
 

@@ -71,6 +71,20 @@ def grown(m: SlotMap, n_more: int = 1) -> SlotMap:
     return SlotMap(m.version + 1, n, tuple(shard_of), m.bytes_of)
 
 
+def shrunk(m: SlotMap, n_shards: int) -> SlotMap:
+    """Keeps the first n_shards shards. The slots of the others go, largest first, each to the shard with the least bytes."""
+    if n_shards < 1:
+        raise ValueError("n_shards must be at least 1")
+    shard_of, loads = list(m.shard_of), m.loads()[:n_shards]
+    heap = [(load, s) for s, load in enumerate(loads)]
+    heapq.heapify(heap)
+    for slot in sorted((i for i, s in enumerate(shard_of) if s >= n_shards), key=lambda i: (-m.bytes_of[i], i)):
+        load, shard = heapq.heappop(heap)
+        shard_of[slot] = shard
+        heapq.heappush(heap, (load + m.bytes_of[slot], shard))
+    return SlotMap(m.version + 1, n_shards, tuple(shard_of), m.bytes_of)
+
+
 def rebalanced(m: SlotMap, bytes_of: Sequence[int], tolerance: float = 0.01) -> SlotMap:
     """Edits the map for new sizes: slots move from the fullest to the emptiest shard while a move narrows their gap
     and the fullest is more than tolerance above the mean. The other slots stay."""
@@ -127,8 +141,9 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text
 
     Returns key, size, text_crc32, virtual_slot, shard, slot (the row's place in its shard, gapless from 0, by
     virtual slot and key), map_version. map_path: where the versions of the map are kept. If versions are there,
-    the newest is edited for the sizes of docs (and for more shards); else a first map is made. An empty table
-    gives no rows. Repeated rows are rows of their own and share a slot. Columns of docs other than key and text
+    the newest is edited for the sizes of docs: more shards take slots from all others, fewer shards take those of the
+    ones that go, as many are rebalanced; else a first map is made. A stored map of another number of slots raises
+    ValueError. An empty table gives no rows; very long texts count whole. Repeated rows are rows of their own and share a slot. Columns of docs other than key and text
     are not read, whatever their names.
     """
     spark = docs.sparkSession
@@ -142,8 +157,12 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
+    if old is not None and len(old.shard_of) != n_slots:
+        raise ValueError(f"the map at {path} has {len(old.shard_of)} slots, not {n_slots}")
     if old is None:
         m = first_map(sizes, n_shards)
+    elif n_shards < old.n_shards:
+        m = shrunk(replace(old, bytes_of=tuple(sizes)), n_shards)
     elif n_shards > old.n_shards:
         m = grown(replace(old, bytes_of=tuple(sizes)), n_shards - old.n_shards)
     else:

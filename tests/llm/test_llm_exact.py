@@ -54,6 +54,11 @@ def test_map_versions(spark):
     assert moved and all(again[k].shard == 4 for k in moved)
     assert (first[0].map_version, again[0].map_version) == (1, 2)
     assert sharding.load_map(spark, path, 1).n_shards == 4
+    fewer = {r.key: r for r in sharding.shard(df, 3, map_path=path).collect()}
+    assert set(fewer) == set(again) and all(r.shard < 3 and (r.shard == again[k].shard or again[k].shard >= 3) for k, r in fewer.items())
+    assert sharding.load_map(spark, path).n_shards == 3
+    with pytest.raises(ValueError):
+        sharding.shard(df, 3, n_slots=64, map_path=path)
     assert sharding.shard(docs(spark, []), 3).count() == 0
 
 

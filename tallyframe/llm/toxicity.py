@@ -151,12 +151,14 @@ def telling_terms(rows: DataFrame, min_g: float = MIN_G, most: int = MAX_TERMS)
 
 def sample_terms(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELS) -> tuple[list[np.ndarray], np.ndarray]:
     """Telling term hashes and labels of at most so many labelled rows whose texts are in docs. Rows without id or label
-    are left out. Terms are counted and chosen on the executors; at most MAX_TERMS for each of the bounded sample's rows
+    are left out; an id with several labels counts as toxic if one says so, and of several texts the one with the least
+    hash is taken. Terms are counted and chosen on the executors; at most MAX_TERMS for each of the bounded sample's rows
     come to the driver."""
     ship(docs.sparkSession)
     chosen = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label is not null")
-    chosen = chosen.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    chosen = chosen.groupBy("__id").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(F.col(key).alias("id"), utf8(F.col(text)).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("__id"))
+    rows = rows.groupBy("id", "__label").agg(F.min_by("body", F.xxhash64("body")).alias("body"))  # one text for each id
 
     @F.pandas_udf("array<int>")
     def hashed(s: pd.Series) -> pd.Series:
@@ -206,7 +208,9 @@ def held_out(key: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELS) -> DataFrame:
-    """Every row and column of docs with __score, fitted on labels of ids that aren't held out. An empty labels table
-    gives one score for all."""
+    """Every row and column of docs with __score, fitted on labels of ids that aren't held out. Every row is scored by its
+    own whole text, repeated rows and rows without an id too; null and empty texts get the score of the bias. An empty
+    labels table gives one score for all, an empty docs table no rows. A column __score of docs is replaced. Of terms
+    with equal statistics those with the lesser hash are used."""
     machine = fit(*sample_terms(docs, labels.where(~held_out(F.col(key))), key, text, label, most))
     return score(docs, machine, text, "__score")

@@ -164,3 +164,20 @@ def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     sums = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert out.count() > 0 and sums.where("n > 2048 or n <> end").count() == 0
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """On rows that nothing was learned from, toxic texts score higher than others, and predictions are better than
+    calling no text toxic. The labels of held-out rows have no influence at all."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.toxicity(docs, labels)
+    held = out.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("__score", "toxic").collect()
+    hit, miss = ([r["__score"] for r in held if r.toxic == t] for t in (1, 0))
+    auc = np.mean([(a > b) + (a == b) / 2 for a in hit for b in miss])
+    assert auc > 0.7 and sum((r["__score"] >= toxicity.THRESHOLD) == bool(r.toxic) for r in held) > len(miss)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r.doc_id: r["__score"] for r in toxicity.toxicity(docs, flipped).collect()}
+    assert again == {r.doc_id: r["__score"] for r in out.collect()}

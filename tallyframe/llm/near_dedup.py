@@ -316,6 +316,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     with_set = signed.where("n_shingles > 0 and key is not null")
     nodes = with_set.groupBy("set_hash").agg(F.min(F.struct("key", "text_hash")).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = made.write(nodes.select(F.xxhash64("set_hash").alias("rep"), "set_hash", F.col("of.key").alias("least"), F.col("of.text_hash").alias("text_hash"), "n_shingles", "bands", "signature"), "nodes")
+    signed = made.write(signed.select("key", "n_shingles", "set_hash"), "rows")  # signatures and bands are in nodes from here on
+    made.drop("signatures")
     placed = nodes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = made.write(placed.join(made.write(shared, "shared"), "bucket"), "members")

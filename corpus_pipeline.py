@@ -53,13 +53,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row stays as often as the mix takes it, at most three times; rows that it doesn't take go, those without
-    words among them. Rows are chosen by row_key, so reruns agree; equal rows are rows of their own."""
-    key, name, taken_row, times, copy = free_names(docs, "__key", "__name", "__taken_row", "__times", "__copy")
-    named = materialize(docs.withColumn(key, row_key(docs)).withColumn(name, F.monotonically_increasing_id()), "mix-named")
-    sized = named.select(key, name, F.size(quality.words_of(F.col("text"))).cast("long").alias("size"), F.array("source").alias("members"))
-    taken = mixing.mix(sized, key=key, row=name).where("taken > 0").select(F.col("row").alias(taken_row), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    joined = named.join(taken, F.col(name) == F.col(taken_row))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    words among them. Rows are chosen by row_key, so reruns agree. Equal rows are rows of their own: their class stays
+    as often as the mix takes all of them, made from one of them."""
+    key, taken_key, times, n, copy, block = free_names(docs, "__key", "__taken_key", "__times", "__n", "__copy", "__block")
+    keyed = docs.withColumn(key, row_key(docs))
+    sized = keyed.select(key, F.size(quality.words_of(F.col("text"))).cast("long").alias("size"), F.array("source").alias("members"))
+    share = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("long")
+    taken = mixing.mix(sized, key=key).groupBy(F.col("key").alias(taken_key)).agg(share.alias(times), F.count("*").alias(n))
+    taken = materialize(taken.where(F.col(times) > 0), "mix-taken")  # read anew, so that joins see its size
+    single = keyed.join(taken.where(F.col(n) == 1), F.col(key) == F.col(taken_key))
+    single = single.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
+    # a class may be very large: one of its rows is dealt out in blocks before it is copied
+    equal = keyed.join(taken.where(F.col(n) > 1), F.col(key) == F.col(taken_key)).dropDuplicates([key])
+    blocks = equal.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / 1000)))).repartition(F.col(key), F.col(block))
+    copies = F.least(F.lit(1000), F.col(times) - 1000 * F.col(block)).cast("int")
+    return single.unionByName(blocks.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and pipeline, and their SQL where SQL can express them."""
+"""The queries op1 to op13 and pipeline, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from tallyframe.llm import chat_format, html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import documents, materialize, utf8
 
 
@@ -85,13 +85,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    out = chat_format.read_back(chat_format.format_conversations(given.unionByName(more)))
+    return out.withColumnRenamed("key", "conv_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, op11_chat_formatting, pipeline)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -134,4 +142,22 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLE = {"op2_line_dedup": OP2, "op3_near_dedup": OP3}
+#: Each turn has "### ", ":", two line feeds and "</turn>" around its guarded role and text.
+OP11 = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, list_sum([length(x) + (length(x) - length(replace(x, '\', ''))) + (length(x) - length(replace(x, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(x, '#+'), lambda y: length(y) - 1)), 0) FOR x IN [role, text]])
+    + (length(role) - length(replace(role, chr(10), ''))) + 14 AS chars
+  FROM given
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE = {"op11_chat_formatting": OP11, "op2_line_dedup": OP2, "op3_near_dedup": OP3}

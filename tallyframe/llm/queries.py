@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat_format, html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from tallyframe.llm import centroids, chat_format, html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import documents, materialize, utf8
 
 
@@ -93,13 +95,25 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "conv_id")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, final = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final]
+    sums = out.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()  # one row per centroid
+    within, total = {r.cluster: r.s for r in sums}, sum(r.s or 0 for r in sums)
+    whole = lambda n: F.lit(n if n is not None and n < 2**63 else None).cast("long")
+    inertia = F.lit(None).cast("long")
+    for c, s in within.items():
+        inertia = F.when(F.col("cluster") == c, whole(s)).otherwise(inertia)
+    return out.select(F.col("key").alias("vec_id"), "cluster", "distance", inertia.alias("cluster_inertia"), whole(total).alias("inertia"), F.get(F.array(*map(F.lit, digests or [""])), F.col("cluster")).alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, op11_chat_formatting, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, op11_chat_formatting, op12_centroid_clustering, pipeline)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -160,4 +174,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
-ORACLE = {"op11_chat_formatting": OP11, "op2_line_dedup": OP2, "op3_near_dedup": OP3}
+#: Nearest of all centroids, by every one's distance.
+_NEAREST = """
+a{i} AS MATERIALIZED (
+  SELECT id, min(struct_pack(d := d, c := c)) AS near FROM (
+    SELECT q.id, c.c, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM q, c{i} c
+  ) GROUP BY id
+)"""
+_MOVED = """
+m{i} AS MATERIALIZED (
+  SELECT c, list(x ORDER BY pos) AS v FROM (
+    SELECT c, pos, (s - ((s % n) + n) % n) // n AS x FROM (
+      SELECT c, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT near.c AS c, unnest(v) AS x, unnest(range(64)) AS pos FROM q JOIN a{i} USING (id)) GROUP BY c, pos
+    )
+  ) GROUP BY c
+), c{j} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)"""
+OP12 = """
+WITH q AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM q ORDER BY sha256('1:' || vec_id), v LIMIT 16),""" + ",".join(
+    _NEAREST.format(i=i) + ("," + _MOVED.format(i=i, j=i + 1) if i < 3 else "") for i in range(4)
+) + """
+SELECT vec_id, CAST(near.c AS INT) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM q JOIN a3 USING (id) JOIN c3 ON c3.c = near.c
+"""
+
+ORACLE = {"op12_centroid_clustering": OP12, "op11_chat_formatting": OP11, "op2_line_dedup": OP2, "op3_near_dedup": OP3}

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import centroids, chat_format, html_extract, line_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from tallyframe.llm import centroids, chat_format, html_extract, line_dedup, media, mixing, near_dedup, packing, periodic, quality, sharding, suffix_dedup, toxicity
 from tallyframe.llm.common import documents, materialize, utf8
 
 
@@ -107,13 +107,32 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("vec_id"), "cluster", "distance", inertia.alias("cluster_inertia"), whole(total).alias("inertia"), F.get(F.array(*map(F.lit, digests or [""])), F.col("cluster")).alias("centroid_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", h.alias("h"))
+    # of every tenth hash, the end of the text is made periodic
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, quality.words_of(F.col("text"))))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    docs = docs.withColumns({"n": n, "a": (g % F.nullif(n, F.lit(0))).cast("int"), "parts": (3 + g % 8).cast("int")}).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / F.col("parts"))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    out = periodic.periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text")))
+    best, runs = periodic.strongest(F.col("runs")), F.col("runs")
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    out = out.select("key", "runs", best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    start, length, period = (F.col(f"best.{c}") for c in ("start", "length", "period"))
+    return out.select(F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, op11_chat_formatting, op12_centroid_clustering, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_media, op7_html_extraction, op8_suffix_dedup, op9_toxicity, op10_quality_rules, op11_chat_formatting, op12_centroid_clustering, op13_periodic_runs, pipeline)}
 
 #: DuckDB: 'A' to 'Z' alone go to lower case; chr(9) to chr(13) and the blank are white space.
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import footnotes, sections
+from tallyframe.operators import footnotes, grids, sections
 from tallyframe.plans.queries import query, table
 
 _TITLES = ["Debt", "Income Taxes", "Long-Term Debt, Net", "Leases", "Revenue", "Borrowings", "Fair Value", "Goodwill"]
@@ -189,3 +189,38 @@ def fn_s29_dollar_cells(spark, sf_dir):
     n, text = F.col("p_size").cast("string"), lambda x: F.lit(x)
     row = F.when(F.col("p_size") % 3 == 0, F.array(text("x"), text(" $ "), n, text("y"))).when(F.col("p_size") % 3 == 1, F.array(text("$"), F.col("p_name"), text("$"), F.concat(text("$"), n))).otherwise(F.array(text("$ 5"), F.concat(text("("), n, text(")")), text("$")))
     return p.select("p_partkey", F.concat(F.lit("["), F.array_join(sections.merge_dollar_cells(row), ", "), F.lit("]")).alias("cells"))
+
+
+def _numbered_suppliers(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_nationkey").alias("key"), "s_suppkey", "s_name", (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).alias("i"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS key, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), t AS (SELECT *, CASE WHEN n > 5 THEN 3 ELSE 2 END AS w, CASE WHEN n > 5 THEN 'chain' ELSE 'single' END AS way FROM s)
+SELECT key, i + 1 AS row, i // 5 AS number, s_name || '|Texas' || CASE WHEN w = 3 THEN '|' || CASE WHEN (i // 5) % 2 = 1 THEN '5' ELSE '' END ELSE '' END AS line, way FROM t
+UNION ALL SELECT key, 0, 0, 'Name of subsidiary|Jurisdiction' || CASE WHEN w = 3 THEN '|' ELSE '' END, way FROM t WHERE i = 0""")
+def dedup_16_merge_tables(spark, sf_dir):
+    """A nation's suppliers in tables of five, every second one a column wider, each with its header."""
+    s = _numbered_suppliers(spark, sf_dir).withColumn("number", F.floor(F.col("i") / 5).cast("int"))
+    wide = F.col("number") % 2 == 1
+    cells = F.concat(F.array("s_name", F.lit("Texas")), F.when(wide, F.array(F.lit("5"))).otherwise(F.array().cast("array<string>")))
+    head = F.concat(F.array(F.lit("Name of subsidiary"), F.lit("Jurisdiction")), F.when(wide, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", cells.alias("c")))), lambda x: x["c"])
+    tables = s.groupBy("key", "number").agg(F.concat(F.array(F.first(head)), rows).alias("rows"))
+    out = grids.merge_tables(tables)
+    return out.select("key", "row", "number", F.array_join("cells", "|").alias("line"), "way")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS key, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)
+SELECT key, i AS row, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'NV' WHEN 1 THEN 'Delaware' ELSE 'Texas' END AS jurisdiction FROM s""")
+def fn_a04_subsidiaries(spark, sf_dir):
+    """A third of the rows is shifted by a column, a third has its names in another column."""
+    s, k = _numbered_suppliers(spark, sf_dir), F.col("s_suppkey") % 3
+    lit = F.lit
+    cells = F.when(k == 0, F.array(lit(""), "s_name", lit("NV"), lit("50%"))).when(k == 1, F.array("s_name", lit("Delaware"), lit("100%"), lit(""))).otherwise(F.array(lit("12%"), lit("Texas"), "s_name", lit("")))
+    head = F.array(*map(lit, ["Entity Name", "Domicile", "Ownership", ""]))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", cells.alias("c")))), lambda x: x["c"])
+    tables = s.groupBy("key").agg(F.concat(F.array(head), rows).alias("rows")).withColumn("number", lit(0))
+    return grids.subsidiary_rows(tables).select("key", "row", "name", "jurisdiction")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyframe.functions.keep import distinct_in_order
 
@@ -15,7 +16,11 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term
 SUFFIXES = r"(INCORPORATED|INC|CORPORATION|CORP|COMPANY|CO|L ?L ?C|LLC|L ?P|LP|LTD|LIMITED|PLC|HOLDINGS|HOLDING|GROUP)"
 # fixed values: irregular plurals of statement labels
 PLURALS = {"liabilities": "liability", "activities": "activity", "securities": "security", "subsidiaries": "subsidiary", "categories": "category", "inventories": "inventory", "taxes": "tax", "losses": "loss"}
-STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "have", "has", "not", "but", "its", "our", "their", "than", "then", "will", "your", "which", "when", "where", "what", "you")
+# fixed values: words that are no tags
+STOP = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "as", "by", "with", "from", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "not",
+    "this", "that", "these", "those", "it", "its", "we", "our", "they", "their", "than", "then",
+)
 # fixed values: words that don't count when chunks are ranked
 RANK_STOP = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her", "hers", "him", "his", "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of",
@@ -177,13 +182,16 @@ def upper_union(a: Column, b: Column) -> Column:
     return F.array_distinct(F.transform(both, F.upper))
 
 
-# fixed values: letters with marks and their plain forms
-MARKED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžŸ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzY"
+def plain_letters(text: Column) -> Column:
+    """A text in compatibility decomposition (NFKD) without combining marks. ASCII texts stay in the JVM as they are."""
+
+    @F.udf(StringType(), useArrow=True)
+    def decomposed(text):
+        import unicodedata
 
+        return None if text is None else "".join(c for c in unicodedata.normalize("NFKD", text) if not "\u0300" <= c <= "\u036f")
 
-def plain_letters(text: Column) -> Column:
-    """Latin letters without their marks: combining marks go, precomposed letters of the common alphabets are replaced."""
-    return F.translate(F.regexp_replace(text, r"[\u0300-\u036f]", ""), MARKED, PLAIN)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(decomposed(text))
 
 
 def iso_time(text: Column) -> Column:

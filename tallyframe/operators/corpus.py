@@ -116,8 +116,8 @@ def rank_chunks(chunks: DataFrame, queries: DataFrame, key: str, words: str, que
 
 def _rank_block(chunks: DataFrame, block: list, key: str, words: str, query: str, query_type: str, section: str | None, boost: str | None) -> DataFrame:
     spark = chunks.sparkSession
-    wanted = F.array(*[F.lit(t) for t in sorted({t for _, ts in block for t in ts})]).cast("array<string>")
-    held = lambda c: F.filter(c, lambda w: F.array_contains(wanted, w))
+    wanted = sorted({t for _, ts in block for t in ts})
+    held = lambda c: F.filter(c, lambda w: w.isin(wanted))  # noqa: E731  (a hash set)
     label = held(F.coalesce(F.col(section), F.array().cast("array<string>"))) if section else F.array().cast("array<string>")
     base = chunks.where(F.size(words) > 0).select(F.col(key).alias("k"), F.size(words).alias("n"), (F.col(boost) if boost else F.lit(1.0)).alias("b"), held(F.col(words)).alias("body"), label.alias("label"))
     none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("in_body"), F.lit(0).alias("in_label")))  # one row for the chunk itself

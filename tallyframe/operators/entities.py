@@ -43,13 +43,6 @@ def relevance_band(score: Column) -> Column:
     return F.when(score >= 75, "high").when(score >= 45, "medium").when(score >= 20, "low").otherwise("minimal")
 
 
-def relevance(points: list[tuple[Column, float]], generic_agent: Column, name_only: Column, listed: Column) -> Column:
-    """Points within 0 and 100; at most 10 if all evidence is a generic agent, at most 25 for a name alone unless listed."""
-    total = rules.additive(points, 0.0, 100.0)
-    total = F.when(generic_agent, F.least(total, F.lit(10.0))).otherwise(total)
-    return F.when(name_only & ~listed, F.least(total, F.lit(25.0))).otherwise(total)
-
-
 def missing_from(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
     """Rows of left whose normal name isn't in right."""
     names = right.select(tx.entity_name(F.col(right_name)).alias("__n")).where("__n <> ''").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +34,14 @@ def search_companies(entries: DataFrame, name: str, query: str, most: int, key:
 
 
 def best_alias(names: DataFrame, name: str, aliases: Sequence[str]) -> DataFrame:
-    """Adds alias_score, the greatest of word overlap with any alias (a short constant list)."""
-    words = tx.word_set(F.col(name), 2)
-    scores = [tx.overlap(words, F.array(*[F.lit(w) for w in sorted({w for w in a.lower().split() if len(w) > 2})])) for a in aliases]
-    return names.withColumn("alias_score", F.greatest(*scores, F.lit(0.0)))
+    """Adds alias_score, the greatest of bigram likeness and word overlap of a name with any alias (a short constant
+    list). Both are compared in plain lower-case letters and digits; words of two letters or fewer don't overlap."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(tx.plain_letters(F.lower(c)), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 2))
+    named = names.withColumn("__name", plain(F.coalesce(F.col(name), F.lit(""))))
+    told = [" ".join(re.sub(r"[^a-z0-9\s]", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", a.lower()))).split()) for a in aliases]
+    scores = [s for a in told for s in (tx.dice(F.col("__name"), F.lit(a)), tx.overlap(words(F.col("__name")), words(F.lit(a))))]
+    return named.withColumn("alias_score", F.greatest(*scores, F.lit(0.0))).drop("__name")
 
 
 def confidence(evidence: dict[str, Column]) -> Column:
@@ -115,12 +121,13 @@ def nearest_shallower(rows: DataFrame, keys: list[str], pos: str, depth: str, de
     return rows.withColumn("parent", found)
 
 
-def same_period(columns: DataFrame, key: str, want_start: str, want_end: str) -> DataFrame:
-    """The column of each key that fits a period best: same start and end, else same end with 300 to 400 days, else
-    the first. columns: key, idx, start, end."""
+def same_period(columns: DataFrame, key: str, want_start: str | None, want_end: str) -> DataFrame:
+    """The column of each key that fits a period best, of those that end with it: the one with its start, else the only
+    one, else the first of 300 to 400 days, else the first; null where none ends with it. columns: key, idx, start, end."""
     days = F.datediff("end", "start") + 1
-    fit = F.when((F.col("end") == want_end) & (F.col("start") == want_start), 0).when((F.col("end") == want_end) & days.between(300, 400), 1).otherwise(2)
-    return columns.groupBy(key).agg(F.min_by("idx", F.struct(fit, "idx")).alias("idx"))
+    fit = F.when(F.coalesce(F.col("start") == F.lit(want_start), F.lit(False)), 0).when(days.between(300, 400), 1).otherwise(2)  # an only one wins whatever it is
+    best = columns.where(F.col("end") == want_end).groupBy(key).agg(F.min_by("idx", F.struct(fit, "idx")).alias("idx"))
+    return columns.select(key).distinct().join(best, key, "left")
 
 
 def grid_lookup(cells: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -112,46 +112,6 @@ def headline_dedupe(items: DataFrame, title: str, rank: str, at: str, key: str)
     return keep.keep_last(keyed, ["__t"], [-F.col(rank), F.col(at), F.col(key)]).drop("__t")
 
 
-def news_score(title: Column, summary: Column, tickers: Column, n_providers: Column, at: Column, ticker: str, company: str, as_of: Column, priority: Column) -> Column:
-    """Relevance of an article to a company: fixed points for where the names occur, for age, sources and form."""
-    blob = F.lower(F.concat_ws(" ", title, summary))
-    first = company.lower().split()[0]
-    return rules.additive(
-        [
-            (F.array_contains(tickers, ticker), 35),
-            (blob.contains(ticker.lower()), 18),
-            (blob.contains(company.lower()) & F.lit(len(company) >= 3), 28),
-            (~blob.contains(company.lower()) & blob.contains(first), 10),
-            (F.lit(True), periods.age_points(at, as_of, [(2, 22), (7, 16), (30, 10), (180, 4)])),
-            (F.lit(True), F.least(F.lit(15), 7 * n_providers).cast("double")),
-            (F.length(summary) > 80, 6),
-            (F.lit(True), F.greatest(F.lit(0), 6 - F.least(F.lit(6), priority)).cast("double")),
-            (F.length(title) < 12, -4),
-        ]
-    )
-
-
-def engagement(likes: Column, reposts: Column, replies: Column, quotes: Column, views: Column) -> Column:
-    return likes + 2 * reposts + 1.5 * replies + 2.5 * quotes + 0.0005 * views
-
-
-def post_score(score: Column, comments: Column, in_title: Column, in_body: Column, n_queries: Column) -> Column:
-    """Score of a forum post, rounded to 0.1."""
-    total = rules.additive(
-        [
-            (in_title, 38), (~in_title & in_body, 16),
-            (F.lit(True), F.least(F.lit(22.0), 4 * F.log1p(F.greatest(score, F.lit(0.0))))),
-            (F.lit(True), F.least(F.lit(18.0), 3 * F.log1p(F.greatest(comments, F.lit(0.0))))),
-            (n_queries >= 2, 10),
-        ]
-    )
-    return F.floor(total * 10 + 0.5) / 10
-
-
-def bucket(score: Column, high: float, medium: float) -> Column:
-    return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
-
-
 def mentions(blob: Column, ticker: str, company: str) -> Column:
     """mixed, company, ticker or none: how a text names a company. The ticker counts as a word or after a $."""
     t = blob.rlike(rf"\b{ticker}\b|\${ticker}\b")
@@ -167,29 +127,6 @@ def any_of(terms: list[str]) -> str:
     return " OR ".join(f'"{t}"' if " " in t else t for t in terms)
 
 
-def broker_score(title: Column, snippet: Column, url: Column, ticker: str, company: str, n_signals: Column, known_type: Column, at: Column, as_of: Column) -> Column:
-    """Relevance of a research note: fixed points for names, signals, kind, age and form."""
-    blob = F.lower(F.concat_ws(" ", title, snippet))
-    return rules.additive(
-        [
-            (F.upper(title).rlike(rf"\b{ticker}\b"), 40), (blob.contains(ticker.lower()), 22), (blob.contains(company.lower()), 28), (F.lit(True), 6.0 * n_signals), (known_type, 14),
-            (F.lower(url).rlike(r"/research/?$"), -25), (F.lit(True), periods.age_points(at, as_of, [(30, 18), (90, 12), (365, 6)])), (F.length(snippet) > 80, 8), (F.length(title) < 12, -6),
-        ]
-    )
-
-
-def finder_score(title: Column, text: Column, url: Column, ticker: str, company: str) -> Column:
-    """Relevance of a found page; high from 70, medium from 45."""
-    t, b, u = F.lower(title), F.lower(text), F.lower(url)
-    return rules.additive(
-        [
-            (t.contains(ticker.lower()), 35), (~t.contains(ticker.lower()) & b.contains(ticker.lower()), 16), (t.contains(company.lower()), 32), (~t.contains(company.lower()) & b.contains(company.lower()), 18),
-            (b.rlike("research|analyst|report|rating"), 14), (u.rlike("/(research|reports|insights)/"), 16), (u.rlike("^https?://[^/]+/?$"), -18), (u.rlike("login|signin"), -30),
-        ],
-        0.0,
-    )
-
-
 def merge_hits(hits: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     """Hits of both sides by key: the longer snippet stays (the first side's on ties), queries are joined."""
     a = hits.select(key, F.col("snippet").alias("s1"), F.col("query").alias("q1"))

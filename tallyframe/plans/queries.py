@@ -446,7 +446,7 @@ def dedup_10_paragraphs(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{4,}'), 1) AS pos FROM documents),
-c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM w WHERE word NOT IN ('the','and','for','with','that','this','from','are','was','were','have','has','not','but','its','our','their','than','then','will','your','which','when','where','what','you') GROUP BY ALL),
+c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS f FROM w WHERE word NOT IN ('with','from','were','been','being','have','does','will','would','could','should','might','this','that','these','those','they','their','than','then') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, word) AS nth FROM c) SELECT doc_id, string_agg(word, ' ' ORDER BY nth) AS tags FROM r WHERE nth <= 12 GROUP BY 1""")
 def agg_19_frequent_words(spark, sf_dir):
     return corpus.frequent_words(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.array_join("tags", " ").alias("tags"))
@@ -595,32 +595,6 @@ def dedup_09_headlines(spark, sf_dir):
 _AGE = "CASE WHEN a < 2 THEN 22 WHEN a < 7 THEN 16 WHEN a < 30 THEN 10 WHEN a < 180 THEN 4 ELSE 0 END"
 
 
-@query(f"""WITH h AS (SELECT event_id AS id, event_type, user_id, (epoch(TIMESTAMP '2024-02-01') - epoch_us(ts) / 1e6) / 86400 AS a FROM events)
-SELECT id, (CASE WHEN event_type = 'click' THEN 35 + 18 ELSE 0 END + {_AGE} + 7 + greatest(0, 6 - least(6, user_id % 5)))::DOUBLE AS score FROM h ORDER BY score DESC, a, id LIMIT 100""")
-def topk_07_fn_r01_news(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    title = F.concat(F.lit("about "), "event_type", F.lit(" in the news"))
-    score = search.news_score(title, F.lit("short"), F.array(F.upper("event_type")), F.lit(1), F.col("ts"), "CLICK", "Zzyzx Works", F.lit("2024-02-01"), (F.col("user_id") % 5).cast("int"))
-    return e.select(F.col("event_id").alias("id"), score.alias("score"), "ts").orderBy(F.desc("score"), F.desc("ts"), "id").limit(100).select("id", "score")
-
-
-@query("""SELECT event_id, round(least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END, 3) AS raw,
-CASE WHEN floor((least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END) * 10 + 0.5) / 10 >= 72 THEN 'high'
- WHEN floor((least(22, 4 * ln(1 + greatest(value, 0))) + least(18, 3 * ln(1 + user_id)) + CASE WHEN event_type = 'click' THEN 38 ELSE 0 END) * 10 + 0.5) / 10 >= 48 THEN 'medium' ELSE 'low' END AS bucket FROM events""".replace(", round(least", ", round(least", 1))
-def fn_r04_posts(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    hit, none = F.col("event_type") == "click", F.lit(False)
-    s = search.post_score(F.col("value"), F.col("user_id").cast("double"), hit, none, F.lit(1))
-    raw = F.least(F.lit(22.0), 4 * F.log1p(F.greatest("value", F.lit(0.0)))) + F.least(F.lit(18.0), 3 * F.log1p(F.col("user_id").cast("double"))) + F.when(hit, 38).otherwise(0)
-    return e.select("event_id", F.round(raw, 3).alias("raw"), search.bucket(s, 72, 48).alias("bucket"))
-
-
-@query("SELECT event_id, round(value + 2 * (user_id % 3) + 1.5 * (user_id % 4) + 2.5 * (user_id % 5) + 0.0005 * event_id, 4) AS e FROM events")
-def fn_r05_engagement(spark, sf_dir):
-    u = F.col("user_id")
-    return table(spark, sf_dir, "events").select("event_id", F.round(search.engagement(F.col("value"), u % 3, u % 4, u % 5, F.col("event_id")), 4).alias("e"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' AND p_name LIKE '%red%' THEN 'mixed' WHEN p_name LIKE '%widget%' THEN 'company' WHEN p_name LIKE '%red%' THEN 'ticker' ELSE 'none' END AS how FROM part")
 def flt_12_mentions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", search.mentions(F.col("p_name"), "red", "Widget").alias("how"))
@@ -725,12 +699,6 @@ def topk_11_hotspots(spark, sf_dir):
     return environment.hotspots(table(spark, sf_dir, "events"), "event_type", "event_id", "value")
 
 
-@query("SELECT c_custkey, floor(0.1 * (100 - 60) + 0.2 * least(100, greatest(0, c_acctbal / 100)) + 0.18 * 50 + 0.17 * least(100, c_nationkey * 5) + 0 + 0.13 * 10 + 0.5)::BIGINT AS score FROM customer")
-def agg_35_overall_score(spark, sf_dir):
-    parts = {"compliance": F.col("c_acctbal") / 100, "enforcement": F.lit(50.0), "emissions": F.col("c_nationkey") * 5.0, "waste": F.lit(0.0), "disclosure": F.lit(10.0), "trend": F.lit(-5.0)}
-    return table(spark, sf_dir, "customer").select("c_custkey", environment.overall_score(parts, F.lit(60.0)).alias("score"))
-
-
 # --- filings ------------------------------------------------------------------------------------------------------
 
 @query("SELECT l_partkey, l_suppkey, arg_max(l_extendedprice, strftime(l_shipdate, '%Y%m%d') || l_returnflag || lpad((l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0')) AS value FROM lineitem GROUP BY ALL")

@@ -146,7 +146,7 @@ def win_19_tables_by_zone(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey AS key, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE coalesce(lead(o_orderkey) OVER w, min(o_orderkey) OVER (PARTITION BY o_custkey)) END AS next FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-walk AS (SELECT key, id AS head, next AS id, 1 AS rank, [next] AS passed FROM o WHERE id % 4 = 0 AND next <> -1
+walk AS (SELECT key, id AS head, next AS id, 1 AS rank, [next] AS passed FROM o WHERE next <> -1
   UNION ALL SELECT w.key, w.head, o.next, rank + 1, list_append(passed, o.next) FROM walk w JOIN o ON o.key = w.key AND o.id = w.id WHERE o.next <> -1 AND NOT list_contains(passed, o.next))
 SELECT key, head, max(rank)::BIGINT AS n, arg_max(id, rank) AS last FROM walk GROUP BY ALL""")
 def fn_r18_chains(spark, sf_dir):
@@ -157,7 +157,7 @@ def fn_r18_chains(spark, sf_dir):
     whole = Window.partitionBy("key")
     after = F.coalesce(F.lead("id").over(whole.orderBy("id")), F.min("id").over(whole))
     links = o.withColumn("next", F.when(F.col("id") % 5 != 0, after))
-    path = footnotes.follow_chains(links.where("id % 4 = 0").select("key", F.col("id").alias("head"), "next"), links, "key")
+    path = footnotes.follow_chains(links.select("key", F.col("id").alias("head"), "next"), links, "key")
     return path.groupBy("key", "head").agg(F.max("rank").alias("n"), F.max_by("id", "rank").alias("last"))
 
 

@@ -19,26 +19,12 @@ def join_11_search_companies(spark, sf_dir):
     return research.search_companies(table(spark, sf_dir, "customer"), "c_name", "Customer 00000001", 25, "c_custkey").select("c_custkey", "rank")
 
 
-@query("""SELECT p_partkey, greatest(CASE WHEN list_contains(w, 'red') AND list_contains(w, 'widget') THEN 1.0 WHEN list_contains(w, 'red') OR list_contains(w, 'widget') THEN 0.5 ELSE 0 END, CASE WHEN list_contains(w, 'small') THEN 1.0 ELSE 0 END) AS s
-FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)""")
-def join_14_best_alias(spark, sf_dir):
-    return research.best_alias(table(spark, sf_dir, "part"), "p_name", ["Red Widget", "small"]).select("p_partkey", F.col("alias_score").alias("s"))
-
-
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 AND c_custkey % 3 <> 0 THEN 'low' WHEN c_custkey % 3 = 0 THEN 'high' WHEN c_custkey % 5 = 0 THEN 'medium' WHEN c_custkey % 7 = 0 THEN 'low' ELSE 'unknown' END AS confidence FROM customer""")
 def fn_r09_confidence(spark, sf_dir):
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select("c_custkey", research.confidence({"agent_only": k % 11 == 0, "lien": k % 3 == 0, "root_and_address": k % 5 == 0, "name_only": k % 7 == 0}).alias("confidence"))
 
 
-@query("""SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal > 9000 THEN 100 - 60 ELSE 40 END + 0 AS raw,
-least(CASE WHEN c_custkey % 2 = 0 THEN 25 ELSE 100 END, least(100, CASE WHEN c_mktsegment = 'BUILDING' THEN 40 ELSE 0 END + CASE WHEN c_acctbal > 5000 THEN 35 ELSE 0 END + CASE WHEN c_nationkey > 12 THEN 30 ELSE 0 END))::DOUBLE AS score FROM customer""".replace(", CASE WHEN c_acctbal > 9000 THEN 100 - 60 ELSE 40 END + 0 AS raw,", ","))
-def fn_r08_relevance(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    points = [(F.col("c_mktsegment") == "BUILDING", 40.0), (F.col("c_acctbal") > 5000, 35.0), (F.col("c_nationkey") > 12, 30.0)]
-    return c.select("c_custkey", "c_nationkey", entities.relevance(points, F.lit(False), F.col("c_custkey") % 2 == 0, F.lit(False)).alias("score"))
-
-
 @query("""WITH a AS (SELECT s_nationkey AS k, 0 AS source_rank, s_suppkey AS pos FROM supplier UNION ALL SELECT c_nationkey, 1, c_custkey FROM customer), f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_rank, pos) = 1)
 SELECT k, source_rank, pos FROM f ORDER BY source_rank, pos LIMIT 20""")
 def agg_41_candidates(spark, sf_dir):
@@ -91,14 +77,6 @@ def agg_39_nearest_shallower(spark, sf_dir):
     return research.nearest_shallower(r, ["user_id"], "pos", "depth", 4).select("user_id", "pos", "parent")
 
 
-@query("""WITH c AS (SELECT o_custkey, o_orderkey AS idx, o_orderdate::DATE AS s, (o_orderdate::DATE + (o_orderkey % 500)::INT) AS e FROM orders)
-SELECT o_custkey, arg_min(idx, CASE WHEN e = DATE '1998-12-31' AND s = DATE '1998-01-01' THEN 0 WHEN e = DATE '1998-12-31' AND date_diff('day', s, e) + 1 BETWEEN 300 AND 400 THEN 1 ELSE 2 END * 1e10 + idx) AS idx FROM c GROUP BY 1""")
-def agg_40_same_period(spark, sf_dir):
-    s = F.to_date("o_orderdate")
-    c = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("idx"), s.alias("start"), F.date_add(s, (F.col("o_orderkey") % 500).cast("int")).alias("end"))
-    return research.same_period(c, "o_custkey", "1998-01-01", "1998-12-31")
-
-
 @query("""WITH w AS (SELECT p_partkey AS want, p_brand AS period, p_type AS label FROM part WHERE p_size > 45), c AS (SELECT p_partkey AS pos, p_brand AS period, 'x ' || p_type || ' y' AS label, p_retailprice AS value FROM part)
 SELECT want, w.period, arg_min(value, pos) AS value FROM w JOIN c ON w.period = c.period AND contains(lower(c.label), lower(w.label)) GROUP BY ALL""")
 def join_23_grid_lookup(spark, sf_dir):
@@ -176,20 +154,6 @@ def fn_s14_normal_space(spark, sf_dir):
 
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'revenue' WHEN 1 THEN 'cash' WHEN 2 THEN 'cfo' ELSE 'unmapped__some_thing' END AS line, CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 25 WHEN 2 THEN 10 ELSE 9000 END::INT AS sort_order FROM part""")
-def fn_c08_standard_lines(spark, sf_dir):
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_size") % 4 + 1).cast("int"))
-    line = rules.standard_line(pick("us:Revenues", "CashAndCashEquivalentsAtCarryingValue", "us-gaap:NetCashProvidedByUsedInOperatingActivities", "x:Some Thing"), pick("is", "bs", "cf", "is"))
-    return table(spark, sf_dir, "part").select("p_partkey", line["line"].alias("line"), line["sort_order"].alias("sort_order"))
-
-
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'is' WHEN 1 THEN 'bs' WHEN 2 THEN 'cf' END AS kind, CASE WHEN p_size % 4 = 1 THEN -p_retailprice ELSE p_retailprice END AS shown FROM part")
-def flt_06_fn_m05_roles(spark, sf_dir):
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_size") % 4 + 1).cast("int"))
-    role = pick("http://x/role/CONSOLIDATEDSTATEMENTSOFOPERATIONS", "http://x/role/BalanceSheets", "role/Statements of Cash Flows", "role/IncomeStatementDetails")
-    return table(spark, sf_dir, "part").select("p_partkey", rules.statement_role(role).alias("kind"), rules.display_sign(F.col("p_retailprice"), pick("label", "negatedLabel", "total", None)).alias("shown"))
-
-
 @query("""WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS (SELECT p_brand AS row_id, p_size AS period, min(p_type) AS t FROM part GROUP BY ALL),
 v AS (SELECT k.row_id, k.period, max(p_retailprice) AS value FROM k JOIN part ON p_brand = k.row_id AND p_size = k.period AND p_type = k.t AND p_partkey = (SELECT max(p_partkey) FROM part q WHERE q.p_brand = k.row_id AND q.p_size = k.period AND q.p_type = k.t) GROUP BY ALL)
 SELECT row_id, period, value FROM v""".replace("WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS", "WITH k AS"))
@@ -213,20 +177,6 @@ def flt_05_short_columns(spark, sf_dir):
     return st.drop_short_columns(table(spark, sf_dir, "part"), "p_brand", "p_size").select("p_partkey")
 
 
-@query("""SELECT event_id, (CASE WHEN event_type = 'click' THEN 40 + 22 ELSE 0 END + 6 * (user_id % 3) + CASE WHEN user_id % 2 = 0 THEN 14 ELSE 0 END - CASE WHEN user_id % 5 = 0 THEN 25 ELSE 0 END
-+ CASE WHEN a < 30 THEN 18 WHEN a < 90 THEN 12 WHEN a < 365 THEN 6 ELSE 0 END)::DOUBLE AS score FROM (SELECT *, (epoch(TIMESTAMP '2024-02-15') - epoch_us(ts) / 1e6) / 86400 AS a FROM events)""")
-def fn_r02_broker(spark, sf_dir):
-    u = F.col("user_id")
-    s = search.broker_score(F.concat(F.lit("a note on "), "event_type"), F.lit("short"), F.when(u % 5 == 0, "http://b.com/research/").otherwise("http://b.com/n"), "CLICK", "Zzyzx", u % 3, u % 2 == 0, F.col("ts"), F.lit("2024-02-15"))
-    return table(spark, sf_dir, "events").select("event_id", s.alias("score"))
-
-
-@query("""SELECT p_partkey, greatest(0, CASE WHEN p_name LIKE '%red%' THEN 35 ELSE 0 END + CASE WHEN p_name LIKE '%widget%' THEN 32 ELSE 0 END + CASE WHEN p_size > 25 THEN 16 ELSE 0 END)::DOUBLE AS score FROM part""")
-def fn_r07_finder(spark, sf_dir):
-    url = F.when(F.col("p_size") > 25, "http://a.com/research/x").otherwise("http://a.com/x")
-    return table(spark, sf_dir, "part").select("p_partkey", search.finder_score(F.col("p_name"), F.lit("nothing"), url, "RED", "Widget").alias("score"))
-
-
 @query("""WITH a AS (SELECT c_custkey AS k, c_name AS s FROM customer), b AS (SELECT s_suppkey * 3 AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '+' || s_name ELSE 's' END AS s FROM supplier)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN coalesce(length(b.s), -1) > coalesce(length(a.s), -1) THEN b.s ELSE a.s END AS snippet, concat_ws(' | ', CASE WHEN a.k IS NOT NULL THEN 'c' END, CASE WHEN b.k IS NOT NULL THEN 's' END) AS query FROM a FULL JOIN b ON a.k = b.k""")
 def dedup_08_merge_hits(spark, sf_dir):

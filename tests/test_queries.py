@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tallyframe.plans import queries as own
-from tallyframe.plans import queries_cases, queries_checks, queries_filings, queries_more, queries_research  # noqa: F401  (add their queries to own.QUERIES)
+from tallyframe.plans import queries_cases, queries_checks, queries_filings, queries_more, queries_research, queries_scores  # noqa: F401  (add their queries to own.QUERIES)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

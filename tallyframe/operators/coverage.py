@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import periods
 from tallyframe.functions.keep import keep_first
 from tallyframe.operators import statements as st
+from tallyframe.session import Scratch
 
 KEY = ["stmt", "concept"]
 
@@ -55,20 +56,29 @@ def merge_values(state: Covered, facts: DataFrame, files: DataFrame, how: str) -
     return Covered(state.rows, state.concept_map, cells)
 
 
-def cover(rows: DataFrame, concept_map: DataFrame, cells: DataFrame, facts: DataFrame, unresolved: DataFrame, lines: DataFrame, files: DataFrame) -> tuple[Covered, DataFrame]:
+def cover(rows: DataFrame, concept_map: DataFrame, cells: DataFrame, facts: DataFrame, unresolved: DataFrame, lines: DataFrame, files: DataFrame, scratch: Scratch | None = None) -> tuple[Covered, DataFrame]:
     """All passes in their order, and what stays unresolved: lines without concept, statement, value or period.
 
-    facts and unresolved: stmt, concept, period, file, value."""
-    state = Covered(rows.select("stmt", "row_id", "display_order"), concept_map.select("stmt", "concept", "row_id").withColumn("status", F.lit("mapped")), cells.select(*st.CELL, "value").withColumn("how", F.lit("consolidated")))
+    facts and unresolved: stmt, concept, period, file, value. Each pass is written to the shared folder, so that the
+    plan doesn't grow with the passes."""
+    made = scratch or Scratch(rows.sparkSession, "cover")
+    names = ("rows", "concept_map", "cells")
+
+    def written(x: Covered, n: int) -> Covered:
+        out = Covered(*(made.write(getattr(x, name), f"cover-{name}-{n}") for name in names))
+        made.drop(*(f"cover-{name}-{n - 1}" for name in names))  # read by the tables just written only
+        return out
+
+    state = Covered(rows.select("stmt", "row_id", "display_order"), (concept_map if "status" in concept_map.columns else concept_map.withColumn("status", F.lit("mapped"))).select("stmt", "concept", "row_id", "status"), cells.select(*st.CELL, "value").withColumn("how", F.lit("consolidated")))
     state = merge_values(state, facts, files, "repaired")
-    state = add_rows(state, lines, lines, "row_order_registry")
+    state = written(add_rows(state, lines, lines, "row_order_registry"), 0)
     known = facts.where(F.trim("concept") != "")
     state = add_rows(state, known, lines, "explicit_workbook_line")
-    state = merge_values(state, known, files, "explicit_workbook_line")
+    state = written(merge_values(state, known, files, "explicit_workbook_line"), 1)
     whole = (F.trim(F.coalesce("concept", F.lit(""))) != "") & F.col("stmt").isNotNull() & F.col("value").isNotNull() & periods.period_type(F.col("period")).isNotNull()
     usable = unresolved.where(whole)
     state = add_rows(state, usable, lines, "coverage_integrated")
-    state = merge_values(state, usable, files, "coverage_integrated")
-    state = merge_values(state, facts, files, "workbook_fill")
+    state = written(merge_values(state, usable, files, "coverage_integrated"), 2)
+    state = written(merge_values(state, facts, files, "workbook_fill"), 3)
     left = unresolved.where(~F.coalesce(whole, F.lit(False)))
     return state, left

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import consolidation, vector_index
+from tallyframe.plans.compile import compile_workbooks
 from tallyframe.plans.queries import query, table
 from tallyframe.session import new_path
 
@@ -67,3 +68,40 @@ def src_34_exact_search(spark, sf_dir):
 def src_34_index_search(spark, sf_dir):
     """The same in the nearest twelve of sixteen cells: 0.94 or more of the exact answers here (README)."""
     return vector_index.search(_indexed(spark, sf_dir), table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0"), 10, "vec_id", "embedding", probes=12)
+
+
+def _workbooks(spark, sf_dir):
+    """Order priorities as workbooks: the first is annual, the others have three quarters a year. Concepts have another
+    prefix in the second and other names but like labels in the fifth; the third has a line that no other has."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("fs"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), "l_extendedprice")
+    annual = F.col("file") == "1-URGENT"
+    year = F.date_format(F.make_date("y", F.lit(1), F.lit(1)), "yy")
+    period = F.when(annual, F.concat(F.lit("FY"), year)).otherwise(F.concat(F.col("q").cast("string"), F.lit("Q"), year))
+    kept = rows.where(annual | (F.col("q") < 4)).withColumn("period", period)
+    values = kept.groupBy("file", "fs", "period").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    extra = kept.where("file = '3-MEDIUM'").groupBy("file", F.lit("Extra").alias("fs"), "period").agg(F.count("*").cast("double").alias("value"))
+    fs = F.col("fs")
+    prefix = F.when(fs == "Extra", "z:").when(F.col("file") == "2-HIGH", "x:").when(F.col("file") == "5-LOW", "y:Other").otherwise("us:")
+    named = {"stmt": F.lit("income_statement"), "concept": F.concat(prefix, fs), "label": F.concat(F.lit("Line "), F.substring(fs, 1, 1), F.lit(" "), F.substring(fs, 2, 9)), "pos": F.when(fs == "Extra", 2500).otherwise(F.ascii(fs) * 100 + F.ascii(F.substring(fs, 2, 1))).cast("long"), "sheet": F.lit("IS"), "depth": F.lit(0)}
+    cells = values.unionByName(extra).withColumns(named)
+    lines = rows.select("fs").distinct().join(F.broadcast(rows.select("file").distinct()))  # five files, four concepts
+    lines = lines.unionByName(spark.createDataFrame([("Extra", "3-MEDIUM")], "fs string, file string")).withColumns(named)
+    files = rows.select("file").distinct().select("file", F.lit(1998).alias("latest_fy"), (F.col("file") == "1-URGENT").alias("is_10k"))
+    return cells, lines, files
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS file, l_returnflag || l_linestatus AS fs, right(year(o_orderdate)::VARCHAR, 2) AS yy, quarter(o_orderdate) AS q, l_extendedprice AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT *, CASE WHEN file = '1-URGENT' THEN 'FY' || yy ELSE q || 'Q' || yy END AS period FROM r WHERE file = '1-URGENT' OR q < 4), v AS (SELECT file, 'us:' || fs AS row_id, yy, period, round(sum(x), 2) AS value FROM k GROUP BY ALL UNION ALL SELECT file, 'z:Extra', yy, period, count(*) FROM k WHERE file = '3-MEDIUM' GROUP BY ALL),
+n AS (SELECT *, count(*) OVER (PARTITION BY file, period) AS n FROM v), d AS (SELECT *, max(n) OVER (PARTITION BY file) AS most FROM n), c AS (SELECT row_id, yy, period, arg_max(value, file) AS value FROM d WHERE n >= 0.5 * most GROUP BY ALL),
+w AS (SELECT row_id, yy, max(value) FILTER (period = 'FY' || yy) AS fy, coalesce(max(value) FILTER (period = '1Q' || yy), 0) + coalesce(max(value) FILTER (period = '2Q' || yy), 0) + coalesce(max(value) FILTER (period = '3Q' || yy), 0) AS q3 FROM c GROUP BY ALL)
+SELECT row_id, period, round(value, 2) AS value, 'kept' AS how FROM c UNION ALL SELECT row_id, '4Q' || yy, round(fy - q3, 2), 'derived' FROM w WHERE fy IS NOT NULL""")
+def plan_compile_workbooks(spark, sf_dir):
+    out = compile_workbooks(*_workbooks(spark, sf_dir)).cells
+    return out.select("row_id", "period", F.round("value", 2).alias("value"), F.when(F.col("how") == "derived", "derived").otherwise("kept").alias("how"))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_returnflag || l_linestatus AS fs FROM lineitem) SELECT 'us:' || fs AS concept, 'us:' || fs AS row_id, 'auto_from_master' AS status FROM c UNION ALL SELECT 'x:' || fs, 'us:' || fs, 'auto_local_name' FROM c UNION ALL SELECT 'y:Other' || fs, 'us:' || fs, 'auto_label_match' FROM c
+UNION ALL SELECT 'z:Extra', 'z:Extra', 'auto_from_filing'""")
+def plan_compile_map(spark, sf_dir):
+    return compile_workbooks(*_workbooks(spark, sf_dir)).concept_map.select("concept", "row_id", "status")

@@ -21,17 +21,47 @@ def _sql(value) -> str:
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
 
 
+#: The cases of each query: inputs, answers, operator.
+CASES: dict[str, tuple[list[Case], Callable[..., Column]]] = {}
+#: How whole documents get into an input of a query: its number, and where the document's text or path stands.
+EMBEDDED: dict[str, tuple[int, str]] = {
+    "fn_c01_report_types": (0, "after"), "fn_c01_report_access": (0, "folder"), "fn_c02_rating_results": (0, "after"), "fn_c02_agencies": (0, "after"), "fn_c02_rating_access": (0, "after"), "fn_c02_instrument_hints": (0, "after"),
+    "fn_c03_document_class": (0, "after"), "fn_c04_instrument_types": (0, "after"), "fn_c05_source_files": (0, "folder"), "fn_c06_material_tiers": (0, "folder"), "fn_c07_topics": (0, "after"), "fn_c10_exhibits": (0, "after"),
+    "fn_c10_items": (0, "after"), "fn_c10_schedule_roles": (0, "after"), "fn_c11_page_types": (1, "parameter"), "fn_c11_page_access": (1, "parameter"), "fn_c12_outlets": (0, "parameter"), "fn_c15_exhibit_21": (0, "after"),
+    "fn_c15_schedules": (0, "folder"), "flt_08_debt_exhibits": (0, "folder"), "flt_09_debt_phrases": (0, "folder"), "flt_21_exhibit_names": (0, "folder"), "fn_r03_ratings_match": (0, "folder"), "fn_r03_url_and_age": (0, "parameter"),
+    "fn_r14_segment_notes": (0, "after"), "fn_r15_subsidiary_tables": (0, "folder"), "fn_r18_overlap": (0, "after"), "topk_16_exhibit_files": (0, "folder"), "flt_17_paths": (0, "folder"), "fn_s30_links": (0, "after"),
+    "fn_s17_numbers_and_dates": (0, "folder"), "fn_s11_generic_agents": (0, "after"), "fn_s23_states": (0, "before"), "fn_j02_states": (0, "after"), "fn_s20_company_names": (0, "folder"), "flt_19_contents_tables": (0, "folder"),
+}
+
+
+def embedded(case: Column, how: str) -> Column:
+    """A case's text with a document around it: its whole text after it or before it, or its source and language as
+    folders before it or as a query after it."""
+    text, path = F.coalesce("text", F.lit("")), F.concat_ws("/", "source", "lang")
+    return {
+        "after": F.concat(case, F.lit(" "), text),
+        "before": F.concat(text, F.lit(" "), case),
+        "folder": F.concat(path, F.lit("/"), case),
+        "parameter": F.concat(case, F.lit("?at="), path),
+    }[how]
+
+
 def cases(name: str, rows: list[Case], operator: Callable[..., Column]) -> None:
-    """Registers a query of the operator over the cases (inputs, expected)."""
+    """Registers a query of the operator over the cases (inputs, expected), each document or part one of them. Where
+    EMBEDDED names the query, the document's text stands in one of the inputs."""
+    CASES[name] = (rows, operator)
     kind = next((type(e) for _, e in rows if e is not None), str)
     sql_type = {str: "VARCHAR", float: "DOUBLE", int: "INT", bool: "BOOLEAN"}[kind]
-    ORACLE[name] = f"SELECT p_partkey, ([{', '.join(_sql(e) for _, e in rows)}]::{sql_type}[])[p_partkey % {len(rows)} + 1] AS answer FROM part"
+    index, how = EMBEDDED.get(name, (-1, ""))
+    source, key = ("documents", "doc_id") if how else ("part", "p_partkey")
+    ORACLE[name] = f"SELECT {key}, ([{', '.join(_sql(e) for _, e in rows)}]::{sql_type}[])[{key} % {len(rows)} + 1] AS answer FROM {source}"
 
     def run(spark, sf_dir):
-        at = (F.col("p_partkey") % len(rows) + 1).cast("int")
-        n = len(rows[0][0])
-        inputs = [F.element_at(F.array(*[F.lit(case[i]) for case, _ in rows]), at) for i in range(n)]
-        return table(spark, sf_dir, "part").select("p_partkey", operator(*inputs).alias("answer"))
+        at = (F.col(key) % len(rows) + 1).cast("int")
+        inputs = [F.element_at(F.array(*[F.lit(case[i]) for case, _ in rows]), at) for i in range(len(rows[0][0]))]
+        if how:
+            inputs[index] = embedded(inputs[index], how)
+        return table(spark, sf_dir, source).select(key, operator(*inputs).alias("answer"))
 
     run.__name__ = name
     QUERIES[name] = run

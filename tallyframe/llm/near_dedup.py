@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Scratch, materialize, utf8
+from tallyframe.llm.common import Scratch, likely_rows, materialize, utf8
 from tallyframe.session import ship
 
 WORDS = 5
@@ -335,7 +335,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         """The shingles of nodes, from the text of a node's least id; of rows that repeat both any will do."""
         wanted = nodes.join(reps.distinct(), "rep", "left_semi").select("rep", F.col("least").alias("wanted"), F.col("text_hash").alias("wanted_hash"))
         wanted = made.write(wanted, "wanted")
-        of_node = texts.join(wanted, (F.col("key") == F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
+        of_node = likely_rows(texts, "text_hash", wanted, "wanted_hash").join(wanted, (F.col("key") == F.col("wanted")) & (F.col("text_hash") == F.col("wanted_hash")))
         return made.write(shingle_sets(of_node, "rep", "text").where(F.size("shingles") > 0).dropDuplicates(["key"]), step)
 
     sets = sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), "sets")

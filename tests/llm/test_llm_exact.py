@@ -508,3 +508,19 @@ def test_quality(spark):
     assert quality.quality(df, trusted.limit(0)).where("__kept").count() == sum(not r["__base_failed"] for r in rows.values())
 
 
+
+
+def test_likely_rows_lose_none_and_pass_few_others(spark):
+    from tallyframe.llm import common
+
+    df = spark.range(200_000).withColumn("h", F.xxhash64("id")).union(spark.createDataFrame([(-1, None)], "id long, h long"))
+    wanted = df.where("id % 50 = 0").select(F.col("h").alias("w"))
+    kept = common.likely_rows(df, "h", wanted, "w")
+    ids = {r.id for r in kept.select("id").collect()}
+    assert set(range(0, 200_000, 50)) <= ids and len(ids) < 4000 + 200_000 / 10
+    assert common.likely_rows(df, "h", wanted.limit(0), "w").count() == 0
+    most, common.MOST_BITS = common.MOST_BITS, 1 << 12
+    try:
+        assert common.likely_rows(df, "h", wanted, "w").count() == 200_001  # too many for the bitmap: all rows
+    finally:
+        common.MOST_BITS = most

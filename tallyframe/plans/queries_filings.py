@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import footnotes, grids, sections
+from tallyframe.operators import debt_map, footnotes, grids, sections
 from tallyframe.plans.queries import query, table
+from tallyframe.session import new_path
 
 _TITLES = ["Debt", "Income Taxes", "Long-Term Debt, Net", "Leases", "Revenue", "Borrowings", "Fair Value", "Goodwill"]
 _PHRASES = ["the credit agreement has a maturity date and the term loan bears an interest rate", "nothing of the kind", "notes payable, collateral and covenants", "see liquidity and capital resources", "secured notes and the principal amount", "letters of credit"]
@@ -224,3 +225,20 @@ def fn_a04_subsidiaries(spark, sf_dir):
     rows = F.transform(F.array_sort(F.collect_list(F.struct("i", cells.alias("c")))), lambda x: x["c"])
     tables = s.groupBy("key").agg(F.concat(F.array(head), rows).alias("rows")).withColumn("number", lit(0))
     return grids.subsidiary_rows(tables).select("key", "row", "name", "jurisdiction")
+
+
+@query("""SELECT coalesce(lang, 'none') AS job, count(*) AS documents, count(*) AS candidates, 1 + count(DISTINCT coalesce(source, 'none')) AS entities, count(*) AS roles, 'complete' AS status FROM documents GROUP BY 1""")
+def agg_46_debt_map(spark, sf_dir):
+    """Each language as an issuer, each document's text as a contract whose party is its source."""
+    d = table(spark, sf_dir, "documents").withColumn("job", F.coalesce("lang", F.lit("none")))
+    text = F.concat(F.lit("this credit agreement\nIssuer: "), F.coalesce("source", F.lit("none")), F.lit(" Corp.\n"), F.coalesce("text", F.lit("")))
+    docs = d.select("job", F.col("doc_id").alias("pos"), F.lit("8-K").alias("form"), F.lit("ex-10.htm").alias("file"), text.alias("text"))
+    return debt_map.DebtMapJob(spark, new_path(spark, "debt-map")).run("once", docs, d.select("job", F.concat(F.lit("registrant "), "job").alias("company")).distinct())
+
+
+@query("""SELECT doc_id, 2 AS n, 'issuer,subsidiary_guarantor' AS roles, lower(coalesce(source, 'none')) AS issuer FROM documents""")
+def fn_s34_party_hints(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("Issuers: "), F.coalesce("source", F.lit("none")), F.lit(", Inc.\nGuarantor means \"doc "), F.col("doc_id").cast("string"), F.lit(" LLC\"\n"), F.coalesce("text", F.lit("")))
+    hints = debt_map.entity_hints(d.select(F.lit("j").alias("job"), F.col("doc_id").alias("pos"), F.lit("other").alias("class"), text.alias("text")))
+    return hints.groupBy(F.col("pos").alias("doc_id")).agg(F.count("*").cast("int").alias("n"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.max(F.when(F.col("role") == "issuer", F.col("normal"))).alias("issuer"))

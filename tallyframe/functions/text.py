@@ -238,7 +238,7 @@ def numbers_and_dates(text: Column, most: int = 24) -> Column:
         r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b",
         r"\b[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\b",
         r"(?i)\$\s*[0-9]+(?:\.[0-9]+)?(?:\s*(?:million|billion|M|B))?\b",
-        r"\b[0-9]+(?:\.[0-9]+)?\s*%",
+        r"\b[0-9]+(?:\.[0-9]+)?\s*%\b",  # a word must follow the sign
     ]
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
     return F.slice(distinct_in_order(F.transform(found, lambda x: F.trim(x))), 1, most)
@@ -315,3 +315,11 @@ def bracket_pairs(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(r"([^()]+)\(([^()]+)\)"), F.lit(1))
     places = F.regexp_extract_all(text, F.lit(r"([^()]+)\(([^()]+)\)"), F.lit(2))
     return F.transform(F.arrays_zip(names.alias("n"), places.alias("p")), lambda x: F.struct(F.trim(F.regexp_replace(x["n"], "^[,; ]+", "")).alias("name"), F.trim(x["p"]).alias("place")))
+
+
+def inner_word(text: Column) -> Column:
+    """The longest word of a text that has a blank on either side, the first of equals; null for none. Where such a
+    text lies in another, that word is one of the other's."""
+    words = F.split(text, " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]

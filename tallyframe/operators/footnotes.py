@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scores
+from tallyframe.functions import text as tx
 from tallyframe.functions.rules import additive
 from tallyframe.session import Scratch, ship
 
@@ -246,18 +247,10 @@ def filing_notes(filings: DataFrame, key: str = "key", text: str = "text", bound
     return rows.select("key", F.explode(notes("text", "from", "to")).alias("n")).select("key", "n.*")
 
 
-def _key_word(text: Column) -> Column:
-    """The longest word of a text that has a blank on either side, the first of equals; null for none. Where such a
-    text lies in another, that word is one of the other's."""
-    words = F.split(text, " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    return F.try_element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
-
-
 def _holding(texts: DataFrame, notes: DataFrame, probe: str) -> DataFrame:
     """Rows of texts with each note of the same key that may hold the probe: by a word of it, or by the key alone for
     probes without a whole word."""
-    keyed = texts.withColumn("word", _key_word(F.col(probe)))
+    keyed = texts.withColumn("word", tx.inner_word(F.col(probe)))
     words = notes.select("key", "start", F.explode(F.array_distinct(F.split("body_", " "))).alias("word"))
     by_word = keyed.where("word is not null").join(words, ["key", "word"]).drop("word")
     rest = keyed.where("word is null").drop("word").join(notes.select("key", "start"), "key")

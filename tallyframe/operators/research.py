@@ -131,10 +131,17 @@ def same_period(columns: DataFrame, key: str, want_start: str | None, want_end:
 
 
 def grid_lookup(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (want, period, label) the first cell of the period whose label contains it. cells: pos, period,
-    label, value. Joined by period; a period's wanted labels are few."""
-    hit = wanted.select("want", "period", F.lower("label").alias("w")).join(cells.select("pos", "period", F.lower("label").alias("l"), "value"), "period").where(F.col("l").contains(F.col("w")))
-    return hit.groupBy("want", "period").agg(F.min_by("value", "pos").alias("value"))
+    """For each wanted (want, period, label) the first cell of the period whose label contains it, in any case. cells: pos,
+    period, label, value. A label that has a whole word inside meets the cells with that word only; equal labels of a
+    period are looked up once, and of cells with equal labels the first."""
+    w = wanted.select("want", "period", F.lower("label").alias("w"))
+    asked = w.select("period", "w").distinct().withColumn("word", tx.inner_word(F.col("w")))
+    named = cells.groupBy("period", F.lower("label").alias("l")).agg(F.min_by(F.struct("pos", "value"), "pos").alias("c"))
+    words = named.select("period", F.explode(F.array_distinct(F.split("l", " "))).alias("word"), "l", "c")
+    by_word = asked.where("word is not null").join(words, ["period", "word"]).select("period", "w", "l", "c")
+    rest = asked.where("word is null").select("period", "w").join(named, "period")
+    best = by_word.unionByName(rest).where(F.col("l").contains(F.col("w"))).groupBy("period", "w").agg(F.min_by("c", "c.pos").alias("c"))
+    return w.join(best, ["period", "w"]).select("want", "period", "c.value")
 
 
 def facet_counts(pages: DataFrame, entity: str, count: str, pos: str) -> DataFrame:

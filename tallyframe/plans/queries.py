@@ -525,10 +525,17 @@ def agg_33_allocate(spark, sf_dir):
     return corpus.allocate(parts, "w", 4000).select("source", "words")
 
 
-@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b')))::INT AS n_dates FROM documents WHERE text IS NOT NULL""")
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') || ' on ' || (DATE '2020-01-01' + (doc_id % 900)::INT) || ', Q' || (doc_id % 4 + 1) || ' 2021 and FY' || (10 + doc_id % 80) || '; $' || (doc_id % 7) || '.5 million, ' || doc_id || ',500 or ' || (doc_id % 50) || '%x on Mar. ' || (doc_id % 28 + 1) || ', 2020, 3/4/21' AS t FROM documents),
+f AS (SELECT doc_id, list_transform(list_concat(regexp_extract_all(t, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b'), regexp_extract_all(t, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+[0-9]{1,2},?\s+[0-9]{4}\b'), regexp_extract_all(t, '(?i)\bQ[1-4]\s*''?[0-9]{2,4}\b'), regexp_extract_all(t, '(?i)\bFY\s*''?[0-9]{2,4}\b'),
+ regexp_extract_all(t, '\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b'), regexp_extract_all(t, '\b[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\b'), regexp_extract_all(t, '(?i)\$\s*[0-9]+(?:\.[0-9]+)?(?:\s*(?:million|billion|M|B))?\b'), regexp_extract_all(t, '\b[0-9]+(?:\.[0-9]+)?\s*%\b')), lambda x: trim(x)) AS l FROM d)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:24], '|') AS found FROM f""".replace("\\\\", "\\"))
 def fn_s17_dates(spark, sf_dir):
-    found = tx.numbers_and_dates(F.col("text"), 1_000_000)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(F.filter(found, lambda x: x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))).alias("n_dates"))
+    """All eight kinds in whole texts, to which each document's own dates and numbers are added."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    s = lambda c: c.cast("string")
+    day = s(F.date_add(F.lit("2020-01-01").cast("date"), (k % 900).cast("int")))
+    more = F.concat(F.lit(" on "), day, F.lit(", Q"), s(k % 4 + 1), F.lit(" 2021 and FY"), s(10 + k % 80), F.lit("; $"), s(k % 7), F.lit(".5 million, "), s(k), F.lit(",500 or "), s(k % 50), F.lit("%x on Mar. "), s(k % 28 + 1), F.lit(", 2020, 3/4/21"))
+    return d.select("doc_id", F.array_join(tx.numbers_and_dates(F.concat(F.coalesce("text", F.lit("")), more)), "|").alias("found"))
 
 
 @query()

@@ -195,7 +195,7 @@ cases("fn_s30_links", [(("see https://a.com/x, and http://b.org/y. https://a.com
 cases(
     "fn_s17_numbers_and_dates",
     [
-        (("on 2024-01-02 and 1/2/24",), "2024-01-02;1/2/24"), (("Jan. 5, 2023 in Q3 2022, FY23",), "Jan. 5, 2023;Q3 2022;FY23"), (("$5 million or 1,234.5 at 7.5% and 7.5%",), "1,234.5;$5 million;7.5%"), (("nothing",), ""),
+        (("on 2024-01-02 and 1/2/24",), "2024-01-02;1/2/24"), (("Jan. 5, 2023 in Q3 2022, FY23",), "Jan. 5, 2023;Q3 2022;FY23"), (("$5 million or 1,234.5 at 7.5% and 7.5%pa",), "1,234.5;$5 million;7.5%"), (("nothing",), ""),
     ],
     lambda t: F.array_join(tx.numbers_and_dates(t), ";"),
 )

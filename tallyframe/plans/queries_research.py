@@ -77,12 +77,12 @@ def agg_39_nearest_shallower(spark, sf_dir):
     return research.nearest_shallower(r, ["user_id"], "pos", "depth", 4).select("user_id", "pos", "parent")
 
 
-@query("""WITH w AS (SELECT p_partkey AS want, p_brand AS period, p_type AS label FROM part WHERE p_size > 45), c AS (SELECT p_partkey AS pos, p_brand AS period, 'x ' || p_type || ' y' AS label, p_retailprice AS value FROM part)
+@query("""WITH w AS (SELECT p_partkey AS want, p_brand AS period, p_type AS label FROM part), c AS (SELECT p_partkey AS pos, p_brand AS period, 'x ' || p_type || ' y' AS label, p_retailprice AS value FROM part)
 SELECT want, w.period, arg_min(value, pos) AS value FROM w JOIN c ON w.period = c.period AND contains(lower(c.label), lower(w.label)) GROUP BY ALL""")
 def join_23_grid_lookup(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     cells = p.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("period"), F.concat(F.lit("x "), "p_type", F.lit(" y")).alias("label"), F.col("p_retailprice").alias("value"))
-    return research.grid_lookup(cells, p.where("p_size > 45").select(F.col("p_partkey").alias("want"), F.col("p_brand").alias("period"), F.col("p_type").alias("label")))
+    return research.grid_lookup(cells, p.select(F.col("p_partkey").alias("want"), F.col("p_brand").alias("period"), F.col("p_type").alias("label")))
 
 
 @query("""WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, list_sort(list_distinct(list(o_orderpriority))) AS t FROM orders GROUP BY ALL), l AS (SELECT *, lag(t) OVER (PARTITION BY o_custkey ORDER BY y) AS b FROM y)
@@ -154,16 +154,17 @@ def fn_s14_normal_space(spark, sf_dir):
 
 
 
-@query("""WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS (SELECT p_brand AS row_id, p_size AS period, min(p_type) AS t FROM part GROUP BY ALL),
-v AS (SELECT k.row_id, k.period, max(p_retailprice) AS value FROM k JOIN part ON p_brand = k.row_id AND p_size = k.period AND p_type = k.t AND p_partkey = (SELECT max(p_partkey) FROM part q WHERE q.p_brand = k.row_id AND q.p_size = k.period AND q.p_type = k.t) GROUP BY ALL)
-SELECT row_id, period, value FROM v""".replace("WITH c AS (SELECT p_brand AS row_id, p_size AS period, arg_min(p_retailprice, p_type || lpad((100 - 0)::VARCHAR, 3, '0')) AS x FROM part GROUP BY ALL), k AS", "WITH k AS"))
+@query("""WITH k AS (SELECT p_brand AS row_id, p_size AS period, min(p_type) AS t FROM part GROUP BY ALL), v AS (SELECT k.row_id, k.period, arg_max(p_retailprice, p_partkey) AS value FROM k JOIN part ON p_brand = k.row_id AND p_size = k.period AND p_type = k.t GROUP BY ALL)
+SELECT row_id, period, CASE WHEN period % 2 = 0 THEN -1.0 * period ELSE value END AS value, period % 2 <> 0 AS filled FROM v""")
 def cov_06_reconcile_final(spark, sf_dir):
+    """Cells of even periods have values, which stay; those of every third odd period are there without one."""
     p = table(spark, sf_dir, "part")
     facts = p.select(F.lit("s").alias("stmt"), F.concat_ws("|", "p_brand", "p_type").alias("concept"), F.col("p_size").alias("period"), F.col("p_partkey").alias("file"), F.col("p_retailprice").alias("value"))
     files = p.select(F.col("p_partkey").alias("file"), F.col("p_partkey").alias("recency"))
     entries = p.select(F.lit("s").alias("stmt"), F.concat_ws("|", "p_brand", "p_type").alias("concept"), F.col("p_brand").alias("row_id")).distinct()
-    cells = p.limit(0).select(F.lit("s").alias("stmt"), F.col("p_brand").alias("row_id"), F.col("p_size").alias("period"), F.col("p_retailprice").alias("value"))
-    return st.reconcile_final(cells, facts, entries, files).select("row_id", "period", "value")
+    size = F.col("p_size")
+    cells = p.select(F.lit("s").alias("stmt"), F.col("p_brand").alias("row_id"), size.alias("period"), F.when(size % 2 == 0, -1.0 * size).alias("value"), (size % 2 == 0).alias("even")).distinct().where((F.col("period") % 3 == 0) | F.col("even")).drop("even")
+    return st.reconcile_final(cells, facts, entries, files).select("row_id", "period", "value", "filled")
 
 
 @query("SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) > 1 THEN p_type || ' · ' || p_size::VARCHAR ELSE p_type END AS label FROM part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions import relevance, rules
+from tallyframe.functions import classes, relevance, rules, scores
 from tallyframe.functions import text as tx
 from tallyframe.operators import environment, research
 from tallyframe.plans.queries import query, table
@@ -194,3 +194,53 @@ def flt_06_fn_m05_roles(spark, sf_dir):
 def fn_s12_plain_texts(spark, sf_dir):
     """Whole texts without marks; the tables' texts have no letters that only compatibility decomposition changes."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.plain_letters(F.col("text")).cast("binary")).alias("plain_md5"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'high' WHEN l_returnflag = 'R' THEN 'unresolved' WHEN l_quantity / 50 >= 0.52 THEN 'high' WHEN l_quantity / 50 >= 0.28 THEN 'medium' WHEN l_quantity / 50 >= 0.12 THEN 'low' ELSE 'unresolved' END AS confidence,
+ round(l_discount * 40 + 6 * (l_linenumber % 3) + 10 * (l_linenumber % 2) + 4 * (l_linenumber % 5) + 5 * (l_linenumber % 4) + CASE WHEN l_linestatus = 'F' THEN 25 ELSE 0 END, 6) AS score FROM lineitem""")
+def fn_r12_facilities(spark, sf_dir):
+    """Every line as a facility: its confidence by score and override, and its points by flags."""
+    n = F.col("l_linenumber").cast("int")
+    override = F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "R", "rejected").otherwise("none")
+    flags = [F.array_repeat(F.lit("f"), n % k) for k in (3, 2, 5, 4)]
+    points = scores.facility_score(F.col("l_discount").cast("double"), *flags, F.col("l_linestatus") == "F")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.match_confidence(F.col("l_quantity") / 50, override).alias("confidence"), F.round(points, 6).alias("score"))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 AND f / n >= 0.5 AND p <= 3 THEN 'high' WHEN f / n >= 0.25 AND (o_custkey % 3 = 0 OR o_custkey % 2 = 0) THEN 'medium' ELSE 'low' END AS quality FROM c""")
+def fn_r11_coverage_of_customers(spark, sf_dir):
+    """A customer's orders as recommended searches: filled ones are checked, partial ones unresolved."""
+    status, k = F.col("o_orderstatus"), F.col("o_custkey")
+    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(status == "F").alias("f"), F.count_if(status == "P").alias("p"))
+    return c.select("o_custkey", scores.coverage_quality(F.col("n"), F.col("f"), F.col("p"), k % 2 == 0, k % 3 == 0).alias("quality"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN fp = 'FY' AND form IN ('10-K', '20-F', '40-F') THEN 'annual' WHEN fp <> 'FY' AND form IN ('10-Q', '10-K') THEN 'quarter' ELSE 'other' END AS kind
+FROM (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'FY' ELSE 'Q' || quarter(o_orderdate) END AS fp, CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-Q' WHEN '3-MEDIUM' THEN '20-F' WHEN '5-LOW' THEN '40-F' ELSE '8-K' END AS form FROM orders)""")
+def flt_04_periods_of_orders(spark, sf_dir):
+    fp = F.when(F.col("o_custkey") % 5 == 0, "FY").otherwise(F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")))
+    form = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ["1-URGENT", "10-K", "2-HIGH", "10-Q", "3-MEDIUM", "20-F", "5-LOW", "40-F"])), F.col("o_orderpriority")), F.lit("8-K"))
+    kind = F.when(classes.annual_period(fp, form), "annual").when(classes.quarter_period(fp, form), "quarter").otherwise("other")
+    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"))
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS t FROM documents)
+SELECT doc_id, count(*) FILTER (length(t) <= 2 OR upper(t) IN ('IT', 'AI', 'ON', 'IN', 'AT', 'AS', 'OR', 'AN', 'BE', 'BY', 'US', 'WE')) AS n_ambiguous FROM w GROUP BY 1""")
+def fn_c13_ambiguous_words(spark, sf_dir):
+    """Every word of every text as a ticker."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    n = F.size(F.filter(words, classes.ambiguous_ticker)).cast("long")
+    return table(spark, sf_dir, "documents").where(F.size(words) > 0).select("doc_id", n.alias("n_ambiguous"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_NORMAL.format('text')} AS t, {_NORMAL.format('substring(text, 1, 400)')} AS a, {_NORMAL.format('substring(text, 201, 400)')} AS b FROM documents),
+w AS (SELECT doc_id, t, list_distinct(list_filter(string_split(a, ' '), lambda x: length(x) > 2)) AS x, list_distinct(list_filter(string_split(b, ' '), lambda x: length(x) > 2)) AS y FROM d)
+SELECT doc_id, length(t) AS n_normal, md5(t) AS normal_md5, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 9) AS jaccard,
+ round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_intersect(x, y)) / least(len(x), len(y)) END, 9) AS shared FROM w""")
+def fn_s05_s06_s08_texts(spark, sf_dir):
+    """Whole texts in the form of titles, and the likeness of two stretches of each that lie half over each other."""
+    t = F.coalesce("text", F.lit(""))
+    a, b = (tx.word_set(F.substring(t, i, 400), 2) for i in (1, 201))
+    told = tx.match_title(t)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(told).cast("long").alias("n_normal"), F.md5(told.cast("binary")).alias("normal_md5"), F.round(tx.jaccard(a, b), 9).alias("jaccard"), F.round(tx.overlap(a, b), 9).alias("shared"))

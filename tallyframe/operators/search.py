@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import keep, periods, rules, text as tx
-from tallyframe.session import Scratch
+from tallyframe.session import Scratch, ship
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -26,6 +29,10 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return found.union(found.select("b", "a"))
 
 
+#: Open rows, and pairs of their groups, that one task decides at the end; with more, rounds over all tasks go on.
+REST_ROWS, REST_PAIRS = 200_000, 4_000_000
+
+
 def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, order: list[Column], threshold: float = 0.82, hours: float = 2.0, group: str | None = None) -> DataFrame:
     """key and cluster: rows are taken in order; each joins the first head that is a duplicate of it, or becomes a head.
     Duplicates have one URL in normal form, or word sets (of their titles) with a Jaccard similarity of at least
@@ -33,9 +40,10 @@ def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, or
     group (such as a broker) only rows of one group can be duplicates.
 
     Exact, without comparing all rows: rows of one URL are duplicates of each other, and so are rows of one word set
-    within one span of hours; such a group has at most one head, so a row is compared with the heads of its groups and
-    of the groups of similar sets nearby. In each round a row joins the first head if no open row of those groups comes
-    before that head, and becomes a head if it is the first open one; hot groups are decided in two rounds."""
+    within one span of hours; such a group has at most one head. First the heads are found: in each round a row is one
+    if it is the first open one of its groups and of the groups of similar sets nearby, and what a new head has for
+    duplicates is open no more, whichever head it joins. Then each row looks up the first of the heads around it. A last part of bounded size is decided by one
+    task, since it may be a long chain."""
     made = Scratch(hits.sparkSession, "clusters")
     span = hours * 3600
     link = F.coalesce(tx.match_url(F.col(url)), F.when(F.trim(url) != "", F.lower(F.trim(url))))
@@ -45,35 +53,86 @@ def greedy_clusters(hits: DataFrame, key: str, url: str, words: str, at: str, or
     if group is not None:
         link = F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(" "), link)
     own = F.col(group).cast("string") if group is not None else F.lit(None).cast("string")
-    rows = hits.select(F.col(key).alias("k"), F.struct(*order, F.col(key).alias("__key")).alias("o"), t.alias("t"), link.alias("u"), F.when(full, F.xxhash64(F.array_join(sorted_words, " "), own)).alias("w"), F.when(full, F.floor(t / span)).alias("b"), sorted_words.alias("words"), own.alias("g"))
+    joined = F.array_join(sorted_words, " ")
+    rows = hits.select(F.col(key).alias("k"), F.struct(*order, F.col(key).alias("__key")).alias("o"), t.alias("t"), link.alias("u"), F.when(full, F.xxhash64(joined, own)).alias("w"), F.when(full, F.floor(t / span)).alias("b"), F.when(full, F.xxhash64(joined)).alias("v"), F.when(full, sorted_words).alias("words"), own.alias("g"))
     rows = made.write(rows, "rows")
-    sets = made.write(rows.where("w is not null").groupBy(F.col("w").alias("id")).agg(F.first("words").alias("words"), F.first("g").alias("g")), "sets")
-    alike = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).union(similar_sets(sets.select("id", "words"), threshold))
-    if group is not None:
-        of = lambda c: sets.select(F.col("id").alias(c), F.col("g").alias(f"g{c}"))
-        alike = alike.join(of("a"), "a").join(of("b"), "b").where(F.col("ga").eqNullSafe(F.col("gb"))).select("a", "b")
-    groups = rows.where("w is not null").select("w", "b").distinct()
-    near = groups.join(alike.select(F.col("a").alias("w"), F.col("b").alias("nw")), "w").withColumn("nb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    near = made.write(near.join(groups.select(F.col("w").alias("nw"), F.col("b").alias("nb")), ["nw", "nb"]), "near")
-    key_type = rows.schema["k"].dataType.simpleString()
-    state = made.write(rows.drop("words", "g").withColumn("head", F.lit(None).cast(key_type)), "state")
-    while True:
-        is_open, is_head = F.col("head").isNull(), F.col("head") == F.col("k")
-        facts = [F.min(F.when(is_head, F.struct("o", "k", "t"))).alias("h"), F.min(F.when(is_open, F.col("o"))).alias("first")]
-        by_url = state.where("u is not null").groupBy("u").agg(*facts)
-        by_words = state.where("w is not null").groupBy(F.col("w").alias("nw"), F.col("b").alias("nb")).agg(*facts)
-        open_rows = state.where("head is null").select("k", "o", "t", "u", "w", "b")
-        seen = open_rows.join(by_url, "u").select("k", "o", "h", "first")
-        around = open_rows.join(near, ["w", "b"]).join(by_words, ["nw", "nb"])
-        seen = seen.union(around.select("k", "o", F.when(F.abs(F.col("t") - F.col("h.t")) <= span, F.col("h")).alias("h"), "first")).union(open_rows.select("k", "o", F.lit(None).cast(seen.schema["h"].dataType).alias("h"), F.col("o").alias("first")))
-        best = seen.groupBy("k").agg(F.first("o").alias("own"), F.min(F.when(F.col("h.o") < F.col("o"), F.col("h"))).alias("h"), F.min("first").alias("first"))
-        decided = F.when(F.col("h.o") < F.col("first"), F.col("h.k")).when(F.col("h").isNull() & (F.col("first") == F.col("own")), F.col("k"))
-        new = made.write(best.select(F.col("k").alias("dk"), decided.alias("dhead")).where("dhead is not null"), "decided")
-        state = made.write(state.join(new, F.col("k") == F.col("dk"), "left").withColumn("head", F.coalesce("head", "dhead")).drop("dk", "dhead"), "state")
-        if state.where("head is null").isEmpty():
+    groups = made.write(rows.where("w is not null").groupBy("w", "b").agg(F.first("v").alias("v"), F.first("words").alias("words"), F.first("g").alias("g")), "groups")
+    each = made.write(groups.groupBy("v").agg(F.first("words").alias("words")).withColumnRenamed("v", "id"), "sets")
+    alike = each.select(F.col("id").alias("v"), F.col("id").alias("nv")).union(similar_sets(each, threshold).toDF("v", "nv"))
+    sets = groups.groupBy("w").agg(F.first("v").alias("v"), F.first("g").alias("g"))
+    sets = sets.withColumn("none", F.col("g").isNull()).withColumn("g", F.coalesce("g", F.lit("")))  # groups meet by an equi-join, also the missing one
+    alike = sets.join(alike, "v").drop("v").join(sets.select(F.col("w").alias("nw"), F.col("v").alias("nv"), "g", "none"), ["nv", "g", "none"]).select("w", "nw")
+    near = groups.select("w", "b").join(alike, "w").withColumn("nb", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    near = made.write(near.join(groups.select(F.col("w").alias("nw"), F.col("b").alias("nb")), ["nw", "nb"]).select("w", "b", "nw", "nb"), "near")
+    made.drop("groups", "sets")
+    rows = rows.drop("v", "words", "g")
+    # rows without a URL or words have join keys of their own, so that they don't meet in one task
+    lone = F.coalesce("u", F.concat(F.lit("\n"), F.col("k").cast("string"))).alias("lu"), F.coalesce("w", F.xxhash64("k")).alias("lw")
+    open_rows = made.write(rows.where("u is not null or w is not null"), "open")
+    found, n_open = [], open_rows.count()
+    while n_open:
+        nearby = near if n_open > REST_ROWS else _between(near, open_rows, made)
+        if n_open <= REST_ROWS and nearby.count() <= REST_PAIRS:
+            found.append(made.write(_rest_heads(open_rows, nearby, span), f"heads{len(found)}"))
             break
-    made.drop("rows", "sets", "near", "decided")
-    return state.select(F.col("k").alias(key), F.col("head").alias("cluster"))
+        first_u = open_rows.where("u is not null").groupBy("u").agg(F.min("o").alias("fu"))
+        first_w = open_rows.where("w is not null").groupBy("w", "b").agg(F.min(F.struct("o", "k", "t", "u")).alias("r"))
+        around = near.join(first_w.select(F.col("w").alias("nw"), F.col("b").alias("nb"), F.col("r.o").alias("fw")), ["nw", "nb"]).groupBy("w", "b").agg(F.min("fw").alias("fw"))
+        worded = first_w.join(around, ["w", "b"]).where(F.col("r.o") == F.col("fw")).select("r.k", "r.o", "r.t", "r.u", "w", "b")
+        bare = open_rows.where("w is null").groupBy("u").agg(F.min(F.struct("o", "k", "t")).alias("r")).select("r.k", "r.o", "r.t", "u", F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("b"))
+        tried = worded.union(bare)
+        heads = tried.where("u is null").union(tried.join(first_u, "u").where(F.col("o") == F.col("fu")).select(*tried.columns))
+        heads = made.write(heads, f"heads{len(found)}")
+        found.append(heads)
+        reach = heads.where("w is not null").select(F.col("w").alias("nw"), F.col("b").alias("nb"), F.col("t").alias("ht")).join(near, ["nw", "nb"]).select(F.col("w").alias("hw"), F.col("b").alias("hb"), "ht")
+        left = open_rows.select("*", *lone).join(heads.select(F.col("u").alias("lu")).where("lu is not null"), "lu", "left_anti")
+        left = left.join(reach, (F.col("lw") == F.col("hw")) & (F.col("b") == F.col("hb")) & (F.abs(F.col("t") - F.col("ht")) <= span), "left_anti")
+        open_rows = made.write(left.select(*rows.columns), "open")
+        n_open = open_rows.count()
+    heads = rows.limit(0)
+    for part in found:
+        heads = heads.union(part.select(*rows.columns))
+    by_url = heads.where("u is not null").select(F.col("u").alias("lu"), F.struct("o", "k").alias("hu"))
+    by_words = heads.where("w is not null").select(F.col("w").alias("nw"), F.col("b").alias("nb"), F.struct("o", "k", "t").alias("h")).join(near, ["nw", "nb"]).groupBy(F.col("w").alias("lw"), "b").agg(F.array_sort(F.collect_list("h")).alias("hw"))  # at most a head for each group nearby
+    all_rows = rows.select("*", *lone).join(by_url, "lu", "left").join(by_words, ["lw", "b"], "left")
+    fit = F.get(F.filter("hw", lambda h: (h["o"] <= F.col("o")) & (F.abs(h["t"] - F.col("t")) <= span)), F.lit(0))
+    head = F.least(F.when(F.col("hu.o") <= F.col("o"), F.col("hu")), F.when(fit.isNotNull(), F.struct(fit["o"].alias("o"), fit["k"].alias("k"))))
+    out = made.write(all_rows.select(F.col("k").alias(key), F.coalesce(head["k"], F.col("k")).alias("cluster")), "clusters")
+    made.drop("rows", "near", "nearby", "open", *[f"heads{i}" for i in range(len(found))])
+    return out
+
+
+def _between(near: DataFrame, open_rows: DataFrame, made: Scratch) -> DataFrame:
+    """The part of near that lies between groups with open rows."""
+    groups = open_rows.where("w is not null").select("w", "b").distinct()
+    left = near.join(groups, ["w", "b"]).join(groups.select(F.col("w").alias("nw"), F.col("b").alias("nb")), ["nw", "nb"])
+    return made.write(left.select("w", "b", "nw", "nb"), "nearby")
+
+
+def _rest_heads(open_rows: DataFrame, nearby: DataFrame, span: float) -> DataFrame:
+    """The heads of at most REST_ROWS open rows with REST_PAIRS pairs of groups, in order, by one task."""
+    ship(open_rows.sparkSession)
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        urls: set = set()
+        times: dict = {}
+        for batch in batches:
+            keep = []
+            for at, (u, own, t, around) in enumerate(zip(batch["u"], batch["own"], batch["t"], batch["around"])):
+                if u is not None and u in urls or around is not None and any(abs(times.get(g, float("inf")) - t) <= span for g in around.tolist()):
+                    continue
+                keep.append(at)
+                if u is not None:
+                    urls.add(u)
+                if around is not None:
+                    times[int(own)] = t
+            yield batch.iloc[keep][["place"]]
+
+    around = nearby.groupBy("w", "b").agg(F.xxhash64("w", "b").alias("own"), F.collect_list(F.xxhash64("nw", "nb")).alias("around"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("o")
+    placed = open_rows.withColumn("place", F.row_number().over(whole))
+    first = placed.join(around, ["w", "b"], "left").select("place", "u", F.coalesce("own", F.lit(0)).alias("own"), "t", "around").repartition(1).sortWithinPartitions("place").mapInPandas(heads, "place int")
+    return placed.join(first, "place").select(*open_rows.columns)
 
 
 def merge_clusters(hits: DataFrame, cluster: str, order: list[str]) -> DataFrame:

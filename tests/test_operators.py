@@ -154,3 +154,26 @@ def test_footnotes_against_all_pairs(spark):
     got = {r.note: (r.pos, round(r.score, 9), r.status) for r in filings.reconcile_footnotes(n, i).collect()}
     assert got == want
     assert {"match", "weak", "none"} == {x[2] for x in want.values()}
+
+
+def test_greedy_clusters_along_a_chain(spark, monkeypatch):
+    """A chain of titles an hour and a half apart: its heads depend on each other, and rounds stay few; rounds alone, the
+    bounded last task and brokers give the same."""
+    rows = [(i, "https://a.com/%d" % (i % 7) if i % 3 else None, "one title of all", 1_700_000_000 - 5400 * (i // 2), "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, url string, title string, t long, g string").withColumn("at", F.timestamp_seconds("t")).withColumn("words", tx.word_set(F.col("title")))
+    for group in (None, "g"):
+        heads, want = [], {}
+        for i, url, _, t, g in rows:
+            dup = next((h for h in heads if (group is None or g == h[4]) and (url and url == h[1] or abs(t - h[3]) <= 7200)), None)
+            if dup is None:
+                heads.append((i, url, _, t, g))
+            want[i] = dup[0] if dup else i
+        written = []
+        write = search.Scratch.write
+        monkeypatch.setattr(search.Scratch, "write", lambda self, df, step: written.append(step) or write(self, df, step))
+        assert {r.id: r.cluster for r in search.greedy_clusters(df, "id", "url", "words", "at", [F.col("id")], group=group).collect()} == want
+        assert len(written) < 12
+        monkeypatch.setattr(search.Scratch, "write", write)
+        monkeypatch.setattr(search, "REST_ROWS", 5)
+        assert {r.id: r.cluster for r in search.greedy_clusters(df, "id", "url", "words", "at", [F.col("id")], group=group).collect()} == want
+        monkeypatch.setattr(search, "REST_ROWS", 200_000)

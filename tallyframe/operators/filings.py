@@ -111,18 +111,26 @@ def reconcile_footnotes(notes: DataFrame, instruments: DataFrame) -> DataFrame:
     first four characters), at most 1; under 0.25 no match, under 0.45 weak. Of equals the first instrument.
 
     notes: note, description, amount, maturity; instruments: pos, name, principal, due. Pairs with a common word come
-    from a join on words. A pair without one scores 0.45, 0.25 or 0.2 by amount and maturity, so of all instruments
+    from a join on words, of the distinct sets of words alone; the rest of the score is added to the few sets that can win. A pair without one scores 0.45, 0.25 or 0.2 by amount and maturity, so of all instruments
     with one amount, one maturity or one of both only the first can win: those firsts are joined to the parts of the
     notes' amounts and maturities. Where that first has common words too, the join on words gives its higher score."""
-    words = lambda c: F.array_distinct(F.filter(F.split(tx.match_title(F.coalesce(c, F.lit(""))), " "), lambda w: F.length(w) > 3))
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(tx.match_title(F.coalesce(c, F.lit(""))), " "), lambda w: F.length(w) > 3)))
     digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", "")
     n = notes.select("note", words(F.col("description")).alias("nw"), digits(F.col("amount")).alias("na"), F.coalesce("maturity", F.lit("")).alias("nm"))
     i = instruments.select("pos", "name", words(F.col("name")).alias("iw"), F.substring(digits(F.col("principal")), 1, 4).alias("ia"), F.substring(F.coalesce("due", F.lit("")), 1, 4).alias("im"))
-    by_word = n.select("note", F.explode("nw").alias("w")).join(i.select("pos", F.explode("iw").alias("w")), "w").groupBy("note", "pos").agg(F.count("*").alias("common"))
-    out = by_word.join(n, "note").join(i, "pos")
-    score = F.col("common") / F.least(F.size("nw"), F.size("iw"))
-    score = score + F.when((F.col("ia") != "") & F.col("na").contains(F.col("ia")), 0.25).otherwise(0.0) + F.when((F.col("im") != "") & F.col("nm").contains(F.col("im")), 0.2).otherwise(0.0)
-    scored = out.select("note", "pos", "name", F.least(F.lit(1.0), score).alias("score"))
+    # notes of one content have one answer, and of instruments of one content only the first can win: each content once
+    asked = n.select("nw", "na", "nm").distinct()
+    listed = i.groupBy("iw", "ia", "im").agg(F.min(F.struct("pos", "name")).alias("f"))
+    nws, iws = asked.select("nw").distinct(), listed.select("iw").distinct()
+    common = nws.select("nw", F.explode("nw").alias("w")).join(iws.select("iw", F.explode("iw").alias("w")), "w").groupBy("nw", "iw").agg(F.count("*").alias("common"))
+    rated = common.select("nw", "iw", (F.col("common") / F.least(F.size("nw"), F.size("iw"))).alias("base"))
+    # amount and maturity add 0.45 at most: sets further than that below the best one can't win
+    best_base = rated.groupBy("nw").agg(F.max("base").alias("best"))
+    near = rated.join(best_base, "nw").where(F.col("base") + 0.4500001 >= F.col("best")).select("nw", "iw", "base")
+    score = F.col("base") + F.when((F.col("ia") != "") & F.col("na").contains(F.col("ia")), 0.25).otherwise(0.0) + F.when((F.col("im") != "") & F.col("nm").contains(F.col("im")), 0.2).otherwise(0.0)
+    offers = near.join(listed, "iw").select("nw", "base", "ia", "im", "f").groupBy("nw", "base", "ia", "im").agg(F.min("f").alias("f"))
+    won = asked.join(offers, "nw").withColumn("score", F.least(F.lit(1.0), score)).groupBy("nw", "na", "nm").agg(F.max_by(F.struct("f.pos", "f.name", "score"), F.struct("score", -F.col("f.pos"))).alias("b"))
+    scored = n.join(won, ["nw", "na", "nm"]).select("note", "b.pos", "b.name", "b.score")
     # every part of one to four characters
     parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda at: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring(c, at, k)))))
     amounts, maturities = (n.select("note", "nm", F.explode(parts(F.col("na"))).alias("ia")), n.select("note", F.explode(parts(F.col("nm"))).alias("im")))

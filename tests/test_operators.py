@@ -177,3 +177,29 @@ def test_greedy_clusters_along_a_chain(spark, monkeypatch):
         monkeypatch.setattr(search, "REST_ROWS", 5)
         assert {r.id: r.cluster for r in search.greedy_clusters(df, "id", "url", "words", "at", [F.col("id")], group=group).collect()} == want
         monkeypatch.setattr(search, "REST_ROWS", 200_000)
+
+
+def shuffled_records(spark) -> int:
+    """Records that all stages so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    it, n = stages.iterator(), 0
+    while it.hasNext():
+        n += it.next().shuffleWriteRecords()
+    return n
+
+
+def test_footnotes_of_equal_content_are_matched_once(spark):
+    """1,500 notes and 1,500 instruments share a word: 2.25 million pairs of rows, but few of distinct contents."""
+    kinds = ["alpha notes", "alpha bonds", "alpha loans due", "gamma"]
+    notes = spark.range(1500).selectExpr("id note", f"element_at(array{tuple(kinds)}, cast(id % 4 + 1 as int)) description", "cast(1000 + id % 6 as string) amount", "'2030-01-01' maturity")
+    inst = spark.range(1500).selectExpr("id pos", f"element_at(array{tuple(kinds[::-1])}, cast(id % 4 + 1 as int)) name", "cast(1000 + id % 7 as string) principal", "cast(2028 + id % 3 as string) due")
+    before = shuffled_records(spark)
+    got = {r.note: (r.pos, round(r.score, 9), r.status) for r in filings.reconcile_footnotes(notes, inst).collect()}
+    assert shuffled_records(spark) - before < 100_000
+    told = [(r.pos, {w for w in r.name.split() if len(w) > 3}, r.principal[:4], r.due[:4]) for r in inst.collect()]
+    want = {}
+    for r in notes.limit(40).collect():
+        w = {x for x in r.description.split() if len(x) > 3}
+        s, p = max((min(1.0, len(w & iw) / min(len(w), len(iw)) + 0.25 * (ia in r.amount) + 0.2 * (im in r.maturity)), -pos) for pos, iw, ia, im in told)
+        want[r.note] = (-p, round(s, 9), "match" if s >= 0.45 else "weak" if s >= 0.25 else "none")
+    assert {k: got[k] for k in want} == want

@@ -203,3 +203,12 @@ def test_footnotes_of_equal_content_are_matched_once(spark):
         s, p = max((min(1.0, len(w & iw) / min(len(w), len(iw)) + 0.25 * (ia in r.amount) + 0.2 * (im in r.maturity)), -pos) for pos, iw, ia, im in told)
         want[r.note] = (-p, round(s, 9), "match" if s >= 0.45 else "weak" if s >= 0.25 else "none")
     assert {k: got[k] for k in want} == want
+
+
+def test_windows_of_a_text_with_very_many_matches(spark):
+    """Time grows with the text's length, not with its matches times that."""
+    began = dt.datetime.now()
+    df = spark.createDataFrame([(1, "the " * 30_000), (2, "no match"), (3, None), (4, "xthe the " + "y" * 500 + "the")], "k int, t string")
+    got = [(r.k, r.nth, r["at"]) for r in corpus.keyword_windows(df, "k", "t", "the").orderBy("k", "nth").collect()]
+    assert got == [(1, i, 400 * i) for i in range(18)] + [(4, 0, 1), (4, 1, 509)]
+    assert (dt.datetime.now() - began).total_seconds() < 60

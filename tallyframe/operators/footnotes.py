@@ -190,6 +190,11 @@ def _untagged(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
+def normal_text(text: Column) -> Column:
+    """A block's text as it is compared with notes: lower case, without tags, entities decoded, single spaces."""
+    return F.lower(_untagged(text))
+
+
 def tagged_blocks(filings: DataFrame, key: str = "key", html: str = "html") -> DataFrame:
     """One row per tagged text block on debt in each filing's markup: key, block (its place), concept, text (with its
     continuations in order, tags taken away), disclosure. Blocks of under 36 characters don't count; of continuations
@@ -292,7 +297,7 @@ def debt_footnotes(notes: DataFrame, blocks: DataFrame | None = None, reports: D
     candidate = lambda df, path, tagged=0.0, summary=0.0: df.select("key", "start", F.lit(path).alias("path"), F.lit(tagged).alias("tagged"), F.lit(summary).alias("summary"))
     rows = candidate(scored, "note_map").unionByName(candidate(scored.where(F.col("anchor") & F.col("full") & (F.col("end") - F.col("start") >= 140)), "debt_table_anchor"))
     if blocks is not None:
-        normal = F.lower(_untagged(F.col("text")))
+        normal = normal_text(F.col("text"))
         held = blocks.select("key", "block", "text", "disclosure", normal.alias("norm")).withColumn("probe", F.substring("norm", 1, 72))
         one = F.struct(F.col("norm").alias("text"), "disclosure")
         pairs = _holding(held.drop("text"), scored, "probe").select("key", "start", "block", scores.overlap_boost(body, F.array(one)).alias("points")).where("points > 0")

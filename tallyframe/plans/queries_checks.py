@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import consolidation, vector_index
 from tallyframe.plans.compile import compile_workbooks
 from tallyframe.plans.queries import query, table
-from tallyframe.session import new_path
+from tallyframe.session import materialize, new_path
 
 
 def _statements(spark, sf_dir):
@@ -75,12 +75,13 @@ def _workbooks(spark, sf_dir):
     prefix in the second and other names but like labels in the fifth; the third has a line that no other has."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("fs"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q"), "l_extendedprice")
+    rows = materialize(rows.groupBy("file", "fs", "y", "q").agg(F.sum("l_extendedprice").alias("x"), F.count("*").alias("n")), "workbooks")  # the one join that all steps read
     annual = F.col("file") == "1-URGENT"
     year = F.date_format(F.make_date("y", F.lit(1), F.lit(1)), "yy")
     period = F.when(annual, F.concat(F.lit("FY"), year)).otherwise(F.concat(F.col("q").cast("string"), F.lit("Q"), year))
     kept = rows.where(annual | (F.col("q") < 4)).withColumn("period", period)
-    values = kept.groupBy("file", "fs", "period").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
-    extra = kept.where("file = '3-MEDIUM'").groupBy("file", F.lit("Extra").alias("fs"), "period").agg(F.count("*").cast("double").alias("value"))
+    values = kept.groupBy("file", "fs", "period").agg(F.round(F.sum("x"), 2).alias("value"))
+    extra = kept.where("file = '3-MEDIUM'").groupBy("file", F.lit("Extra").alias("fs"), "period").agg(F.sum("n").cast("double").alias("value"))
     fs = F.col("fs")
     prefix = F.when(fs == "Extra", "z:").when(F.col("file") == "2-HIGH", "x:").when(F.col("file") == "5-LOW", "y:Other").otherwise("us:")
     named = {"stmt": F.lit("income_statement"), "concept": F.concat(prefix, fs), "label": F.concat(F.lit("Line "), F.substring(fs, 1, 1), F.lit(" "), F.substring(fs, 2, 9)), "pos": F.when(fs == "Extra", 2500).otherwise(F.ascii(fs) * 100 + F.ascii(F.substring(fs, 2, 1))).cast("long"), "sheet": F.lit("IS"), "depth": F.lit(0)}

@@ -10,6 +10,7 @@ from tallyframe.operators import application as app
 from tallyframe.operators import coverage, filings, research, search
 from tallyframe.plans.queries import FACTS, facts, files, hits, query, table
 from tallyframe.plans.queries_cases import cases
+from tallyframe.session import materialize
 from tallyframe.streaming import daily
 
 
@@ -205,16 +206,17 @@ cases("fn_s05_s06_similar_titles", [(("A big deal", "a BIG deal!", 10), True), (
 def _covered(spark, sf_dir):
     """Concepts AF and NO are mapped, NF has facts but no entry, RF comes from the unresolved queue, XX is a line
     without facts, AO and RO have facts but no line, ZZ is a queue entry that no sheet has; some mapped cells are missing."""
-    all_facts = facts(spark, sf_dir).select("stmt", "concept", "period", "file", "value")
+    all_facts = materialize(facts(spark, sf_dir).select("stmt", "concept", "period", "file", "value"), "facts")  # the one join that all passes read
+    recency = materialize(files(spark, sf_dir), "files")
     own = all_facts.where("concept <> 'RF'")
     stmt = "income_statement"
     rows = spark.createDataFrame([(stmt, "A", 0), (stmt, "N", 1)], "stmt string, row_id string, display_order int")
     entries = spark.createDataFrame([(stmt, "AF", "A"), (stmt, "NO", "N")], "stmt string, concept string, row_id string")
     lines = spark.createDataFrame([(stmt, "b.xlsx", i, c) for i, c in enumerate(("AF", "NF", "NO", "RF", "XX"))], "stmt string, file string, pos int, concept string")
-    kept = own.where("concept = 'AF' and period not like '1Q%'").join(files(spark, sf_dir), "file").groupBy("stmt", F.lit("A").alias("row_id"), "period").agg(F.max_by("value", "recency").alias("value"))
+    kept = own.where("concept = 'AF' and period not like '1Q%'").join(recency, "file").groupBy("stmt", F.lit("A").alias("row_id"), "period").agg(F.max_by("value", "recency").alias("value"))
     rest = all_facts.where("concept = 'RF'")
     zz = spark.createDataFrame([(stmt, "ZZ", "1Q20", "1-URGENT", 7.0), (stmt, "", "1Q20", "1-URGENT", 1.0), (stmt, "YY", "no period", "1-URGENT", 1.0), (stmt, "YY", "1Q20", "1-URGENT", None)], "stmt string, concept string, period string, file string, value double")
-    return coverage.cover(rows, entries, kept, own, rest.unionByName(zz), lines, files(spark, sf_dir))
+    return coverage.cover(rows, entries, kept, own, rest.unionByName(zz), lines, recency)
 
 
 @query(f"""WITH {FACTS.strip()}, m AS (SELECT * FROM (VALUES ('AF', 'A'), ('NO', 'N'), ('NF', 'NF'), ('RF', 'RF'), ('AO', 'AO'), ('RO', 'RO')) AS t(concept, target)),

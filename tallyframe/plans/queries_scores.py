@@ -242,5 +242,7 @@ def fn_s05_s06_s08_texts(spark, sf_dir):
     """Whole texts in the form of titles, and the likeness of two stretches of each that lie half over each other."""
     t = F.coalesce("text", F.lit(""))
     a, b = (tx.word_set(F.substring(t, i, 400), 2) for i in (1, 201))
-    told = tx.match_title(t)
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(told).cast("long").alias("n_normal"), F.md5(told.cast("binary")).alias("normal_md5"), F.round(tx.jaccard(a, b), 9).alias("jaccard"), F.round(tx.overlap(a, b), 9).alias("shared"))
+    # each form of a text once, however often it is compared
+    title = tx.once(tx.match_title(t), lambda m: F.struct(F.length(m).cast("long").alias("n_normal"), F.md5(m.cast("binary")).alias("normal_md5")))
+    alike = tx.once(F.struct(a.alias("a"), b.alias("b")), lambda x: F.struct(F.round(tx.jaccard(x["a"], x["b"]), 9).alias("jaccard"), F.round(tx.overlap(x["a"], x["b"]), 9).alias("shared")))
+    return table(spark, sf_dir, "documents").select("doc_id", title.alias("m"), alike.alias("x")).select("doc_id", "m.*", "x.*")

@@ -87,22 +87,32 @@ def _alone(t: dict) -> float:
 
 def best_chain(tables: list[dict]) -> tuple[list[int], float] | None:
     """Numbers and points of the best chain of tables in their order: a table goes on with the open one if their widths
-    differ by 2 at most; the open one is as wide as its widest part. First of equals; None under two tables."""
+    differ by 2 at most; the open one is as wide as its widest part. First of equals; None under two tables.
+
+    Where a chain ends depends on its place and width alone, so ends are found from the last table back, and numbers of
+    a chain are differences of running sums: time grows with the tables, not with their square."""
+    if len(tables) < 2:
+        return None
+    numbers = ("rows", "full", "brackets", "shares", "chars", "listed", "endings")
+    sums = [dict.fromkeys(numbers, 0)]
+    for t in tables:
+        sums.append({k: sums[-1][k] + int(t["rest"][k]) for k in numbers})
+    ends: dict[int, tuple[int, int]] = {}  # width of a chain that holds this table -> its last table and final width
     best = None
-    for s, t in enumerate(tables) if len(tables) > 1 else ():
+    for s in range(len(tables) - 1, -1, -1):
+        t, n, onward = tables[s], tables[s + 1] if s + 1 < len(tables) else None, ends
+        stops = n is None or _alone(n) < ENDS_CHAIN or not n["rest"]["rows"]
+        ends = {}
+        for width in range(t["width"], t["width"] + WIDTH_DELTA + 1):
+            ends[width] = (s, width) if stops or abs(width - n["width"]) > WIDTH_DELTA else onward[max(width, n["width"])]
         if _alone(t) < NO_START:
             continue
-        chain, parts, width = [t["number"]], [t["first"]], t["width"]
-        for n in tables[s + 1 :]:
-            if abs(width - n["width"]) > WIDTH_DELTA or _alone(n) < ENDS_CHAIN or not n["rest"]["rows"]:
-                break
-            chain.append(n["number"])
-            parts.append(n["rest"])
-            width = max(width, n["width"])
-        points = _points(parts, width)
-        if best is None or points > best[1]:
-            best = (chain, points)
-    return best
+        end, width = ends[t["width"]]
+        whole = {k: int(t["first"][k]) + sums[end + 1][k] - sums[s + 1][k] for k in numbers}
+        points = _points([{**whole, "page": (t["first"] if end == s else tables[end]["rest"])["page"]}], width)
+        if best is None or points >= best[2]:
+            best = s, end, points
+    return ([t["number"] for t in tables[best[0] : best[1] + 1]], best[2]) if best else None
 
 
 def best_group(tables: list[dict]) -> tuple[list[int], float] | None:
@@ -132,29 +142,17 @@ def merge_tables(tables: DataFrame) -> DataFrame:
     ship(tables.sparkSession)
     facts = table_facts(tables)
 
-    @F.udf("array<int>", useArrow=True)
-    def chain(tables):
-        got = best_chain([_dict(t) for t in tables])
-        return got[0] if got else None
-
-    @F.udf("array<int>", useArrow=True)
-    def group(tables):
-        got = best_group([_dict(t) for t in tables])
-        return got[0] if got else None
-
-    @F.udf("double", useArrow=True)
-    def points(tables, numbers):
-        held = {t["number"]: _dict(t) for t in map(_dict, tables)}
-        mine = [held[n] for n in numbers or []]
-        return _points([mine[0]["first"], *(t["rest"] for t in mine[1:])], max(t["width"] for t in mine)) if mine else None
+    @F.udf("struct<w:int,numbers:array<int>,points:double>", useArrow=True)
+    def best_way(tables):
+        """Of the chain (3), the tables of one width (2) and single ones (1) the one with most points."""
+        tables = [_dict(t) for t in tables]
+        ways = [(p, w, numbers) for w, (numbers, p) in ((3, best_chain(tables) or (None, 0.0)), (2, best_group(tables) or (None, 0.0))) if numbers]
+        ways += [(_points([t["first"]], t["width"]), 1, [t["number"]]) for t in tables]
+        points, w, numbers = max(ways, key=lambda x: (x[0], x[1], [-n for n in x[2]]))
+        return {"w": w, "numbers": numbers, "points": points}
 
     small = F.array_sort(F.collect_list(F.struct("number", "width", "first", "rest")))
-    docs = facts.groupBy("key").agg(small.alias("t"))
-    single = F.transform("t", lambda t: F.array(t["number"]))
-    docs = docs.select("key", "t", chain("t").alias("chain"), group("t").alias("group"), single.alias("singles"))
-    ways = docs.select("key", "t", F.explode(F.concat(F.array(F.struct(F.lit(3).alias("w"), F.col("chain").alias("numbers"))), F.array(F.struct(F.lit(2).alias("w"), F.col("group").alias("numbers"))), F.transform("singles", lambda n: F.struct(F.lit(1).alias("w"), n.alias("numbers"))))).alias("x"))
-    ways = ways.where("x.numbers is not null").select("key", F.col("x.w").alias("w"), F.col("x.numbers").alias("numbers"), points("t", "x.numbers").alias("points"))
-    best = ways.groupBy("key").agg(F.max_by(F.struct("w", "numbers", "points"), F.struct("points", "w", F.transform("numbers", lambda n: -n))).alias("b"))
+    best = facts.groupBy("key").agg(small.alias("t")).select("key", best_way("t").alias("b"))
     chosen = best.select("key", F.col("b.w").alias("w"), F.col("b.points").alias("points"), F.posexplode("b.numbers").alias("place", "number"))
     held = chosen.join(facts.select("key", "number", "rows", "later", "width"), ["key", "number"])
     width = held.groupBy("key").agg(F.max("width").alias("widest"))

@@ -248,13 +248,14 @@ CHECKED = {
 
 def structural_checks(facts: DataFrame, keys: list[str], tolerance: float, cash_tolerance: float) -> DataFrame:
     """keys, name, gap and passed of three checks, where all their values are there: assets = liabilities and equity;
-    pretax income plus or minus tax = net income; the three cash flows = change of cash. facts: keys, pos, concept, value."""
+    pretax income plus or minus tax = net income; the three cash flows = change of cash. facts: keys, pos (a whole number
+    of less than 2^49), concept, value."""
     picks = []
     for name, patterns in CHECKED.items():
         rank = F.lit(None).cast("int")
         for i, p in reversed(list(enumerate(patterns))):
             rank = F.when(F.col("concept").rlike(f"(?i){p}"), i).otherwise(rank)
-        picks.append(F.min_by(F.when(rank.isNotNull(), F.col("value")), F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("pos")))).alias(name))
+        picks.append(F.min_by(F.when(rank.isNotNull(), F.col("value")), F.when(rank.isNotNull(), rank.cast("long") * (1 << 50) + F.col("pos").cast("long"))).alias(name))  # numbers, so that rows are hashed, not sorted
     v = facts.where("value is not null").groupBy(*keys).agg(*picks)
     c = F.col
     income = F.least(F.abs(c("pretax") + c("tax") - c("net_income")), F.abs(c("pretax") - c("tax") - c("net_income")))

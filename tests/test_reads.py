@@ -88,3 +88,8 @@ def test_chain_takes_time_in_proportion(monkeypatch):
     tables = [{"number": i, "width": 2, **{k: {"rows": 3, "full": 4, "listed": False, "brackets": 0, "shares": 0, "endings": False, "chars": 400, "page": False} for k in ("first", "rest")}} for i in range(500)]
     assert len(grids.best_chain(tables)[0]) == 500
     assert looks[0] < 5 * 500
+
+
+def test_checks_hash_their_rows(spark):
+    """Rows of a statement are hashed into its values; sorting them held all rows of a task in memory."""
+    assert "SortAggregate" not in own.QUERIES["val_04_structure"](spark, SF)._jdf.queryExecution().executedPlan().toString()

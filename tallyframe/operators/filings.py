@@ -51,12 +51,19 @@ def resolve_duplicates(facts: DataFrame, keys: list[str], concept: str, value: s
     return best.select(*keys, concept, choose_value(F.col("values"), F.col(concept)).alias(value), F.size("values").alias("n_values"))
 
 
+#: Arcs that are sent to all tasks at most; more are joined by concept.
+ARCS = 100_000
+
+
 def rollups(arcs: DataFrame, values: DataFrame, keys: list[str], least: float = 2.5e6, share: float = 0.002) -> DataFrame:
     """Parents against the weighted sum of their children, where parent and every child have a value.
-    arcs: parent, child, weight; values: keys, concept, value."""
+    arcs: parent, child, weight; values: keys, concept, value. Concepts are few and values many, so values aren't dealt
+    out by concept: that would give all values of one to one task."""
     child = values.select(*keys, F.col("concept").alias("child"), F.col("value").alias("cv"))
     parent = values.select(*keys, F.col("concept").alias("parent"), F.col("value").alias("pv")).where("pv is not null")
     need = arcs.groupBy("parent").agg(F.count("*").alias("need"))
+    if arcs.limit(ARCS + 1).count() <= ARCS:
+        arcs, need = F.broadcast(arcs), F.broadcast(need)
     sums = arcs.join(child.where("cv is not null"), "child").groupBy(*keys, "parent").agg(F.sum(F.col("weight") * F.col("cv")).alias("total"), F.count("*").alias("have"))
     out = sums.join(need, "parent").where("have = need").join(parent, [*keys, "parent"])
     tolerance = F.greatest(F.lit(least), share * F.abs("pv"))

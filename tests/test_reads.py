@@ -93,3 +93,13 @@ def test_chain_takes_time_in_proportion(monkeypatch):
 def test_checks_hash_their_rows(spark):
     """Rows of a statement are hashed into its values; sorting them held all rows of a task in memory."""
     assert "SortAggregate" not in own.QUERIES["val_04_structure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_not_dealt_out_by_concept(spark):
+    """Three concepts in three tasks: each held all values of one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        plan = own.QUERIES["join_09_val_05_rollups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(child" not in plan and "SortMergeJoin [child" not in plan

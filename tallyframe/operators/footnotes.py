@@ -9,6 +9,7 @@ united paths before one ranking. Texts are looked for by joins on a word, not by
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,28 +159,79 @@ def prior_points(heading: Column, number: Column, body: Column, patterns: Column
 # --- tagged blocks and their continuations ---
 
 def follow_chains(heads: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """The nodes that each head leads to, in order: key, head, rank (from 1), id. heads: key, head, next; links: key,
-    id, next (id unique within key; null: the end). A chain ends at a node that is missing or was passed before, so
-    cycles end. Pointers are doubled: each round joins what is known with jumps twice as far, so a chain of n nodes
-    takes log2(n) rounds, each of them written to the shared folder. Several heads may lead to one node."""
+    """The nodes that each head leads to, in order: key, head, rank (from 1), id. heads: key, head (unique within key),
+    next; links: key, id, next (id unique within key; null: the end). A chain ends at a node that is missing or was
+    passed before, so cycles end. Several heads may lead to one node.
+
+    Pointers are doubled by joins, so chains of n nodes take log2(n) rounds, each written to the shared folder. Rounds
+    over the nodes tell first how many nodes follow each (in a cycle: all its others); then every node of a head's chain
+    is made by one join, the far ones first, and is not read again to find repeated ones."""
     scratch = Scratch(heads.sparkSession, "chains")
-    there = links.select(key, "id")
-    jumps = scratch.write(links.select(key, "id", F.col("next").alias("to")).join(there.withColumnRenamed("id", "to"), [key, "to"]).select(key, "id", "to"), "jumps")
-    path = scratch.write(heads.select(key, "head", F.col("next").alias("id")).join(there, [key, "id"]).select(key, "head", F.lit(1).cast("long").alias("rank"), "id"), "path")
-    far, size = 1, path.count()
-    while size:
-        longer = path.join(jumps, [key, "id"]).select(key, "head", (F.col("rank") + far).alias("rank"), F.col("to").alias("id"))
-        path = scratch.write(path.unionByName(longer).groupBy(key, "head", "id").agg(F.min("rank").alias("rank")).select(key, "head", "rank", "id"), "path")
-        now = path.count()
-        if now == size:
-            break
-        size, far = now, far * 2
-        onward = jumps.select(key, F.col("id").alias("to"), F.col("to").alias("end"))
-        jumps = scratch.write(jumps.join(onward, [key, "to"]).select(key, "id", F.col("end").alias("to")), "jumps")
-    scratch.drop("jumps")
+    there = links.select(key, F.col("id").alias("to"), F.col("id").alias("found"))
+    all_ = links.select(key, "id", F.col("next").alias("to")).join(there, [key, "to"], "left").select(key, "id", F.col("found").alias("to"))
+    all_ = scratch.write(all_, "links")
+    hops, ends = _count_after(all_.where("to is not null"), all_.where("to is null").select(key, "id", F.lit(0).cast("long").alias("left")), key, scratch, "hops")
+    if not hops[-1].isEmpty():  # these lead into cycles
+        turns, more = _count_in_cycles(all_.where("to is not null").join(hops[-1].select(key, "id"), [key, "id"]), key, scratch)
+        hops, ends = hops + turns[len(hops) :], ends + more
+    begin = heads.select(key, "head", F.col("next").alias("id")).join(reduce(DataFrame.unionByName, ends), [key, "id"])
+    path = _walk(begin.select(key, "head", F.lit(1).cast("long").alias("rank"), "id", "left"), hops, key, scratch, "path")
+    scratch.drop(*[x for x in scratch.paths if not x.startswith("path")])
     return path
 
 
+def _count_after(hop: DataFrame, ends: DataFrame, key: str, scratch: Scratch, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """hop: key, id, to (a node of hop or of ends); ends: key, id, left. The hops of 2^r nodes of those nodes that don't
+    come to ends within them (the last: those that never do), and the ends with the nodes that do and their left, the
+    number of nodes to an end and the end's own."""
+    hops, found = [hop], [ends]
+    while not hops[-1].isEmpty():
+        r = len(hops)
+        state = reduce(DataFrame.unionByName, found).withColumn("end", F.lit(None).cast(hop.schema["to"].dataType)).unionByName(hops[-1].select(key, "id", F.lit(None).cast("long").alias("left"), F.col("to").alias("end")))
+        step = scratch.write(hops[-1].join(state.withColumnRenamed("id", "to"), [key, "to"]).select(key, "id", F.col("end").alias("to"), (F.col("left") + (1 << (r - 1))).alias("left")), f"{name}{r}")
+        ended = step.where("to is null").select(key, "id", "left")
+        if ended.isEmpty():  # the nodes before an end have one number after the other, so no more come to ends
+            break
+        found.append(ended)
+        hops.append(step.where("to is not null").select(key, "id", "to"))
+    return hops, found
+
+
+def _count_in_cycles(hop: DataFrame, key: str, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """hop: key, id, to of nodes that lead into cycles. Their hops of 2^r nodes, as far as walks need them, and tables of
+    key, id, left: the number of other nodes that a walk from the node passes."""
+    step = scratch.write(hop.select(key, "id", "to", F.col("to").alias("least"), F.lit(1).cast("long").alias("at"), F.lit(False).alias("same")), "turns0")
+    turns, on = [step], lambda t: t.select(key, F.col("id").alias("to"), F.col("to").alias("end"), *[F.col(c).alias(f"on_{c}") for c in t.columns if c in ("least", "at")])
+    while not step.where("not same").isEmpty():  # least: of the next 2^r nodes; at: how far it is
+        lower = F.col("on_least") < F.col("least")
+        step = step.join(on(step), [key, "to"]).select(key, "id", F.col("end").alias("to"), F.least("least", "on_least").alias("least"), F.when(lower, F.col("on_at") + (1 << (len(turns) - 1))).otherwise(F.col("at")).alias("at"), (~lower).alias("same"))
+        step = scratch.write(step, f"turns{len(turns)}")
+        turns.append(step)
+    # the least node of a cycle is the one that comes first after itself; at is the length of its cycle then
+    first = step.where("least = id").select(key, F.col("id").alias("head"), F.lit(1).cast("long").alias("rank"), "id", (F.col("at") - 1).alias("left"))
+    turns = [t.select(key, "id", "to") for t in turns]
+    sizes = first.select(key, "head", "left")
+    cycles = scratch.write(_walk(first, turns, key, scratch, "cycle").join(sizes, [key, "head"]).select(key, "id", "left"), "cycles")
+    tails = scratch.write(hop.join(cycles, [key, "id"], "left_anti").select(key, "id", "to"), "tails0")
+    found = [cycles] if tails.isEmpty() else _count_after(tails, cycles, key, scratch, "tails")[1]
+    most = reduce(DataFrame.unionByName, found).agg(F.max("left")).first()[0]
+    while 1 << len(turns) <= most:
+        turns.append(scratch.write(turns[-1].join(on(turns[-1]), [key, "to"]).select(key, "id", F.col("end").alias("to")), f"turns{len(turns)}"))
+    return turns, found
+
+
+def _walk(begin: DataFrame, hops: list[DataFrame], key: str, scratch: Scratch, name: str) -> DataFrame:
+    """key, head, rank, id of the first nodes (begin: key, head, rank, id, left) and of as many nodes after them as left
+    says. A row stands for itself and the nodes after it that aren't there yet."""
+    path = scratch.write(begin, f"{name}-first")
+    most = path.agg(F.max("left")).first()[0] or 0
+    for r in reversed(range(most.bit_length())):
+        far = 1 << r
+        more = path.where(F.col("left") >= far).join(hops[r], [key, "id"])
+        path = path.unionByName(scratch.write(more.select(key, "head", (F.col("rank") + far).alias("rank"), F.col("to").alias("id"), (F.least("left", F.lit(2 * far - 1)) - far).alias("left")), f"{name}{r}"))
+    return path.drop("left")
+
+
 def _attribute(tag: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
 

@@ -207,3 +207,18 @@ def test_notes_within_bounds(spark):
 def test_balance_sheet_labels(spark):
     df = spark.createDataFrame([("long-term debt, net",), ("operating lease liabilities",), ("notes payable and operating lease liabilities",), ("",)], "t string")
     assert [list(r[0]) for r in df.select(fo.sheet_labels(F.col("t"))).collect()] == [["long-term debt", "long-term debt, net", "debt, net"], ["operating lease liabilities"], ["notes payable"], []]
+
+
+def test_chains_with_tails_and_cycles_only(spark):
+    rng = random.Random(3)
+    heads, links = [], []
+    for k in range(16):
+        n = rng.randrange(1, 50)
+        ids = [f"c{i:02}" for i in range(n)]
+        links += [(k, i, rng.choice(ids)) for i in ids] if k % 2 else [(k, ids[i], ids[i + 1] if i < n - 1 else ids[max(0, n - 3)]) for i in range(n)]
+        heads += [(k, h, rng.choice(ids)) for h in range(5)]
+    path = fo.follow_chains(spark.createDataFrame(heads, "key long, head int, next string"), spark.createDataFrame(links, "key long, id string, next string"), "key")
+    got = {}
+    for r in sorted(path.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.key, r.head), []).append(r.id)
+    assert got == {(k, h): brute_chain(n, {i: t for kk, i, t in links if kk == k}) for k, h, n in heads}

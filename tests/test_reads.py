@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyframe.operators import grids
+from tallyframe.operators import footnotes, grids
 from tallyframe.plans import queries as own
 from tallyframe.plans import queries_checks, queries_filings, queries_more, queries_scores  # noqa: F401  (add their queries to own.QUERIES)
 
@@ -103,3 +103,14 @@ def test_values_are_not_dealt_out_by_concept(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(child" not in plan and "SortMergeJoin [child" not in plan
+
+
+def test_rows_of_chains_are_moved_once(spark):
+    """A row of a chain or cycle is shuffled once, not in each round."""
+    n, keys = 48, 60
+    at = spark.range(n * keys).selectExpr(f"id div {n} as key", f"id % {n} as id")
+    links = at.selectExpr("key", "id", f"case when id < {n - 1} then id + 1 when key % 2 = 0 then 0 end as next")
+    before = total(spark, "shuffleWriteRecords")
+    path = footnotes.follow_chains(links.selectExpr("key", "id as head", "next"), links, "key")
+    rows = path.count()
+    assert rows == keys // 2 * (n * n + n * (n - 1) // 2) and total(spark, "shuffleWriteRecords") - before < 2 * rows

@@ -22,6 +22,8 @@ from tallyframe.session import ship
 SAMPLE, ROUNDS = 20_000, 8
 #: Rows and queries in one block at most, about.
 ROWS, QUERIES = 16_384, 1_024
+#: Queries of a block whose cosines with all its rows are in memory at once.
+SLICE = 64
 _SALTS = 64
 
 
@@ -131,6 +133,21 @@ def load_index(spark: SparkSession, path: str, check: bool = True) -> Index:
     return Index(rows, centroids, manifest["dimension"])
 
 
+def _best(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query, key, cosine of the k rows of a block (b: key, v) most like each query of a block (a: query, v)."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"query": a["query"][:0], "key": b["key"][:0], "cosine": np.zeros(0)})
+    b = b.sort_values("key", kind="stable")
+    x, y = _units(np.stack(a["v"].to_numpy())), _units(np.stack(b["v"].to_numpy())).T
+    order, near = [], []
+    for i in range(0, len(x), SLICE):
+        cosine = x[i : i + SLICE] @ y
+        order.append(np.argsort(-cosine.round(12), axis=1, kind="stable")[:, :k].copy())  # the slice would hold the whole
+        near.append(np.take_along_axis(cosine, order[-1], axis=1))
+    order, near = np.concatenate(order), np.concatenate(near)
+    return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), order.shape[1]), "key": b["key"].to_numpy()[order.ravel()], "cosine": near.ravel()})
+
+
 def search(index: Index, queries: DataFrame, k: int, key: str, embedding: str, probes: int | None = None, rows_per_block: int = ROWS, queries_per_block: int = QUERIES) -> DataFrame:
     """query, key and cosine of the k rows most like each query (ties: the least key; cosines are compared to 12
     places; a zero vector has 0). probes: cells looked into for each query, the nearest first; None looks into all and
@@ -152,16 +169,8 @@ def search(index: Index, queries: DataFrame, k: int, key: str, embedding: str, p
     right = index.rows.join(blocks, "cell").select("cell", upto("query_blocks").alias("q"), of("key", "row_blocks").alias("r"), "key", "v")
     kind = lambda df, c: df.schema[c].dataType.simpleString()
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": a["query"][:0], "key": b["key"][:0], "cosine": np.zeros(0)})
-        b = b.sort_values("key", kind="stable")
-        cosine = _units(np.stack(a["v"].to_numpy())) @ _units(np.stack(b["v"].to_numpy())).T
-        order = np.argsort(-cosine.round(12), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), order.shape[1]), "key": b["key"].to_numpy()[order.ravel()], "cosine": np.take_along_axis(cosine, order, axis=1).ravel()})
-
     group = ["cell", "q", "r"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, f"query {kind(asked, 'query')}, key {kind(index.rows, 'key')}, cosine double")
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(lambda a, b: _best(a, b, k), f"query {kind(asked, 'query')}, key {kind(index.rows, 'key')}, cosine double")
     row = F.struct((-F.round("cosine", 12)).alias("far"), "key", "cosine")
     cut = lambda rows: F.slice(F.array_sort(F.flatten(F.collect_list(rows))), 1, k)
     salted = found.groupBy("query", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(row)), 1, k).alias("best"))

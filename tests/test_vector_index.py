@@ -1,6 +1,9 @@
 """The index of vectors: integrity checks, exact searches against brute force, recall of cells."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,18 @@ def test_recall_of_cells(spark):
     exact = vi.search(index, df.where("vec_id % 10 = 0"), 10, "vec_id", "embedding").cache()
     share = vi.recall(vi.search(index, df.where("vec_id % 10 = 0"), 10, "vec_id", "embedding", probes=12), exact)
     assert exact.count() == 500 and share >= 0.9
+
+
+def test_a_block_takes_the_memory_of_its_rows(monkeypatch):
+    """Not that of the cosines of all its queries with all its rows."""
+    rng = np.random.default_rng(4)
+    part = lambda name, n: pd.DataFrame({name: range(n), "v": list(rng.normal(size=(n, 16)))})
+    a, b = part("query", 1000), part("key", 4000)
+    tracemalloc.start()
+    found = vi._best(a, b, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1000 * 4000 * 8 / 2
+    monkeypatch.setattr(vi, "SLICE", 1000)
+    whole = vi._best(a, b, 3)
+    assert len(found) == 3000 and (found[["query", "key"]] == whole[["query", "key"]]).all(axis=None) and np.allclose(found.cosine, whole.cosine)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import classes, keep, text as tx
+from tallyframe.session import Scratch
 
 
 def latest_filed(cells: DataFrame, keys: list[str], filed: str, frame: str, value: str) -> DataFrame:
@@ -162,20 +164,20 @@ def annual_column(columns: DataFrame, keys: list[str]) -> DataFrame:
 def tree_rows(arcs: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes of presentation trees with depth and sort path, children by order. arcs: role, parent, child, ord;
     roots: role, node. One join per level, until a level is empty; a node is shown once per depth, and not again below
-    itself, so cycles end."""
-    level = roots.select("role", "node", F.lit(0).alias("depth"), F.array(F.struct(F.lit(0.0).alias("ord"), F.col("node").alias("node"))).alias("path"))
+    itself, so cycles end. Arcs and levels are written to the shared folder, so no level is worked out again for the
+    next."""
+    scratch = Scratch(arcs.sparkSession, "tree")
+    level = scratch.write(roots.select("role", "node", F.lit(0).alias("depth"), F.array(F.struct(F.lit(0.0).alias("ord"), F.col("node").alias("node"))).alias("path")), "level0")
     found = [level]
-    edges = arcs.select("role", F.col("parent").alias("node"), "child", F.col("ord").cast("double").alias("ord"))
+    edges = scratch.write(arcs.select("role", F.col("parent").alias("node"), "child", F.col("ord").cast("double").alias("ord")), "arcs")
     for depth in itertools.count(1):
-        step = level.join(edges, ["role", "node"]).where(~F.exists("path", lambda p: p["node"] == F.col("child"))).select("role", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array(F.struct("ord", F.col("child").alias("node")))).alias("path"))
-        level = keep.keep_first(step, ["role", "node", "depth"], ["path"])
+        step = level.join(edges, ["role", "node"]).where(~F.exists("path", lambda p: p["node"] == F.col("child"))).select("role", F.col("child").alias("node"), F.concat("path", F.array(F.struct("ord", F.col("child").alias("node")))).alias("path"))
+        level = scratch.write(step.groupBy("role", "node").agg(F.min("path").alias("path")).select("role", "node", F.lit(depth).alias("depth"), "path"), f"level{depth}")
         if level.isEmpty():
             break
         found.append(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    scratch.drop("arcs", f"level{depth}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def filter_forms(filings: DataFrame, forms: list[str], filed: str, as_of: str, years: int, least: int = 12, more: int = 7, most_years: int = 25) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyframe.operators import footnotes, grids
+from tallyframe.operators import filings, footnotes, grids
 from tallyframe.plans import queries as own
 from tallyframe.plans import queries_checks, queries_filings, queries_more, queries_scores  # noqa: F401  (add their queries to own.QUERIES)
 
@@ -114,3 +114,13 @@ def test_rows_of_chains_are_moved_once(spark):
     path = footnotes.follow_chains(links.selectExpr("key", "id as head", "next"), links, "key")
     rows = path.count()
     assert rows == keys // 2 * (n * n + n * (n - 1) // 2) and total(spark, "shuffleWriteRecords") - before < 2 * rows
+
+
+def test_levels_of_a_tree_are_made_once(spark):
+    """What is returned reads written levels; no level joins its way down from the roots again."""
+    arcs = spark.createDataFrame([("r", i // 2, i, float(-i)) for i in range(2, 40)] + [("r", 39, 1, 0.0), ("r", 38, 39, 0.0)], "role string, parent long, child long, ord double")
+    tree = filings.tree_rows(arcs, spark.createDataFrame([("r", 1)], "role string, node long"))
+    assert "Join" not in tree._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.node, r.depth): [p.node for p in r.path] for r in tree.collect()}
+    down = lambda i: [*down(i // 2), i] if i else []
+    assert got == {(i, len(down(i)) - 1): down(i) for i in range(1, 40)} | {(39, 6): [*down(38), 39]}
